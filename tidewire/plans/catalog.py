@@ -1,0 +1,11 @@
+"""Registry of the library's queries and their SQL twins."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
