@@ -1,11 +1,288 @@
-"""Registry of the library's queries and their SQL twins."""
+"""Registry of the library's queries over the test tables, and their SQL twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tidewire.functions import rules, text
+from tidewire.operators import evidence as ev
+from tidewire.operators import forecast, outcomes, serving
+from tidewire.plans.domain import NOW, ctes, view
+from tidewire.sources import io
+
+_NOW = F.expr(NOW)
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _scored(spark, d):
+    wide = serving.with_dimensions(view(spark, d, "rumours"), view(spark, d, "players"), view(spark, d, "clubs"), view(spark, d, "sources"))
+    months = rules.months_to(F.col("player_contract_end"), _NOW)
+    return wide.withColumn("score", rules.likelihood_score(F.coalesce("source_reliability", F.lit(0.5)), months, F.col("fee_min"), F.col("fee_max"), F.col("player_market_value"), F.col("source_count"), F.col("base_probability")))
+
+
+_SCORE = f"""{ctes("rumours", "players", "sources", "clubs")}, parts AS (
+  SELECT r.*, p.current_club_id, p.position, p.market_value, coalesce(s.reliability, 0.5) AS rel, (epoch_ms(p.contract_end) - epoch_ms({NOW})) / (30.44 * 86400000) AS months,
+    coalesce((fee_min + fee_max) / 2, fee_min, fee_max) AS fee
+  FROM rumours r JOIN players p ON r.player_id = p.id LEFT JOIN sources s ON r.source_id = s.id),
+scored AS (SELECT *, floor(greatest(0, least(100,
+    greatest(0, least(1, rel)) * 28 + CASE WHEN months IS NULL THEN 8 ELSE (1 - greatest(0, least(1, months / 24))) * 20 END
+    + CASE WHEN fee IS NOT NULL AND market_value <> 0 THEN greatest(0, 1 - abs(fee / market_value - 1) * 1.5) * 12 ELSE 3.6 END
+    + 12.0 + least(1, 1 - exp(-source_count * 0.5)) * 15 + CASE WHEN base_probability = 0 THEN 2.5 ELSE base_probability * 5 END)) + 0.5) AS score FROM parts)"""
+
+
+@query(f"""{_SCORE}, live AS (SELECT *, score AS l FROM scored WHERE status IN ('PENDING', 'HOT')),
+ a AS (SELECT current_club_id AS c, count(*) AS squad FROM players GROUP BY 1),
+ b AS (SELECT to_club_id AS c, count(*) AS n_in, sum(coalesce(CASE WHEN fee_max IS NULL THEN 0 ELSE coalesce(fee_min, fee_max) / 2 END, 0) * l / 100) AS spend FROM live GROUP BY 1),
+ o AS (SELECT from_club_id AS c, count(*) AS n_out FROM live GROUP BY 1)
+ SELECT id, name, coalesce(squad, 0) AS squad, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, floor(coalesce(spend, 0) + 0.5) AS expected_spend
+ FROM clubs LEFT JOIN a ON id = a.c LEFT JOIN b ON id = b.c LEFT JOIN o ON id = o.c""")
+def club_dashboard(spark, d):
+    fresh = _scored(spark, d).select("id", "player_id", "from_club_id", "to_club_id", "fee_min", "fee_max", "status", F.col("score").alias("likelihood"))
+    return serving.club_dashboard(view(spark, d, "clubs"), view(spark, d, "players"), fresh)
+
+
+@query(f"{_SCORE} SELECT id, score, CASE WHEN score >= 70 THEN 'HOT' ELSE 'PENDING' END AS new_status FROM scored WHERE status IN ('PENDING', 'HOT')")
+def rescore(spark, d):
+    return serving.active_rumours(_scored(spark, d)).select("id", "score", rules.score_status(F.col("score")).alias("new_status"))
+
+
+@query(f"{ctes('rumours')} SELECT count(*) AS total, count(*) FILTER (status = 'HOT') AS hot, count(*) FILTER (status = 'COMPLETED') AS completed FROM rumours")
+def overview(spark, d):
+    return serving.overview_counts(view(spark, d, "rumours"))
+
+
+@query(f"{ctes('sources', 'rumours')} SELECT s.id, s.name, round(s.reliability, 6) AS reliability, count(r.id) AS rumours FROM sources s LEFT JOIN rumours r ON r.source_id = s.id GROUP BY ALL")
+def source_stats(spark, d):
+    return serving.source_stats(view(spark, d, "sources"), view(spark, d, "rumours")).withColumn("reliability", F.round("reliability", 6))
+
+
+@query(f"{ctes('rumours', 'players')} SELECT to_club_id, position, floor(sum(coalesce(fee_max, fee_min, 0) * likelihood / 100) + 0.5) AS spend FROM rumours r JOIN players p ON r.player_id = p.id WHERE status IN ('PENDING', 'HOT') GROUP BY 1, 2")
+def spend_by_position(spark, d):
+    return serving.spend_by_position(view(spark, d, "rumours"), view(spark, d, "players"))
+
+
+@query(f"{ctes('rumours')} SELECT id, likelihood, status FROM rumours ORDER BY likelihood DESC, id OFFSET 20 LIMIT 20")
+def rumour_page(spark, d):
+    return serving.rumour_page(view(spark, d, "rumours"), 2, 20).select("id", "likelihood", "status")
+
+
+@query(f"{ctes('rumours')} SELECT to_club_id, id, likelihood, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY to_club_id ORDER BY likelihood DESC, id) AS rank FROM rumours) WHERE rank <= 5")
+def top_rumours_per_club(spark, d):
+    return serving.top_per_key(view(spark, d, "rumours"), "to_club_id", 5, F.desc("likelihood"), F.col("id")).select("to_club_id", "id", "likelihood", "rank")
+
+
+@query(f"{ctes('rumours', 'clubs')} SELECT r.id, r.status FROM rumours r WHERE window_name = 'SUMMER' AND (from_club_id IN (SELECT id FROM clubs WHERE lower(league) LIKE '%nation_1%') OR to_club_id IN (SELECT id FROM clubs WHERE lower(league) LIKE '%nation_1%'))".replace("nation_1%", "nation\\_1%").replace("%'", "%' ESCAPE '\\'"))
+def filtered_rumours(spark, d):
+    return serving.filter_rumours(view(spark, d, "rumours"), view(spark, d, "clubs"), league="NATION_1", club_id=3, window="SUMMER").select("id", "status")
+
+
+@query(f"{ctes('players')} SELECT id, name FROM players WHERE contains(lower(name), '00012') ORDER BY name, id LIMIT 20")
+def player_search(spark, d):
+    return serving.search_names(view(spark, d, "players"), "00012").select("id", "name")
+
+
+@query(f"{ctes('rumours', 'players')} SELECT r.id, CASE WHEN from_club_inferred AND current_club_id IS NOT NULL AND current_club_id <> from_club_id THEN current_club_id ELSE from_club_id END AS origin_club_id, coalesce(from_club_inferred AND current_club_id IS NOT NULL AND current_club_id <> from_club_id, false) AS unconfirmed FROM rumours r JOIN players p ON p.id = r.player_id")
+def display_origin(spark, d):
+    p = view(spark, d, "players").select(F.col("id").alias("_p"), F.col("current_club_id").alias("player_current_club_id"))
+    return serving.display_origin(view(spark, d, "rumours").join(p, F.col("player_id") == F.col("_p")))
+
+
+@query(f"{ctes('claims')} SELECT id, player_id, claim_status FROM claims WHERE claim_status IN ('CONFIRMED', 'DENIED', 'EXPIRED') ORDER BY first_seen_at DESC, id LIMIT 500")
+def historical_claims(spark, d):
+    return serving.historical_claims(view(spark, d, "claims")).select("id", "player_id", "claim_status")
+
+
+_TOP = ", top AS (SELECT * FROM rumours WHERE status IN ('PENDING', 'HOT', 'COMPLETED') ORDER BY likelihood DESC, id LIMIT 200)"
+_EDGES = ", edges AS (SELECT id AS rumour_id, 'club-' || from_club_id AS source, 'player-' || player_id AS target, 'out' AS way, likelihood, status FROM top UNION ALL SELECT id, 'player-' || player_id, 'club-' || to_club_id, 'in', likelihood, status FROM top)"
+
+
+@query(f"{ctes('rumours')}{_TOP}{_EDGES} SELECT rumour_id, source, target, way, round(likelihood / 100, 6) AS weight, greatest(1.0, likelihood / 25) AS size, status FROM edges")
+def network_edges(spark, d):
+    return serving.transfer_network(view(spark, d, "rumours"), view(spark, d, "players"))[1].withColumn("weight", F.round("weight", 6))
+
+
+@query(f"{ctes('rumours', 'players')}{_TOP} SELECT DISTINCT 'player-' || player_id AS id, 'player' AS kind, round(greatest(6.0, least(18.0, coalesce(market_value, 20.0) / 8)), 6) AS size FROM top LEFT JOIN players p ON p.id = player_id UNION SELECT 'club-' || c, 'club', 14.0 FROM (SELECT from_club_id AS c FROM top UNION SELECT to_club_id FROM top)")
+def network_nodes(spark, d):
+    return serving.transfer_network(view(spark, d, "rumours"), view(spark, d, "players"))[0].withColumn("size", F.round("size", 6))
+
+
+@query(f"{ctes('rumours')}{_TOP}{_EDGES} SELECT node, count(DISTINCT other) AS n FROM (SELECT source AS node, target AS other FROM edges UNION ALL SELECT target, source FROM edges) GROUP BY node")
+def network_neighbours(spark, d):
+    return serving.neighbours(serving.transfer_network(view(spark, d, "rumours"), view(spark, d, "players"))[1]).select("node", "n")
+
+
+@query(f"{ctes('rumours')}, h AS (SELECT player_id AS rumour_id, rumour_date AS recorded_at, likelihood, id FROM rumours), w AS (SELECT *, lag(likelihood) OVER o AS previous, lead(likelihood) OVER o AS nxt FROM h WINDOW o AS (PARTITION BY rumour_id ORDER BY recorded_at, likelihood)) SELECT rumour_id, recorded_at, likelihood, previous, likelihood - previous AS change, likelihood >= 70 AS hot FROM w WHERE previous IS NOT NULL OR nxt IS NOT NULL")
+def likelihood_timeline(spark, d):
+    return serving.likelihood_timeline(view(spark, d, "rumours").select(F.col("player_id").alias("rumour_id"), F.col("rumour_date").alias("recorded_at"), "likelihood"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def usage_metrics(spark, d):
+    return serving.usage_metrics(io.read_table(spark, d, "events"))
+
+
+@query("SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-16 00:00:00') AS deleted, count(*) FILTER (ts >= TIMESTAMP '2024-01-16 00:00:00') AS kept FROM events")
+def purge(spark, d):
+    return serving.purge_older_than(io.read_table(spark, d, "events"), F.expr("TIMESTAMP '2024-04-15 00:00:00'"), 90, "ts")[1].select("deleted", "kept")
+
+
+@query(f"""{ctes('signals')} SELECT id, regexp_matches(lower(headline), 'transfer|sign|bid|offer|deal|move|loan|fee|rumou?r|target|linked|interest|approach|negotiate|contract|here we go|medical|agreed|swap|sell|buy|complete|mercato') AS related,
+ CASE WHEN lower(headline) LIKE '%january%' OR lower(headline) LIKE '%winter%' THEN 'WINTER' WHEN regexp_matches(lower(headline), 'summer|july|august|june') THEN 'SUMMER' WHEN month(published_at) BETWEEN 6 AND 8 THEN 'SUMMER' ELSE 'WINTER' END AS win,
+ CASE WHEN lower(headline) LIKE '%tier 2%' THEN 0.8 END AS implied, CASE WHEN headline LIKE '%here we go%' THEN 'COMPLETED' WHEN headline LIKE '%deal collapsed%' OR headline LIKE '%transfer off%' THEN 'FAILED' END AS outcome,
+ CASE WHEN headline LIKE '%according to%' THEN 'Sky Sports' END AS cited FROM signals""")
+def signal_rules(spark, d):
+    h = F.col("headline")
+    return view(spark, d, "signals").select("id", text.is_transfer_related(h, F.lit("")).alias("related"), text.guess_window_from_text(h, F.col("published_at")).alias("win"), text.implied_reliability(h).alias("implied"), text.detect_outcome(h).alias("outcome"), text.cited_name(h).alias("cited"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(substr(text, 1, 200))), '[^a-z0-9 ]', '', 'g'), ' ') AS norm FROM documents")
+def normalised_text(spark, d):
+    # the first 200 characters are a headline here
+    return io.read_table(spark, d, "documents").select("doc_id", text.normalise(F.substring("text", 1, 200)).alias("norm"))
+
+
+@query(f"{ctes('evidence')} SELECT claim_id, count(DISTINCT coalesce(root_id, id)) AS independent, count(*) AS evidence FROM evidence GROUP BY 1")
+def independent_sources(spark, d):
+    return ev.independent_source_count(view(spark, d, "evidence"))
+
+
+@query(f"{ctes('evidence')} SELECT claim_id, count(*) AS evidence, count(DISTINCT id) AS independent, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS') AS confirmation_id, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'DENIES') AS denial_id FROM evidence GROUP BY 1")
+def claim_provenance(spark, d):
+    return ev.claim_provenance(view(spark, d, "evidence"))
+
+
+@query(f"{ctes('claims', 'evidence')} SELECT c.id, greatest(c.last_evidence_at, max(e.published_at)) AS last_evidence_at FROM claims c LEFT JOIN evidence e ON e.claim_id = c.id GROUP BY c.id, c.last_evidence_at")
+def last_evidence(spark, d):
+    return ev.last_evidence_at(view(spark, d, "claims"), view(spark, d, "evidence"))
+
+
+@query(f"{ctes('claims', 'evidence', 'sources')} SELECT id FROM claims WHERE id IN (SELECT claim_id FROM evidence WHERE source_id IN (SELECT id FROM sources WHERE tier <= 1))")
+def claims_by_tier(spark, d):
+    return ev.claims_with_source_tier(view(spark, d, "claims"), view(spark, d, "evidence"), view(spark, d, "sources"), 1).select("id")
+
+
+@query(f"{ctes('evidence')}, m AS (SELECT *, source_type <> 'CLUB_OFFICIAL' AND direction NOT IN ('DENIES', 'CONTEXTUAL') AS br FROM evidence), r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, br ORDER BY published_at, id) = 1 AS f FROM m) SELECT id, claim_id, concat_ws(',', CASE WHEN source_type = 'CLUB_OFFICIAL' THEN 'official' END, CASE WHEN direction = 'DENIES' THEN 'denial' END, CASE WHEN direction = 'CONTEXTUAL' THEN 'contextual' END, CASE WHEN br THEN CASE WHEN f THEN 'original' ELSE 'corroboration' END END) AS categories FROM r")
+def evidence_categories(spark, d):
+    return ev.categorise_evidence(view(spark, d, "evidence"))
+
+
+@query("WITH w AS (SELECT doc_id, source, list_distinct(list_filter(string_split_regex(regexp_replace(lower(substr(text, 1, 120)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS t FROM documents) SELECT a.doc_id AS item_id, b.doc_id AS candidate_id FROM w a JOIN w b ON a.source = b.source AND b.doc_id < a.doc_id WHERE CASE WHEN len(a.t) + len(b.t) = 0 THEN 1 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END >= 0.55")
+def near_duplicate_pairs(spark, d):
+    # a headline and excerpt are the first 120 characters, a claim is a source
+    rows = io.read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("claim_id"), F.col("doc_id").alias("seq"), F.substring("text", 1, 120).alias("text"))
+    return ev.near_duplicate_pairs(rows).select("item_id", "candidate_id")
+
+
+@query("WITH RECURSIVE p AS (SELECT DISTINCT doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN doc_id - 1 - doc_id % 3 % (doc_id % 7) END AS par FROM documents), w AS (SELECT id, id AS root_id FROM p WHERE par IS NULL UNION ALL SELECT p.id, w.root_id FROM p JOIN w ON p.par = w.id) SELECT id, root_id FROM w")
+def provenance_roots(spark, d):
+    ids = io.read_table(spark, d, "documents").select(F.col("doc_id").alias("id")).distinct()
+    return ev.resolve_roots(ids.select("id", F.expr("CASE WHEN id % 7 <> 0 THEN id - 1 - id % 3 % (id % 7) END").alias("parent_id")))
+
+
+@query(f"{ctes('predictions', 'evidence')}, m AS (SELECT p.claim_id, p.as_of, e.* EXCLUDE (claim_id) FROM predictions p LEFT JOIN evidence e ON e.claim_id = p.claim_id AND e.published_at <= p.as_of) SELECT claim_id, as_of, CAST(count(id) AS DOUBLE) AS evidence_count, CAST(count(DISTINCT id) AS DOUBLE) AS roots, round(CASE WHEN count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS', 'CONTRADICTS', 'DENIES')) = 0 THEN 0.5 ELSE count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS')) / count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS', 'CONTRADICTS', 'DENIES')) END, 6) AS direction_score, round(coalesce(avg(confidence), 0), 6) AS confidence, round(coalesce(least(8760.0, (epoch_ms(as_of) - epoch_ms(max(published_at))) / 3600000), 8760.0), 6) AS age_hours FROM m GROUP BY 1, 2")
+def asof_features(spark, d):
+    f = forecast.evidence_features(view(spark, d, "predictions"), view(spark, d, "evidence"), view(spark, d, "sources"), view(spark, d, "claims"), view(spark, d, "players"))
+    return f.select("claim_id", "as_of", F.col("evidenceCount").alias("evidence_count"), F.col("independentRootCount").alias("roots"), F.round("evidenceDirectionScore", 6).alias("direction_score"), F.round("entityMatchConfidence", 6).alias("confidence"), F.round("mostRecentEvidenceAgeHours", 6).alias("age_hours"))
+
+
+@query(f"{ctes('predictions', 'evidence')}, m AS (SELECT p.claim_id, p.as_of, p.as_of + INTERVAL '30' DAY AS deadline, min(e.published_at) AS confirmed_at FROM predictions p LEFT JOIN evidence e ON e.claim_id = p.claim_id AND e.published_at > p.as_of AND e.published_at <= p.as_of + INTERVAL '30' DAY AND source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS' GROUP BY 1, 2) SELECT *, CASE WHEN confirmed_at IS NOT NULL THEN 1 WHEN deadline <= {NOW} THEN 0 END AS label FROM m")
+def forecast_labels(spark, d):
+    return forecast.resolve_labels(view(spark, d, "predictions"), view(spark, d, "evidence"), view(spark, d, "claims"), _NOW, use_cutoff=False)
+
+
+@query(f"{ctes('predictions')}, r AS (SELECT *, row_number() OVER (ORDER BY as_of, claim_id) - 1 AS k, count(*) OVER () AS n FROM predictions) SELECT claim_id, as_of, CASE WHEN k < floor(0.6 * n) THEN 'train' WHEN k < floor(0.6 * n) + floor(0.2 * n) THEN 'validation' ELSE 'test' END AS split FROM r")
+def time_split(spark, d):
+    return forecast.time_split(view(spark, d, "predictions"))
+
+
+_PY = "SELECT o_orderkey, (o_orderkey * 31 % 1000) / 1000.0 AS p, CASE WHEN o_orderkey * 17 % 1000 < o_orderkey * 31 % 1000 THEN 1 ELSE 0 END AS y FROM orders"
+
+
+def _py(spark, d):
+    return io.read_table(spark, d, "orders").select(((F.col("o_orderkey") * 31 % 1000) / 1000.0).alias("p"), F.when(F.col("o_orderkey") * 17 % 1000 < F.col("o_orderkey") * 31 % 1000, 1).otherwise(0).alias("y"))
+
+
+@query(f"WITH x AS ({_PY}) SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, round(avg(p), 6) AS mean_predicted, round(avg(y), 6) AS empirical_rate, count(*) AS n FROM x GROUP BY 1")
+def calibration_bins(spark, d):
+    return forecast.calibration_bins(_py(spark, d)).select("bin", F.round("mean_predicted", 6).alias("mean_predicted"), F.round("empirical_rate", 6).alias("empirical_rate"), "n")
+
+
+@query(f"WITH x AS ({_PY}), q AS (SELECT p, y, greatest(1e-6, least(1 - 1e-6, p)) AS c FROM x) SELECT round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-(y * ln(c) + (1 - y) * ln(1 - c))), 6) AS log_loss FROM q")
+def forecast_scores(spark, d):
+    return forecast.scores(_py(spark, d)).select(F.round("brier", 6).alias("brier"), F.round("log_loss", 6).alias("log_loss"))
+
+
+@query(f"WITH x AS ({_PY}), g AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM x GROUP BY p), w AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(CAST(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS DOUBLE), 6) AS auc FROM w")
+def rank_auc(spark, d):
+    return forecast.rank_auc(_py(spark, d)).select(F.round("auc", 6).alias("auc"))
+
+
+@query()
+def rumour_anchors(spark, d):
+    rows = view(spark, d, "rumours").select("id", "player_id", F.lit(None).cast("long").alias("from_club_id"), (F.col("to_club_id") % 5).alias("to_club_id"), "rumour_date", "source_id")
+    return outcomes.corroboration_count(outcomes.assign_rumours(rows, 90))
+
+
+@query()
+def rate_limits(spark, d):
+    return outcomes.rate_limit_audit(view(spark, d, "usage"), 5, 86_400)
+
+
+@query(f"{ctes('rumours')}, live AS (SELECT * FROM rumours WHERE status IN ('PENDING', 'HOT') AND rumour_date >= {NOW} - INTERVAL '900' DAY), j AS (SELECT r.id, l.id AS c, row_number() OVER (PARTITION BY r.id ORDER BY l.likelihood DESC, l.id) AS k FROM rumours r JOIN live l ON l.player_id = r.player_id AND l.to_club_id <> r.to_club_id) SELECT id, c AS contradicts FROM j WHERE k = 1")
+def contradictions(spark, d):
+    r = view(spark, d, "rumours")
+    return outcomes.link_contradictions(r, r, _NOW, 900)
+
+
+_OUT = 'SELECT id, source_id, rumour_date AS "at", status = \'COMPLETED\' AS hit FROM rumours WHERE status IN (\'COMPLETED\', \'FAILED\')'
+
+
+def _outcomes(spark, d):
+    return view(spark, d, "rumours").where("status in ('COMPLETED', 'FAILED')").select("id", "source_id", F.col("rumour_date").alias("at"), (F.col("status") == "COMPLETED").alias("hit"))
+
+
+@query(f"{ctes('rumours', 'sources')}, o AS ({_OUT}), c AS (SELECT source_id, count(*) AS n, count(*) FILTER (hit) AS h FROM o GROUP BY 1) SELECT s.id, CAST(hit_count + coalesce(h, 0) AS BIGINT) AS hits, CAST(miss_count + coalesce(n, 0) - coalesce(h, 0) AS BIGINT) AS misses FROM sources s LEFT JOIN c ON c.source_id = s.id")
+def source_outcomes(spark, d):
+    return outcomes.source_reliability(_outcomes(spark, d), view(spark, d, "sources")).select("id", "hits", "misses")
+
+
+@query(f'{ctes("rumours")}, o AS ({_OUT}) SELECT id, source_id, "at", count(*) FILTER (hit) OVER w AS hits, count(*) FILTER (NOT hit) OVER w AS misses FROM o WINDOW w AS (PARTITION BY source_id ORDER BY "at", id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')
+def reliability_history(spark, d):
+    return outcomes.reliability_history(_outcomes(spark, d))
+
+
+@query("WITH f AS (SELECT event_id AS id, user_id, CAST(value AS BIGINT) % 40 AS player_id, ts, row_number() OVER (PARTITION BY user_id, CAST(value AS BIGINT) % 40 ORDER BY ts, event_id) AS again FROM events WHERE value IS NOT NULL), g AS (SELECT *, sum(CASE WHEN again = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM f), h AS (SELECT *, max(CASE WHEN again = 1 AND k <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, player_id) = 1 AS accepted FROM g) SELECT id, user_id, player_id, accepted, accepted AND again = 1 AS was_created FROM h".replace("CAST(value AS BIGINT)", "CAST(floor(value) AS BIGINT)"))
+def watchlist_admission(spark, d):
+    adds = io.read_table(spark, d, "events").where("value is not null").select(F.col("event_id").alias("id"), "user_id", (F.floor("value").cast("long") % 40).alias("player_id"), F.col("ts").alias("created_at"))
+    return outcomes.watchlist_admission(adds)
+
+
+@query("SELECT event_id % 500 AS link, min(event_id) AS id FROM events WHERE event_id % 500 >= 100 GROUP BY 1")
+def unseen_links(spark, d):
+    rows = io.read_table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 500).cast("string").alias("link"), F.timestamp_seconds(F.col("event_id")).alias("published_at"), F.lit("h").alias("headline"))
+    stored = rows.where(F.col("link").cast("long") < 100).select("link")
+    return io.drop_seen(rows, stored).select(F.col("link").cast("long").alias("link"), "id")
+
+
+@query(f"{ctes('claims')} SELECT id, CASE window_name WHEN 'SUMMER' THEN CASE WHEN make_timestamp(year(first_seen_at), 8, 31, 23, 59, 59) >= first_seen_at THEN make_timestamp(year(first_seen_at), 8, 31, 23, 59, 59) ELSE make_timestamp(year(first_seen_at) + 1, 8, 31, 23, 59, 59) END WHEN 'WINTER' THEN CASE WHEN make_timestamp(year(first_seen_at), 1, 31, 23, 59, 59) >= first_seen_at THEN make_timestamp(year(first_seen_at), 1, 31, 23, 59, 59) ELSE make_timestamp(year(first_seen_at) + 1, 1, 31, 23, 59, 59) END END AS cutoff FROM claims")
+def window_cutoffs(spark, d):
+    return view(spark, d, "claims").select("id", rules.window_cutoff(F.col("window"), F.col("first_seen_at")).alias("cutoff"))

@@ -1,0 +1,54 @@
+"""Structured Streaming twins of the batch jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.sources import io
+
+
+def stream_signals(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """Feed items as they land (JSON lines), each link once within seven days (ST1); older repeats meet drop_seen in foreachBatch."""
+    items = spark.readStream.schema(io.FEED_ITEM).json(path)
+    return io.signals_of(items, now).withWatermark("published_at", "7 days").dropDuplicatesWithinWatermark(["link"])
+
+
+def stream_live_state(updates: DataFrame) -> DataFrame:
+    """The latest likelihood and status of every rumour; write in update mode (ST5)."""
+    return updates.groupBy("id").agg(F.max_by(F.struct("likelihood", "status"), "ts").alias("s")).select("id", "s.likelihood", "s.status")
+
+
+def stream_source_reliability(outcomes: DataFrame) -> DataFrame:
+    """Hits and misses of every source, each rumour counted once within the watermark; write in update mode (ST3). The score
+    follows from the counts once settled."""
+    once = outcomes.withWatermark("at", "30 days").dropDuplicatesWithinWatermark(["rumour_id"])
+    n, hits = F.count(F.lit(1)), F.sum(F.col("hit").cast("int"))
+    return once.groupBy("source_id").agg(hits.alias("hits"), (n - hits).alias("misses"), F.greatest(F.lit(0.1), F.least(F.lit(0.99), hits / n)).alias("hit_rate"))
+
+
+def stream_assign_rumours(reports: DataFrame, days: int = 7) -> DataFrame:
+    """Reports with the anchor of their rumour as keyed state (player, from, to), which expires `days` after the anchor (ST2)."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    width = pd.Timedelta(days=days)
+
+    def fold(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        anchor = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["rumour_date", "id"])
+        found = []
+        for at in rows["rumour_date"]:
+            if anchor is None or at > anchor + width:
+                anchor = at
+            found.append(anchor)
+        state.update((int(anchor.value // 1000),))
+        end = int((anchor + width).value // 1_000_000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield rows.assign(anchor=found)[["id", "player_id", "from_club_id", "to_club_id", "rumour_date", "anchor"]]
+
+    rows = reports.select("id", "player_id", "from_club_id", "to_club_id", "rumour_date").withWatermark("rumour_date", "1 day")
+    return rows.groupBy("player_id", "from_club_id", "to_club_id").applyInPandasWithState(fold, "id long, player_id long, from_club_id long, to_club_id long, rumour_date timestamp, anchor timestamp", "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
