@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = r"[\x20\x09-\x0D]+"
+#: Runs of white space that are not one space already.
+SPACES = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
 
 def normalised(text: Column) -> Column:
