@@ -18,7 +18,7 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are hashed at a time; a longer document is a chunk of its own.
-CHUNK = 2_000_000
+CHUNK = 400_000
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 

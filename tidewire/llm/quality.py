@@ -10,7 +10,7 @@ documents, taken by a hash of their id; a part of these is set aside to fit the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,13 +141,11 @@ class QualityModel:
         return np.concatenate([np.zeros(0), *(self.network.probability(pooled(self.vectors, data, offsets)) for _, data, offsets in text_chunks(texts, False))])
 
     def score_column(self, text: Column, spark) -> Column:
-        import pyarrow as pa
-
         shared = spark.sparkContext.broadcast(self)
 
-        @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.scores(pa.array(texts, pa.string(), from_pandas=True)))
+        @F.arrow_udf("double")
+        def score(texts: pa.Array) -> pa.Array:
+            return pa.array(shared.value.scores(texts))
 
         return score(text)
 
