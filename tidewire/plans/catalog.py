@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
 from tidewire.operators import evidence as ev
-from tidewire.operators import forecast, outcomes, serving
+from tidewire.operators import forecast, mentions, outcomes, serving
 from tidewire.plans.domain import NOW, ctes, view
 from tidewire.sources import io
 
-_NOW = F.expr(NOW)
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
 
@@ -35,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _scored(spark, d):
     wide = serving.with_dimensions(view(spark, d, "rumours"), view(spark, d, "players"), view(spark, d, "clubs"), view(spark, d, "sources"))
-    months = rules.months_to(F.col("player_contract_end"), _NOW)
+    months = rules.months_to(F.col("player_contract_end"), F.expr(NOW))
     return wide.withColumn("score", rules.likelihood_score(F.coalesce("source_reliability", F.lit(0.5)), months, F.col("fee_min"), F.col("fee_max"), F.col("player_market_value"), F.col("source_count"), F.col("base_probability")))
 
 
@@ -206,7 +205,7 @@ def asof_features(spark, d):
 
 @query(f"{ctes('predictions', 'evidence')}, m AS (SELECT p.claim_id, p.as_of, p.as_of + INTERVAL '30' DAY AS deadline, min(e.published_at) AS confirmed_at FROM predictions p LEFT JOIN evidence e ON e.claim_id = p.claim_id AND e.published_at > p.as_of AND e.published_at <= p.as_of + INTERVAL '30' DAY AND source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS' GROUP BY 1, 2) SELECT *, CASE WHEN confirmed_at IS NOT NULL THEN 1 WHEN deadline <= {NOW} THEN 0 END AS label FROM m")
 def forecast_labels(spark, d):
-    return forecast.resolve_labels(view(spark, d, "predictions"), view(spark, d, "evidence"), view(spark, d, "claims"), _NOW, use_cutoff=False)
+    return forecast.resolve_labels(view(spark, d, "predictions"), view(spark, d, "evidence"), view(spark, d, "claims"), F.expr(NOW), use_cutoff=False)
 
 
 @query(f"{ctes('predictions')}, r AS (SELECT *, row_number() OVER (ORDER BY as_of, claim_id) - 1 AS k, count(*) OVER () AS n FROM predictions) SELECT claim_id, as_of, CASE WHEN k < floor(0.6 * n) THEN 'train' WHEN k < floor(0.6 * n) + floor(0.2 * n) THEN 'validation' ELSE 'test' END AS split FROM r")
@@ -250,7 +249,7 @@ def rate_limits(spark, d):
 @query(f"{ctes('rumours')}, live AS (SELECT * FROM rumours WHERE status IN ('PENDING', 'HOT') AND rumour_date >= {NOW} - INTERVAL '900' DAY), j AS (SELECT r.id, l.id AS c, row_number() OVER (PARTITION BY r.id ORDER BY l.likelihood DESC, l.id) AS k FROM rumours r JOIN live l ON l.player_id = r.player_id AND l.to_club_id <> r.to_club_id) SELECT id, c AS contradicts FROM j WHERE k = 1")
 def contradictions(spark, d):
     r = view(spark, d, "rumours")
-    return outcomes.link_contradictions(r, r, _NOW, 900)
+    return outcomes.link_contradictions(r, r, F.expr(NOW), 900)
 
 
 _OUT = 'SELECT id, source_id, rumour_date AS "at", status = \'COMPLETED\' AS hit FROM rumours WHERE status IN (\'COMPLETED\', \'FAILED\')'
@@ -286,3 +285,44 @@ def unseen_links(spark, d):
 @query(f"{ctes('claims')} SELECT id, CASE window_name WHEN 'SUMMER' THEN CASE WHEN make_timestamp(year(first_seen_at), 8, 31, 23, 59, 59) >= first_seen_at THEN make_timestamp(year(first_seen_at), 8, 31, 23, 59, 59) ELSE make_timestamp(year(first_seen_at) + 1, 8, 31, 23, 59, 59) END WHEN 'WINTER' THEN CASE WHEN make_timestamp(year(first_seen_at), 1, 31, 23, 59, 59) >= first_seen_at THEN make_timestamp(year(first_seen_at), 1, 31, 23, 59, 59) ELSE make_timestamp(year(first_seen_at) + 1, 1, 31, 23, 59, 59) END END AS cutoff FROM claims")
 def window_cutoffs(spark, d):
     return view(spark, d, "claims").select("id", rules.window_cutoff(F.col("window"), F.col("first_seen_at")).alias("cutoff"))
+
+
+@query(f"""{ctes("signals", "players")}, m AS (SELECT s.id, p.id AS player_id, s.headline, instr(lower(s.headline), CAST(p.id AS VARCHAR)) - 1 AS position FROM signals s JOIN players p ON split_part(s.headline, ' ', 2) = CAST(p.id AS VARCHAR))
+ SELECT id, player_id, CAST(position AS INT) AS position, regexp_matches(substr(headline, 1, position + 60), '{text.CONTEXT}', 'i') AS in_context FROM m""")
+def player_mentions(spark, d):
+    # the headlines call a player by number
+    named = view(spark, d, "players").select("id", F.concat(F.lit("Player "), F.col("id").cast("string")).alias("name"))
+    found = mentions.match_players(view(spark, d, "signals").select("id", F.col("headline").alias("text")), named)
+    return mentions.drop_shadowed_mononyms(found).select("id", "player_id", "position", "in_context")
+
+
+@query("WITH n AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS w FROM part), c AS (SELECT w, min(id) AS club_id FROM n GROUP BY 1), t AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS k FROM part) SELECT id, arg_min(club_id, (k, club_id)) AS club_id FROM t JOIN c USING (w) GROUP BY 1")
+def best_club(spark, d):
+    # part names stand for texts, their first words for clubs
+    parts = io.read_table(spark, d, "part")
+    clubs = parts.groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).agg(F.min("p_partkey").alias("id"))
+    return mentions.best_club(parts.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), clubs)
+
+
+_TOLD = "SELECT o_orderkey AS id, o_custkey, concat(lower(c_name), CASE o_orderkey % 3 WHEN 0 THEN ' deal confirmed by ' WHEN 1 THEN ' saga over at ' ELSE ' seen at ' END, lower(s_name)) AS text FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON s_suppkey = o_orderkey % 100"
+
+
+@query(f"{ctes('rumours')}, told AS ({_TOLD.format(orders='orders', customer='customer', supplier='supplier')}), h AS (SELECT id, o_custkey AS player_id, id % 100 AS to_club_id, CASE id % 3 WHEN 0 THEN 'COMPLETED' ELSE 'FAILED' END AS outcome FROM told WHERE id % 3 < 2) SELECT r.id AS rumour_id, min(h.id) AS signal_id, arg_min(outcome, h.id) AS outcome FROM rumours r JOIN h ON r.player_id = h.player_id AND r.to_club_id = h.to_club_id WHERE status IN ('PENDING', 'HOT') AND rumour_date >= {NOW} - INTERVAL '900' DAY GROUP BY 1")
+def outcome_fallback(spark, d):
+    told = spark.sql(_TOLD, **{b: io.read_table(spark, d, b) for b in ("orders", "customer", "supplier")}).select("id", "text")
+    return mentions.outcome_fallback(told, view(spark, d, "players"), view(spark, d, "clubs"), view(spark, d, "rumours"), F.expr(NOW), 900)
+
+
+@query("WITH r AS (SELECT c_custkey AS seq, CAST(c_custkey % 40 AS VARCHAR) AS x, c_name, c_mktsegment AS league, CASE WHEN c_nationkey % 2 = 0 THEN 'Unknown' ELSE CAST(c_nationkey AS VARCHAR) END AS country FROM customer), l AS (SELECT x, league, min(seq) AS s FROM r GROUP BY 1, 2), j AS (SELECT x, string_agg(league, ', ' ORDER BY s) AS league FROM l GROUP BY 1) SELECT x AS external_id, arg_min(c_name, seq) AS name, any_value(j.league) AS league, coalesce(arg_min(country, seq) FILTER (country <> 'Unknown'), 'Unknown') AS country FROM r JOIN j USING (x) GROUP BY 1")
+def merged_clubs(spark, d):
+    c = io.read_table(spark, d, "customer")
+    return mentions.merge_clubs(c.select(F.col("c_custkey").alias("seq"), (F.col("c_custkey") % 40).cast("string").alias("external_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("league"), F.when(F.col("c_nationkey") % 2 == 0, "Unknown").otherwise(F.col("c_nationkey").cast("string")).alias("country")))
+
+
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'update' WHEN c_custkey % 3 = 1 AND c_custkey % 5 <> 0 THEN 'adopt' ELSE 'create' END AS action, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND c_custkey % 5 <> 0 THEN c_custkey END AS id, CAST(c_custkey AS VARCHAR) AS external_id, CASE WHEN c_custkey % 3 = 1 AND c_custkey % 5 <> 0 THEN replace(c_name, '#', '.') ELSE replace(c_name, '#', ' ') END AS name FROM customer")
+def reconciled_catalog(spark, d):
+    c = io.read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("n"), F.lit(None).cast("timestamp").alias("contract_end"))
+    key = F.col("id").cast("string")
+    old = c.where("id % 3 = 0 or id % 3 = 1 and id % 5 <> 0").select("id", F.when(F.col("id") % 3 == 0, key).alias("external_id"), F.replace("n", F.lit("#"), F.lit(".")).alias("name"), "contract_end")
+    new = c.select(key.alias("external_id"), F.replace("n", F.lit("#"), F.lit(" ")).alias("name"), "contract_end")
+    return mentions.reconcile_catalog(old, new, text.normalise_club_name).select("action", "id", "external_id", "name")
