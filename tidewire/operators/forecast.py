@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +19,8 @@ SUPPORT, CONTRADICT = ("SUPPORTS", "CONFIRMS"), ("CONTRADICTS", "DENIES")
 # The features in the order of the model.
 FEATURES = ("sourceTierScore", "sourceTrackRecordScore", "independentRootCount", "evidenceCount", "evidenceDirectionScore", "mostRecentEvidenceAgeHours", "hasEvidence", "hasOfficialConfirmation", "hasOfficialDenial", "detailSpecificityScore", "sourceAgreementScore", "monthsToContractExpiry", "hasContractInfo", "windowDaysRemaining", "hasWindowInfo", "entityMatchConfidence", "dataCompletenessScore")
 OLDEST_H = 8760.0
+# The features of the likelihood forest.
+LIKELIHOOD_FEATURES = ("sourceReliability", "monthsToContractExpiry", "monthsToContractExpiry_missing", "feeMid", "feeMid_missing", "marketValue", "marketValue_missing", "clubNeedScore", "distinctSourceCount", "baseProbability", "baseProbability_missing")
 
 
 def evidence_as_of(predictions: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -147,3 +150,45 @@ def train_forecast(df: DataFrame, least: int = 200):
 def score_forecasts(df: DataFrame, model, isotonic) -> DataFrame:
     """Raw and calibrated probability of every row (ML3)."""
     return isotonic.transform(model.transform(df).withColumn("p_raw", vector_to_array("probability")[1])).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
+
+
+def likelihood_features(rumours: DataFrame, sources: DataFrame, players: DataFrame) -> DataFrame:
+    """The 11 features of every rumour: zero and a mark where a value is missing; months in whole days from the report on (ML1)."""
+    s = sources.select(F.col("id").alias("_s"), "reliability")
+    p = players.select(F.col("id").alias("_p"), "market_value", "contract_end")
+    rows = rumours.join(s, F.col("source_id") == F.col("_s")).join(p, F.col("player_id") == F.col("_p"))
+    months = F.floor((rules.millis(F.col("contract_end")) - rules.millis(F.col("rumour_date"))) / 86_400_000) / 30.44
+    fee = rules.fee_mid(F.col("fee_min"), F.col("fee_max"))
+    known = {"monthsToContractExpiry": months, "feeMid": fee, "marketValue": F.col("market_value"), "baseProbability": F.col("base_probability")}
+    values = {"sourceReliability": F.col("reliability").cast("double"), "clubNeedScore": F.lit(rules.NEED), "distinctSourceCount": F.col("source_count").cast("double")}
+    for name, value in known.items():
+        values |= {name: F.coalesce(value.cast("double"), F.lit(0.0)), f"{name}_missing": value.isNull().cast("double")}
+    return rows.select(F.col("id").alias("rumour_id"), "status", months.alias("months"), *[F.col(c) for c in ("fee_min", "fee_max", "market_value", "base_probability")], *[values[f].alias(f) for f in LIKELIHOOD_FEATURES])
+
+
+def train_likelihood(features: DataFrame, least: int = 200, trees: int = 200, depth: int = 8, seed: int = 42):
+    """(model, metrics, importances) of a random forest on resolved rumours, 100 if completed, else 0 (ML1).
+
+    One row in five, by a hash of the id, is held out; metrics are R2 on both parts.
+    """
+    settled = features.where(F.col("status").isin("COMPLETED", "FAILED", "DENIED"))
+    settled = materialise(settled.withColumn("target", F.when(F.col("status") == "COMPLETED", 100.0).otherwise(0.0)), "likelihood-rows")
+    n = settled.count()
+    if n < least:
+        raise ValueError(f"at least {least} resolved rumours are needed, found {n}")
+    held_out = F.pmod(F.xxhash64(F.lit(seed), "rumour_id"), F.lit(5)) == 0
+    forest = RandomForestRegressor(featuresCol="_x", labelCol="target", predictionCol="forest", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(LIKELIHOOD_FEATURES), outputCol="_x"), forest]).fit(settled.where(~held_out))
+    r2 = RegressionEvaluator(labelCol="target", predictionCol="forest", metricName="r2")
+    metrics = {"train_r2": r2.evaluate(model.transform(settled.where(~held_out))), "test_r2": r2.evaluate(model.transform(settled.where(held_out)))}
+    importances = dict(zip(LIKELIHOOD_FEATURES, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
+    return model, metrics, importances
+
+
+def score_likelihood(features: DataFrame, model=None) -> DataFrame:
+    """rumour_id, score and the six parts: the forest's prediction within 0 and 100, rounded half to even; without a model the
+    heuristic score (ML4). The parts are always the heuristic's."""
+    inputs = (F.col("sourceReliability"), F.col("months"), F.col("fee_min"), F.col("fee_max"), F.col("market_value"), F.col("distinctSourceCount"), F.col("base_probability"))
+    rows = features if model is None else model.transform(features)
+    score = rules.likelihood_score(*inputs) if model is None else F.bround(rules.clamp(F.col("forest"), 0.0, 100.0), 0)
+    return rows.select("rumour_id", score.alias("score"), *[part.alias(name) for name, part in rules.likelihood_parts(*inputs).items()])

@@ -54,18 +54,30 @@ def drop_shadowed_mononyms(matches: DataFrame) -> DataFrame:
     return matches.join(longer, (F.col("id") == F.col("_s")) & (F.col("label") == F.col("_first")), "left_anti")
 
 
+def club_labels(clubs: DataFrame) -> DataFrame:
+    """(id, label): the names, short names and nicknames of clubs. clubs: id, name, and short_name if there is one."""
+    labels = clubs.select("id", F.col("name").alias("label"))
+    if "short_name" in clubs.columns:
+        labels = labels.unionByName(clubs.select("id", F.col("short_name").alias("label")))
+    nicknames = F.create_map(*[F.lit(x) for pair in text.CLUB_ALIASES.items() for x in pair])
+    known = clubs.sparkSession.range(1).select(F.explode(nicknames).alias("nick", "full"))
+    aliases = labels.join(F.broadcast(known), text.normalise(F.col("label")) == text.normalise(F.col("full")))  # 16 rows
+    return labels.unionByName(aliases.select("id", F.col("nick").alias("label")))
+
+
+def club_labels_in(signals: DataFrame, clubs: DataFrame) -> DataFrame:
+    """(id, club struct<id, name>, label, score): the labels by which each text names clubs."""
+    found = _mentioned(signals, club_labels(clubs).select(F.col("id").alias("label_id"), "label"))
+    names = clubs.dropDuplicates(["id"]).select(F.col("id").alias("_k"), F.col("name").alias("_name"))
+    return found.join(names, F.col("label_id") == F.col("_k")).select("id", F.struct(F.col("label_id").alias("id"), F.col("_name").alias("name")).alias("club"), "label", "score")
+
+
 def match_clubs(signals: DataFrame, clubs: DataFrame) -> DataFrame:
     """(id, club_id, at, score) for each club that a text names by name, short name or nickname as whole words.
 
     clubs: id, name, and short_name if there is one. A club found by several labels keeps its best score.
     """
-    labels = clubs.select(F.col("id").alias("label_id"), F.col("name").alias("label"))
-    if "short_name" in clubs.columns:
-        labels = labels.unionByName(clubs.select(F.col("id").alias("label_id"), F.col("short_name").alias("label")))
-    nicknames = F.create_map(*[F.lit(x) for pair in text.CLUB_ALIASES.items() for x in pair])
-    known = clubs.sparkSession.range(1).select(F.explode(nicknames).alias("nick", "full"))
-    aliases = labels.join(F.broadcast(known), text.normalise(F.col("label")) == text.normalise(F.col("full")))  # 16 rows
-    found = _mentioned(signals, labels.unionByName(aliases.select("label_id", F.col("nick").alias("label"))))
+    found = _mentioned(signals, club_labels(clubs).select(F.col("id").alias("label_id"), "label"))
     return found.groupBy("id", F.col("label_id").alias("club_id")).agg(F.min("at").alias("at"), F.max("score").alias("score"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
 from tidewire.operators import evidence as ev
-from tidewire.operators import forecast, mentions, outcomes, serving
+from tidewire.operators import enrichment, explain, forecast, mentions, outcomes, serving
 from tidewire.plans.domain import NOW, ctes, view
 from tidewire.sources import io
 
@@ -326,3 +326,63 @@ def reconciled_catalog(spark, d):
     old = c.where("id % 3 = 0 or id % 3 = 1 and id % 5 <> 0").select("id", F.when(F.col("id") % 3 == 0, key).alias("external_id"), F.replace("n", F.lit("#"), F.lit(".")).alias("name"), "contract_end")
     new = c.select(key.alias("external_id"), F.replace("n", F.lit("#"), F.lit(" ")).alias("name"), "contract_end")
     return mentions.reconcile_catalog(old, new, text.normalise_club_name).select("action", "id", "external_id", "name")
+
+
+_SUMMED = f"""{ctes("claims", "evidence")}, e AS (SELECT claim_id, count(DISTINCT id) AS n, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS') AS yes, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'DENIES') AS no,
+ arg_min(id, (published_at, id)) FILTER (direction = 'CONTRADICTS') AS against, min(id) AS strongest FROM evidence GROUP BY 1),
+ s AS (SELECT c.*, coalesce(n, 0) AS n, yes, no, against, strongest, (epoch_ms({NOW}) - epoch_ms(last_evidence_at)) / 86400000.0 AS quiet FROM claims c LEFT JOIN e ON e.claim_id = c.id)"""
+
+
+@query(f"""{_SUMMED} SELECT id AS claim_id, 'official confirmation' AS factor, 'positive' AS direction, 1.0::DOUBLE AS magnitude, yes AS evidence_id FROM s WHERE yes IS NOT NULL
+ UNION ALL SELECT id, 'official denial', 'negative', 1.0, no FROM s WHERE no IS NOT NULL UNION ALL SELECT id, 'independent sources', 'positive', round(least(n / 5.0, 1.0) * 0.75, 6), strongest FROM s WHERE n >= 2
+ UNION ALL SELECT id, 'no evidence', 'negative', 0.5, NULL FROM s WHERE n = 0 UNION ALL SELECT id, 'conflicting report', 'negative', 0.5, against FROM s WHERE against IS NOT NULL
+ UNION ALL SELECT id, 'quiet', 'negative', round(least(quiet / 60, 1.0) * 0.5, 6), NULL FROM s WHERE yes IS NULL AND no IS NULL AND quiet > 14 UNION ALL SELECT id, 'stated fee', 'positive', 0.25, NULL FROM s WHERE stated_fee IS NOT NULL""")
+def forecast_factors(spark, d):
+    return explain.forecast_factors(view(spark, d, "claims"), view(spark, d, "evidence"), F.expr(NOW)).withColumn("magnitude", F.round("magnitude", 6))
+
+
+@query(f"""{_SUMMED} SELECT id AS claim_id, 'confirmation' AS question FROM s WHERE yes IS NULL UNION ALL SELECT id, 'denial' FROM s WHERE no IS NULL UNION ALL SELECT id, 'corroboration' FROM s WHERE n < 2 UNION ALL SELECT id, 'time' FROM s WHERE window_name IS NOT NULL""")
+def open_questions(spark, d):
+    return explain.open_questions(view(spark, d, "claims"), view(spark, d, "evidence"))
+
+
+@query(f"""{ctes("claims", "evidence", "players", "clubs")}, c AS (SELECT c.id AS claim_id, player_id, from_club_id, to_club_id FROM claims c), i AS (SELECT e.* FROM evidence e JOIN c USING (claim_id))
+ SELECT claim_id, 'originated' AS kind, 'claim-' || claim_id AS source, 'player-' || player_id AS target FROM c WHERE player_id IN (SELECT id FROM players) UNION ALL SELECT claim_id, 'originated', 'claim-' || claim_id, 'club-' || from_club_id FROM c WHERE from_club_id IN (SELECT id FROM clubs)
+ UNION ALL SELECT claim_id, 'originated', 'claim-' || claim_id, 'club-' || to_club_id FROM c WHERE to_club_id IN (SELECT id FROM clubs) UNION ALL SELECT claim_id, 'originated', 'source-' || source_id, 'evidence-' || id FROM i
+ UNION ALL SELECT claim_id, CASE WHEN direction = 'DENIES' THEN 'denied' WHEN direction = 'CONFIRMS' AND source_type = 'CLUB_OFFICIAL' THEN 'confirmed' ELSE 'corroborated' END, 'evidence-' || id, 'claim-' || claim_id FROM i WHERE direction IN ('DENIES', 'CONFIRMS', 'SUPPORTS')""")
+def provenance_edges(spark, d):
+    return explain.provenance_edges(view(spark, d, "claims"), view(spark, d, "evidence"), view(spark, d, "players"), view(spark, d, "clubs"))
+
+
+@query(f"""{ctes("claims", "evidence", "sources", "players", "clubs")}, i AS (SELECT e.* FROM evidence e WHERE claim_id IN (SELECT id FROM claims))
+ SELECT id AS claim_id, 'claim-' || id AS id, 'claim' AS kind, 'Claim #' || id AS label FROM claims UNION ALL SELECT c.id, 'player-' || p.id, 'player', name FROM claims c JOIN players p ON p.id = player_id UNION ALL SELECT c.id, 'club-' || k.id, 'club', name FROM claims c JOIN clubs k ON k.id = from_club_id
+ UNION ALL SELECT c.id, 'club-' || k.id, 'club', name FROM claims c JOIN clubs k ON k.id = to_club_id UNION ALL SELECT claim_id, 'evidence-' || id, 'evidence', NULL FROM i UNION ALL SELECT claim_id, 'source-' || source_id, 'source', coalesce(name, 'Source #' || source_id) FROM (SELECT DISTINCT claim_id, source_id FROM i) LEFT JOIN sources s ON s.id = source_id""")
+def provenance_nodes(spark, d):
+    return explain.provenance_nodes(*(view(spark, d, n) for n in ("claims", "evidence", "sources", "players", "clubs")))
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, c_custkey % 6 AS k, n_name, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey)
+ SELECT id, CASE WHEN k IN (0, 1, 2) THEN 'Q' || id END AS kb_id, CAST(CASE WHEN k IN (0, 1) THEN 8 WHEN k IN (4, 5) THEN 20 ELSE 20 END AS INT) AS age, CASE WHEN k IN (0, 1, 2) THEN 'GK' ELSE 'CM' END AS position, CASE WHEN k IN (0, 1, 2) THEN n_name END AS nationality FROM p""")
+def enriched_players(spark, d):
+    # customers stand for players and for the dump: k tells which search rows and facts each has
+    c, n = io.read_table(spark, d, "customer"), io.read_table(spark, d, "nation")
+    p = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_custkey") % 6).alias("k"), "c_nationkey", F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("q"))
+    row = lambda rank, kb, label, words: F.struct(F.lit(rank).alias("rank"), kb.alias("kb_id"), label.alias("label"), F.lit(words).alias("description"))
+    other = F.concat("q", F.lit("x"))
+    rows = F.when(F.col("k") == 4, F.array(row(4, F.col("q"), F.col("name"), "football player"))).otherwise(F.array(row(1, other, F.lit("else"), "Football club"), row(2, other, F.col("name"), "river"), row(3, F.col("q"), F.col("name"), "Footballer")))
+    found = p.where("k <> 5").select("name", F.explode(rows).alias("r")).select("name", "r.*")
+    entities = p.select(F.col("q").alias("kb_id"), F.array(F.when(F.col("k") == 3, "Q1").otherwise(enrichment.FOOTBALLER)).alias("occupations"), F.when(F.col("k") < 2, "+1990-01-01T00:00:00Z").alias("born"), F.lit("Q200479").alias("position"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("nationality"))
+    labels = n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("kb_id"), F.col("n_name").alias("label"))
+    none = F.lit(None)
+    players = p.select("id", "name", F.lit(20).alias("age"), F.lit("CM").alias("position"), none.cast("string").alias("nationality"), none.cast("string").alias("kb_id"), none.cast("timestamp").alias("enriched_at"))
+    return enrichment.enrich_players(players, found, entities, labels, F.expr(NOW)).select("id", "kb_id", "age", "position", "nationality")
+
+
+@query()
+def forest_likelihood(spark, d):
+    features = forecast.likelihood_features(view(spark, d, "rumours"), view(spark, d, "sources"), view(spark, d, "players"))
+    try:
+        model = forecast.train_likelihood(features)[0]
+    except ValueError:  # too few resolved rumours: the heuristic score
+        model = None
+    return forecast.score_likelihood(features, model).select("rumour_id", "score")
