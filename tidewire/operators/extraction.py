@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tidewire.functions import text
 from tidewire.operators import mentions
+from tidewire.sources.io import materialise
 
 # Shapes of names, and the four phrases around a name.
 NAME_WORD = r"\p{Lu}[\p{L}'-]+"
@@ -201,7 +202,8 @@ def extract_known(signals: DataFrame, players: DataFrame, clubs: DataFrame) -> D
     last = F.length(F.element_at(F.split("label", " "), -1))
     at = found.join(bodies, F.col("id") == F.col("_s")).withColumn("clause", clause_around(F.col("_t"), F.col("position"), last))
     clauses = at.groupBy(F.struct("id", "player_id").alias("id")).agg(F.max("score").alias("player_score"), F.min_by("clause", "label").alias("text"))
-    named = mentions.club_labels_in(clauses.select("id", "text"), clubs)
+    clauses = materialise(clauses, "clauses")
+    named = materialise(mentions.club_labels_in(clauses.select("id", "text"), clubs), "clause-clubs")
     several = named.groupBy(F.col("id").alias("_m")).agg(F.count_distinct("club").alias("n")).where("n > 1")
     named = named.join(several, F.col("id") == F.col("_m"), "left_semi")
     moves = resolve_directions(clauses.select("id", "text"), named)
@@ -220,6 +222,7 @@ def new_names(signals: DataFrame, matched: DataFrame, players: DataFrame, clubs:
     signals: id, headline. matched: id, player_name.
     """
     told = signals.dropDuplicates(["id"]).select("id", F.explode(candidate_names(F.col("headline"))).alias("c")).select("id", "c.name", "c.confidence").where(F.col("confidence") >= NEW_NAME)
+    told = materialise(told, "candidate-names")
     names = told.select("name").distinct()
     labels = mentions.club_labels(clubs).select("label").distinct()
     # Matched players are in the catalogue, so the bound of 0.70 covers theirs of 0.80 too.
@@ -234,11 +237,12 @@ def extract_new(signals: DataFrame, matched: DataFrame, players: DataFrame, club
 
     Where a headline names fewer than two known clubs, texts with a club's shape that resemble none (0.70) stand for new clubs.
     """
-    fresh = new_names(signals, matched, players, clubs)
+    fresh = materialise(new_names(signals, matched, players, clubs), "new-names")
     heads = signals.dropDuplicates(["id"]).join(fresh.select(F.col("id").alias("_f")).distinct(), F.col("id") == F.col("_f"), "left_semi").select("id", F.col("headline").alias("text"))
-    named = mentions.club_labels_in(heads, clubs)
+    named = materialise(mentions.club_labels_in(heads, clubs), "headline-clubs")
     enough = named.groupBy(F.col("id").alias("_e")).agg(F.count_distinct("club").alias("n")).where("n > 1")
     shaped = heads.join(enough, F.col("id") == F.col("_e"), "left_anti").select("id", F.explode(club_candidates(F.col("text"))).alias("name"))
+    shaped = materialise(shaped, "shaped-clubs")
     close = similar_names(shaped.select("name").distinct(), mentions.club_labels(clubs).select("label").distinct(), NEW_CLUB)
     new = shaped.join(close.select("name").distinct(), "name", "left_anti")
     found = named.unionByName(new.select("id", F.struct(F.lit(None).cast(clubs.schema["id"].dataType).alias("id"), F.col("name")).alias("club"), F.col("name").alias("label"), F.lit(0.90).alias("score")))
@@ -255,6 +259,6 @@ def extract_rumours(signals: DataFrame, players: DataFrame, clubs: DataFrame) ->
     summaries are empty. Clubs are found by whole words; of inexact spellings only those of new names and clubs are weighed.
     """
     rows = signals.select("id", F.coalesce("headline", F.lit("")).alias("headline"), F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.coalesce("summary", F.lit(""))).alias("text"))
-    known = extract_known(rows.select("id", "text"), players, clubs)
+    known = materialise(extract_known(rows.select("id", "text"), players, clubs), "known-moves")
     both = known.unionByName(extract_new(rows.select("id", "headline"), known, players, clubs))
     return both.select("id", "player_id", "player_name", F.col("from_club.id").alias("from_club_id"), F.col("from_club.name").alias("from_club"), F.col("to_club.id").alias("to_club_id"), F.col("to_club.name").alias("to_club"), "from_inferred", "confidence", "auto_created")

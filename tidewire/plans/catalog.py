@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
 from tidewire.operators import evidence as ev
-from tidewire.operators import enrichment, explain, forecast, mentions, outcomes, serving
+from tidewire.operators import enrichment, explain, extraction, forecast, mentions, outcomes, serving
 from tidewire.plans.domain import NOW, ctes, view
 from tidewire.sources import io
 
@@ -386,3 +386,18 @@ def forest_likelihood(spark, d):
     except ValueError:  # too few resolved rumours: the heuristic score
         model = None
     return forecast.score_likelihood(features, model).select("rumour_id", "score")
+
+
+_MOVE = """SELECT o_orderkey AS id, replace(c_name, '#', '') AS player, replace(a.s_name, '#', '') AS club_a, replace(b.s_name, '#', '') AS club_b
+ FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} a ON a.s_suppkey = o_orderkey % 10 + 1 JOIN {supplier} b ON b.s_suppkey = o_orderkey % 7 + 1"""
+_TOLD_MOVE = f"""SELECT id, CASE id % 5 WHEN 0 THEN concat(player, ' joins ', club_a, ' deal from ', club_b) WHEN 1 THEN concat(player, ' transfer: leaves ', club_b, ' for ', club_a)
+ WHEN 2 THEN concat(player, ' linked with ', club_a, ' and ', club_b) WHEN 3 THEN concat(player, ' signs for ', club_a, ', ', club_b, ' news') ELSE concat(club_b, ' man ', player, ' moves to ', club_a) END AS headline, '' AS summary FROM ({_MOVE})"""
+
+
+@query(f"WITH m AS ({_MOVE.format(orders='orders', customer='customer', supplier='supplier')}) SELECT id, player, club_b AS from_club, club_a AS to_club, id % 5 = 4 AS from_inferred, round(0.92, 6)::DOUBLE AS confidence FROM m WHERE id % 5 IN (0, 1, 4) AND club_a <> club_b")
+def extracted_moves(spark, d):
+    # orders tell of moves: customers are players, suppliers are clubs
+    bases = {b: io.read_table(spark, d, b) for b in ("orders", "customer", "supplier")}
+    plain = lambda b, key, name: bases[b].select(F.col(key).alias("id"), F.replace(name, F.lit("#"), F.lit("")).alias("name"))
+    found = extraction.extract_rumours(spark.sql(_TOLD_MOVE, **bases), plain("customer", "c_custkey", "c_name"), plain("supplier", "s_suppkey", "s_name"))
+    return found.select("id", F.col("player_name").alias("player"), "from_club", "to_club", "from_inferred", F.round("confidence", 6).alias("confidence"))
