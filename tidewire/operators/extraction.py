@@ -164,10 +164,11 @@ def resolve_directions(texts: DataFrame, clubs: DataFrame) -> DataFrame:
 
 
 def similar_names(names: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """(name, known, score): pairs of a name and a known label with a similarity (T3) from `least`, over 0.5.
+    """(name, known, score): pairs of a name and a known label with a similarity (T3) from `least`, which is 0.65 or more.
 
     Labels that hold one another meet on word n-grams. Spellings within the edits that `least` allows share at least
-    (2 least - 1) n - 1 pairs of letters, hence one of the rarest of either; so they meet on these and are verified.
+    (2 least - 1) n - 1 pairs of letters, hence one of the rarest of either; so they meet on these and are verified. Up to three letters they may share no pair, but
+    share a letter.
     """
     a = names.select("name", F.array_join(mentions._words(F.col("name")), " ").alias("x")).where("x <> ''").distinct()
     b = known.select(F.col("label").alias("known"), F.array_join(mentions._words(F.col("label")), " ").alias("y")).where("y <> ''").distinct()
@@ -182,13 +183,17 @@ def similar_names(names: DataFrame, known: DataFrame, least: float) -> DataFrame
 
     def rare(grams: DataFrame) -> DataFrame:
         n = F.length("s")
-        needed = F.greatest(F.lit(1), F.ceil((2 * least - 1) * n - 1))
+        needed = F.greatest(F.lit(1), F.ceil((2 * least - 1) * n - 1 - 1e-9))
         ranked = grams.join(often, F.col("g") == F.col("_g"), "left").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.coalesce("df", F.lit(0)), "g")))
         return ranked.where(F.col("r") <= n - 1 - needed + 1).select("s", "g")
 
+    def short(rows: DataFrame, c: str) -> DataFrame:
+        return rows.select(F.col(c).alias("s")).where(F.length("s") <= 3).distinct().select("s", F.explode(F.array_distinct(F.split("s", ""))).alias("g")).where("g <> ''")
+
+    brief = short(a, "x").withColumnRenamed("s", "x").join(short(b, "y").withColumnRenamed("s", "y"), "g").select("x", "y")
     left, right = rare(of_a).select(F.col("s").alias("x"), "g"), rare(of_b).select(F.col("s").alias("y"), "g")
     fits = (F.length("x") >= F.ceil(F.length("y") * least)) & (F.length("y") >= F.ceil(F.length("x") * least))
-    spelt = left.join(right, "g").where(fits).select("x", "y").distinct()
+    spelt = left.join(right, "g").where(fits).select("x", "y").unionByName(brief).distinct()
     held = mentions._mentioned(a.select(F.col("x").alias("id"), F.col("x").alias("text")), b.select(F.col("y").alias("label_id"), F.col("y").alias("label"))).select(F.col("id").alias("x"), F.col("label_id").alias("y"))
     holds = mentions._mentioned(b.select(F.col("y").alias("id"), F.col("y").alias("text")), a.select(F.col("x").alias("label_id"), F.col("x").alias("label"))).select(F.col("label_id").alias("x"), F.col("id").alias("y"))
     scored = spelt.unionByName(held).unionByName(holds).distinct().withColumn("score", text.name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= least)
