@@ -1,0 +1,36 @@
+"""Keyed streams against their batch twins."""
+
+from datetime import datetime, timedelta
+
+from tidewire.operators import evidence, outcomes
+from tidewire.streaming import jobs
+
+T0 = datetime(2025, 1, 1)
+
+
+def test_rate_limits_equal_batch(spark, tmp_path):
+    kind = "id long, api_key_id long, created_at timestamp"
+    rows = [(i, i % 2, T0 + timedelta(seconds=7 * i)) for i in range(40)]
+    for k in range(2):
+        spark.createDataFrame(rows[k * 20 : k * 20 + 20], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.stream_rate_limits(stream, 3, 60).writeStream.outputMode("append").format("memory").queryName("limits").start()
+    q.processAllAvailable()
+    q.stop()
+    cols = ["id", "api_key_id", "window_start", "n", "allowed", "remaining"]
+    want = outcomes.rate_limit_audit(spark.createDataFrame(rows, kind), 3, 60)
+    assert {tuple(r) for r in spark.table("limits").select(cols).collect()} == {tuple(r) for r in want.select(cols).collect()}
+
+
+def test_evidence_keeps_first_content(spark, tmp_path):
+    kind = "id long, canonical_url string, claim_id long, fetched_at timestamp, title string"
+    rows = [(1, "u", 1, T0, "first"), (2, "u", 1, T0 + timedelta(1), "later"), (3, "u", 2, T0, "other claim"), (4, "v", 1, T0, "new"), (5, "v", 1, T0 + timedelta(2), "again")]
+    for part in (rows[:2], rows[2:4], rows[4:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.stream_evidence(stream, str(tmp_path / "stored"), str(tmp_path / "state"))
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.canonical_url, r.claim_id): r.title for r in spark.read.parquet(str(tmp_path / "stored")).collect()}
+    one = spark.createDataFrame(rows, kind)
+    assert set(got) == {(r.canonical_url, r.claim_id) for r in evidence.ingest_evidence(one, one.limit(0)).collect()} and len(got) == spark.read.parquet(str(tmp_path / "stored")).count() == 3

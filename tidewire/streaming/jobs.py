@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from tidewire.operators.evidence import ingest_evidence
 from tidewire.sources import io
 
 
@@ -52,3 +54,55 @@ def stream_assign_rumours(reports: DataFrame, days: int = 7) -> DataFrame:
 
     rows = reports.select("id", "player_id", "from_club_id", "to_club_id", "rumour_date").withWatermark("rumour_date", "1 day")
     return rows.groupBy("player_id", "from_club_id", "to_club_id").applyInPandasWithState(fold, "id long, player_id long, from_club_id long, to_club_id long, rumour_date timestamp, anchor timestamp", "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_rate_limits(usage: DataFrame, limit: int, seconds: int) -> DataFrame:
+    """Requests with their place in the key's window, which starts at its first request, as keyed state (ST6).
+
+    The state of a key is the start of its window and a count; it goes once the window is over. Requests of a micro-batch are taken
+    in order of time and id.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    width = pd.Timedelta(seconds=seconds)
+
+    def count(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, n = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else (None, 0)
+        rows = pd.concat(list(frames)).sort_values(["created_at", "id"])
+        starts, places = [], []
+        for at in rows["created_at"]:
+            if start is None or at >= start + width:
+                start, n = at, 0
+            n += 1
+            starts.append(start)
+            places.append(n)
+        state.update((int(start.value // 1000), n))
+        state.setTimeoutTimestamp(max(int((start + width).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        rows = rows.assign(window_start=starts, n=places)
+        yield rows.assign(allowed=rows["n"] <= limit, remaining=(limit - rows["n"]).clip(lower=0))[["id", "api_key_id", "created_at", "window_start", "n", "allowed", "remaining"]]
+
+    rows = usage.select("id", "api_key_id", "created_at").withWatermark("created_at", f"{seconds} seconds")
+    return rows.groupBy("api_key_id").applyInPandasWithState(count, "id long, api_key_id long, created_at timestamp, window_start timestamp, n long, allowed boolean, remaining long", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_evidence(items: DataFrame, stored: str, checkpoint: str):
+    """Starts a query that stores the items of each micro-batch that are new, one per (url, claim), the first content winning (ST7).
+
+    Every batch writes a folder of its own under `stored` and overwrites it when it is run again after a failure, so a lost driver
+    leaves no item twice. Parents, roots and near copies follow from the stored table by the batch operators.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = StructType([*batch.schema.fields, StructField("batch", LongType())])
+        before = spark.read.schema(schema).option("ignoreMissingFiles", True).parquet(stored).where(F.col("batch") < number)
+        ingest_evidence(batch, before).write.mode("overwrite").parquet(f"{stored}/batch={number}")
+
+    spark = items.sparkSession
+    # An empty first folder, so that there is a table to read.
+    spark.createDataFrame([], items.schema).write.mode("overwrite").parquet(f"{stored}/batch=-1")
+    return items.writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep).start()
