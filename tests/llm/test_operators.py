@@ -172,6 +172,21 @@ def test_packing(spark, texts):
     assert 1 + max(b + -(-n // k) - 1 for _, _, n, b, k, _ in plan(dict(sizes), 64)) == len(gaps)
 
 
+def test_packing_ids_over_unicode_spaces(spark):
+    from tokenizers import Tokenizer
+
+    from tidewire.llm.packing import pack_documents
+    from tidewire.llm.queries import tokenizer_path
+
+    random.seed(9)
+    parts = [" ", " ", "\u00a0", "\u00a0", "\u2003", "\u3000", "\u202f", "\u0085", "\u2028", "\t", "\n", "one", "two", "é", "7", "'s", "…", "\u200b", "\u1c1d", "\u001d"]
+    rows = [(0, "one \u00a0 \u00a0 two"), (1, "one \u00a0two \u00a0 "), (2, "  one  two \n x ")] + [(10 + i, "".join(random.choices(parts, k=40))) for i in range(400)]
+    tok = Tokenizer.from_file(tokenizer_path())
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in pack_documents(documents(spark, rows), tokenizer_path()).collect()}
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
+    assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want.items()}
+
+
 def test_lm_score(spark, texts):
     from tidewire.llm.lm_score import score_documents
 

@@ -5,13 +5,14 @@ how many there are of each size: two histograms of at most `capacity` entries, c
 round takes the largest documents left, sweeps the sorted gaps for the successor of their size, fills
 the smallest fitting gaps, updates those gaps and repeats; what a round does to a whole class at once is one row of
 the plan: documents with ranks r..r+n of size s go to bins b.. at an offset, k in each bin. Equal sizes compete for
-a gap by rank. The plan's length depends on the capacity alone, not on the corpus. Ranks are counted within
+a gap by rank. The plan is a loop in the driver over these histograms; its length depends on the capacity alone, not on the corpus. Ranks are counted within
 (size, slice) and joined to the plan, so no task sees all documents.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ CAPACITY = 2048
 RANK_SLICES = 16
 #: Words kept in a worker's cache of encoded words.
 CACHE = 150_000
+#: White space after a space, and the spaces before which a text is cut. Python's \s holds all of Unicode's White_Space.
+RUN, CUT = re.compile(r" \s"), re.compile(r" (?=\S)")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -68,9 +71,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """Pieces of at most `capacity` tokens: doc_id, row, piece, start, length, ids_crc32. The first may be shorter.
 
-    `tokenizer` is a byte-level BPE file (.json) with its ranks beside it (.tiktoken). A text is cut before single spaces,
-    where no token of this pattern can span, and the words' ids are kept in a bounded cache. Texts with runs of
-    spaces or with special tokens in them are encoded whole.
+    `tokenizer` is a byte-level BPE file (.json) with its ranks beside it (.tiktoken). A text is cut before spaces that no
+    white space follows, in the Unicode sense: there the pattern always begins a token, while a run of white space, such as
+    space and no-break space, may be one. The words' ids are kept in a bounded cache. Texts with special tokens in
+    them are encoded whole.
     """
 
     def run(batches):
@@ -98,11 +102,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
                     whole.append(Tokenizer.from_file(tokenizer))
                 return pack(whole[0].encode(text, add_special_tokens=False).ids)
-            if "  " in text:
-                return pack(bpe.encode_ordinary(text))
             if len(cache) > CACHE:
                 cache.clear()
-            first, *rest = text.split(" ")
+            first, *rest = CUT.split(text) if RUN.search(text) else text.split(" ")
             out = [pack(bpe.encode_ordinary(first))]
             for word in rest:
                 ids = cache.get(word)
