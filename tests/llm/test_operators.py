@@ -251,6 +251,28 @@ def test_html(spark):
     assert got == {1: "Head & line\nFirst paragraph, with bold text.\nSecond one… here. Same block.", 2: "", 3: "", 4: "plain text < only", 5: "unclosed tags, here"}
 
 
+def test_html_keeps_the_whole_article():
+    from tidewire.llm.html_extract import main_text
+
+    prose = "<p>" + "Some words, in a row. " * 3 + "and more words without any mark " * 11 + "</p>"
+    items = "".join(f"<li>{'list item without marks ' * 2}{i}</li>" for i in range(6))
+    table = "<table><tr><th>Name</th><td>12</td></tr><tr><th>Other</th><td>13</td></tr></table>"
+    figure = "<figure><img src=x><figcaption>A caption of a picture</figcaption></figure>"
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Read more {i}</a></li>" for i in range(5)) + "</ul>"
+    body = f"{prose * 3}<ul>{items}</ul>{prose}{table}{figure}{prose}<ol><li><a href=/s>Source of it</a></li></ol>"
+    short = ["Headline of it", "list item without marks list item without marks 5", "Name", "12", "Other", "13", "A caption of a picture"]
+
+    def lines(page):
+        return main_text(f"<html><body><nav>{links}</nav>{page}<footer>Imprint</footer></body></html>").split("\n")
+
+    got = lines(f"{links}<article><header><h1>Headline of it</h1></header>{body}</article>{links}")
+    assert len(got) == 5 + 6 + 4 + 1 + 1 + 1 and {*short, "Source of it"} <= set(got) and got[0] == "Headline of it"
+    # without an article element: a wrapper of mostly strong text, its headline outside the inner container; link lists stay out
+    for page in (f"<div><h1>Headline of it</h1><div>{body}</div></div><div>{links}</div>", f"<main><div><h1>Headline of it</h1></div>{body}</main>{links}", f"<h1>Headline of it</h1>{body}{links}"):
+        got = lines(page)
+        assert set(short) <= set(got) and "Read more 0" not in got and "Imprint" not in got and len(got) == len(set(got)) + 4
+
+
 def test_permutation_index(spark):
     from tidewire.llm.permutation_index import search
 

@@ -1,9 +1,11 @@
 """HTML extraction by tag-path ratios.
 
 A page is cut into blocks, each with its root-to-leaf path of block elements. Text length, punctuation and link text
-are added up per path; a path's text ratio and punctuation ratio are smoothed over the paths in its container, fused,
-and paths under a share of the page's best are dropped. What markup itself names as chrome (navigation, footers, asides,
-forms, adverts, comments, notices) is never content.
+are added up per path; a path's text ratio and punctuation ratio are smoothed over the paths in its container and fused. Paths from
+a share of the page's best on are strong, and choose content subtrees: the article around a strong block, or else its
+container and the elements around that of whose text strong blocks make up half. Short blocks in a subtree (lists,
+tables, captions, headlines) are content as it is; outside articles, links in lists of links or in the body are not. What markup
+itself names as chrome (navigation, footers, asides, forms, adverts, comments, notices) is never content.
 """
 
 from __future__ import annotations
@@ -41,16 +43,20 @@ def is_chrome(tag: str, attributes: str, inside: list[str]) -> bool:
 
 
 def blocks(page: str):
-    """(path, container, text, linked characters) of the page's text blocks outside chrome, in order."""
-    stack: list[tuple[str, bool]] = []
-    out, parts, linked, at, anchors = [], [], 0, 0, 0
+    """(path, container, text, linked characters, elements) of the page's text blocks outside chrome, in order.
+
+    Elements are those around the text, outermost first, each with its number on the page: (tag, number).
+    """
+    stack: list[tuple[str, bool, int]] = []
+    out, parts, linked, at, anchors, number = [], [], 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text and not (stack and stack[-1][1]):
-            tags = [t for t, _ in stack if t in BLOCKS]
-            out.append(("/".join(tags), "/".join(tags[:-1]), text, min(linked, len(text))))
+            around = tuple((t, k) for t, _, k in stack if t in BLOCKS)
+            tags = [t for t, _ in around]
+            out.append(("/".join(tags), "/".join(tags[:-1]), text, min(linked, len(text)), around))
         parts.clear()
         linked = 0
 
@@ -76,7 +82,7 @@ def blocks(page: str):
         if tag == "a":
             anchors = 0 if closing else 1
         if closing:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, _, _ in stack):
                 if tag in BLOCKS:
                     flush()
                 while stack and (t := stack[-1][0]) != tag:
@@ -101,24 +107,54 @@ def blocks(page: str):
                     break
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             if tag in BLOCKS or tag in SKIPPED or CHROME.search(m[4]):
-                stack.append((tag, bool(stack and stack[-1][1]) or is_chrome(tag, m[4], [t for t, _ in stack])))
+                number += 1
+                stack.append((tag, bool(stack and stack[-1][1]) or is_chrome(tag, m[4], [t for t, _, _ in stack]), number))
     flush()
     return out
 
 
+def sizes(found, strong: set[str]) -> dict[int, list[int]]:
+    """Characters in each element: all, on strong paths, linked."""
+    size: dict[int, list[int]] = {}
+    for path, _, text, linked, around in found:
+        for _, k in around:
+            own = size.setdefault(k, [0, 0, 0])
+            own[0] += len(text)
+            own[1] += len(text) if path in strong else 0
+            own[2] += linked
+    return size
+
+
+def subtrees(found, strong: set[str], size: dict[int, list[int]]) -> set[int]:
+    """Numbers of the elements that are content as a whole, chosen by the blocks on strong paths."""
+    chosen = set()
+    for path, _, _, _, around in found:
+        if path not in strong:
+            continue
+        article = next((k for tag, k in around if tag == "article"), None)
+        if article is not None:
+            chosen.add(article)
+            continue
+        for up, (_, k) in enumerate(reversed(around)):
+            if up > 1 and 2 * size[k][1] < size[k][0]:
+                break
+            chosen.add(k)
+    return chosen
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
     if not found:
         return ""
     paths: dict[str, list[float]] = {}
-    for path, _, text, linked in found:
+    for path, _, text, linked, _ in found:
         own = paths.setdefault(path, [0.0, 0.0, 0.0])
         own[0] += len(text) - linked
         own[1] += len(PUNCTUATION.findall(text))
         own[2] += 1
     ratio = {p: ((text / n), (marks + 1) / n) for p, (text, marks, n) in paths.items()}
     inside: dict[str, list[str]] = {}
-    for path, container, _, _ in found:
+    for path, container, _, _, _ in found:
         if path not in inside.setdefault(container, []):
             inside[container].append(path)
     fused = {}
@@ -128,7 +164,22 @@ def main_text(page: str) -> str:
         for p in members:
             fused[p] = (ratio[p][0] + text) / 2 * (ratio[p][1] + marks) / 2
     best = max(fused.values())
-    return "\n".join(text for path, _, text, _ in found if fused[path] >= SHARE * best)
+    strong = {p for p in fused if fused[p] >= SHARE * best}
+    if len(strong) == len(fused):
+        return "\n".join(text for _, _, text, _, _ in found)
+    size = sizes(found, strong)
+    chosen = subtrees(found, strong, size)
+
+    def kept(path: str, text: str, linked: int, around) -> bool:
+        if path in strong:
+            return True
+        held = [tag for tag, k in around if k in chosen]
+        if not held or "article" in held or 2 * linked < len(text):
+            return bool(held)
+        parent, k = around[-2] if len(around) > 1 else around[-1]
+        return parent != "body" and 2 * size[k][2] < size[k][0]
+
+    return "\n".join(text for path, _, text, linked, around in found if kept(path, text, linked, around))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
