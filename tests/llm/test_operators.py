@@ -131,6 +131,15 @@ def test_line_dedup(spark):
     assert dedup_lines(documents(spark, []).limit(0)).count() == 0
 
 
+def test_line_dedup_with_null_and_repeated_ids(spark):
+    from tidewire.llm.line_dedup import dedup_lines
+
+    rows = [(1, "shared line\nmine alone"), (2, "own one\nshared line\nown two"), (2, "first of all\nsecond of all\nown one"), (2, "own one\nlast"), (None, "a null\nalso null"), (None, "also null\nnull again"), (3, None), (3, "")]
+    got = Counter((r.doc_id, r.text, r._n_dropped) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    want = [(1, "shared line\nmine alone", 0), (2, "own one\nown two", 1), (2, "first of all\nsecond of all", 1), (2, "last", 1), (None, "a null\nalso null", 0), (None, "null again", 1), (3, None, 0), (3, "", 0)]
+    assert got == Counter(want)
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
