@@ -282,6 +282,66 @@ def test_html_keeps_the_whole_article():
         assert set(short) <= set(got) and "Read more 0" not in got and "Imprint" not in got and len(got) == len(set(got)) + 4
 
 
+def test_html_attributes_are_parsed():
+    from tidewire.llm.html_extract import main_text
+
+    article = "<h1>Head of it</h1>" + "".join(f"<p>Some words, in a row, that make sentence {i}. And another one; here.</p>" for i in range(4))
+    wrappers = ['<div style="overflow:hidden">%s</div>', '<div data-hidden="false">%s</div>', '<div data-id="menu">%s</div>', '<div class="page no-sidebar">%s</div>', '<div class="content share">%s</div>', '<div class="related-work">%s</div>', "<div title=don't>%s</div>", '<div title="a > b">%s</div>']
+    for wrapper in wrappers:
+        for body in (f"<article>{article}</article>", f"<div>{article}</div>"):
+            got = main_text(f"<html><body><nav><a href=x>Menu</a></nav>{wrapper % body}<div>Buy it.</div></body></html>").split("\n")
+            assert len(got) == 5 and got[0] == "Head of it", wrapper
+    for gone in ("hidden", 'hidden=""', 'aria-hidden="true"', 'style="display: none"', 'role="navigation"'):
+        assert "Never" not in main_text(f"<body><article>{article}</article><div {gone}><p>Never shown, at all. {article}</p></div></body>")
+    assert main_text("<p>a &lt;b&gt; c <b title='x y'>d <b titl") == "a <b> c d"
+
+
+def test_html_ratios_by_hand_and_on_pages(spark):
+    from html.parser import HTMLParser
+
+    import duckdb
+
+    from tidewire.llm.html_extract import LOWERED, PUNCTUATION, RAISED, blocks, main_blocks, ratios
+
+    class Paths(HTMLParser):
+        """Sums by path for well-formed pages of div, article, h1, p and a."""
+
+        def __init__(self):
+            super().__init__()
+            self.open, self.sums = [], defaultdict(lambda: [0, 1e-9, 0])
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append((tag, dict(attrs).get("class")))
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            own = self.sums[tuple(e for e in self.open if e[0] != "a")]
+            own[2 if self.open[-1][0] == "a" else 0] += len(data)
+            own[1] += len(PUNCTUATION.findall(data)) + (self.open[-1][0] != "a")
+
+    page = '<body><div class="ad"><p>Buy, now!</p></div><article><h1>A head</h1><p>One, two. Three.</p><p>Four five.</p><div><p>Six.</p></div></article><div><a>Link to it</a></div></body>'
+    parser = Paths()
+    parser.feed(page)
+    want = {}
+    for path, (plain, marks, linked) in parser.sums.items():
+        beside = [v for p, v in parser.sums.items() if p[:-1] == path[:-1]]
+        text = (plain + sum(v[0] for v in beside) / len(beside)) / 2
+        point = (max(1, round(marks)) + sum(max(1, round(v[1])) for v in beside) / len(beside)) / 2
+        weight = (RAISED if ("article", None) in path else 1) * (LOWERED if ("div", "ad") in path else 1)
+        want["/".join(t if c is None else f"{t}.{c}" for t, c in path)] = weight * plain / (plain + linked) * math.sqrt(text * point)
+    assert ratios(blocks(page)) == pytest.approx(want)
+    # On the given pages the ratios alone, without hints, drop the adverts and keep what stands in the article.
+    removed = 0
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall():
+        found = main_blocks(page, hints=False)
+        removed += sum(not kept for _, kept in found)
+        article = re.search(r"(?s)<article>(.*?)(?:</article>|<footer>|$)", page)[1]
+        assert len(article) < 600 or [kept for _, kept in found] == [False] + [True] * (len(found) - 1)
+    assert removed > 0
+
+
 def test_permutation_index(spark):
     from tidewire.llm.permutation_index import search
 

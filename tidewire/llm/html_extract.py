@@ -1,62 +1,81 @@
 """HTML extraction by tag-path ratios.
 
-A page is cut into blocks, each with its root-to-leaf path of block elements. Text length, punctuation and link text
-are added up per path; a path's text ratio and punctuation ratio are smoothed over the paths in its container and fused. Paths from
-a share of the page's best on are strong, and choose content subtrees: the article around a strong block, or else its
-container and the elements around that of whose text strong blocks make up half. Short blocks in a subtree (lists,
-tables, captions, headlines) are content as it is; outside articles, links in lists of links or in the body are not. What markup
-itself names as chrome (navigation, footers, asides, forms, adverts, comments, notices) is never content.
+A page is cut into blocks, each with its root-to-leaf path of block elements (element names with their first class). Per path, plain
+text, linked text, punctuation and blocks are added up. The text ratio (plain characters) and the punctuation ratio
+of a path are smoothed with the mean over the paths in its container and fused to their geometric mean, times the share of the text that is not linked. Two
+hints of the markup weigh on the fused value, and never decide alone: `article` and `main` raise it, a class or id that
+names chrome lowers it, unless the element holds half of the page's text (of that in `article` or `main`, if there is any). Both are relative to the page's own best.
+The threshold is the split of the page's own values (logarithms, Otsu's), but at most SHARE of the best.
+
+Paths from the threshold on are strong and choose content subtrees: the article around a strong block, or else its container and
+the elements around that of whose text strong blocks make up half. A weak block in a subtree is content if strong blocks stand beside it in its
+container, or if it is a heading, list item, table cell, caption or the like; outside articles, links in lists of links or in the body are not.
+Only elements that HTML itself sets apart (scripts, styles, forms, nav, footer, aside, page header, ARIA landmarks, hidden elements) are cut by name.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Element and class names of HTML.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SKIPPED = frozenset("aside button canvas dialog footer form head iframe input label menu nav noscript object option select svg template textarea".split())
-RAW = frozenset("script style textarea title noscript template iframe svg noembed noframes xmp".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Element, role and class names of HTML.
+BLOCKS = frozenset(("address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
+SKIPPED = frozenset(("aside", "button", "canvas", "dialog", "footer", "form", "head", "iframe", "input", "label", "menu", "nav", "noscript", "object", "option", "select", "svg", "template", "textarea"))
+RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "noembed", "noframes", "xmp"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+SHORT = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "caption", "figcaption", "summary", "blockquote", "pre", "address"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-CHROME = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|comment\w*|cookies?|consent|disqus|dropdown|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination|paywall|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|side-bar|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|topbar|widget|alert)(?:$|[\s_-])", re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"))
+HINTS = frozenset(("ad", "ads", "advert", "banner", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "menu", "nav", "newsletter", "notice", "pagination", "popup", "promo", "related", "share", "sidebar", "social", "sponsored", "subscribe", "tags"))
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"'=]++|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[\"'])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
-SHARE = 0.05
+#: Most that the threshold may be, as a share of the best path; weights of the hints.
+SHARE, RAISED, LOWERED = 0.2, 4.0, 0.25
 
 
-def is_chrome(tag: str, attributes: str, inside: list[str]) -> bool:
+def attributes_of(text: str) -> dict[str, str]:
+    """Names in lower case with their values; the first of a repeated name counts, as in browsers."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), double or single or bare)
+    return found
+
+
+def set_apart(tag: str, attributes: dict[str, str], inside: list[str]) -> bool:
+    """Whether HTML itself says that an element is not part of the main text."""
     if tag in SKIPPED or (tag == "header" and not {"article", "main"} & set(inside)):
         return True
-    for name, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'")
-        name = name.lower()
-        if (name in ("class", "id") and tag not in ("html", "body", "article", "main") and CHROME.search(value)) or (name == "role" and value in ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+    return attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(attributes.get("style", "")))
+
+
+def hinted(tag: str, attributes: dict[str, str]) -> bool:
+    words = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    return tag not in ("html", "body", "article", "main") and not HINTS.isdisjoint(re.split(r"[\s_-]+", words))
 
 
 def blocks(page: str):
-    """(path, container, text, linked characters, elements) of the page's text blocks outside chrome, in order.
+    """(path, container, text, linked characters, elements, named) of the page's text blocks outside what is set apart, in order.
 
-    Elements are those around the text, outermost first, each with its number on the page: (tag, number).
+    Elements are those around the text, outermost first, each with its number on the page: (tag, number). named: numbers of those that bear a chrome name.
     """
-    stack: list[tuple[str, bool, int]] = []
+    # Open elements: tag, set apart, number, label in paths, numbers of the named ones so far.
+    stack: list[tuple[str, bool, int, str, tuple[int, ...]]] = []
     out, parts, linked, at, anchors, number = [], [], 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text and not (stack and stack[-1][1]):
-            around = tuple((t, k) for t, _, k in stack if t in BLOCKS)
-            tags = [t for t, _ in around]
-            out.append(("/".join(tags), "/".join(tags[:-1]), text, min(linked, len(text)), around))
+            around = tuple((e[0], e[2]) for e in stack if e[0] in BLOCKS)
+            labels = [e[3] for e in stack if e[0] in BLOCKS]
+            out.append(("/".join(labels), "/".join(labels[:-1]), text, min(linked, len(text)), around, stack[-1][4] if stack else ()))
         parts.clear()
         linked = 0
 
@@ -82,7 +101,7 @@ def blocks(page: str):
         if tag == "a":
             anchors = 0 if closing else 1
         if closing:
-            if any(t == tag for t, _, _ in stack):
+            if any(e[0] == tag for e in stack):
                 if tag in BLOCKS:
                     flush()
                 while stack and (t := stack[-1][0]) != tag:
@@ -106,17 +125,66 @@ def blocks(page: str):
                 if stack[k][0] in BLOCKS and stack[k][0] not in ends:
                     break
         if tag not in VOID and not m[4].rstrip().endswith("/"):
-            if tag in BLOCKS or tag in SKIPPED or CHROME.search(m[4]):
+            attributes = attributes_of(m[4]) if m[4] else {}
+            out_of = bool(stack and stack[-1][1]) or set_apart(tag, attributes, [e[0] for e in stack])
+            if tag in BLOCKS or out_of:
                 number += 1
-                stack.append((tag, bool(stack and stack[-1][1]) or is_chrome(tag, m[4], [t for t, _, _ in stack]), number))
+                first = attributes.get("class", "").split()[:1]
+                named = (stack[-1][4] if stack else ()) + ((number,) if hinted(tag, attributes) else ())
+                stack.append((tag, out_of, number, ".".join([tag, *first]), named))
     flush()
     return out
 
 
+def ratios(found, hints: bool = True) -> dict[str, float]:
+    """The fused value of every path."""
+    paths: dict[str, list[float]] = {}
+    inside: dict[str, list[str]] = {}
+    weight: dict[str, float] = {}
+    held: dict[int, int] = {}
+    body = [block for block in found if any(tag in ("article", "main") for tag, _ in block[4])] or found
+    for _, _, text, _, _, named in body:
+        for k in named:
+            held[k] = held.get(k, 0) + len(text)
+    half = sum(len(block[2]) for block in body) / 2
+    for path, container, text, linked, around, named in found:
+        if path not in paths:
+            inside.setdefault(container, []).append(path)
+        own = paths.setdefault(path, [0.0, 0.0, 0.0])
+        own[0] += len(text) - linked
+        own[1] += len(PUNCTUATION.findall(text)) + 1
+        own[2] += linked
+        raised = any(tag in ("article", "main") for tag, _ in around)
+        lowered = hints and any(held.get(k, 0) < half for k in named)
+        weight[path] = (RAISED if raised else 1.0) * (LOWERED if lowered else 1.0)
+    fused = {}
+    for members in inside.values():
+        text = sum(paths[p][0] for p in members) / len(members)
+        marks = sum(paths[p][1] for p in members) / len(members)
+        for p in members:
+            plain = paths[p][0] / max(1.0, paths[p][0] + paths[p][2])
+            fused[p] = weight[p] * plain * math.sqrt((paths[p][0] + text) / 2 * (paths[p][1] + marks) / 2)
+    return fused
+
+
+def threshold(values: list[float]) -> float:
+    """Otsu's split of the logarithms of a page's values, at most SHARE of the best."""
+    logs = sorted(math.log1p(v) for v in values)
+    best, cut, below = -1.0, logs[0], 0.0
+    whole = sum(logs)
+    for k in range(1, len(logs)):
+        below += logs[k - 1]
+        if logs[k] > logs[k - 1]:
+            apart = k * (len(logs) - k) * (below / k - (whole - below) / (len(logs) - k)) ** 2
+            if apart > best:
+                best, cut = apart, logs[k]
+    return min(math.expm1(cut), SHARE * max(values))
+
+
 def sizes(found, strong: set[str]) -> dict[int, list[int]]:
     """Characters in each element: all, on strong paths, linked."""
     size: dict[int, list[int]] = {}
-    for path, _, text, linked, around in found:
+    for path, _, text, linked, around, _ in found:
         for _, k in around:
             own = size.setdefault(k, [0, 0, 0])
             own[0] += len(text)
@@ -128,7 +196,7 @@ def sizes(found, strong: set[str]) -> dict[int, list[int]]:
 def subtrees(found, strong: set[str], size: dict[int, list[int]]) -> set[int]:
     """Numbers of the elements that are content as a whole, chosen by the blocks on strong paths."""
     chosen = set()
-    for path, _, _, _, around in found:
+    for path, _, _, _, around, _ in found:
         if path not in strong:
             continue
         article = next((k for tag, k in around if tag == "article"), None)
@@ -142,49 +210,40 @@ def subtrees(found, strong: set[str], size: dict[int, list[int]]) -> set[int]:
     return chosen
 
 
-def main_text(page: str) -> str:
+def main_blocks(page: str, hints: bool = True) -> list[tuple[str, bool]]:
+    """Text of every block outside what is set apart, in page order, and whether it is content."""
     found = blocks(page)
     if not found:
-        return ""
-    paths: dict[str, list[float]] = {}
-    for path, _, text, linked, _ in found:
-        own = paths.setdefault(path, [0.0, 0.0, 0.0])
-        own[0] += len(text) - linked
-        own[1] += len(PUNCTUATION.findall(text))
-        own[2] += 1
-    ratio = {p: ((text / n), (marks + 1) / n) for p, (text, marks, n) in paths.items()}
-    inside: dict[str, list[str]] = {}
-    for path, container, _, _, _ in found:
-        if path not in inside.setdefault(container, []):
-            inside[container].append(path)
-    fused = {}
-    for members in inside.values():
-        text = sum(ratio[p][0] for p in members) / len(members)
-        marks = sum(ratio[p][1] for p in members) / len(members)
-        for p in members:
-            fused[p] = (ratio[p][0] + text) / 2 * (ratio[p][1] + marks) / 2
-    best = max(fused.values())
-    strong = {p for p in fused if fused[p] >= SHARE * best}
-    if len(strong) == len(fused):
-        return "\n".join(text for _, _, text, _, _ in found)
+        return []
+    fused = ratios(found, hints)
+    least = threshold(list(fused.values()))
+    strong = {p for p, v in fused.items() if v >= least}
+    beside = {container for path, container, _, _, _, _ in found if path in strong}
     size = sizes(found, strong)
     chosen = subtrees(found, strong, size)
 
-    def kept(path: str, text: str, linked: int, around) -> bool:
-        if path in strong:
+    def kept(path: str, container: str, text: str, linked: int, around) -> bool:
+        if path in strong and 2 * linked < len(text):
             return True
         held = [tag for tag, k in around if k in chosen]
-        if not held or "article" in held or 2 * linked < len(text):
-            return bool(held)
+        if not held or not (path in strong or container in beside or around[-1][0] in SHORT or 2 * linked >= len(text)):
+            return False
+        if "article" in held or 2 * linked < len(text):
+            return True
         parent, k = around[-2] if len(around) > 1 else around[-1]
         return parent != "body" and 2 * size[k][2] < size[k][0]
 
-    return "\n".join(text for path, _, text, linked, around in found if kept(path, text, linked, around))
+    return [(text, kept(path, container, text, linked, around)) for path, container, text, linked, around, _ in found]
+
+
+def main_text(page: str, hints: bool = True) -> str:
+    return "\n".join(text for text, kept in main_blocks(page, hints) if kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row. Null or empty html, or a page without content, gives an empty text;
-    rows that repeat a page are extracted each; an empty table gives an empty result."""
+    rows that repeat a page are extracted each, very long pages whole; an empty table gives an empty result. Other columns of the
+    input, whatever their names, are not read."""
     @F.pandas_udf("string")
     def extract(html: pd.Series) -> pd.Series:
         return html.map(lambda page: main_text(page) if page else "")
