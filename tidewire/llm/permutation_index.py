@@ -1,14 +1,24 @@
 """Approximate nearest neighbours with a permutation index.
 
-A vector is represented by its nearest pivots in order. It is posted in the inverted files of its first `posted`
-pivots; a query visits the files of its own first `visited` pivots, ranks what it finds by the footrule distance of
-the orders, and measures the best share exactly. Pivots are fitted on a bounded sample, all vectors are indexed. A file is
-split into shares of about `share` vectors and the queries of a pivot into blocks, so a pivot that holds a third of the vectors is
-dealt over many tasks. Each (file share, query block) returns at most k rows a query.
+A vector is represented by its nearest pivots in order (a prefix of them) and posted once, in the inverted file of its nearest
+pivot. A query visits the files of the pivots nearest to itself, ranks each file by the footrule distance of the
+orders, and measures the best share of it, with all ties of the last place, exactly.
+
+Pivots are fitted on a bounded sample and grow with the square root of the number of vectors, so files do too. How many files are visited and which
+share is measured follows from the data: for at most CALIBRATION queries the exact neighbours are found in one pass, a second
+counts how far down the footrule ranking they stand, and both numbers are set to reach RECALL. Clustered vectors visit few files;
+for vectors without structure (uniform on a sphere in 64 dimensions) no order of pivots tells near from far well, more
+than half of the files must be visited and the work grows with the product of queries and vectors.
+
+A file is split into shares of about SHARE vectors and the queries of a pivot into blocks, so a pivot that holds a third of the
+vectors is dealt over many tasks. Each (file share, query block) returns at most k rows a query.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,27 +28,28 @@ from .common import materialise, spread
 
 #: Rows from which the pivots are drawn, by a hash of the id.
 SAMPLE = 4096
-PIVOTS, PREFIX, POSTED, VISITED = 128, 64, 4, 32
+#: Pivots: PER_ROOT x the root of the number of vectors, within these bounds; length of the orders.
+PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS, PREFIX = 1.0, 64, 2048, 64
 SHARE, BLOCK = 20_000, 2_000
-#: Share of a visited file, best by footrule, that is measured exactly; and the least number.
-MEASURED, LEAST = 0.25, 400
+#: Queries whose exact neighbours set the effort, and the share of these that each of the two steps has to keep.
+CALIBRATION, RECALL = 64, 0.99
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and vector as doubles, without vectors that are null, zero, or hold null or non-finite components."""
+    """id and vector, without vectors that are null, zero, or hold null or non-finite components."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = "array<float>" if "float" in vectors.schema[vector_col].dataType.simpleString() else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(~bad, F.lit(False))).where(F.exists("v", lambda x: x != 0))
 
 
-def pivots_of(rows: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS) -> np.ndarray:
-    """Pivots far apart from each other, chosen greedily among at most `sample` rows."""
+def pivots_of(rows: DataFrame, pivots: int, sample: int = SAMPLE) -> np.ndarray:
+    """Pivots far apart from each other, chosen among at most `sample` rows: each in proportion to its squared distance from those chosen."""
     found = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
     x = np.unique(np.array([r["v"] for r in found], float), axis=0) if found else np.zeros((0, 1))
     if len(x) <= pivots:
         return x
-    # k-means++ like: a random row in proportion to its squared distance from those chosen.
     rng = np.random.default_rng(5)
     chosen = [int(rng.integers(len(x)))]
     near = ((x - x[chosen[0]]) ** 2).sum(1)
@@ -48,8 +59,22 @@ def pivots_of(rows: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS) -> np
     return x[chosen]
 
 
+def matrix(column, kind) -> np.ndarray:
+    """A list column of equally long rows as a matrix."""
+    if hasattr(column, "combine_chunks"):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(kind)
+
+
+def listed(values: np.ndarray):
+    import pyarrow as pa
+
+    n, m = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * m + 1, m, dtype=np.int32)), pa.array(values.ravel()))
+
+
 def permutations(rows: DataFrame, pivots: np.ndarray, prefix: int = PREFIX) -> DataFrame:
-    """id, v and `order`: the numbers of the nearest pivots, nearest first."""
+    """id, v, `order` (numbers of the nearest pivots, nearest first) and `pivot`, the first of these."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
     m = min(prefix, len(pivots))
 
@@ -58,56 +83,121 @@ def permutations(rows: DataFrame, pivots: np.ndarray, prefix: int = PREFIX) -> D
 
         p = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).values.to_numpy()[batch.column(1).offsets[0].as_py() :].reshape(batch.num_rows, -1)
-            d = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None]
-            order = np.argsort(d, axis=1, kind="stable")[:, :m].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, m, dtype=np.int32)), pa.array(order.ravel()))], ["id", "v", "order"])
+            if batch.num_rows:
+                x = matrix(batch.column(1), float)
+                d = (p * p).sum(1)[None] - 2 * x @ p.T  # the vector's own length changes no order
+                order = np.argsort(d, axis=1, kind="stable")[:, :m].astype(np.int16)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed(order), pa.array(order[:, 0].astype(np.int32))], ["id", "v", "order", "pivot"])
 
-    return rows.mapInArrow(run, "id long, v array<double>, order array<int>")
+    return rows.mapInArrow(run, f"id long, v {rows.schema['v'].dataType.simpleString()}, order array<smallint>, pivot int")
 
 
-def footrule(order: np.ndarray, query: np.ndarray, n_pivots: int) -> np.ndarray:
-    """Spearman's footrule between prefixes; a pivot that is missing stands just after the prefix."""
+def footrule_table(query: np.ndarray, n_pivots: int) -> np.ndarray:
+    """What pivot p at place i of a row adds to Spearman's footrule of the row and this query, at [p, i], less a constant.
+
+    A pivot that one prefix lacks stands just after it. The constant is m (m + 1) / 2, the sum over the query's pivots if the row
+    had none of them: a shared pivot at place a of the query takes its m - a off and adds |a - i|.
+    """
     m = len(query)
     place = np.full(n_pivots, m)
     place[query] = np.arange(m)
-    shared = np.abs(place[order] - np.arange(m)).sum(1)
-    # Pivots of the query that the row lacks.
-    present = place[order] < m
-    lacking = (m - np.arange(m)).sum() - np.where(present, m - place[order], 0).sum(1)
-    return shared + lacking
-
-
-def nearest(indexed: DataFrame, queries: DataFrame, n_pivots: int, k: int) -> DataFrame:
-    """query_id, vec_id, score of the best k in each visited file share. indexed and queries: from permutations()."""
-    files = indexed.select("id", "v", "order", F.explode(F.slice("order", 1, POSTED)).alias("pivot"))
-    visits = queries.select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.col("order").alias("q_order")).select("q_id", "q_v", "q_order", F.explode(F.slice("q_order", 1, VISITED)).alias("q_pivot"))
-    sizes = files.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows")).join(visits.groupBy(F.col("q_pivot").alias("pivot")).agg(F.count(F.lit(1)).alias("asks")), "pivot")
+    return (np.abs(place[:, None] - np.arange(m)[None]) - (m - place)[:, None]).astype(np.int16)
+
+
+def footrule(order: np.ndarray, query: np.ndarray, n_pivots: int) -> np.ndarray:
+    """Footrule of many rows and one query."""
+    m = len(query)
+    return footrule_table(query, n_pivots).ravel()[order.astype(np.int64) * m + np.arange(m)].sum(1, dtype=np.int32) + m * (m + 1) // 2
+
+
+def effort(index: DataFrame, queries: DataFrame, n_pivots: int, k: int, total: int, asked: int = CALIBRATION, recall: float = RECALL) -> tuple[int, float]:
+    """Files to visit and the share of these to measure, for `recall` at each of the two steps over at most `asked` queries.
+
+    Two passes over the index against this bounded set of queries; what comes back are asked x k rows.
+    """
+    spark = index.sparkSession
+    sample = queries.orderBy(F.xxhash64("id"), "id").limit(asked).collect()
+    if not sample:
+        return n_pivots, 1.0
+    ids, x = np.array([r["id"] for r in sample]), np.array([r["v"] for r in sample], float)
+    whole = np.array([r["order"] for r in sample], np.int64)
+    orders = whole[:, :PREFIX]
+    shared = spark.sparkContext.broadcast((ids, x, orders))
+
+    def exact(batches):
+        import pyarrow as pa
+
+        ids, x, _ = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, v, order = batch.column("id").to_numpy(), matrix(batch.column("v"), float), matrix(batch.column("order"), np.int16)
+            d = (v * v).sum(1)[None] - 2 * x @ v.T
+            d[ids[:, None] == own[None]] = np.inf
+            best = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+            q, at = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
+            far = d[q, at] + (x * x).sum(1)[q]
+            ok = np.isfinite(far)
+            yield pa.RecordBatch.from_arrays([pa.array(q[ok].astype(np.int32)), pa.array(own[at[ok]]), pa.array(far[ok]), listed(order[at[ok]]) if ok.any() else pa.array([], pa.list_(pa.int16()))], ["q", "id", "far", "order"])
+
+    nearest_rank = F.row_number().over(Window.partitionBy("q").orderBy("far", "id"))
+    near = index.mapInArrow(exact, "q int, id long, far double, order array<smallint>").withColumn("r", nearest_rank).where(F.col("r") <= k).collect()
+    if not near:
+        return n_pivots, 1.0
+    of = np.array([r["q"] for r in near])
+    theirs = np.array([r["order"] for r in near], np.int64)
+    limits = np.array([footrule(o[None], orders[q], n_pivots)[0] for q, o in zip(of, theirs, strict=True)])
+    bounds = spark.sparkContext.broadcast((of, limits))
+
+    def below(batches):
+        import pyarrow as pa
+
+        _, _, orders = shared.value
+        of, limits = bounds.value
+        count = np.zeros(len(of), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                order = matrix(batch.column("order"), np.int64)
+                for q in range(len(orders)):
+                    far = np.sort(footrule(order, orders[q], n_pivots))
+                    own = of == q
+                    count[own] += np.searchsorted(far, limits[own], side="right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(of), dtype=np.int32)), pa.array(count)], ["i", "n"])
+
+    counts = {r["i"]: r["n"] for r in index.mapInArrow(below, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    measured = min(1.0, float(np.quantile([counts[i] for i in range(len(of))], recall)) / total)
+    # The place of the neighbour's file among the query's pivots.
+    rank = [int(np.argmax(whole[q] == o[0])) + 1 for q, o in zip(of, theirs, strict=True)]
+    return int(np.quantile(rank, recall, method="higher")), measured
+
+
+def nearest(index: DataFrame, queries: DataFrame, n_pivots: int, visited: int, measured: float, k: int) -> DataFrame:
+    """query_id, vec_id, score of the best k in each visited file share. index: from permutations(); queries: the same with whole orders.
+
+    measured: the share of all vectors to be measured; of a file, the same share of its rows.
+    """
+    m = min(PREFIX, n_pivots)
+    visits = queries.select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.slice("order", 1, m).alias("q_order"), F.explode(F.slice("order", 1, visited).cast("array<int>")).alias("q_pivot"))
+    sizes = index.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows")).join(visits.groupBy(F.col("q_pivot").alias("pivot")).agg(F.count(F.lit(1)).alias("asks")), "pivot")
     sizes = F.broadcast(sizes.select(F.col("pivot").alias("_p"), F.ceil(F.col("rows") / SHARE).cast("int").alias("shares"), F.ceil(F.col("asks") / BLOCK).cast("int").alias("blocks")))  # a row a pivot
     key = lambda name, n: F.pmod(F.xxhash64(name, F.lit("share")), n).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    files = files.join(sizes, F.col("pivot") == F.col("_p")).withColumn("share", key("id", F.col("shares"))).select("id", "v", "order", "pivot", "share", numbers(F.col("blocks")).alias("block"))
+    files = index.join(sizes, F.col("pivot") == F.col("_p")).withColumn("share", key("id", F.col("shares"))).select("id", "v", "order", "pivot", "share", numbers(F.col("blocks")).alias("block"))
     visits = visits.join(sizes, F.col("q_pivot") == F.col("_p")).withColumn("q_block", key("q_id", F.col("blocks"))).select("q_id", "q_v", "q_order", "q_pivot", "q_block", numbers(F.col("shares")).alias("q_share"))
 
     def run(files, visits):
         import pyarrow as pa
 
-        def plain(t, name, kind):
-            c = t.column(name).combine_chunks()
-            return c.flatten().to_numpy().reshape(len(c), -1).astype(kind)
-
         names = ["query_id", "vec_id", "score"]
         if not files.num_rows or not visits.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        ids, x, order = files.column("id").to_numpy(), plain(files, "v", float), plain(files, "order", np.int64)
+        ids, x = files.column("id").to_numpy(), matrix(files.column("v"), float)
+        at = (matrix(files.column("order"), np.int32) * m + np.arange(m, dtype=np.int32)).astype(np.int32)
+        take = min(len(ids), max(k + 1, math.ceil(measured * len(ids))))
         out = []
-        for q, v, o in zip(visits.column("q_id").to_numpy(), plain(visits, "q_v", float), plain(visits, "q_order", np.int64), strict=True):
-            take = min(len(ids), max(LEAST, int(MEASURED * len(ids))))
-            far = footrule(order, o, n_pivots)
-            best = np.argpartition(far, take - 1)[:take] if take < len(ids) else np.arange(len(ids))
-            best = best[ids[best] != q]
+        for q, v, o in zip(visits.column("q_id").to_numpy(), matrix(visits.column("q_v"), float), matrix(visits.column("q_order"), np.int64), strict=True):
+            far = np.take(footrule_table(o, n_pivots).ravel(), at).sum(1, dtype=np.int32)
+            best = np.flatnonzero((far <= np.partition(far, take - 1)[take - 1]) & (ids != q))  # with all ties of the last place
             score = np.sqrt(((x[best] - v) ** 2).sum(1))
             top = np.lexsort((ids[best], score))[:k]
             out.append((np.full(len(top), q), ids[best[top]], score[top]))
@@ -119,17 +209,20 @@ def nearest(indexed: DataFrame, queries: DataFrame, n_pivots: int, k: int) -> Da
 def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
-    Vectors of other lengths than most pivots', null, zero or with null or non-finite components take no part; rows that repeat an id
-    count once, with the smallest vector; with few vectors all candidates are returned. An empty table gives an empty result.
+    Null or zero vectors and those with null or non-finite components take no part. Vectors of different lengths have no distance: each length is
+    indexed and searched for itself. Rows that repeat an id count once, with the smallest vector; with few vectors all candidates are returned;
+    equal distances go to the smaller id. An empty table gives an empty result. Other columns, whatever their names, are not read.
     """
-    rows = usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
+    rows = spread(usable(vectors, id_col, vector_col), "id").groupBy("id").agg(F.min("v").alias("v"))
     rows = materialise(rows, "ann-vectors")
-    width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if width is None:
+    found = []
+    for width in rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect():
+        same, total = rows.where(F.size("v") == width["n"]), width["count"]
+        pivots = pivots_of(same, min(MOST_PIVOTS, max(LEAST_PIVOTS, int(PER_ROOT * math.sqrt(total)))))
+        index = materialise(permutations(same, pivots), "ann-index")
+        queries = materialise(permutations(same.where(F.pmod("id", F.lit(every)) == 0), pivots, len(pivots)), "ann-queries")
+        found.append(nearest(index, queries, len(pivots), *effort(index, queries, len(pivots), k, total), k))
+    if not found:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    rows = rows.where(F.size("v") == width["n"])
-    pivots = pivots_of(rows)
-    indexed = materialise(permutations(spread(rows, "id"), pivots), "ann-index")
-    found = nearest(indexed, indexed.where(F.pmod("id", F.lit(every)) == 0), len(pivots), k).dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return functools.reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
