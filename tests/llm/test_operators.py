@@ -39,6 +39,10 @@ def test_exact_dedup(spark, texts):
         got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(documents(spark, texts), digest=digest).collect()}
         assert got == {i: (min(groups[n]), len(groups[n]), i == min(groups[n])) for i, n in norm.items()}
     assert exact_dedup(documents(spark, []).limit(0)).count() == 0
+    rows = [(1, "a b"), (1, "a  b"), (1, "c"), (None, "a b"), (None, "z"), (None, "z"), (2, None), (3, "")]
+    out = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in out) == Counter([(1, 1, 3)] * 2 + [(1, 1, 1), (None, 1, 3)] + [(None, None, 2)] * 2 + [(2, 2, 2), (3, 2, 2)])
+    assert Counter((r.keep_id, r.group_size) for r in out if r.kept) == Counter([(1, 3), (1, 1), (None, 2), (2, 2)])
 
 
 def test_sharding(spark, texts):
