@@ -120,26 +120,42 @@ def test_line_dedup(spark):
         return p[-1]
 
     rows = [(d, "\n".join(random.choice([base, edit(base), edit(base), edit(base, 2), edit(base[:40]), "short line", "Of.", "", f"unique {d} {random.random()} text of its own"]) for _ in range(5))) for d in range(40)] + [(100, None), (101, "")]
-    seen, want = [], {}
-    for d, t in rows:
-        kept = []
-        for line in (t or "").split("\n"):
-            n = re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ").lower()
-            if not n or not any(n == m or (min(len(n), len(m)) >= 24 and abs(len(n) - len(m)) <= 1 and distance(n, m) <= 1) for m in seen):
-                kept.append(line)
-            if n:
-                seen.append(n)
-        want[d] = None if t is None else "\n".join(kept)
-    for crowd in (1, 16):
-        assert {r.doc_id: r.text for r in dedup_lines(documents(spark, rows), crowd=crowd).collect()} == want
+    rows += [(200 + d, edit("abcde" * 2, d % 4) + "\n" + edit("item 12345", d % 3)) for d in range(30)]
+    for k, crowds in ((1, (1, 16)), (2, (10_000,))):
+        seen, want = [], {}
+        for d, t in rows:
+            kept = []
+            for line in (t or "").split("\n"):
+                n = re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ").lower()
+                if not n or not any(n == m or (abs(len(n) - len(m)) <= k and distance(n, m) <= min(k, min(len(n), len(m)) // 5)) for m in seen):
+                    kept.append(line)
+                if n:
+                    seen.append(n)
+            want[d] = None if t is None else "\n".join(kept)
+        for crowd in crowds:
+            assert {r.doc_id: r.text for r in dedup_lines(documents(spark, rows), edits=k, crowd=crowd).collect()} == want, (k, crowd)
     assert dedup_lines(documents(spark, []).limit(0)).count() == 0
 
 
+def test_line_forms_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from tidewire.llm.line_dedup import forms
+
+    random.seed(4)
+    texts = sorted({"".join(random.choices("ab", k=random.randint(1, 6))) for _ in range(60)})
+    for k in (1, 2):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", forms(F.col("t"), k).alias("f"), *[F.levenshtein("t", F.lit(o), k).alias(f"d{i}") for i, o in enumerate(texts)]).collect()
+        form = {r.t: set(r.f) for r in rows}
+        for r in rows:
+            assert [bool(form[r.t] & form[o]) for o in texts] == [r[f"d{i}"] >= 0 for i in range(len(texts))]
+
+
 def test_line_dedup_with_null_and_repeated_ids(spark):
-    from tidewire.llm.line_dedup import dedup_lines
+    from tidewire.llm.line_dedup import dedup_rows
 
     rows = [(1, "shared line\nmine alone"), (2, "own one\nshared line\nown two"), (2, "first of all\nsecond of all\nown one"), (2, "own one\nlast"), (None, "a null\nalso null"), (None, "also null\nnull again"), (3, None), (3, "")]
-    got = Counter((r.doc_id, r.text, r._n_dropped) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    got = Counter((r.doc.doc_id, r.text, r.n_dropped) for r in dedup_rows(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
     want = [(1, "shared line\nmine alone", 0), (2, "own one\nown two", 1), (2, "first of all\nsecond of all", 1), (2, "last", 1), (None, "a null\nalso null", 0), (None, "null again", 1), (3, None, 0), (3, "", 0)]
     assert got == Counter(want)
 

@@ -75,10 +75,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import dedup_lines
+    from .line_dedup import dedup_rows
 
-    out = dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text", F.sha2("text", 256).alias("text_sha256"))
+    out = dedup_rows(table(spark, sf_dir, "documents"))
+    return out.select("doc.doc_id", "n_lines", "n_dropped", "text", F.sha2("text", 256).alias("text_sha256"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
