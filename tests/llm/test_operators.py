@@ -382,6 +382,49 @@ def test_permutation_index(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def brute_rake(cells, goals, volume):
+    """cells: {(source, lang, topic): tokens}; goals: a {value: share} per dimension. Raking with cells held at their tokens, in plain Python."""
+    weight, held = {c: volume * t / sum(cells.values()) for c, t in cells.items()}, set()
+    while True:
+        for _ in range(400):
+            for d, goal in enumerate(goals):
+                for v, share in goal.items():
+                    own = [c for c in cells if c[d] == v and c not in held]
+                    have = sum(weight[c] for c in own)
+                    want = max(0.0, share * volume - sum(weight[c] for c in held if c[d] == v))
+                    for c in own:
+                        weight[c] *= want / have if have else 0
+        over = [c for c in cells if c not in held and weight[c] > cells[c] * (1 + 1e-9)]
+        if not over:
+            return weight
+        for c in over:
+            weight[c] = cells[c]
+        held.update(over)
+
+
+def test_raking_against_brute_force(spark):
+    from tidewire.llm.mixing import marginals, rake
+
+    random.seed(12)
+    cells = {(s, g, t): random.randint(1, 5000) * (30 if s == "big" else 1) for s in ("big", "mid", "low", None) for g in ("en", "de", None) for t in (0, 1)}
+    alpha = {"source": 0.5, "lang": 0.7, "topic": 1.0}
+    goals = []
+    for d, a in enumerate(alpha.values()):
+        have = Counter()
+        for c, n in cells.items():
+            have[c[d]] += n
+        goals.append({v: n**a / sum(m**a for m in have.values()) for v, n in have.items()})
+    table = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic int, tokens long")
+    for keep in (0.1, 0.6):  # without and with cells that are held at their tokens
+        want = brute_rake(cells, goals, keep * sum(cells.values()))
+        raked = rake(table, alpha, keep, tolerance=1e-9)
+        got = {(r.source, r.lang, r.topic): r.weight for r in raked.collect()}
+        assert got == pytest.approx(want, rel=1e-3)
+        assert any(got[c] == cells[c] for c in cells) == (keep == 0.6)
+        if keep == 0.1:
+            assert all(abs(r.wanted - r.reached) < 1e-6 for r in marginals(raked, alpha).collect())
+
+
 def test_mixing(spark):
     from tidewire.llm.mixing import mix_documents
 
@@ -393,3 +436,18 @@ def test_mixing(spark):
     kept = {x.source: x[1] for x in out.where("kept").groupBy("source").sum("tokens").collect()}
     assert out.count() == 3000 and abs(kept["big"] / kept["small"] - 1) < 0.25 and len(r) == 2
     assert mix_documents(docs.limit(0)).count() == 0
+    odd = [(1, None, None, None, 0.5), (1, "", "en", "a", 0.5), (2, "x " * 50_000, "en", "a", 0.5), (None, "y z", None, "a", 0.5), (None, "y z", None, "a", 0.5)]
+    out = mix_documents(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, p double")).collect()
+    assert sorted(r.tokens for r in out) == [0, 0, 2, 2, 50_000] and all(0 <= r.p <= 1 for r in out)
+
+
+def test_topics_follow_the_words(spark):
+    from tidewire.llm.mixing import mix_documents
+
+    random.seed(3)
+    about = [[f"t{k}w{i}" for i in range(40)] for k in range(3)]
+    docs = spark.createDataFrame([(i, " ".join(random.choices(about[i % 3], k=60)), "en", "a") for i in range(150)], "doc_id long, text string, lang string, source string")
+    groups = defaultdict(set)
+    for r in mix_documents(docs, topics=3).collect():
+        groups[r.doc_id % 3].add(r.topic)
+    assert sorted(map(len, groups.values())) == [1, 1, 1] and len(set.union(*groups.values())) == 3

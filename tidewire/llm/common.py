@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, a local session gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -44,6 +46,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Each input row as `doc` and a number of its own, `row`. Written, so that every later read sees the same numbers; inside
+    `doc`, columns of any name meet no name of an operator."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("doc")), name)
+
+
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for a materialised table only if its counted rows are few; else leave the shuffle join."""
     return F.broadcast(df) if df.count() <= rows else df

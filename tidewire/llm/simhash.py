@@ -10,6 +10,10 @@ ball costs 33 kB a fingerprint, many times the documents. So the balls come in t
    the triangle inequality, so linking neighbours in sorted order joins all of them: as many links as rows.
 
 Any linked pair meets on a half word; that word holds two fingerprints (tier 1) or more (both take part in tier 2).
+
+Where it turns: of N distinct random fingerprints, a half word holds 33 N / 2^32 on average, so from about 1e8 on most words hold two or
+more and nearly every fingerprint sends its whole ball, 33 kB, as plain ball hashing does from the first. Below, the second tier is
+small. A half word's window streams its rows in order; a word holds the fingerprints within one bit of it, at most 33 x 2^32 of the other half.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, spread
+from .common import materialise, numbered, spread
 
 SHINGLE = 4
 RADIUS = 4
@@ -50,18 +54,17 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(_BITS[2 * counts > last].sum())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; null text is empty, and an empty text has fingerprint 0."""
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """row, doc_id and fp, the fingerprint as a signed long, of a table of row, doc_id, text; null text is empty, and an empty text has fingerprint 0."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.fromiter((fingerprint((t.as_py() or "").encode()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint((t.as_py() or "").encode()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["row", "doc_id", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def balls(fps: DataFrame, width: int, radius: int, halves: bool) -> DataFrame:
@@ -96,12 +99,12 @@ def links(fps: DataFrame) -> DataFrame:
     return materialise(pairs.unionByName(chain).distinct(), "simhash-links")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node that can be reached. Hooking to the smallest neighbouring label and
-    pointer jumping, a table a round; stops when nothing changes."""
+    pointer jumping, a table a round, until nothing changes; labels only fall, so it ends."""
     both = materialise(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "component-edges")
     labels = materialise(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("node"), "label"), "component-labels")
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
         hooked = labels.join(seen, F.col("node") == F.col("x")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         # A root that saw a smaller label passes it to all that point to it.
@@ -111,19 +114,33 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if labels.where("label <> was").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
-    raise RuntimeError("components did not settle")
-
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, one row per input row.
 
-    Equal texts share a fingerprint and so a component. Texts without words have fingerprint zero and are linked like
-    any other. A null id takes part; component_id is the smallest id that is not null. Empty table: empty result.
-    """
-    own = materialise(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
-    firsts = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-firsts")
+def grouped(own: DataFrame) -> DataFrame:
+    """(_fp, component_id, first): the component of every fingerprint and its first row. own: a written table of row, doc_id, fp."""
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    firsts = materialise(own.groupBy("fp").agg(order.alias("first")), "simhash-firsts")
     labels = components(links(firsts))
     groups = firsts.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"), "first")
-    smallest = groups.groupBy("label").agg(F.min("first").alias("component_id")).withColumnRenamed("label", "_label")
-    mapped = groups.join(smallest, F.col("label") == F.col("_label")).select(F.col("fp").alias("_fp"), "component_id")
-    return own.join(mapped, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = groups.groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("best"))
+    return groups.join(smallest, F.col("label") == F.col("_label")).select(F.col("fp").alias("_fp"), F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("first"))
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc (the input row), fingerprint (16 hex digits), component_id, and first, true for one row of each component.
+
+    Equal texts share a fingerprint and so a component. Null texts are empty, and texts without words have fingerprint zero, linked like
+    any other; very long texts are read whole. A null id takes part; component_id is the smallest id that is not null. First is a row of
+    the smallest id; rows that repeat it are not first again. Empty table: empty result. Columns of the input may have any names.
+    """
+    docs = numbered(docs, "simhash-rows")
+    own = materialise(fingerprints(docs.select("row", F.col("doc")[id_col].alias("doc_id"), F.col("doc")[text_col].cast("string").alias("text"))), "simhash-fingerprints")
+    mapped = own.join(grouped(own), F.col("fp") == F.col("_fp")).select(F.col("row").alias("_row"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row") == F.col("first")).alias("first"))
+    return docs.join(mapped, F.col("row") == F.col("_row")).select("doc", "fingerprint", "component_id", "first")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint and component_id of every input row, without the rows themselves; see near_rows()."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = materialise(fingerprints(rows), "simhash-fingerprints")
+    return own.join(grouped(own), F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
