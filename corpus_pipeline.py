@@ -11,41 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import shared_dir, table
-from tidewire.llm.line_dedup import dedup_lines
-from tidewire.llm.mixing import mix_documents
+from tidewire.llm.line_dedup import dedup_rows
+from tidewire.llm.mixing import mix_rows
 from tidewire.llm.packing import pack_documents
 from tidewire.llm.quality import THRESHOLD, fit_quality
 from tidewire.llm.queries import tokenizer_path
-from tidewire.llm.simhash import near_groups
+from tidewire.llm.simhash import near_rows
 
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject. Null and empty texts are scored as empty; rows that repeat an id are scored each."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return docs.where(model.score_column(F.col("text").cast("string"), spark) >= THRESHOLD)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that came earlier in the corpus; a text may become empty."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, without the lines that came earlier in the corpus, copies or near copies; a text may become empty, a null one stays null.
+
+    Rows that repeat an id (or have none) are documents of their own. n_chars is counted anew.
+    """
+    rows = dedup_rows(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*[(F.col(c) if c in ("text", "n_chars") else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    gone = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each near-duplicate group, one with the smallest id. Texts without words are one group; a row with a
+    repeated id goes only if its own text is a near copy."""
+    return near_rows(docs).where("first").select("doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents whose token shares follow the target weights."""
-    out = mix_documents(docs).where("not kept").select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("_out"), "left_anti")
+    """A sample of the documents whose token shares follow the target weights; every row is drawn for itself by its own cell."""
+    return mix_rows(docs).where("kept").select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document with its place in a sequence."""
+    """One row per piece of a document with its place in a sequence. Null and empty texts are one piece with the end token."""
     return pack_documents(docs, tokenizer_path())
 
 
@@ -53,6 +56,7 @@ STAGES = [("quality", quality), ("line_dedup", line_dedup), ("simhash", simhash)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. An empty table of documents gives an empty result."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
