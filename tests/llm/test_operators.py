@@ -267,6 +267,52 @@ def test_quality(spark):
     assert [r.score for r in none] == [0.5]
 
 
+def test_word_vectors_against_brute_force(spark):
+    import pyarrow as pa
+
+    from tidewire.llm.common import text_chunks, word_hashes
+    from tidewire.llm.quality import WIDTH, WINDOW, index_vectors, pooled, word_vectors
+
+    random.seed(5)
+    texts = [" ".join(random.choices(["a", "B", "c", "dd", "e.", "f"], [50, 40, 30, 20, 10, 1], k=random.randint(0, 60))) for _ in range(40)] + [None, "", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "y long, text string").repartition(3)
+    vectors = word_vectors(docs, vocabulary=16, rare=4)
+
+    def name(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return word_hashes(data, np.array([0]), np.array([len(data)]))[0]
+
+    words = [w for t in texts for w in (t or "").split()]
+    common = sorted(name(w) for w, n in Counter(words).items() if n * 16 >= len(words))
+    assert list(vectors.frequent) == common and 2 < len(common) < 6
+    index = index_vectors(np.concatenate([np.array(common, np.uint64), np.arange(4, dtype=np.uint64)])).astype(float)
+    cls = lambda w: common.index(name(w)) if name(w) in common else len(common) + int(name(w) % np.uint64(4))
+    want = np.zeros((len(common) + 4, WIDTH))
+    for t in texts:
+        own = (t or "").split()
+        for i, w in enumerate(own):
+            for j in range(max(0, i - WINDOW), min(len(own), i + WINDOW + 1)):
+                want[cls(w)] += index[cls(own[j])] * (j != i)
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert vectors.rows == pytest.approx(want, abs=1e-5)
+    for _, data, offsets in text_chunks(pa.array(texts), False):
+        for row, t in zip(pooled(vectors, data, offsets), texts, strict=True):
+            own = np.array([want[cls(w)] for w in (t or "").split()]).reshape(-1, WIDTH)
+            assert row[:WIDTH] == pytest.approx(own.mean(0) if len(own) else np.zeros(WIDTH), abs=1e-4)
+            assert row[WIDTH : 2 * WIDTH] == pytest.approx(own.std(0) if len(own) else np.zeros(WIDTH), abs=2e-3)
+
+
+def test_quality_on_odd_tables(spark):
+    from tidewire.llm.quality import fit_quality
+
+    rows = [(i % 90, ("good words here " if i % 2 else "BAD!! ") * (i % 7 + 1), 1, 1, "x") for i in range(180)] + [(None, None, 0, 0, "x"), (None, "x " * 60_000, 0, 0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y long, _id long, labelled string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(90)], "doc_id long, quality int")
+    model = fit_quality(docs, labels)
+    assert model.score(docs).count() == 182 and model.score(docs.limit(0)).count() == 0
+    assert fit_quality(docs.limit(0), labels).score(docs.limit(0)).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header><h2>Site name</h2></header><nav><ul><li><a href=/a>Menu, one</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies, of course.</p></div><article><h1>Head &amp; line</h1><p>First  paragraph, with <b>bold</b>
 text.<p>Second one&hellip; here.<br>Same block.</article><aside><p>Side, bar.</p></aside><div class=comments><p>A reader's comment, long and full of words.</p></div><form><p>Sign up.</p></form><footer>&copy; us.</footer>"""
