@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Documents are counted into cells (source, language, topic). The topic is a cluster of the documents' whole texts: every text is a
-vector of its words (damped counts, each word at WIDTH signed places by its hash), and k-means over all documents gives the
-clusters; only its first centres come from a bounded sample, its rounds add up all rows.
+vector of its words (damped counts, each word at four signed places by its hash), less the mean of its language, so that topics cut across
+languages and the marginals do not contradict each other; k-means over all documents gives the clusters. Only its first centres come
+from a bounded sample, its rounds add up all rows.
 
 Rounds of raking scale the cells' token weights to each marginal's targets in turn, as group sums joined back, until no sum is off its
 target or nothing improves. A document is kept with the ratio of raked to present tokens, at most 1: cells that would exceed that are held at 1,
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
-from .common import materialise, mix, spans, text_chunks, word_hashes
+from .common import materialise, mix, small_or_shuffled, spans, text_chunks, word_hashes
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponent on present token shares that gives the default target shares: below 1 lifts small groups.
 ALPHA = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 #: Rounds between two looks at the error, which ends the raking at TOLERANCE or when it falls by less than a tenth.
-ROUNDS, TOLERANCE = 4, 1e-4
+ROUNDS, TOLERANCE = 8, 1e-3
 #: Clusters, length of the vectors, rounds of k-means, rows from which its first centres are drawn.
 TOPICS, WIDTH, MEANS, SAMPLE = 8, 32, 5, 2048
 #: Cells up to which one task rakes them.
@@ -70,6 +71,14 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return sent.mapInArrow(run, schema)
 
 
+def less_language(rows: DataFrame) -> DataFrame:
+    """rows with the mean vector of their language taken off vec. rows: a written table."""
+    means = rows.where("tokens > 0").groupBy(F.col("lang").alias("_lang")).agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(WIDTH)]).alias("_mean"))
+    means = small_or_shuffled(materialise(means, "mix-means"))
+    off = F.zip_with("vec", "_mean", lambda a, b: (a - F.coalesce(b, F.lit(0.0))).cast("float"))
+    return rows.join(means, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("vec", F.when(F.col("_mean").isNull(), F.col("vec")).otherwise(off)).drop("_lang", "_mean")
+
+
 def centres(vectors: DataFrame, topics: int = TOPICS, rounds: int = MEANS) -> np.ndarray:
     """k-means over the column vec of all rows: topics x WIDTH numbers. The first centres: rows far apart in a bounded sample by hash of the id."""
     found = vectors.where("tokens > 0").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE).select("vec").collect()
@@ -162,6 +171,7 @@ def rake(cells: DataFrame, alpha: dict[str, float], keep: float, targets: dict[s
     few = cells.count() <= CELLS
     rows = materialise(rows.coalesce(1) if few else rows, "mix-goals")
     rows = rows.coalesce(1) if few else rows
+    over = ~F.col("held") & (F.col("weight") > F.col("tokens") * (1 + 1e-9))
     while True:
         before = float("inf")
         while True:
@@ -172,13 +182,15 @@ def rake(cells: DataFrame, alpha: dict[str, float], keep: float, targets: dict[s
                     rows = with_sums(rows, d, volume, few).withColumn("weight", F.when(F.col("held"), F.col("weight")).otherwise(scaled)).drop("sum", "want")
             rows = materialise(rows.coalesce(1) if few else rows, "mix-raked")
             error = F.max(F.when(F.col("want") > 0, F.abs(F.col("sum") / F.col("want") - 1)))
-            off = max([with_sums(rows.coalesce(1) if few else rows, d, volume, few).agg(error).first()[0] or 0.0 for d in list(alpha)[:-1]] or [0.0])  # the last one scaled is met
             rows = rows.coalesce(1) if few else rows
+            # One small aggregate for each dimension but the last one scaled, which is met; and whether cells exceed their tokens.
+            off = [with_sums(rows, d, volume, few).select(error.alias("off"), F.max(over).alias("over")) for d in list(alpha)[:-1] or list(alpha)]
+            seen = functools.reduce(DataFrame.unionByName, off).agg(F.max("off"), F.max("over")).first()
+            off = seen[0] or 0.0
             if off < tolerance or off > 0.9 * before:
                 break
             before = off
-        over = ~F.col("held") & (F.col("weight") > F.col("tokens") * (1 + 1e-9))
-        if rows.where(over).isEmpty():
+        if not seen[1]:
             return rows.withColumn("weight", F.least("weight", F.col("tokens").cast("double"))).drop("held")
         rows = rows.withColumns({"weight": F.when(over, F.col("tokens").cast("double")).otherwise(F.col("weight")), "held": F.col("held") | over})
 
@@ -203,7 +215,7 @@ def mix_rows(docs: DataFrame, keep: float = 0.6, id_col: str = "doc_id", text_co
     An empty table gives an empty result. Columns of the input may have any names: they travel inside `doc`.
     """
     alpha = alpha or ALPHA
-    rows = materialise(described(docs, id_col, text_col), "mix-documents")
+    rows = less_language(materialise(described(docs, id_col, text_col), "mix-documents"))
     own = centres(rows, topics)
     topic = F.when(F.col("tokens") > 0, topic_column(F.col("vec"), own, docs.sparkSession))
     counted = materialise(rows.select("source", "lang", "tokens", topic.alias("topic")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
