@@ -240,6 +240,16 @@ def test_lm_score(spark, texts):
     assert empty == 0
 
 
+def test_lm_scores_every_row(spark):
+    from tidewire.llm.lm_score import score_documents
+
+    rows = [(1, "a b c", "k"), (1, "a", "k"), (2, "b b", "k"), (2, "b b", "k"), (None, "c", "k"), (None, None, "k"), (None, None, "k"), (3, "a " * 40_000, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = Counter((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in score_documents(docs, docs).collect())
+    assert sorted((str(k[0]), k[1], n) for k, n in got.items()) == sorted([("1", 4, 1), ("1", 2, 1), ("2", 3, 2), ("None", 2, 1), ("None", 1, 2), ("3", 40_001, 1)])
+    assert score_documents(docs.limit(0), docs).count() == 0 and score_documents(docs.limit(0), docs.limit(0)).count() == 0
+
+
 def test_lm_beats_unigram_held_out(spark):
     from tidewire.llm.lm_score import score_documents
 
