@@ -26,7 +26,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Exponent on present token shares that gives the default target shares: below 1 lifts small groups.
 ALPHA = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 #: Rounds between two looks at the error, which ends the raking at TOLERANCE or when it falls by less than a tenth.
-ROUNDS, TOLERANCE = 8, 1e-3
+ROUNDS, TOLERANCE = 4, 1e-3
 #: Clusters, length of the vectors, rounds of k-means, rows from which its first centres are drawn.
 TOPICS, WIDTH, MEANS, SAMPLE = 8, 32, 5, 2048
 #: Cells up to which one task rakes them.
