@@ -51,8 +51,9 @@ def match_cited_source(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     b = known.select("sid", words(F.col("key")).alias("kw")).where("size(kw) > 1").withColumn("w2", F.explode("kw"))
     inside = (F.size(F.array_except("cw", "kw")) == 0) | (F.size(F.array_except("kw", "cw")) == 0)
     part = a.join(b, F.col("w") == F.col("w2")).where(inside).select("id", "source_id", "sid", F.lit(1).alias("rule")).distinct()
-    hits = same.unionByName(part)
-    return hits.groupBy("id", "source_id").agg(F.min_by("sid", F.struct("rule", "sid")).alias("cited_source_id")).where("cited_source_id <> source_id").select("id", "cited_source_id")
+    # The own source is taken out before the choice, so that another match can win.
+    hits = same.unionByName(part).where(~F.col("sid").eqNullSafe(F.col("source_id")))
+    return hits.groupBy("id").agg(F.min_by("sid", F.struct("rule", "sid")).alias("cited_source_id"))
 
 
 def attribution_parents(evidence: DataFrame, cited: DataFrame) -> DataFrame:
@@ -63,17 +64,16 @@ def attribution_parents(evidence: DataFrame, cited: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.min_by("pid", F.struct("_at", "_seq")).alias("parent_id"))
 
 
-def resolve_roots(parents: DataFrame, rounds: int = 64) -> DataFrame:
+def resolve_roots(parents: DataFrame) -> DataFrame:
     """(id, root_id) from (id, parent_id) by pointer doubling (A3). Parents come earlier, so there are no cycles; the
     rounds are the logarithm of the longest chain. Every round is a table in the shared folder."""
     at = io.materialise(parents.select("id", F.coalesce("parent_id", "id").alias("root_id")), "roots")
-    for _ in range(rounds):
+    while True:
         up = at.select(F.col("id").alias("_id"), F.col("root_id").alias("_up"))
         after = io.materialise(at.join(up, F.col("root_id") == F.col("_id"), "left").select("id", F.coalesce("_up", "root_id").alias("root_id"), (F.col("_up") != F.col("root_id")).alias("moved")), "roots")
         at = after.select("id", "root_id")
         if after.where("moved").isEmpty():
             return at
-    raise ValueError("parents form a cycle")
 
 
 def near_duplicate_pairs(evidence: DataFrame, threshold: float = 0.55) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
 from tidewire.operators import evidence as ev
-from tidewire.operators import enrichment, explain, extraction, forecast, mentions, outcomes, serving
+from tidewire.operators import enrichment, explain, extraction, forecast, mentions, outcomes, reports, serving
 from tidewire.plans.domain import NOW, ctes, view
 from tidewire.sources import io
 
@@ -153,10 +153,9 @@ def signal_rules(spark, d):
     return view(spark, d, "signals").select("id", text.is_transfer_related(h, F.lit("")).alias("related"), text.guess_window_from_text(h, F.col("published_at")).alias("win"), text.implied_reliability(h).alias("implied"), text.detect_outcome(h).alias("outcome"), text.cited_name(h).alias("cited"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(substr(text, 1, 200))), '[^a-z0-9 ]', '', 'g'), ' ') AS norm FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9 ]', '', 'g'), ' ') AS norm FROM documents")
 def normalised_text(spark, d):
-    # the first 200 characters are a headline here
-    return io.read_table(spark, d, "documents").select("doc_id", text.normalise(F.substring("text", 1, 200)).alias("norm"))
+    return io.read_table(spark, d, "documents").select("doc_id", text.normalise(F.col("text")).alias("norm"))
 
 
 @query(f"{ctes('evidence')} SELECT claim_id, count(DISTINCT coalesce(root_id, id)) AS independent, count(*) AS evidence FROM evidence GROUP BY 1")
@@ -164,7 +163,7 @@ def independent_sources(spark, d):
     return ev.independent_source_count(view(spark, d, "evidence"))
 
 
-@query(f"{ctes('evidence')} SELECT claim_id, count(*) AS evidence, count(DISTINCT id) AS independent, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS') AS confirmation_id, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'DENIES') AS denial_id FROM evidence GROUP BY 1")
+@query(f"{ctes('evidence')} SELECT claim_id, count(*) AS evidence, count(DISTINCT coalesce(root_id, id)) AS independent, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS') AS confirmation_id, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'DENIES') AS denial_id FROM evidence GROUP BY 1")
 def claim_provenance(spark, d):
     return ev.claim_provenance(view(spark, d, "evidence"))
 
@@ -179,15 +178,15 @@ def claims_by_tier(spark, d):
     return ev.claims_with_source_tier(view(spark, d, "claims"), view(spark, d, "evidence"), view(spark, d, "sources"), 1).select("id")
 
 
-@query(f"{ctes('evidence')}, m AS (SELECT *, source_type <> 'CLUB_OFFICIAL' AND direction NOT IN ('DENIES', 'CONTEXTUAL') AS br FROM evidence), r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, br ORDER BY published_at, id) = 1 AS f FROM m) SELECT id, claim_id, concat_ws(',', CASE WHEN source_type = 'CLUB_OFFICIAL' THEN 'official' END, CASE WHEN direction = 'DENIES' THEN 'denial' END, CASE WHEN direction = 'CONTEXTUAL' THEN 'contextual' END, CASE WHEN br THEN CASE WHEN f THEN 'original' ELSE 'corroboration' END END) AS categories FROM r")
+@query(f"{ctes('evidence')}, m AS (SELECT *, source_type <> 'CLUB_OFFICIAL' AND direction NOT IN ('DENIES', 'CONTEXTUAL') AND root_id IS NULL AS br FROM evidence), r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, br ORDER BY published_at, id) = 1 AS f FROM m) SELECT id, claim_id, concat_ws(',', CASE WHEN source_type = 'CLUB_OFFICIAL' THEN 'official' END, CASE WHEN direction = 'DENIES' THEN 'denial' END, CASE WHEN direction = 'CONTEXTUAL' THEN 'contextual' END, CASE WHEN root_id IS NOT NULL THEN 'syndication' WHEN br THEN CASE WHEN f THEN 'original' ELSE 'corroboration' END END) AS categories FROM r")
 def evidence_categories(spark, d):
     return ev.categorise_evidence(view(spark, d, "evidence"))
 
 
-@query("WITH w AS (SELECT doc_id, source, list_distinct(list_filter(string_split_regex(regexp_replace(lower(substr(text, 1, 120)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS t FROM documents) SELECT a.doc_id AS item_id, b.doc_id AS candidate_id FROM w a JOIN w b ON a.source = b.source AND b.doc_id < a.doc_id WHERE CASE WHEN len(a.t) + len(b.t) = 0 THEN 1 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END >= 0.55")
+@query("WITH w AS (SELECT doc_id, source, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS t FROM documents) SELECT a.doc_id AS item_id, b.doc_id AS candidate_id FROM w a JOIN w b ON a.source = b.source AND b.doc_id < a.doc_id WHERE CASE WHEN len(a.t) + len(b.t) = 0 THEN 1 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END >= 0.55")
 def near_duplicate_pairs(spark, d):
-    # a headline and excerpt are the first 120 characters, a claim is a source
-    rows = io.read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("claim_id"), F.col("doc_id").alias("seq"), F.substring("text", 1, 120).alias("text"))
+    # a claim is a source
+    rows = io.read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("claim_id"), F.col("doc_id").alias("seq"), "text")
     return ev.near_duplicate_pairs(rows).select("item_id", "candidate_id")
 
 
@@ -197,7 +196,7 @@ def provenance_roots(spark, d):
     return ev.resolve_roots(ids.select("id", F.expr("CASE WHEN id % 7 <> 0 THEN id - 1 - id % 3 % (id % 7) END").alias("parent_id")))
 
 
-@query(f"{ctes('predictions', 'evidence')}, m AS (SELECT p.claim_id, p.as_of, e.* EXCLUDE (claim_id) FROM predictions p LEFT JOIN evidence e ON e.claim_id = p.claim_id AND e.published_at <= p.as_of) SELECT claim_id, as_of, CAST(count(id) AS DOUBLE) AS evidence_count, CAST(count(DISTINCT id) AS DOUBLE) AS roots, round(CASE WHEN count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS', 'CONTRADICTS', 'DENIES')) = 0 THEN 0.5 ELSE count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS')) / count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS', 'CONTRADICTS', 'DENIES')) END, 6) AS direction_score, round(coalesce(avg(confidence), 0), 6) AS confidence, round(coalesce(least(8760.0, (epoch_ms(as_of) - epoch_ms(max(published_at))) / 3600000), 8760.0), 6) AS age_hours FROM m GROUP BY 1, 2")
+@query(f"{ctes('predictions', 'evidence')}, m AS (SELECT p.claim_id, p.as_of, e.* EXCLUDE (claim_id) FROM predictions p LEFT JOIN evidence e ON e.claim_id = p.claim_id AND e.published_at <= p.as_of) SELECT claim_id, as_of, CAST(count(id) AS DOUBLE) AS evidence_count, CAST(count(DISTINCT coalesce(root_id, id)) AS DOUBLE) AS roots, round(CASE WHEN count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS', 'CONTRADICTS', 'DENIES')) = 0 THEN 0.5 ELSE count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS')) / count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS', 'CONTRADICTS', 'DENIES')) END, 6) AS direction_score, round(coalesce(avg(confidence), 0), 6) AS confidence, round(coalesce(least(8760.0, (epoch_ms(as_of) - epoch_ms(max(published_at))) / 3600000), 8760.0), 6) AS age_hours FROM m GROUP BY 1, 2")
 def asof_features(spark, d):
     f = forecast.evidence_features(view(spark, d, "predictions"), view(spark, d, "evidence"), view(spark, d, "sources"), view(spark, d, "claims"), view(spark, d, "players"))
     return f.select("claim_id", "as_of", F.col("evidenceCount").alias("evidence_count"), F.col("independentRootCount").alias("roots"), F.round("evidenceDirectionScore", 6).alias("direction_score"), F.round("entityMatchConfidence", 6).alias("confidence"), F.round("mostRecentEvidenceAgeHours", 6).alias("age_hours"))
@@ -328,14 +327,14 @@ def reconciled_catalog(spark, d):
     return mentions.reconcile_catalog(old, new, text.normalise_club_name).select("action", "id", "external_id", "name")
 
 
-_SUMMED = f"""{ctes("claims", "evidence")}, e AS (SELECT claim_id, count(DISTINCT id) AS n, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS') AS yes, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'DENIES') AS no,
+_SUMMED = f"""{ctes("claims", "evidence")}, e AS (SELECT claim_id, count(*) AS items, count(DISTINCT coalesce(root_id, id)) AS n, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS') AS yes, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'DENIES') AS no,
  arg_min(id, (published_at, id)) FILTER (direction = 'CONTRADICTS') AS against, min(id) AS strongest FROM evidence GROUP BY 1),
- s AS (SELECT c.*, coalesce(n, 0) AS n, yes, no, against, strongest, (epoch_ms({NOW}) - epoch_ms(last_evidence_at)) / 86400000.0 AS quiet FROM claims c LEFT JOIN e ON e.claim_id = c.id)"""
+ s AS (SELECT c.*, coalesce(n, 0) AS n, items, yes, no, against, strongest, (epoch_ms({NOW}) - epoch_ms(last_evidence_at)) / 86400000.0 AS quiet FROM claims c LEFT JOIN e ON e.claim_id = c.id)"""
 
 
 @query(f"""{_SUMMED} SELECT id AS claim_id, 'official confirmation' AS factor, 'positive' AS direction, 1.0::DOUBLE AS magnitude, yes AS evidence_id FROM s WHERE yes IS NOT NULL
  UNION ALL SELECT id, 'official denial', 'negative', 1.0, no FROM s WHERE no IS NOT NULL UNION ALL SELECT id, 'independent sources', 'positive', round(least(n / 5.0, 1.0) * 0.75, 6), strongest FROM s WHERE n >= 2
- UNION ALL SELECT id, 'no evidence', 'negative', 0.5, NULL FROM s WHERE n = 0 UNION ALL SELECT id, 'conflicting report', 'negative', 0.5, against FROM s WHERE against IS NOT NULL
+ UNION ALL SELECT id, 'single original source', 'negative', 0.4, strongest FROM s WHERE n = 1 AND items > 1 UNION ALL SELECT id, 'no evidence', 'negative', 0.5, NULL FROM s WHERE n = 0 UNION ALL SELECT id, 'conflicting report', 'negative', 0.5, against FROM s WHERE against IS NOT NULL
  UNION ALL SELECT id, 'quiet', 'negative', round(least(quiet / 60, 1.0) * 0.5, 6), NULL FROM s WHERE yes IS NULL AND no IS NULL AND quiet > 14 UNION ALL SELECT id, 'stated fee', 'positive', 0.25, NULL FROM s WHERE stated_fee IS NOT NULL""")
 def forecast_factors(spark, d):
     return explain.forecast_factors(view(spark, d, "claims"), view(spark, d, "evidence"), F.expr(NOW)).withColumn("magnitude", F.round("magnitude", 6))
@@ -349,7 +348,7 @@ def open_questions(spark, d):
 @query(f"""{ctes("claims", "evidence", "players", "clubs")}, c AS (SELECT c.id AS claim_id, player_id, from_club_id, to_club_id FROM claims c), i AS (SELECT e.* FROM evidence e JOIN c USING (claim_id))
  SELECT claim_id, 'originated' AS kind, 'claim-' || claim_id AS source, 'player-' || player_id AS target FROM c WHERE player_id IN (SELECT id FROM players) UNION ALL SELECT claim_id, 'originated', 'claim-' || claim_id, 'club-' || from_club_id FROM c WHERE from_club_id IN (SELECT id FROM clubs)
  UNION ALL SELECT claim_id, 'originated', 'claim-' || claim_id, 'club-' || to_club_id FROM c WHERE to_club_id IN (SELECT id FROM clubs) UNION ALL SELECT claim_id, 'originated', 'source-' || source_id, 'evidence-' || id FROM i
- UNION ALL SELECT claim_id, CASE WHEN direction = 'DENIES' THEN 'denied' WHEN direction = 'CONFIRMS' AND source_type = 'CLUB_OFFICIAL' THEN 'confirmed' ELSE 'corroborated' END, 'evidence-' || id, 'claim-' || claim_id FROM i WHERE direction IN ('DENIES', 'CONFIRMS', 'SUPPORTS')""")
+ UNION ALL SELECT claim_id, CASE WHEN direction = 'DENIES' THEN 'denied' WHEN direction = 'CONFIRMS' AND source_type = 'CLUB_OFFICIAL' THEN 'confirmed' ELSE 'corroborated' END, 'evidence-' || id, 'claim-' || claim_id FROM i WHERE direction = 'DENIES' OR (direction = 'CONFIRMS' AND source_type = 'CLUB_OFFICIAL') OR (root_id IS NULL AND direction IN ('CONFIRMS', 'SUPPORTS'))""")
 def provenance_edges(spark, d):
     return explain.provenance_edges(view(spark, d, "claims"), view(spark, d, "evidence"), view(spark, d, "players"), view(spark, d, "clubs"))
 
@@ -401,3 +400,119 @@ def extracted_moves(spark, d):
     plain = lambda b, key, name: bases[b].select(F.col(key).alias("id"), F.replace(name, F.lit("#"), F.lit("")).alias("name"))
     found = extraction.extract_rumours(spark.sql(_TOLD_MOVE, **bases), plain("customer", "c_custkey", "c_name"), plain("supplier", "s_suppkey", "s_name"))
     return found.select("id", F.col("player_name").alias("player"), "from_club", "to_club", "from_inferred", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"{ctes('evidence')} SELECT id, claim_id, source_id, published_at, source_type, direction, root_id FROM evidence ORDER BY published_at DESC, id DESC LIMIT 500")
+def evidence_metadata(spark, d):
+    return reports.evidence_metadata(view(spark, d, "evidence"))
+
+
+@query("SELECT event_id, event_type IN ('view', 'click', 'signup') AS valid, CASE WHEN event_type = 'click' THEN concat('{\"k\":\"', json_extract_string(props, '$.k'), '\"}') END AS props FROM events")
+def validated_events(spark, d):
+    return reports.validate_product_events(io.read_table(spark, d, "events"), {"view": (), "click": ("k",), "signup": ()}, "props").select("event_id", "valid", "props")
+
+
+@query(f"{ctes('evidence')} SELECT e.claim_id, e.id, e.published_at, e.root_id, row_number() OVER (PARTITION BY e.claim_id ORDER BY e.published_at, e.id) AS nth, r.published_at AS root_published_at FROM evidence e LEFT JOIN evidence r ON e.root_id = r.id")
+def evidence_timeline(spark, d):
+    return reports.evidence_timeline(view(spark, d, "evidence"))
+
+
+@query(f"{ctes('rumours', 'evidence')}, t AS (SELECT id, likelihood FROM rumours ORDER BY likelihood DESC, id LIMIT 50) SELECT t.id, t.likelihood, coalesce(string_agg(CAST(e.id AS VARCHAR), ',' ORDER BY e.published_at DESC, e.id DESC), '') AS articles FROM t LEFT JOIN evidence e ON e.claim_id = t.id GROUP BY 1, 2")
+def articles_by_rumour(spark, d):
+    out = reports.articles_by_rumour(view(spark, d, "rumours"), view(spark, d, "evidence").withColumnRenamed("claim_id", "rumour_id"))
+    return out.withColumn("articles", F.array_join(F.col("articles").cast("array<string>"), ","))
+
+
+@query(f"{ctes('signals', 'rumours')}, m AS (SELECT id AS s FROM rumours WHERE status IN ('HOT', 'COMPLETED') UNION ALL SELECT id FROM rumours WHERE status = 'HOT') SELECT source_id, count(DISTINCT id) AS signals, count(s) AS matches, count(DISTINCT s) AS matched_signals FROM signals LEFT JOIN m ON id = s GROUP BY 1")
+def ingest_totals(spark, d):
+    rumours = view(spark, d, "rumours").select(F.col("id").alias("signal_id"), F.col("id").alias("rumour_id"), "status")
+    return reports.ingest_totals(view(spark, d, "signals"), rumours.where("status IN ('HOT', 'COMPLETED')").unionByName(rumours.where("status = 'HOT'")))
+
+
+@query(f"{ctes('signals', 'rumours')} SELECT s.id, r.status = 'HOT' IS TRUE AS matched, CASE WHEN r.status = 'HOT' THEN r.id + 1 END AS rumour_id FROM signals s LEFT JOIN rumours r ON r.id = s.id")
+def matched_signals(spark, d):
+    hot = view(spark, d, "rumours").where("status = 'HOT'").select(F.col("id").alias("signal_id"), F.explode(F.array("id", F.col("id") + 1)).alias("rumour_id"))
+    return reports.mark_matched(view(spark, d, "signals"), hot).select("id", "matched", "rumour_id")
+
+
+@query("SELECT o_orderkey AS id, c_custkey AS player_id, f.s_suppkey AS from_club_id, t.s_suppkey AS to_club_id FROM orders JOIN customer ON c_custkey = o_custkey AND c_custkey % 5 <> 0 LEFT JOIN supplier f ON f.s_suppkey = o_orderkey % 120 LEFT JOIN supplier t ON t.s_suppkey = o_orderkey % 90")
+def resolved_transfers(spark, d):
+    rows = io.read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("player_external_id"), (F.col("o_orderkey") % 120).cast("string").alias("from_club_external_id"), (F.col("o_orderkey") % 90).cast("string").alias("to_club_external_id"))
+    players = view(spark, d, "players").withColumn("external_id", F.when(F.col("id") % 5 != 0, F.col("id").cast("string")))
+    return reports.resolve_external_ids(rows, players, view(spark, d, "clubs").withColumn("external_id", F.col("id").cast("string"))).select("id", "player_id", "from_club_id", "to_club_id")
+
+
+_FORECASTS = "SELECT o_custkey AS claim_id, o_orderdate + o_orderkey % 86400 * INTERVAL '1' SECOND AS predicted_at, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 1000 / CAST(1000 AS DOUBLE) END AS calibrated FROM {orders}"
+
+
+def _forecasts(spark, d):
+    return spark.sql(_FORECASTS, orders=io.read_table(spark, d, "orders")).dropDuplicates(["claim_id", "predicted_at"])
+
+
+_FORECASTS_SQL = f"WITH g AS ({_FORECASTS.format(orders='orders')}), f AS (SELECT claim_id, predicted_at, min(calibrated) AS calibrated FROM g GROUP BY 1, 2)"
+
+
+@query(f"{_FORECASTS_SQL} SELECT claim_id, predicted_at, calibrated, row_number() OVER (PARTITION BY claim_id ORDER BY predicted_at) AS nth, CAST(floor(calibrated * 100 + 0.5) AS BIGINT) AS plotted FROM f")
+def forecast_history(spark, d):
+    return reports.forecast_history(_forecasts(spark, d).groupBy("claim_id", "predicted_at").agg(F.min("calibrated").alias("calibrated")))
+
+
+@query(f"{_FORECASTS_SQL}, e AS (SELECT o_custkey AS claim_id, l_orderkey * 10 + l_linenumber AS id, min(l_shipdate) AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 2 GROUP BY 1, 2) SELECT e.claim_id, e.id, e.at, arg_min(predicted_at, (abs(epoch_us(predicted_at) - epoch_us(e.at)), epoch_us(predicted_at))) AS nearest FROM e JOIN f ON e.claim_id = f.claim_id GROUP BY 1, 2, 3")
+def nearest_point(spark, d):
+    events = io.read_table(spark, d, "lineitem").where("l_linenumber = 2").join(io.read_table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    events = events.groupBy(F.col("o_custkey").alias("claim_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_shipdate").alias("at"))
+    return reports.nearest_point(_forecasts(spark, d), events)
+
+
+@query(f"{ctes('players', 'clubs')}, w AS (SELECT user_id, event_id % 150 + 1 AS player_id, max(ts) AS created_at FROM events GROUP BY 1, 2) SELECT user_id, player_id, p.name AS player, c.name AS club, created_at, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, player_id) AS nth FROM w JOIN players p ON p.id = player_id LEFT JOIN clubs c ON c.id = current_club_id")
+def watchlist_listing(spark, d):
+    watched = io.read_table(spark, d, "events").groupBy("user_id", (F.col("event_id") % 150 + 1).alias("player_id")).agg(F.max("ts").alias("created_at"))
+    return reports.watchlist_listing(watched, view(spark, d, "players"), view(spark, d, "clubs"))
+
+
+_PRODUCT = "CASE event_type WHEN 'signup' THEN 'watchlist_created' WHEN 'view' THEN 'provenance_panel_viewed' WHEN 'click' THEN 'upgrade_interest_clicked' WHEN 'purchase' THEN 'forecast_history_viewed' ELSE event_type END"
+
+
+@query(f"WITH e AS (SELECT user_id, {_PRODUCT} AS t FROM events WHERE user_id % 7 <> 0), u AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'PRO' ELSE 'FREE' END AS tier FROM customer), c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 80), w AS (SELECT DISTINCT user_id FROM e WHERE t = 'watchlist_created') SELECT (SELECT count(user_id) / count(*) FROM u LEFT JOIN w ON id = user_id) AS activation_rate, (SELECT count(*) FILTER (t IN ('provenance_panel_viewed', 'forecast_history_viewed')) / count(DISTINCT user_id) FROM e) AS views_per_active_user, (SELECT count(*) FILTER (t = 'upgrade_interest_clicked') FROM e) AS upgrade_clicks, (SELECT count(user_id) / count(*) FROM u LEFT JOIN c ON id = user_id WHERE tier = 'FREE') AS cap_hit_rate")
+def product_metrics(spark, d):
+    events = io.read_table(spark, d, "events")
+    users = io.read_table(spark, d, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 3 = 0 THEN 'PRO' ELSE 'FREE' END AS tier")
+    return reports.product_metrics(users, events.where("user_id % 7 <> 0").select("user_id", F.expr(_PRODUCT).alias("event_type")), events.where("event_type = 'error' AND value > 80").select("user_id"))
+
+
+@query("SELECT json_extract_string(props, '$.k') AS feature_key, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1")
+def upgrade_clicks(spark, d):
+    events = io.read_table(spark, d, "events").select(F.expr(_PRODUCT).alias("event_type"), F.expr("replace(props, '\"k\"', '\"featureKey\"')").alias("metadata"))
+    return reports.upgrade_clicks(events)
+
+
+@query(f"{ctes('sources')} SELECT id, CASE WHEN tier IS NULL THEN 0.5 ELSE (6 - greatest(1.0, least(5.0, CAST(tier AS DOUBLE)))) / 5 END AS score FROM sources")
+def tier_scores(spark, d):
+    return view(spark, d, "sources").select("id", rules.tier_score(F.col("tier")).alias("score"))
+
+
+@query(f"""WITH f AS (SELECT o_orderkey AS id, o_orderkey % 4 <> 0 AS has_model, CASE WHEN o_orderkey % 5 = 0 THEN 'synthetic' ELSE 'real_outcomes' END AS src, o_orderkey % 400 AS n_test, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 100 / 100.0 END AS p, CAST(0 AS DOUBLE) AS low, o_orderkey % 10 / CAST(10 AS DOUBLE) AS high FROM orders)
+ SELECT id, CASE WHEN NOT has_model OR src <> 'real_outcomes' OR n_test < 200 OR p IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN high - low > 0.4 THEN 'INTERVAL' ELSE 'PRECISE' END AS mode,
+ CASE WHEN NOT has_model THEN 'no model' WHEN src <> 'real_outcomes' THEN 'not trained on real outcomes' WHEN n_test < 200 THEN 'too few test rows' WHEN p IS NULL THEN 'no score' END AS reason FROM f""")
+def display_gates(spark, d):
+    k = F.col("o_orderkey")
+    gate = rules.display_gate(k % 4 != 0, F.when(k % 5 == 0, "synthetic").otherwise("real_outcomes"), k % 400, F.when(k % 7 != 0, k % 100 / 100), F.lit(0.0), k % 10 / F.lit(10.0))
+    return io.read_table(spark, d, "orders").select(k.alias("id"), gate.alias("g")).select("id", "g.mode", "g.reason")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS id, o_orderkey % 1000 / CAST(1000 AS DOUBLE) AS p FROM orders), c(lo, hi, r, n) AS (VALUES (0.0::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE, 40), (0.2::DOUBLE, 0.4::DOUBLE, 0.35::DOUBLE, 100), (0.6::DOUBLE, 0.8::DOUBLE, 0.7::DOUBLE, 10)),
+ k AS (SELECT id, first(r ORDER BY CASE WHEN p BETWEEN lo AND hi THEN 0 ELSE 1 END, CASE WHEN p BETWEEN lo AND hi THEN 0 ELSE abs((lo + hi) / 2 - p) END, lo) AS r, first(n ORDER BY CASE WHEN p BETWEEN lo AND hi THEN 0 ELSE 1 END, CASE WHEN p BETWEEN lo AND hi THEN 0 ELSE abs((lo + hi) / 2 - p) END, lo) AS n FROM p, c GROUP BY id)
+ SELECT id, round(greatest(0, least(1, r - 1.96 * sqrt(r * (1 - r) / n))), 9) AS low, round(greatest(0, least(1, r + 1.96 * sqrt(r * (1 - r) / n))), 9) AS high FROM k""")
+def uncertainty_bands(spark, d):
+    curve = F.array(*[F.struct(F.lit(lo).alias("binLow"), F.lit(hi).alias("binHigh"), F.lit(r).alias("empiricalRate"), F.lit(n).alias("n")) for lo, hi, r, n in ((0.0, 0.2, 0.1, 40), (0.2, 0.4, 0.35, 100), (0.6, 0.8, 0.7, 10))])
+    band = rules.uncertainty_band(F.col("o_orderkey") % 1000 / F.lit(1000.0), curve)
+    return io.read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), band.alias("b")).select("id", F.round("b.low", 9).alias("low"), F.round("b.high", 9).alias("high"))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Undisclosed' WHEN 1 THEN concat('€', o_orderkey % 90, 'M') WHEN 2 THEN concat('€', o_orderkey % 90, '.5M') WHEN 3 THEN concat('€', o_orderkey % 90, '–', o_orderkey % 90 + 4, 'M') ELSE concat('€', o_orderkey % 90, 'M') END AS label FROM orders")
+def fee_labels(spark, d):
+    k = F.col("o_orderkey") % 5
+    amount = (F.col("o_orderkey") % 90).cast("double")
+    low = F.when(k.isin(1, 3, 4), amount).when(k == 2, amount + 0.5)
+    high = F.when(k == 1, amount).when(k == 3, amount + 4)
+    return io.read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.fee_label(low, high).alias("label"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewire.operators.evidence import ingest_evidence
+from tidewire.operators.reports import touched_scores
 from tidewire.sources import io
 
 
@@ -29,6 +32,21 @@ def stream_source_reliability(outcomes: DataFrame) -> DataFrame:
     return once.groupBy("source_id").agg(hits.alias("hits"), (n - hits).alias("misses"), F.greatest(F.lit(0.1), F.least(F.lit(0.99), hits / n)).alias("hit_rate"))
 
 
+def stream_rescore(touched: DataFrame, score: Callable[[SparkSession], DataFrame], path: str, checkpoint: str):
+    """Scores the rumours that each micro-batch touched and adds their history rows under `path` (ST4).
+
+    touched: a stream with rumour_id and the time `at` of the change. score gives all rumours with id and likelihood as they stand; only those touched are joined. A
+    batch that is run again after a failure writes over its own folder. Returns the running query.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        at = batch.groupBy(F.col("rumour_id").alias("_t")).agg(F.max("at").alias("at"))
+        scored = score(batch.sparkSession).join(at, F.col("id") == F.col("_t"))
+        touched_scores(batch, scored, F.col("likelihood"), F.col("at")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return touched.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
+
+
 def stream_assign_rumours(reports: DataFrame, days: int = 7) -> DataFrame:
     """Reports with the anchor of their rumour as keyed state (player, from, to), which expires `days` after the anchor (ST2)."""
     import pandas as pd
