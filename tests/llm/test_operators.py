@@ -438,6 +438,41 @@ def test_permutation_index(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_permutation_index_where_ranking_bites(spark):
+    from tidewire.llm import permutation_index as index
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (60, 16))
+    x = np.concatenate([centres[rng.integers(0, 60, 15_000)] + rng.normal(0, 0.4, (15_000, 16)), rng.normal(0, 1, (5_000, 16)), np.tile(rng.normal(0, 1, (1, 16)), (1_000, 1))]).astype(np.float32)
+    import pandas as pd
+
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>").repartition(4)
+    seen = []
+    original = index.effort
+    index.effort = lambda *a, **k: seen.append(original(*a, **k)) or seen[-1]
+    try:
+        found = index.search(table, every=200).toPandas()
+    finally:
+        index.effort = original
+    assert seen[0][0] < 145 and seen[0][1] < 64 * 65 // 2  # not all files, and not all of a file
+    hit = 0
+    for q, own in found.groupby("query_id"):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        best = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        hit += len(set(own.vec_id) & set(best))
+        assert list(own.sort_values("rank").score) == pytest.approx([d[i] for i in own.sort_values("rank").vec_id], abs=1e-12)
+    queries = len(range(0, len(x), 200))
+    assert found.query_id.nunique() == queries and hit >= 0.9 * 10 * queries
+
+
+def test_permutation_index_searches_each_length(spark):
+    from tidewire.llm.permutation_index import search
+
+    rows = [(i, [float(i), 1.0]) for i in range(0, 300, 50)] + [(i + 1000, [1.0, 2.0, float(i)]) for i in range(0, 200, 100)]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.query_id: r.vec_id for r in got if r["rank"] == 1} == {0: 50, 100: 50, 200: 150, 1000: 1100, 1100: 1000}
+
+
 def brute_rake(cells, goals, volume):
     """cells: {(source, lang, topic): tokens}; goals: a {value: share} per dimension. Raking with cells held at their tokens, in plain Python."""
     weight, held = {c: volume * t / sum(cells.values()) for c, t in cells.items()}, set()

@@ -2,11 +2,11 @@
 
 A vector is represented by its nearest pivots in order (a prefix of them) and posted once, in the inverted file of its nearest
 pivot. A query visits the files of the pivots nearest to itself, ranks each file by the footrule distance of the
-orders, and measures the best share of it, with all ties of the last place, exactly.
+orders, and measures what lies within a radius of it, and at least the first k with all ties, exactly.
 
 Pivots are fitted on a bounded sample and grow with the square root of the number of vectors, so files do too. How many files are visited and which
-share is measured follows from the data: for at most CALIBRATION queries the exact neighbours are found in one pass, a second
-counts how far down the footrule ranking they stand, and both numbers are set to reach RECALL. Clustered vectors visit few files;
+footrule is the radius follows from the data: for at most CALIBRATION queries the exact neighbours are found in one pass, and both numbers are
+set so that RECALL of these neighbours lie within. Clustered vectors visit few files;
 for vectors without structure (uniform on a sphere in 64 dimensions) no order of pivots tells near from far well, more
 than half of the files must be visited and the work grows with the product of queries and vectors.
 
@@ -110,15 +110,16 @@ def footrule(order: np.ndarray, query: np.ndarray, n_pivots: int) -> np.ndarray:
     return footrule_table(query, n_pivots).ravel()[order.astype(np.int64) * m + np.arange(m)].sum(1, dtype=np.int32) + m * (m + 1) // 2
 
 
-def effort(index: DataFrame, queries: DataFrame, n_pivots: int, k: int, total: int, asked: int = CALIBRATION, recall: float = RECALL) -> tuple[int, float]:
-    """Files to visit and the share of these to measure, for `recall` at each of the two steps over at most `asked` queries.
+def effort(index: DataFrame, queries: DataFrame, n_pivots: int, k: int, asked: int = CALIBRATION, recall: float = RECALL) -> tuple[int, int]:
+    """Files to visit and the largest footrule to measure, for `recall` at each of the two steps over at most `asked` queries.
 
-    Two passes over the index against this bounded set of queries; what comes back are asked x k rows.
+    One pass over the index against this bounded set of queries; what comes back are asked x k rows.
     """
     spark = index.sparkSession
     sample = queries.orderBy(F.xxhash64("id"), "id").limit(asked).collect()
+    everything = n_pivots, 2 * n_pivots * n_pivots
     if not sample:
-        return n_pivots, 1.0
+        return everything
     ids, x = np.array([r["id"] for r in sample]), np.array([r["v"] for r in sample], float)
     whole = np.array([r["order"] for r in sample], np.int64)
     orders = whole[:, :PREFIX]
@@ -143,38 +144,19 @@ def effort(index: DataFrame, queries: DataFrame, n_pivots: int, k: int, total: i
     nearest_rank = F.row_number().over(Window.partitionBy("q").orderBy("far", "id"))
     near = index.mapInArrow(exact, "q int, id long, far double, order array<smallint>").withColumn("r", nearest_rank).where(F.col("r") <= k).collect()
     if not near:
-        return n_pivots, 1.0
+        return everything
     of = np.array([r["q"] for r in near])
     theirs = np.array([r["order"] for r in near], np.int64)
     limits = np.array([footrule(o[None], orders[q], n_pivots)[0] for q, o in zip(of, theirs, strict=True)])
-    bounds = spark.sparkContext.broadcast((of, limits))
-
-    def below(batches):
-        import pyarrow as pa
-
-        _, _, orders = shared.value
-        of, limits = bounds.value
-        count = np.zeros(len(of), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                order = matrix(batch.column("order"), np.int64)
-                for q in range(len(orders)):
-                    far = np.sort(footrule(order, orders[q], n_pivots))
-                    own = of == q
-                    count[own] += np.searchsorted(far, limits[own], side="right")
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(of), dtype=np.int32)), pa.array(count)], ["i", "n"])
-
-    counts = {r["i"]: r["n"] for r in index.mapInArrow(below, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    measured = min(1.0, float(np.quantile([counts[i] for i in range(len(of))], recall)) / total)
     # The place of the neighbour's file among the query's pivots.
     rank = [int(np.argmax(whole[q] == o[0])) + 1 for q, o in zip(of, theirs, strict=True)]
-    return int(np.quantile(rank, recall, method="higher")), measured
+    return int(np.quantile(rank, recall, method="higher")), int(np.quantile(limits, recall, method="higher"))
 
 
-def nearest(index: DataFrame, queries: DataFrame, n_pivots: int, visited: int, measured: float, k: int) -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, n_pivots: int, visited: int, radius: int, k: int) -> DataFrame:
     """query_id, vec_id, score of the best k in each visited file share. index: from permutations(); queries: the same with whole orders.
 
-    measured: the share of all vectors to be measured; of a file, the same share of its rows.
+    radius: vectors up to this footrule are measured, and at least the first k of a file.
     """
     m = min(PREFIX, n_pivots)
     visits = queries.select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.slice("order", 1, m).alias("q_order"), F.explode(F.slice("order", 1, visited).cast("array<int>")).alias("q_pivot"))
@@ -193,11 +175,12 @@ def nearest(index: DataFrame, queries: DataFrame, n_pivots: int, visited: int, m
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         ids, x = files.column("id").to_numpy(), matrix(files.column("v"), float)
         at = (matrix(files.column("order"), np.int32) * m + np.arange(m, dtype=np.int32)).astype(np.int32)
-        take = min(len(ids), max(k + 1, math.ceil(measured * len(ids))))
+        take = min(len(ids), k + 1)
+        widest = radius - m * (m + 1) // 2  # the table lacks this constant
         out = []
         for q, v, o in zip(visits.column("q_id").to_numpy(), matrix(visits.column("q_v"), float), matrix(visits.column("q_order"), np.int64), strict=True):
             far = np.take(footrule_table(o, n_pivots).ravel(), at).sum(1, dtype=np.int32)
-            best = np.flatnonzero((far <= np.partition(far, take - 1)[take - 1]) & (ids != q))  # with all ties of the last place
+            best = np.flatnonzero((far <= max(widest, np.partition(far, take - 1)[take - 1])) & (ids != q))  # with all ties of the last place
             score = np.sqrt(((x[best] - v) ** 2).sum(1))
             top = np.lexsort((ids[best], score))[:k]
             out.append((np.full(len(top), q), ids[best[top]], score[top]))
@@ -221,7 +204,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
         pivots = pivots_of(same, min(MOST_PIVOTS, max(LEAST_PIVOTS, int(PER_ROOT * math.sqrt(total)))))
         index = materialise(permutations(same, pivots), "ann-index")
         queries = materialise(permutations(same.where(F.pmod("id", F.lit(every)) == 0), pivots, len(pivots)), "ann-queries")
-        found.append(nearest(index, queries, len(pivots), *effort(index, queries, len(pivots), k, total), k))
+        found.append(nearest(index, queries, len(pivots), *effort(index, queries, len(pivots), k), k))
     if not found:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
