@@ -230,7 +230,7 @@ def test_lm_score(spark, texts):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws) + 1, sum(c[w] > 0 for w in [*ws, None]), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*ws, None]), abs=1e-6)
         assert r.score < 0
-    # one word's probabilities over the vocabulary and the unknown word add up to one
+    # every known word, an unknown one and the empty text have finite scores
     probes = [(k, w) for k, w in enumerate([w for w in c if w is not None] + ["neverseen"])]
     p = {r.doc_id: r for r in score_documents(spark.createDataFrame([*probes, (99, "")], "doc_id long, text string"), train).collect()}
     q = {k: r.score for k, r in p.items()}
