@@ -79,11 +79,16 @@ def resolve_roots(parents: DataFrame) -> DataFrame:
 def near_duplicate_pairs(evidence: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(item_id, candidate_id, similarity): pairs of a claim, later and earlier, with token Jaccard from the threshold.
 
+    Items of a claim with equal token sets are a class; its first item stands for it. Every other item is one row with that
+    first item, similarity 1; only first items are compared, so a group of copies gives as many rows as it has items.
     Prefix filter: with tokens in one order, rarest first, two sets at Jaccard t share one of the first
-    n - ceil(t n) + 1 tokens of each. So pairs meet on (claim, rare token), not on the claim alone. Texts without tokens are
-    alike and meet on the empty token.
+    n - ceil(t n) + 1 tokens of each. So pairs meet on (claim, rare token), not on the claim alone. Items without tokens are a class.
     """
-    rows = evidence.select("id", "claim_id", "seq", text.tokens(F.col("text")).alias("t")).withColumn("n", F.size("t"))
+    items = evidence.select("id", "claim_id", "seq", F.array_sort(text.tokens(F.col("text"))).alias("t"))
+    classes = items.groupBy(F.col("claim_id").alias("_claim"), F.col("t").alias("_t")).agg(F.min_by("id", F.struct("seq", "id")).alias("_first"))
+    items = io.materialise(items.join(classes, F.col("claim_id").eqNullSafe(F.col("_claim")) & (F.col("t") == F.col("_t"))).select("id", "claim_id", "seq", "t", "_first"), "near-items")
+    copies = items.where("id <> _first").select(F.col("id").alias("item_id"), F.col("_first").alias("candidate_id"), F.lit(1.0).alias("similarity"))
+    rows = items.where("id = _first").drop("_first").withColumn("n", F.size("t"))
     each = rows.select("id", "claim_id", "seq", "n", F.explode(F.when(F.col("n") > 0, F.col("t")).otherwise(F.array(F.lit("")))).alias("w"))
     often = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
@@ -96,7 +101,7 @@ def near_duplicate_pairs(evidence: DataFrame, threshold: float = 0.55) -> DataFr
     full = pairs.join(left, F.col("item_id") == F.col("_a")).join(right, F.col("candidate_id") == F.col("_b"))
     either = F.size(F.array_union("ta", "tb"))
     score = F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect("ta", "tb")) / F.when(either == 0, 1).otherwise(either))
-    return full.select("item_id", "candidate_id", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    return full.select("item_id", "candidate_id", score.alias("similarity")).where(F.col("similarity") >= threshold).unionByName(copies)
 
 
 def resolve_duplicates(evidence: DataFrame, decisions: DataFrame) -> DataFrame:

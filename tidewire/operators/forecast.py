@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.functions import rules
+from tidewire.operators.slices import sliced
 from tidewire.sources.io import materialise
 
 SUPPORT, CONTRADICT = ("SUPPORTS", "CONFIRMS"), ("CONTRADICTS", "DENIES")
@@ -120,10 +121,16 @@ def scores(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 
 
 def rank_auc(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """Exact area under the ROC curve, ties counted half (A20), from the counts of each distinct score."""
-    per = df.groupBy(p).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.sum(1 - F.col(y).cast("double")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return per.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("u")).agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    """Exact area under the ROC curve, ties counted half (A20), from the counts of each distinct score. Distinct scores are summed
+    up within slices of score; the totals of lower slices, at most 64 rows, are added."""
+    per = materialise(df.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.sum(1 - F.col(y).cast("double")).alias("neg")), "auc-scores")
+    rows = sliced(per, F.col("p").cast("double"))
+    lower = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(F.col("_slice").alias("_k")).agg(F.sum("neg").alias("n")).select("_k", F.coalesce(F.sum("n").over(lower), F.lit(0.0)).alias("start"))
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("_slice").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    met = rows.withColumn("inside", inside).join(F.broadcast(starts), F.col("_slice") == F.col("_k"))
+    u = F.col("pos") * (F.col("start") + F.col("inside") + F.col("neg") / 2)
+    return met.select("pos", "neg", u.alias("u")).agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def current_model(models: DataFrame) -> DataFrame:

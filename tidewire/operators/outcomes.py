@@ -6,28 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SETTLED = 20  # outcomes from which the running score is the plain hit rate
-
-
-def anchors(times: Column, width: Column) -> Column:
-    """The anchor of every time of a sorted array: a time opens a new anchor if more than `width` after the last (W1, ST6)."""
-    start = F.struct(F.array().cast("array<timestamp>").alias("all"), F.lit(None).cast("timestamp").alias("at"))
+from tidewire.operators.slices import fold_anchors, sliced
 
-    def step(acc: Column, t: Column) -> Column:
-        at = F.when(acc["at"].isNull() | (t > acc["at"] + width), t).otherwise(acc["at"])
-        return F.struct(F.concat(acc["all"], F.array(at)).alias("all"), at.alias("at"))
-
-    return F.aggregate(times, start, step)["all"]
+SETTLED = 20  # outcomes from which the running score is the plain hit rate
 
 
 def assign_rumours(reports: DataFrame, days: int = 7) -> DataFrame:
     """Every report with the first report time of its rumour (W1): a (player, from, to) report joins the rumour that was opened
     at most `days` before. Only the distinct times of a key are folded; reports find their anchor by a join."""
     keys = ["player_id", "from_club_id", "to_club_id"]
-    folded = reports.groupBy(*keys).agg(F.sort_array(F.collect_set("rumour_date")).alias("times"))
-    folded = folded.withColumn("z", F.explode(F.arrays_zip("times", anchors(F.col("times"), F.make_dt_interval(F.lit(days))).alias("anchor"))))
-    by_time = folded.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("z.times").alias("_t"), F.col("z.anchor").alias("anchor"))
-    on = (F.col("rumour_date") == F.col("_t"))
+    folded = fold_anchors(reports, keys, "rumour_date", days * 86_400_000_000)
+    by_time = folded.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("rumour_date").alias("_t"), "anchor")
+    on = F.col("rumour_date") == F.col("_t")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
     return reports.join(by_time, on).drop("_t", *[f"_{k}" for k in keys])
@@ -40,9 +30,8 @@ def corroboration_count(assigned: DataFrame) -> DataFrame:
 
 def rate_limit_audit(usage: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Requests with their place in the key's window, which starts at its first request (ST6)."""
-    width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds)) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
-    folded = usage.groupBy("api_key_id").agg(F.sort_array(F.collect_set("created_at")).alias("times")).withColumn("z", F.explode(F.arrays_zip("times", anchors(F.col("times"), width).alias("anchor"))))
-    at = folded.select(F.col("api_key_id").alias("_k"), F.col("z.times").alias("_t"), F.col("z.anchor").alias("window_start"))
+    folded = fold_anchors(usage, ["api_key_id"], "created_at", seconds * 1_000_000 - 1)
+    at = folded.select(F.col("api_key_id").alias("_k"), F.col("created_at").alias("_t"), F.col("anchor").alias("window_start"))
     rows = usage.join(at, (F.col("api_key_id") == F.col("_k")) & (F.col("created_at") == F.col("_t")))
     n = F.row_number().over(Window.partitionBy("api_key_id", "window_start").orderBy("created_at", "id"))
     return rows.withColumn("n", n).select("id", "api_key_id", "created_at", "window_start", "n", (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(0), limit - F.col("n")).alias("remaining"))
@@ -82,10 +71,18 @@ def source_reliability(outcomes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def reliability_history(outcomes: DataFrame) -> DataFrame:
-    """Running hits, misses and hit rate of each source after every outcome."""
-    by = Window.partitionBy("source_id").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    hits, n = F.sum(F.col("hit").cast("int")).over(by), F.count(F.lit(1)).over(by)
-    return outcomes.select("id", "source_id", "at", hits.alias("hits"), (n - hits).alias("misses"))
+    """Running hits and misses of each source after every outcome (W10). Outcomes are counted within slices of time, so that no
+    task orders all of a source, and the totals of earlier slices, at most 64 a source, are added."""
+    rows = sliced(outcomes, F.unix_micros(F.col("at").cast("timestamp")))
+    hit = F.col("hit").cast("int")
+    totals = rows.groupBy(F.col("source_id").alias("_s"), F.col("_slice").alias("_k")).agg(F.sum(hit).alias("_h"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_s").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_s", "_k", F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_h"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    by = Window.partitionBy("source_id", "_slice").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumns({"_hits": F.sum(hit).over(by), "_all": F.count(F.lit(1)).over(by)})
+    met = counted.join(starts, F.col("source_id").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k")))
+    hits, n = F.col("_hits") + F.col("_h"), F.col("_all") + F.col("_n")
+    return met.select("id", "source_id", "at", hits.alias("hits"), (n - hits).alias("misses"))
 
 
 def link_contradictions(new: DataFrame, rumours: DataFrame, now: Column, days: int = 30) -> DataFrame:

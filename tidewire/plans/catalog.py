@@ -183,7 +183,7 @@ def evidence_categories(spark, d):
     return ev.categorise_evidence(view(spark, d, "evidence"))
 
 
-@query("WITH w AS (SELECT doc_id, source, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS t FROM documents) SELECT a.doc_id AS item_id, b.doc_id AS candidate_id FROM w a JOIN w b ON a.source = b.source AND b.doc_id < a.doc_id WHERE CASE WHEN len(a.t) + len(b.t) = 0 THEN 1 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END >= 0.55")
+@query("WITH w AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> ''))) AS t FROM documents), k AS (SELECT *, min(doc_id) OVER (PARTITION BY source, t) AS f FROM w), r AS (SELECT * FROM k WHERE doc_id = f) SELECT a.doc_id AS item_id, b.doc_id AS candidate_id FROM r a JOIN r b ON a.source = b.source AND b.doc_id < a.doc_id WHERE CASE WHEN len(a.t) + len(b.t) = 0 THEN 1 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END >= 0.55 UNION ALL SELECT doc_id, f FROM k WHERE doc_id <> f")
 def near_duplicate_pairs(spark, d):
     # a claim is a source
     rows = io.read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("claim_id"), F.col("doc_id").alias("seq"), "text")
@@ -234,13 +234,13 @@ def rank_auc(spark, d):
     return forecast.rank_auc(_py(spark, d)).select(F.round("auc", 6).alias("auc"))
 
 
-@query()
+@query(f"{ctes('rumours')}, x AS (SELECT DISTINCT player_id, to_club_id % 5 AS to_club_id, rumour_date AS t FROM rumours), s AS (SELECT *, row_number() OVER (PARTITION BY player_id, to_club_id ORDER BY t) AS k FROM x), f AS (SELECT player_id, to_club_id, k, t, t AS anchor FROM s WHERE k = 1 UNION ALL SELECT s.player_id, s.to_club_id, s.k, s.t, CASE WHEN s.t > f.anchor + INTERVAL '90' DAY THEN s.t ELSE f.anchor END FROM f JOIN s ON s.player_id = f.player_id AND s.to_club_id = f.to_club_id AND s.k = f.k + 1) SELECT r.player_id, f.to_club_id, anchor, count(*) AS reports, count(DISTINCT source_id) AS sources FROM rumours r JOIN f ON r.player_id = f.player_id AND r.to_club_id % 5 = f.to_club_id AND r.rumour_date = f.t GROUP BY 1, 2, 3".replace("WITH rumours", "WITH RECURSIVE rumours", 1))
 def rumour_anchors(spark, d):
     rows = view(spark, d, "rumours").select("id", "player_id", F.lit(None).cast("long").alias("from_club_id"), (F.col("to_club_id") % 5).alias("to_club_id"), "rumour_date", "source_id")
-    return outcomes.corroboration_count(outcomes.assign_rumours(rows, 90))
+    return outcomes.corroboration_count(outcomes.assign_rumours(rows, 90)).drop("from_club_id")
 
 
-@query()
+@query(f"{ctes('usage')}, x AS (SELECT DISTINCT api_key_id, created_at AS t FROM usage), s AS (SELECT *, row_number() OVER (PARTITION BY api_key_id ORDER BY t) AS k FROM x), f AS (SELECT api_key_id, k, t, t AS w FROM s WHERE k = 1 UNION ALL SELECT s.api_key_id, s.k, s.t, CASE WHEN s.t >= f.w + INTERVAL '86400' SECOND THEN s.t ELSE f.w END FROM f JOIN s ON s.api_key_id = f.api_key_id AND s.k = f.k + 1), g AS (SELECT u.id, u.api_key_id, u.created_at, f.w AS window_start, CAST(row_number() OVER (PARTITION BY u.api_key_id, f.w ORDER BY u.created_at, u.id) AS INT) AS n FROM usage u JOIN f ON u.api_key_id = f.api_key_id AND u.created_at = f.t) SELECT *, n <= 5 AS allowed, greatest(0, 5 - n) AS remaining FROM g".replace("WITH usage", "WITH RECURSIVE usage", 1))
 def rate_limits(spark, d):
     return outcomes.rate_limit_audit(view(spark, d, "usage"), 5, 86_400)
 
