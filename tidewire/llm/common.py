@@ -79,12 +79,12 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in a byte buffer of joined texts, and the index of each word's text."""
+def spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in a byte buffer of joined texts, and the index of each word's text. between: which bytes part words."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    word = ~IS_SPACE[data]
+    word = ~between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before = np.concatenate([[False], word[:-1]]) & ~cut[:-1]
