@@ -93,6 +93,12 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,17 +106,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_quality, op3_html_extract, op4_simhash, op5_sharding, op6_mixing, op7_packing, op8_permutation_index, op9_exact_dedup, op10_line_dedup, op11_vector_codes, op12_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_lm_score, op2_quality, op3_html_extract, op4_simhash, op5_sharding, op6_mixing, op7_packing, op8_permutation_index, op9_exact_dedup, op10_line_dedup, op11_vector_codes, op12_decontamination, op13_prefix_trie, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    from . import decontaminate, vector_codes
+    from . import decontaminate, prefix_trie, vector_codes
 
     found = {
         "op11_vector_codes": vector_codes.sql(),
         "op12_decontamination": decontaminate.sql(),
+        "op13_prefix_trie": prefix_trie.sql(),
         "op9_exact_dedup": r"""
             WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
             g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
