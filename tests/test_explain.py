@@ -22,16 +22,21 @@ def cases(spark):
 
 def test_factors(spark):
     claims, evidence = cases(spark)
-    factors = explain.forecast_factors(claims, evidence, F.lit(T0 + timedelta(30)))
+    sources = spark.createDataFrame([(2, "Daily"), (3, None)], "id long, name string")
+    factors = explain.forecast_factors(claims, evidence, F.lit(T0 + timedelta(30)), sources)
     got = {(r.claim_id, r.factor, r.direction, round(r.magnitude, 6), r.evidence_id) for r in factors.collect()}
     assert got == {
-        (1, "official confirmation", "positive", 1.0, 13), (1, "independent sources", "positive", 0.45, 10), (1, "conflicting report", "negative", 0.5, 12), (1, "stated fee", "positive", 0.25, None),
-        (2, "single original source", "negative", 0.4, 20), (2, "quiet", "negative", 0.25, None),
-        (3, "no evidence", "negative", 0.5, None), (3, "quiet", "negative", 0.25, None), (4, "official denial", "negative", 1.0, 40),
+        (1, "Official club confirmation", "positive", 1.0, 13), (1, "3 independent sources", "positive", 0.45, 10), (1, "Conflicting report", "negative", 0.5, 12), (1, "Specific fee reported", "positive", 0.25, None),
+        (2, "Single original source", "negative", 0.4, 20), (2, "Evidence has gone quiet", "negative", 0.25, None),
+        (3, "No corroborating evidence", "negative", 0.5, None), (3, "Evidence has gone quiet", "negative", 0.25, None), (4, "Official club denial", "negative", 1.0, 40),
     }
-    assert [r.factor for r in explain.top_factors(factors, "positive", 2).where("claim_id = 1").orderBy("rank").collect()] == ["official confirmation", "independent sources"]
+    told = {(r.claim_id, r.factor): r.explanation for r in factors.collect()}
+    assert told[1, "Official club confirmation"] == "The club has officially confirmed this." and told[1, "Conflicting report"] == "Daily published a report that contradicts this claim."
+    assert told[1, "Specific fee reported"] == "A specific fee (€5M) has been reported, suggesting detailed sourcing rather than speculation."
+    assert told[2, "Single original source"].startswith("All 2 articles trace back") and told[2, "Evidence has gone quiet"] == "No new evidence in 30 days."
+    assert [r.factor for r in explain.top_factors(factors, "positive", 2).where("claim_id = 1").orderBy("rank").collect()] == ["Official club confirmation", "3 independent sources"]
     assert explain.forecast_factors(claims.limit(0), evidence, F.lit(T0)).count() == 0
-    assert {r.factor for r in explain.forecast_factors(claims, evidence.limit(0), F.lit(T0)).collect()} == {"no evidence", "stated fee"}
+    assert {r.factor for r in explain.forecast_factors(claims, evidence.limit(0), F.lit(T0)).collect()} == {"No corroborating evidence", "Specific fee reported"}
 
 
 def test_open_questions(spark):

@@ -18,6 +18,11 @@ def half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
+def plain_number(c: Column) -> Column:
+    """A number as text without trailing zeros: 45, 12.5."""
+    return F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+
+
 def fee_mid(low: Column, high: Column) -> Column:
     """The mean of both bounds, or the one that is known (M4)."""
     return F.coalesce((low + high) / 2, low, high)
@@ -75,17 +80,29 @@ def tier_score(tier: Column) -> Column:
     return F.when(tier.isNull(), 0.5).otherwise((6 - clamp(tier.cast("double"), 1.0, 5.0)) / 5)
 
 
-def display_gate(has_model: Column, data_source: Column, n_test: Column, score: Column, low: Column, high: Column, least: int = 200, widest: float = 0.4) -> Column:
-    """(mode, reason): whether a forecast may be shown, and how (M9)."""
-    no = lambda reason: F.struct(F.lit("INSUFFICIENT_EVIDENCE").alias("mode"), F.lit(reason).alias("reason"))
+# Display modes, the data source of real outcomes, and the reasons why nothing is shown.
+PRECISE, INTERVAL, INSUFFICIENT, REAL = "PRECISE", "INTERVAL", "INSUFFICIENT_DATA", "db"
+NO_MODEL = "No trained model exists yet for this forecast definition."
+SYNTHETIC = "The current model is trained on synthetic data only — no calibrated probability can be shown until enough resolved real outcomes exist to train on."
+TOO_FEW = "Model was evaluated on only {} held-out samples (need {}+) — not enough to trust an out-of-sample estimate."
+NO_SCORE = "Forecasting service unavailable."
+WIDEST = 0.4
+
+
+def display_gate(has_model: Column, data_source: Column, n_test: Column, score: Column, low: Column, high: Column, least: Column | int = 200, widest: float = WIDEST) -> Column:
+    """(mode, reason): whether a forecast may be shown, and how (M9). least: the test rows that the model's own row asks for."""
+    least, n = F.lit(least) if isinstance(least, int) else least, F.coalesce(n_test, F.lit(0))
+    before, between, after = TOO_FEW.split("{}")
+    few = F.concat(F.lit(before), n.cast("string"), F.lit(between), least.cast("string"), F.lit(after))
+    no = lambda reason: F.struct(F.lit(INSUFFICIENT).alias("mode"), reason.alias("reason"))
     shown = lambda mode: F.struct(F.lit(mode).alias("mode"), F.lit(None).cast("string").alias("reason"))
     return (
-        F.when(~has_model, no("no model"))
-        .when(data_source != "real_outcomes", no("not trained on real outcomes"))
-        .when(F.coalesce(n_test, F.lit(0)) < least, no("too few test rows"))
-        .when(score.isNull(), no("no score"))
-        .when(high - low > widest, shown("INTERVAL"))
-        .otherwise(shown("PRECISE"))
+        F.when(~F.coalesce(has_model, F.lit(False)), no(F.lit(NO_MODEL)))
+        .when(~data_source.eqNullSafe(F.lit(REAL)), no(F.lit(SYNTHETIC)))
+        .when(n < least, no(few))
+        .when(score.isNull(), no(F.lit(NO_SCORE)))
+        .when(high - low > widest, shown(INTERVAL))
+        .otherwise(shown(PRECISE))
     )
 
 

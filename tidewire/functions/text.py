@@ -181,10 +181,23 @@ def normalise_club_name(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), "[-.,'’`]", " "), r"\s+", " "))
 
 
+def json_number(c: Column) -> Column:
+    """A double as JSON writes it: 45, 0.5, 0.00025; exponents only beyond 1e21 and below 1e-6. Null is null."""
+    text = c.cast("string")
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(F.abs(c).cast("string"), "E", 1), r"\.0$", ""), r"\.", "")
+    power = -F.substring_index(text, "E", -1).cast("int")
+    small = F.concat(F.when(c < 0, "-").otherwise(""), F.lit("0."), F.repeat(F.lit("0"), power - 1), digits)
+    large = F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+    tiny = (F.abs(c) < 1e-3) & (F.abs(c) >= 1e-6)
+    return F.when(c.isNull(), "null").when(whole, F.floor(c).cast("long").cast("string")).when(tiny, small).when(F.abs(c) >= 1e7, large).otherwise(text)
+
+
 def feature_hash(claim_id: Column, as_of: Column, features: dict[str, Column]) -> Column:
-    """SHA-256 over JSON with sorted keys."""
-    inner = F.struct(*[features[k].alias(k) for k in sorted(features)])
-    return F.sha2(F.to_json(F.struct(as_of.cast("string").alias("asOf"), claim_id.alias("claimId"), inner.alias("features")), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 over the JSON of claimId, asOf (ISO, UTC) and the features with sorted keys."""
+    at = F.date_format(F.to_utc_timestamp(as_of.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    pairs = F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), json_number(features[k].cast("double"))) for k in sorted(features)])
+    return F.sha2(F.concat(F.lit('{"claimId":'), claim_id.cast("string"), F.lit(',"asOf":"'), at, F.lit('","features":{'), pairs, F.lit("}}")), 256)
 
 
 def fee_label(low: Column, high: Column) -> Column:

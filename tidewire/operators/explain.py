@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions import rules
 from tidewire.operators.evidence import claim_provenance
 
 QUIET_DAYS = 14
@@ -77,26 +78,67 @@ def _summed_up(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.withColumns({"evidence": F.coalesce("evidence", F.lit(0)), "independent": F.coalesce("independent", F.lit(0))})
 
 
-def forecast_factors(claims: DataFrame, evidence: DataFrame, now: Column) -> DataFrame:
-    """(claim_id, factor, direction, magnitude, evidence_id), one row per factor of a claim."""
+# Labels and explanations of factors.
+LABELS = {
+    "confirmation": "Official club confirmation",
+    "denial": "Official club denial",
+    "independent": "{} independent sources",
+    "single": "Single original source",
+    "none": "No corroborating evidence",
+    "conflict": "Conflicting report",
+    "quiet": "Evidence has gone quiet",
+    "fee": "Specific fee reported",
+}
+REASONS = {
+    "confirmation": "{} has officially confirmed this.",
+    "denial": "{} has officially denied this.",
+    "independent": "{} separately-originating reports corroborate this — counting distinct original stories, not syndicated copies of the same one.",
+    "single": "All {} articles trace back to one original report — republished and syndicated, not independently corroborated.",
+    "none": "No evidence has been captured for this claim yet.",
+    "conflict": "{} published a report that contradicts this claim.",
+    "quiet": "No new evidence in {} days.",
+    "fee": "A specific fee (€{}M) has been reported, suggesting detailed sourcing rather than speculation.",
+}
+
+
+def _filled(told: str, value: Column | None) -> Column:
+    if "{}" not in told:
+        return F.lit(told)
+    before, after = told.split("{}")
+    return F.concat(F.lit(before), value.cast("string"), F.lit(after))
+
+
+def forecast_factors(claims: DataFrame, evidence: DataFrame, now: Column, sources: DataFrame | None = None) -> DataFrame:
+    """(claim_id, factor, direction, magnitude, evidence_id, explanation), one row per factor of a claim.
+
+    With `sources` (id, name) the explanations name the club or outlet; without, or where the name is unknown, they say "The club" or "A source".
+    """
     rows = _summed_up(claims, evidence)
+    named = {"confirmation_id": "The club", "denial_id": "The club", "contradicting": "A source"}
+    if sources is not None:
+        names = sources.select(F.col("id").alias("_s"), F.col("name").alias("_name"))
+        of = evidence.where("source_type = 'CLUB_OFFICIAL' OR direction = 'CONTRADICTS'").join(names, F.col("source_id") == F.col("_s")).groupBy(F.col("claim_id").alias("_nc"), F.col("id").alias("_ni")).agg(F.min("_name").alias("_name"))
+        for key in named:
+            one = of.select(F.col("_nc").alias("_oc"), F.col("_ni").alias("_oi"), F.col("_name").alias(f"_{key}"))
+            rows = rows.join(one, (F.col("id") == F.col("_oc")) & (F.col(key) == F.col("_oi")), "left").drop("_oc", "_oi")
+    who = lambda key: F.coalesce(F.col(f"_{key}") if sources is not None else F.lit(None).cast("string"), F.lit(named[key]))
     n, quiet = F.col("independent"), (F.unix_millis(now) - F.unix_millis(F.col("last_evidence_at").cast("timestamp"))) / 86_400_000
     unsaid = F.col("confirmation_id").isNull() & F.col("denial_id").isNull()
 
-    def factor(when: Column, name: str, sign: str, magnitude: Column, item: Column | None = None) -> Column:
+    def factor(when: Column, kind: str, sign: str, magnitude: Column, item: Column | None = None, told: Column | None = None) -> Column:
         item = F.lit(None) if item is None else item
-        return F.when(when, F.struct(F.lit(name).alias("factor"), F.lit(sign).alias("direction"), magnitude.cast("double").alias("magnitude"), item.cast("long").alias("evidence_id")))
+        return F.when(when, F.struct(_filled(LABELS[kind], told).alias("factor"), F.lit(sign).alias("direction"), magnitude.cast("double").alias("magnitude"), item.cast("long").alias("evidence_id"), _filled(REASONS[kind], told).alias("explanation")))
 
     found = F.array_compact(
         F.array(
-            factor(F.col("confirmation_id").isNotNull(), "official confirmation", "positive", F.lit(1.0), F.col("confirmation_id")),
-            factor(F.col("denial_id").isNotNull(), "official denial", "negative", F.lit(1.0), F.col("denial_id")),
-            factor(n >= 2, "independent sources", "positive", F.least(n / 5, F.lit(1.0)) * 0.75, F.col("strongest")),
-            factor((n == 1) & (F.col("evidence") > 1), "single original source", "negative", F.lit(0.4), F.col("strongest")),
-            factor(n == 0, "no evidence", "negative", F.lit(0.5)),
-            factor(F.col("contradicting").isNotNull(), "conflicting report", "negative", F.lit(0.5), F.col("contradicting")),
-            factor(unsaid & (quiet > QUIET_DAYS), "quiet", "negative", F.least(quiet / 60, F.lit(1.0)) * 0.5),
-            factor(F.col("stated_fee").isNotNull(), "stated fee", "positive", F.lit(0.25)),
+            factor(F.col("confirmation_id").isNotNull(), "confirmation", "positive", F.lit(1.0), F.col("confirmation_id"), who("confirmation_id")),
+            factor(F.col("denial_id").isNotNull(), "denial", "negative", F.lit(1.0), F.col("denial_id"), who("denial_id")),
+            factor(n >= 2, "independent", "positive", F.least(n / 5, F.lit(1.0)) * 0.75, F.col("strongest"), n),
+            factor((n == 1) & (F.col("evidence") > 1), "single", "negative", F.lit(0.4), F.col("strongest"), F.col("evidence")),
+            factor(n == 0, "none", "negative", F.lit(0.5)),
+            factor(F.col("contradicting").isNotNull(), "conflict", "negative", F.lit(0.5), F.col("contradicting"), who("contradicting")),
+            factor(unsaid & (quiet > QUIET_DAYS), "quiet", "negative", F.least(quiet / 60, F.lit(1.0)) * 0.5, None, F.floor(quiet + 0.5)),
+            factor(F.col("stated_fee").isNotNull(), "fee", "positive", F.lit(0.25), None, rules.plain_number(F.col("stated_fee"))),
         )
     )
     return rows.select(F.col("id").alias("claim_id"), F.explode(found).alias("f")).select("claim_id", "f.*")

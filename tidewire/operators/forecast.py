@@ -133,12 +133,6 @@ def rank_auc(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     return met.select("pos", "neg", u.alias("u")).agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
-def current_model(models: DataFrame) -> DataFrame:
-    """The newest model of each definition and whether it has enough rows."""
-    by = Window.partitionBy("definition_id").orderBy(F.desc("trained_at"), F.desc("id"))
-    return models.withColumn("rank", F.row_number().over(by)).where("rank <= 5").withColumns({"is_current": F.col("rank") == 1, "enough": F.col("n_train") + F.col("n_test") >= F.col("min_samples")})
-
-
 def train_forecast(df: DataFrame, least: int = 200):
     """(pipeline, isotonic, metrics) from features, `label` and `split` (ML2). Scaled logistic regression with C = 1, isotonic on
     the validation rows, metrics on the test rows."""

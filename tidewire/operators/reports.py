@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewire.operators.evidence import categorise_evidence
+
+# Product event types.
+CREATED, PANEL, HISTORY, UPGRADE = "WATCHLIST_CREATED", "PROVENANCE_PANEL_VIEWED", "FORECAST_HISTORY_VIEWED", "UPGRADE_INTEREST_CLICKED"
+
 
 def evidence_metadata(evidence: DataFrame, limit: int = 500) -> DataFrame:
     """The newest items' provenance columns, never their text."""
@@ -22,12 +27,20 @@ def validate_product_events(events: DataFrame, kinds: dict[str, tuple[str, ...]]
     return events.withColumn("valid", F.coalesce(F.col("event_type").isin(*kinds), F.lit(False))).withColumn(metadata, F.when(allowed != "{}", allowed))
 
 
-def evidence_timeline(evidence: DataFrame) -> DataFrame:
-    """Every claim's items in time with their number, and root and its time for copies."""
-    roots = evidence.select(F.col("id").alias("_r"), F.col("published_at").alias("root_published_at"))
+def evidence_timeline(evidence: DataFrame, category: str | None = None) -> DataFrame:
+    """Every claim's items in time with their number, and root and its time for copies: one row an item.
+
+    A root is looked up within its claim; where several rows have its id, the earliest time counts. With a category, only its items
+    are listed and numbered.
+    """
+    roots = evidence.groupBy(F.col("claim_id").alias("_c"), F.col("id").alias("_r")).agg(F.min("published_at").alias("root_published_at"))
+    rows = evidence
+    if category is not None:
+        marked = categorise_evidence(evidence).where(F.array_contains(F.split("categories", ","), category)).select(F.col("claim_id").alias("_mc"), F.col("id").alias("_m")).distinct()
+        rows = evidence.join(marked, F.col("claim_id").eqNullSafe(F.col("_mc")) & (F.col("id") == F.col("_m")), "left_semi")
     place = F.row_number().over(Window.partitionBy("claim_id").orderBy("published_at", "id"))
-    numbered = evidence.select("claim_id", "id", "published_at", "root_id", place.alias("nth"))
-    return numbered.join(roots, F.col("root_id") == F.col("_r"), "left").drop("_r")
+    listed = rows.select("claim_id", "id", "published_at", "root_id", place.alias("nth"))
+    return listed.join(roots, F.col("claim_id").eqNullSafe(F.col("_c")) & (F.col("root_id") == F.col("_r")), "left").drop("_c", "_r")
 
 
 def articles_by_rumour(rumours: DataFrame, articles: DataFrame, limit: int = 50, status: str | None = None) -> DataFrame:
@@ -88,17 +101,17 @@ def product_metrics(users: DataFrame, events: DataFrame, caps: DataFrame) -> Dat
 
     users: id, tier; events: user_id, event_type; caps: user_id of refused additions.
     """
-    created = events.where("event_type = 'watchlist_created'").select(F.col("user_id").alias("_u")).distinct()
+    created = events.where(F.col("event_type") == CREATED).select(F.col("user_id").alias("_u")).distinct()
     signed = users.join(created, F.col("id") == F.col("_u"), "left").agg(F.try_divide(F.count("_u"), F.count(F.lit(1))).alias("activation_rate"))
-    viewed = F.count_if(F.col("event_type").isin("provenance_panel_viewed", "forecast_history_viewed"))
-    used = events.agg(F.try_divide(viewed, F.count_distinct("user_id")).alias("views_per_active_user"), F.count_if(F.col("event_type") == "upgrade_interest_clicked").alias("upgrade_clicks"))
+    viewed = F.count_if(F.col("event_type").isin(PANEL, HISTORY))
+    used = events.agg(F.try_divide(viewed, F.count_distinct("user_id")).alias("views_per_active_user"), F.count_if(F.col("event_type") == UPGRADE).alias("upgrade_clicks"))
     hit = users.where("tier = 'FREE'").join(caps.select(F.col("user_id").alias("_h")).distinct(), F.col("id") == F.col("_h"), "left").agg(F.try_divide(F.count("_h"), F.count(F.lit(1))).alias("cap_hit_rate"))
     return signed.join(used, F.lit(True)).join(hit, F.lit(True))  # three single rows
 
 
 def upgrade_clicks(events: DataFrame, metadata: str = "metadata") -> DataFrame:
     """Upgrade clicks by the feature that prompted them."""
-    return events.where("event_type = 'upgrade_interest_clicked'").groupBy(F.get_json_object(metadata, "$.featureKey").alias("feature_key")).agg(F.count(F.lit(1)).alias("clicks"))
+    return events.where(F.col("event_type") == UPGRADE).groupBy(F.get_json_object(metadata, "$.featureKey").alias("feature_key")).agg(F.count(F.lit(1)).alias("clicks"))
 
 
 def touched_scores(batch: DataFrame, scored: DataFrame, likelihood: Column, recorded_at: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
 from tidewire.operators import evidence as ev
-from tidewire.operators import enrichment, explain, extraction, forecast, mentions, outcomes, reports, serving
+from tidewire.operators import enrichment, explain, extraction, forecast, mentions, models, outcomes, reports, serving
 from tidewire.plans.domain import NOW, ctes, view
 from tidewire.sources import io
 
@@ -327,17 +327,23 @@ def reconciled_catalog(spark, d):
     return mentions.reconcile_catalog(old, new, text.normalise_club_name).select("action", "id", "external_id", "name")
 
 
-_SUMMED = f"""{ctes("claims", "evidence")}, e AS (SELECT claim_id, count(*) AS items, count(DISTINCT coalesce(root_id, id)) AS n, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS') AS yes, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'DENIES') AS no,
+_SUMMED_CORE = f""", e AS (SELECT claim_id, count(*) AS items, count(DISTINCT coalesce(root_id, id)) AS n, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS') AS yes, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'DENIES') AS no,
  arg_min(id, (published_at, id)) FILTER (direction = 'CONTRADICTS') AS against, min(id) AS strongest FROM evidence GROUP BY 1),
  s AS (SELECT c.*, coalesce(n, 0) AS n, items, yes, no, against, strongest, (epoch_ms({NOW}) - epoch_ms(last_evidence_at)) / 86400000.0 AS quiet FROM claims c LEFT JOIN e ON e.claim_id = c.id)"""
-
-
-@query(f"""{_SUMMED} SELECT id AS claim_id, 'official confirmation' AS factor, 'positive' AS direction, 1.0::DOUBLE AS magnitude, yes AS evidence_id FROM s WHERE yes IS NOT NULL
- UNION ALL SELECT id, 'official denial', 'negative', 1.0, no FROM s WHERE no IS NOT NULL UNION ALL SELECT id, 'independent sources', 'positive', round(least(n / 5.0, 1.0) * 0.75, 6), strongest FROM s WHERE n >= 2
- UNION ALL SELECT id, 'single original source', 'negative', 0.4, strongest FROM s WHERE n = 1 AND items > 1 UNION ALL SELECT id, 'no evidence', 'negative', 0.5, NULL FROM s WHERE n = 0 UNION ALL SELECT id, 'conflicting report', 'negative', 0.5, against FROM s WHERE against IS NOT NULL
- UNION ALL SELECT id, 'quiet', 'negative', round(least(quiet / 60, 1.0) * 0.5, 6), NULL FROM s WHERE yes IS NULL AND no IS NULL AND quiet > 14 UNION ALL SELECT id, 'stated fee', 'positive', 0.25, NULL FROM s WHERE stated_fee IS NOT NULL""")
+_SUMMED = ctes("claims", "evidence") + _SUMMED_CORE
+
+
+@query(f"""{ctes("claims", "evidence", "sources")}{_SUMMED_CORE}, w AS (SELECT e.id, name FROM evidence e JOIN sources s ON s.id = source_id)
+ SELECT s.id AS claim_id, 'Official club confirmation' AS factor, 'positive' AS direction, 1.0::DOUBLE AS magnitude, yes AS evidence_id, concat(coalesce(name, 'The club'), ' has officially confirmed this.') AS explanation FROM s LEFT JOIN w ON w.id = yes WHERE yes IS NOT NULL
+ UNION ALL SELECT s.id, 'Official club denial', 'negative', 1.0, no, concat(coalesce(name, 'The club'), ' has officially denied this.') FROM s LEFT JOIN w ON w.id = no WHERE no IS NOT NULL
+ UNION ALL SELECT id, concat(n, ' independent sources'), 'positive', round(least(n / 5.0, 1.0) * 0.75, 6), strongest, concat(n, ' separately-originating reports corroborate this — counting distinct original stories, not syndicated copies of the same one.') FROM s WHERE n >= 2
+ UNION ALL SELECT id, 'Single original source', 'negative', 0.4, strongest, concat('All ', items, ' articles trace back to one original report — republished and syndicated, not independently corroborated.') FROM s WHERE n = 1 AND items > 1
+ UNION ALL SELECT id, 'No corroborating evidence', 'negative', 0.5, NULL, 'No evidence has been captured for this claim yet.' FROM s WHERE n = 0
+ UNION ALL SELECT s.id, 'Conflicting report', 'negative', 0.5, against, concat(coalesce(name, 'A source'), ' published a report that contradicts this claim.') FROM s LEFT JOIN w ON w.id = against WHERE against IS NOT NULL
+ UNION ALL SELECT id, 'Evidence has gone quiet', 'negative', round(least(quiet / 60, 1.0) * 0.5, 6), NULL, concat('No new evidence in ', CAST(floor(quiet + 0.5) AS BIGINT), ' days.') FROM s WHERE yes IS NULL AND no IS NULL AND quiet > 14
+ UNION ALL SELECT id, 'Specific fee reported', 'positive', 0.25, NULL, concat('A specific fee (€', CASE WHEN stated_fee = floor(stated_fee) THEN CAST(CAST(stated_fee AS BIGINT) AS VARCHAR) ELSE CAST(stated_fee AS VARCHAR) END, 'M) has been reported, suggesting detailed sourcing rather than speculation.') FROM s WHERE stated_fee IS NOT NULL""")
 def forecast_factors(spark, d):
-    return explain.forecast_factors(view(spark, d, "claims"), view(spark, d, "evidence"), F.expr(NOW)).withColumn("magnitude", F.round("magnitude", 6))
+    return explain.forecast_factors(view(spark, d, "claims"), view(spark, d, "evidence"), F.expr(NOW), view(spark, d, "sources")).withColumn("magnitude", F.round("magnitude", 6))
 
 
 @query(f"""{_SUMMED} SELECT id AS claim_id, 'confirmation' AS question FROM s WHERE yes IS NULL UNION ALL SELECT id, 'denial' FROM s WHERE no IS NULL UNION ALL SELECT id, 'corroboration' FROM s WHERE n < 2 UNION ALL SELECT id, 'time' FROM s WHERE window_name IS NOT NULL""")
@@ -348,7 +354,7 @@ def open_questions(spark, d):
 @query(f"""{ctes("claims", "evidence", "players", "clubs")}, c AS (SELECT c.id AS claim_id, player_id, from_club_id, to_club_id FROM claims c), i AS (SELECT e.* FROM evidence e JOIN c USING (claim_id))
  SELECT claim_id, 'originated' AS kind, 'claim-' || claim_id AS source, 'player-' || player_id AS target FROM c WHERE player_id IN (SELECT id FROM players) UNION ALL SELECT claim_id, 'originated', 'claim-' || claim_id, 'club-' || from_club_id FROM c WHERE from_club_id IN (SELECT id FROM clubs)
  UNION ALL SELECT claim_id, 'originated', 'claim-' || claim_id, 'club-' || to_club_id FROM c WHERE to_club_id IN (SELECT id FROM clubs) UNION ALL SELECT claim_id, 'originated', 'source-' || source_id, 'evidence-' || id FROM i
- UNION ALL SELECT claim_id, CASE WHEN direction = 'DENIES' THEN 'denied' WHEN direction = 'CONFIRMS' AND source_type = 'CLUB_OFFICIAL' THEN 'confirmed' ELSE 'corroborated' END, 'evidence-' || id, 'claim-' || claim_id FROM i WHERE direction = 'DENIES' OR (direction = 'CONFIRMS' AND source_type = 'CLUB_OFFICIAL') OR (root_id IS NULL AND direction IN ('CONFIRMS', 'SUPPORTS'))""")
+ UNION ALL SELECT claim_id, 'cited', 'evidence-' || id, 'evidence-' || parent_id FROM i WHERE parent_id IS NOT NULL UNION ALL SELECT claim_id, CASE WHEN direction = 'DENIES' THEN 'denied' WHEN direction = 'CONFIRMS' AND source_type = 'CLUB_OFFICIAL' THEN 'confirmed' ELSE 'corroborated' END, 'evidence-' || id, 'claim-' || claim_id FROM i WHERE direction = 'DENIES' OR (direction = 'CONFIRMS' AND source_type = 'CLUB_OFFICIAL') OR (root_id IS NULL AND direction IN ('CONFIRMS', 'SUPPORTS'))""")
 def provenance_edges(spark, d):
     return explain.provenance_edges(view(spark, d, "claims"), view(spark, d, "evidence"), view(spark, d, "players"), view(spark, d, "clubs"))
 
@@ -412,7 +418,7 @@ def validated_events(spark, d):
     return reports.validate_product_events(io.read_table(spark, d, "events"), {"view": (), "click": ("k",), "signup": ()}, "props").select("event_id", "valid", "props")
 
 
-@query(f"{ctes('evidence')} SELECT e.claim_id, e.id, e.published_at, e.root_id, row_number() OVER (PARTITION BY e.claim_id ORDER BY e.published_at, e.id) AS nth, r.published_at AS root_published_at FROM evidence e LEFT JOIN evidence r ON e.root_id = r.id")
+@query(f"{ctes('evidence')} SELECT e.claim_id, e.id, e.published_at, e.root_id, row_number() OVER (PARTITION BY e.claim_id ORDER BY e.published_at, e.id) AS nth, (SELECT min(r.published_at) FROM evidence r WHERE r.claim_id = e.claim_id AND r.id = e.root_id) AS root_published_at FROM evidence e")
 def evidence_timeline(spark, d):
     return reports.evidence_timeline(view(spark, d, "evidence"))
 
@@ -470,14 +476,14 @@ def watchlist_listing(spark, d):
     return reports.watchlist_listing(watched, view(spark, d, "players"), view(spark, d, "clubs"))
 
 
-_PRODUCT = "CASE event_type WHEN 'signup' THEN 'watchlist_created' WHEN 'view' THEN 'provenance_panel_viewed' WHEN 'click' THEN 'upgrade_interest_clicked' WHEN 'purchase' THEN 'forecast_history_viewed' ELSE event_type END"
+_PRODUCT = "CASE WHEN event_type = 'signup' AND value > 60 THEN 'WATCHLIST_CREATED' WHEN event_type = 'view' THEN 'PROVENANCE_PANEL_VIEWED' WHEN event_type = 'click' THEN 'UPGRADE_INTEREST_CLICKED' WHEN event_type = 'purchase' THEN 'FORECAST_HISTORY_VIEWED' ELSE 'ALERT_ACTIVATED' END"
 
 
-@query(f"WITH e AS (SELECT user_id, {_PRODUCT} AS t FROM events WHERE user_id % 7 <> 0), u AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'PRO' ELSE 'FREE' END AS tier FROM customer), c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 80), w AS (SELECT DISTINCT user_id FROM e WHERE t = 'watchlist_created') SELECT (SELECT count(user_id) / count(*) FROM u LEFT JOIN w ON id = user_id) AS activation_rate, (SELECT count(*) FILTER (t IN ('provenance_panel_viewed', 'forecast_history_viewed')) / count(DISTINCT user_id) FROM e) AS views_per_active_user, (SELECT count(*) FILTER (t = 'upgrade_interest_clicked') FROM e) AS upgrade_clicks, (SELECT count(user_id) / count(*) FROM u LEFT JOIN c ON id = user_id WHERE tier = 'FREE') AS cap_hit_rate")
+@query(f"WITH e AS (SELECT user_id, {_PRODUCT} AS t FROM events), u AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'PRO' ELSE 'FREE' END AS tier FROM customer), c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 80), w AS (SELECT DISTINCT user_id FROM e WHERE t = 'WATCHLIST_CREATED') SELECT (SELECT count(user_id) / count(*) FROM u LEFT JOIN w ON id = user_id) AS activation_rate, (SELECT count(*) FILTER (t IN ('PROVENANCE_PANEL_VIEWED', 'FORECAST_HISTORY_VIEWED')) / count(DISTINCT user_id) FROM e) AS views_per_active_user, (SELECT count(*) FILTER (t = 'UPGRADE_INTEREST_CLICKED') FROM e) AS upgrade_clicks, (SELECT count(user_id) / count(*) FROM u LEFT JOIN c ON id = user_id WHERE tier = 'FREE') AS cap_hit_rate")
 def product_metrics(spark, d):
     events = io.read_table(spark, d, "events")
     users = io.read_table(spark, d, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 3 = 0 THEN 'PRO' ELSE 'FREE' END AS tier")
-    return reports.product_metrics(users, events.where("user_id % 7 <> 0").select("user_id", F.expr(_PRODUCT).alias("event_type")), events.where("event_type = 'error' AND value > 80").select("user_id"))
+    return reports.product_metrics(users, events.select("user_id", F.expr(_PRODUCT).alias("event_type")), events.where("event_type = 'error' AND value > 80").select("user_id"))
 
 
 @query("SELECT json_extract_string(props, '$.k') AS feature_key, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1")
@@ -491,12 +497,14 @@ def tier_scores(spark, d):
     return view(spark, d, "sources").select("id", rules.tier_score(F.col("tier")).alias("score"))
 
 
-@query(f"""WITH f AS (SELECT o_orderkey AS id, o_orderkey % 4 <> 0 AS has_model, CASE WHEN o_orderkey % 5 = 0 THEN 'synthetic' ELSE 'real_outcomes' END AS src, o_orderkey % 400 AS n_test, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 100 / 100.0 END AS p, CAST(0 AS DOUBLE) AS low, o_orderkey % 10 / CAST(10 AS DOUBLE) AS high FROM orders)
- SELECT id, CASE WHEN NOT has_model OR src <> 'real_outcomes' OR n_test < 200 OR p IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN high - low > 0.4 THEN 'INTERVAL' ELSE 'PRECISE' END AS mode,
- CASE WHEN NOT has_model THEN 'no model' WHEN src <> 'real_outcomes' THEN 'not trained on real outcomes' WHEN n_test < 200 THEN 'too few test rows' WHEN p IS NULL THEN 'no score' END AS reason FROM f""")
+@query("""WITH f AS (SELECT o_orderkey AS id, o_orderkey % 4 <> 0 AS has_model, CASE WHEN o_orderkey % 5 = 0 THEN 'synthetic' WHEN o_orderkey % 11 <> 0 THEN 'db' END AS src, o_orderkey % 400 AS n_test, 150 + o_orderkey % 3 * 50 AS least, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 100 / 100.0 END AS p, CAST(0 AS DOUBLE) AS low, o_orderkey % 10 / CAST(10 AS DOUBLE) AS high FROM orders),
+ g AS (SELECT *, CASE WHEN NOT has_model THEN 1 WHEN coalesce(src, '') <> 'db' THEN 2 WHEN n_test < least THEN 3 WHEN p IS NULL THEN 4 WHEN high - low > 0.4 THEN 5 ELSE 6 END AS rule FROM f)
+ SELECT id, CASE rule WHEN 6 THEN 'PRECISE' WHEN 5 THEN 'INTERVAL' ELSE 'INSUFFICIENT_DATA' END AS mode, CASE rule WHEN 1 THEN 'No trained model exists yet for this forecast definition.'
+ WHEN 2 THEN 'The current model is trained on synthetic data only — no calibrated probability can be shown until enough resolved real outcomes exist to train on.'
+ WHEN 3 THEN concat('Model was evaluated on only ', n_test, ' held-out samples (need ', least, '+) — not enough to trust an out-of-sample estimate.') WHEN 4 THEN 'Forecasting service unavailable.' END AS reason FROM g""")
 def display_gates(spark, d):
     k = F.col("o_orderkey")
-    gate = rules.display_gate(k % 4 != 0, F.when(k % 5 == 0, "synthetic").otherwise("real_outcomes"), k % 400, F.when(k % 7 != 0, k % 100 / 100), F.lit(0.0), k % 10 / F.lit(10.0))
+    gate = rules.display_gate(k % 4 != 0, F.when(k % 5 == 0, "synthetic").when(k % 11 != 0, "db"), k % 400, F.when(k % 7 != 0, k % 100 / 100), F.lit(0.0), k % 10 / F.lit(10.0), 150 + k % 3 * 50)
     return io.read_table(spark, d, "orders").select(k.alias("id"), gate.alias("g")).select("id", "g.mode", "g.reason")
 
 
@@ -516,3 +524,33 @@ def fee_labels(spark, d):
     low = F.when(k.isin(1, 3, 4), amount).when(k == 2, amount + 0.5)
     high = F.when(k == 1, amount).when(k == 3, amount + 4)
     return io.read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.fee_label(low, high).alias("label"))
+
+
+# customers stand for registrations of model versions, nations for definitions
+_MODELS = """SELECT c_custkey AS id, c_nationkey AS definition_id, concat('forecast-v', c_custkey % 400) AS version, TIMESTAMP '2026-01-01 00:00:00' + c_custkey * 7919 % 5000 * INTERVAL '1' HOUR AS trained_at, CASE WHEN c_custkey % 3 = 0 THEN 'synthetic' ELSE 'db' END AS data_source,
+ c_custkey % 500 AS n_test, 150 + c_custkey % 3 * 50 AS min_samples, TIMESTAMP '2026-06-01 00:00:00' + c_custkey * 104729 % 9000 * INTERVAL '1' MINUTE AS registered_at FROM {customer}"""
+_DEFINITIONS = "SELECT n_nationkey AS id, n_regionkey + 1 AS version, n_nationkey % 4 <> 1 AS is_active FROM {nation}"
+_REGISTRY = f"""m AS ({_MODELS.format(customer='customer')}), one AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY version ORDER BY registered_at DESC, id DESC) = 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY definition_id ORDER BY registered_at DESC, id DESC) = 1 AS is_current FROM one)"""
+
+
+def _models(spark, d):
+    return spark.sql(_MODELS, customer=io.read_table(spark, d, "customer"))
+
+
+@query(f"""WITH {_REGISTRY}, d AS ({_DEFINITIONS.format(nation='nation')}), k AS (SELECT r.*, d.version AS definition_version, row_number() OVER (PARTITION BY definition_id ORDER BY trained_at DESC, r.id DESC) AS rank FROM r JOIN d ON d.id = definition_id AND is_active)
+ SELECT definition_id, definition_version, CAST(rank AS INT) AS rank, version, trained_at, data_source, is_current, n_test >= min_samples AS enough FROM k WHERE rank <= 5""")
+def model_registry(spark, d):
+    return models.current_models(_models(spark, d), spark.sql(_DEFINITIONS, nation=io.read_table(spark, d, "nation")))
+
+
+@query(f"""WITH {_REGISTRY}, c AS (SELECT * FROM r WHERE is_current), f AS (SELECT o_orderkey AS claim_id, o_orderkey % 30 AS definition_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 101 / CAST(100 AS DOUBLE) END AS p, o_orderkey % 11 / CAST(20 AS DOUBLE) AS w FROM orders),
+ g AS (SELECT f.*, c.id AS model_id, n_test, min_samples, CASE WHEN c.id IS NULL THEN 1 WHEN data_source <> 'db' THEN 2 WHEN n_test < min_samples THEN 3 WHEN p IS NULL THEN 4 WHEN w > 0.4 THEN 5 ELSE 6 END AS rule FROM f LEFT JOIN c USING (definition_id))
+ SELECT claim_id, definition_id, model_id, CASE rule WHEN 6 THEN 'PRECISE' WHEN 5 THEN 'INTERVAL' ELSE 'INSUFFICIENT_DATA' END AS display_mode, CASE WHEN rule > 4 THEN p END AS calibrated, CASE WHEN rule > 4 THEN w END AS high,
+ CASE rule WHEN 1 THEN 'No trained model exists yet for this forecast definition.' WHEN 2 THEN 'The current model is trained on synthetic data only — no calibrated probability can be shown until enough resolved real outcomes exist to train on.'
+ WHEN 3 THEN concat('Model was evaluated on only ', n_test, ' held-out samples (need ', min_samples, '+) — not enough to trust an out-of-sample estimate.') WHEN 4 THEN 'Forecasting service unavailable.' END AS reason FROM g""")
+def gated_forecasts(spark, d):
+    k = F.col("o_orderkey")
+    p, none = F.when(k % 7 != 0, k % 101 / F.lit(100.0)), F.lit(None).cast("string")
+    scored = io.read_table(spark, d, "orders").select(k.alias("claim_id"), (k % 30).alias("definition_id"), p.alias("raw"), p.alias("calibrated"), F.lit(0.0).alias("low"), (k % 11 / F.lit(20.0)).alias("high"), none.alias("model_version"))
+    return models.gate(scored, models.registry(_models(spark, d))).select("claim_id", "definition_id", "model_id", "display_mode", "calibrated", "high", "reason")

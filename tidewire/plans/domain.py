@@ -23,9 +23,12 @@ VIEWS = {
         o_orderdate AS rumour_date, CASE WHEN extract(month FROM o_orderdate) BETWEEN 6 AND 8 THEN 'SUMMER' ELSE 'WINTER' END AS window_name, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 0.6 END AS DOUBLE) AS base_probability,
         CAST(o_orderkey * 37 % 101 AS DOUBLE) AS likelihood, 1 + o_orderkey % 4 AS source_count, o_orderkey % 4 = 0 AS from_club_inferred FROM {{orders}}""",
     "signals": f"SELECT o_orderkey AS id, {_HEADLINE} AS headline, o_orderdate AS published_at, o_orderkey % 20 AS source_id FROM {{orders}}",
-    "evidence": """SELECT l_orderkey * 1000000 + l_partkey % 100000 * 10 + l_linenumber AS id, l_orderkey AS claim_id, l_suppkey % 20 AS source_id, l_shipdate AS published_at,
+    "evidence": """SELECT id, claim_id, source_id, published_at, direction, source_type, confidence, CASE WHEN copied THEN first_id END AS root_id,
+        CASE WHEN copied THEN coalesce(max(CASE WHEN copied THEN id END) OVER (PARTITION BY claim_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_id) END AS parent_id
+        FROM (SELECT *, l_suppkey % 4 = 0 AND id > first_id AS copied FROM (SELECT l_orderkey * 10000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS id, l_orderkey * 10000 + 1 AS first_id, l_suppkey,
+        l_orderkey AS claim_id, l_suppkey % 20 AS source_id, l_shipdate AS published_at,
         CASE WHEN l_linenumber % 6 = 1 THEN 'CONFIRMS' WHEN l_linenumber % 6 = 2 THEN 'DENIES' WHEN l_returnflag = 'R' THEN 'CONTRADICTS' WHEN l_returnflag = 'A' THEN 'CONTEXTUAL' ELSE 'SUPPORTS' END AS direction,
-        CASE WHEN l_linestatus = 'F' AND l_suppkey % 3 = 0 THEN 'CLUB_OFFICIAL' ELSE 'NEWS_OUTLET' END AS source_type, l_discount * 10 AS confidence, CASE WHEN l_suppkey % 4 = 0 AND l_orderkey * 1000000 + l_partkey % 100000 * 10 + l_linenumber <> min(l_orderkey * 1000000 + l_partkey % 100000 * 10 + l_linenumber) OVER (PARTITION BY l_orderkey) THEN min(l_orderkey * 1000000 + l_partkey % 100000 * 10 + l_linenumber) OVER (PARTITION BY l_orderkey) END AS root_id FROM {lineitem}""",
+        CASE WHEN l_linestatus = 'F' AND l_suppkey % 3 = 0 THEN 'CLUB_OFFICIAL' ELSE 'NEWS_OUTLET' END AS source_type, l_discount * 10 AS confidence FROM {lineitem}) n) c""",
     "usage": "SELECT event_id AS id, user_id AS api_key_id, ts AS created_at, event_type FROM {events}",
     "claims": f"""SELECT o_orderkey AS id, o_custkey AS player_id, o_orderkey % {CLUBS} AS from_club_id, o_orderkey * 3 % {CLUBS} AS to_club_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS stated_fee,
         CASE WHEN o_orderkey % 3 = 0 THEN 24 END AS stated_months, CASE WHEN o_orderkey % 5 = 0 THEN 'UNKNOWN' ELSE 'LOAN' END AS transfer_type, CASE o_orderkey % 3 WHEN 0 THEN 'SUMMER' WHEN 1 THEN 'WINTER' ELSE 'FREE_AGENT' END AS window_name,
