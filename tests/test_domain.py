@@ -99,14 +99,37 @@ def test_near_duplicates_equal_naive_join(spark):
     assert got == {(i, j) for i, j in whole if first[i] == i and first[j] == j} | {(i, first[i]) for i in first if first[i] != i}
 
 
+def test_near_duplicates_of_nulls_and_long_texts(spark):
+    rows = [(1, None, 1, None), (2, None, 2, ".."), (3, None, 3, "a b c d"), (4, None, 4, "a b c e"), (5, 7, 5, ""), (6, 7, 6, None), (7, 7, 7, "a b c d"), (8, 7, 8, "D C b a a"), (9, 8, 9, " ".join(f"x{i}" for i in range(30_000))), (10, 8, 10, " ".join(f"x{i}" for i in range(29_000)))]
+    got = {(r.item_id, r.candidate_id, round(r.similarity, 3)) for r in evidence.near_duplicate_pairs(spark.createDataFrame(rows, "id long, claim_id long, seq long, text string")).collect()}
+    assert got == {(2, 1, 1.0), (4, 3, 0.6), (6, 5, 1.0), (8, 7, 1.0), (10, 9, 0.967)}
+
+
+def test_near_duplicates_lose_nothing_at_any_threshold(spark):
+    import random
+
+    random.seed(6)
+    words = [f"w{i}" for i in range(60)]
+    base = [random.choices(words, k=random.randint(5, 40)) for _ in range(12)]
+    rows = [(i, i % 2, i, " ".join(w if random.random() > 0.15 else random.choice(words) for w in random.choice(base))) for i in range(160)]
+    sets = {i: frozenset(t.split()) for i, _, _, t in rows}
+    df = spark.createDataFrame(rows, "id long, claim_id long, seq long, text string")
+    for t in (0.3, 0.55, 0.8):
+        got = {(r.item_id, r.candidate_id) for r in evidence.near_duplicate_pairs(df, t).collect()}
+        first = {i: min(j for j, d, _, _ in rows if c == d and sets[j] == sets[i]) for i, c, _, _ in rows}
+        want = {(i, j) for i, c, _, _ in rows for j, d, _, _ in rows if c == d and j < i and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t and first[i] == i and first[j] == j}
+        assert got == want | {(i, first[i]) for i in first if first[i] != i} and len(want) > 20
+
+
 def test_features_do_not_see_the_future(spark):
     ev = spark.createDataFrame([(1, 1, 1, datetime(2025, 1, 5), "SUPPORTS", "NEWS_OUTLET", 0.9, None), (2, 1, 1, datetime(2025, 2, 1), "CONFIRMS", "CLUB_OFFICIAL", 0.9, None)], "id long, claim_id long, source_id long, published_at timestamp, direction string, source_type string, confidence double, root_id long")
     claims = spark.createDataFrame([(1, 7, None, None, "LOAN", None, T0)], "id long, player_id long, stated_fee double, stated_months int, transfer_type string, window string, first_seen_at timestamp")
     players = spark.createDataFrame([(8, T0)], "id long, contract_end timestamp")
     src = spark.createDataFrame([(1, 2)], "id long, tier int")
-    asked = spark.createDataFrame([(1, datetime(2025, 1, 10)), (1, datetime(2024, 12, 1))], "claim_id long, as_of timestamp")
+    asked = spark.createDataFrame([(1, datetime(2025, 1, 10)), (1, datetime(2025, 1, 2)), (1, datetime(2024, 12, 1))], "claim_id long, as_of timestamp")
     f = {r.as_of: r for r in forecast.evidence_features(asked, ev, src, claims, players).collect()}
-    now, before = f[datetime(2025, 1, 10)], f[datetime(2024, 12, 1)]
+    now, before = f[datetime(2025, 1, 10)], f[datetime(2025, 1, 2)]
+    assert datetime(2024, 12, 1) not in f  # the claim was not there yet
     assert (now.evidenceCount, now.hasOfficialConfirmation, now.independentRootCount, now.monthsToContractExpiry, now.windowDaysRemaining) == (1, 0, 1, -1, -1)
     assert (before.evidenceCount, before.hasEvidence, before.mostRecentEvidenceAgeHours, before.sourceTierScore) == (0, 0, 8760, 0.5)
 

@@ -76,31 +76,53 @@ def resolve_roots(parents: DataFrame) -> DataFrame:
             return at
 
 
+SIGNATURE = 8  # words of 64 bits
+
+
 def near_duplicate_pairs(evidence: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(item_id, candidate_id, similarity): pairs of a claim, later and earlier, with token Jaccard from the threshold.
 
     Items of a claim with equal token sets are a class; its first item stands for it. Every other item is one row with that
-    first item, similarity 1; only first items are compared, so a group of copies gives as many rows as it has items.
-    Prefix filter: with tokens in one order, rarest first, two sets at Jaccard t share one of the first
-    n - ceil(t n) + 1 tokens of each. So pairs meet on (claim, rare token), not on the claim alone. Items without tokens are a class.
+    first item, similarity 1; only first items are compared, so a group of copies gives as many rows as it has items. Items without
+    tokens (a null text has none) are a class; items without a claim are one claim.
+
+    With tokens in one order, rarest first, two sets at Jaccard t share one of the first n - ceil(t n) + 1 tokens of the longer and of
+    the first n - ceil(2 t n / (1 + t)) + 1 of the shorter. Postings of these (claim, token, place) carry a signature of SIGNATURE x 64 bits; a
+    pair dies in the join if the tokens after the shared place cannot reach the overlap, or if the bits that only one side has show that
+    too many of its tokens are missing in the other. Only what is left meets whole sets.
     """
-    items = evidence.select("id", "claim_id", "seq", F.array_sort(text.tokens(F.col("text"))).alias("t"))
-    classes = items.groupBy(F.col("claim_id").alias("_claim"), F.col("t").alias("_t")).agg(F.min_by("id", F.struct("seq", "id")).alias("_first"))
-    items = io.materialise(items.join(classes, F.col("claim_id").eqNullSafe(F.col("_claim")) & (F.col("t") == F.col("_t"))).select("id", "claim_id", "seq", "t", "_first"), "near-items")
-    copies = items.where("id <> _first").select(F.col("id").alias("item_id"), F.col("_first").alias("candidate_id"), F.lit(1.0).alias("similarity"))
-    rows = items.where("id = _first").drop("_first").withColumn("n", F.size("t"))
-    each = rows.select("id", "claim_id", "seq", "n", F.explode(F.when(F.col("n") > 0, F.col("t")).otherwise(F.array(F.lit("")))).alias("w"))
-    often = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    prefix = each.join(often.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w")).withColumn("r", rank).where(F.col("r") <= F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold) + 1)).select("id", "claim_id", "seq", "n", "w")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    length = (F.col("b.n") >= F.col("a.n") * threshold) & (F.col("a.n") >= F.col("b.n") * threshold)
-    met = a.join(b, (F.col("a.claim_id") == F.col("b.claim_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("b.seq") < F.col("a.seq")) & length)
-    pairs = met.select(F.col("a.id").alias("item_id"), F.col("b.id").alias("candidate_id")).distinct()
-    left, right = rows.select(F.col("id").alias("_a"), F.col("t").alias("ta")), rows.select(F.col("id").alias("_b"), F.col("t").alias("tb"))
+    items = evidence.select("id", "claim_id", "seq", F.coalesce(F.array_sort(text.tokens(F.col("text"))), F.array().cast("array<string>")).alias("t"))
+    items = items.withColumn("n", F.size("t")).withColumn("digest", F.sha2(F.array_join("t", " "), 256))
+    items = io.materialise(items, "near-items")
+    classes = items.groupBy(F.col("claim_id").alias("_claim"), F.col("digest").alias("_digest")).agg(F.min_by("id", F.struct("seq", "id")).alias("_first"), F.count(F.lit(1)).alias("_many"))
+    copied = classes.where("_many > 1")
+    copies = items.join(copied, F.col("claim_id").eqNullSafe(F.col("_claim")) & (F.col("digest") == F.col("_digest"))).where("id <> _first").select(F.col("id").alias("item_id"), F.col("_first").alias("candidate_id"), F.lit(1.0).alias("similarity"))
+    firsts = items.join(classes.select(F.col("_first").alias("_f"), F.col("_claim").alias("_c")), (F.col("id") == F.col("_f")) & F.col("claim_id").eqNullSafe(F.col("_c")), "left_semi").where("n > 0")
+
+    each = firsts.select("id", "claim_id", "seq", "n", F.explode("t").alias("w")).select("id", "claim_id", "seq", "n", F.xxhash64("w").alias("h"))
+    often = each.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("df"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))
+    part = F.pmod(F.call_function("shiftright", F.col("h"), F.lit(6)), F.lit(SIGNATURE))
+    signature = [F.coalesce(F.bit_or(F.when(part == k, bit)), F.lit(0).cast("long")).alias(f"s{k}") for k in range(SIGNATURE)]
+    rows = each.join(often, F.col("h") == F.col("_h")).groupBy("id", "claim_id", "seq", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"), *signature)
+    longer, shorter = (F.col("n") - F.ceil(F.col("n") * c - 1e-9) + 1 for c in (threshold, 2 * threshold / (1 + threshold)))
+    names = ["id", "claim_id", "seq", "n", *[f"s{k}" for k in range(SIGNATURE)]]
+    posted = rows.select(*names, F.posexplode(F.slice("o", F.lit(1), F.least(longer, F.col("n")).cast("int"))).alias("at", "o"), F.least(shorter, F.col("n")).alias("short")).select(*names, "at", "short", F.col("o.h").alias("h"))
+    posted = io.materialise(posted, "near-postings")
+
+    a, b = posted.alias("a"), posted.where("at < short").alias("b")
+    # the overlap that the threshold asks for, and what each filter leaves of it
+    need = (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-6
+    rest = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.s{k}")))) for k in range(1, SIGNATURE)), F.bit_count(F.col(f"{x}.s0").bitwiseAND(F.bitwise_not(F.col(f"{y}.s0")))))
+    order = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") > F.col("b.id")))
+    fits = order & (F.col("b.n") >= F.col("a.n") * threshold - 1e-6) & (rest >= need) & (F.col("a.n") - only("a", "b") >= need) & (F.col("b.n") - only("b", "a") >= need)
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.claim_id").eqNullSafe(F.col("b.claim_id")) & fits)
+    later = F.struct("a.seq", "a.id") > F.struct("b.seq", "b.id")
+    pairs = met.select(F.when(later, F.col("a.id")).otherwise(F.col("b.id")).alias("item_id"), F.when(later, F.col("b.id")).otherwise(F.col("a.id")).alias("candidate_id")).distinct()
+    left, right = items.select(F.col("id").alias("_a"), F.col("t").alias("ta")), items.select(F.col("id").alias("_b"), F.col("t").alias("tb"))
     full = pairs.join(left, F.col("item_id") == F.col("_a")).join(right, F.col("candidate_id") == F.col("_b"))
-    either = F.size(F.array_union("ta", "tb"))
-    score = F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect("ta", "tb")) / F.when(either == 0, 1).otherwise(either))
+    score = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
     return full.select("item_id", "candidate_id", score.alias("similarity")).where(F.col("similarity") >= threshold).unionByName(copies)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tidewire.functions import rules
 from tidewire.operators.slices import sliced
+from tidewire.operators.timeline import as_of, changes
 from tidewire.sources.io import materialise
 
 SUPPORT, CONTRADICT = ("SUPPORTS", "CONFIRMS"), ("CONTRADICTS", "DENIES")
@@ -24,30 +25,36 @@ OLDEST_H = 8760.0
 LIKELIHOOD_FEATURES = ("sourceReliability", "monthsToContractExpiry", "monthsToContractExpiry_missing", "feeMid", "feeMid_missing", "marketValue", "marketValue_missing", "clubNeedScore", "distinctSourceCount", "baseProbability", "baseProbability_missing")
 
 
-def evidence_as_of(predictions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Predictions (claim_id, as_of) with the claim's evidence published until then; kept without any."""
-    e = evidence.select(F.col("claim_id").alias("_c"), *[c for c in evidence.columns if c != "claim_id"])
-    return predictions.join(e, (F.col("claim_id") == F.col("_c")) & (F.col("published_at") <= F.col("as_of")), "left").drop("_c")
+def evidence_as_of(predictions: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """Predictions (claim_id, as_of) with running totals of the claim's evidence published until then; zeros without any.
+
+    n, tiers, conf: count and sums of tier scores and confidences; pro, contra: supporting and contradicting items; yes, no: official
+    words; newest: microseconds; roots: distinct roots; sources, siding: sources, and those whose last word supports (W2).
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    tiers = sources.select(F.col("id").alias("_s"), "tier")
+    rows = evidence.select("claim_id", "id", "source_id", F.coalesce("root_id", "id").alias("root"), us("published_at").alias("us"), "direction", "source_type", "confidence").join(tiers, F.col("source_id") == F.col("_s"), "left")
+    official = F.col("source_type") == "CLUB_OFFICIAL"
+    moments = rows.groupBy("claim_id", "us").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(rules.tier_score(F.col("tier"))).alias("tiers"), F.sum("confidence").alias("conf"), F.count_if(F.col("direction").isin(*SUPPORT)).alias("pro"), F.count_if(F.col("direction").isin(*CONTRADICT)).alias("contra"),
+        F.count_if(official & (F.col("direction") == "CONFIRMS")).alias("yes"), F.count_if(official & (F.col("direction") == "DENIES")).alias("no"),
+    ).withColumn("newest", F.col("us"))
+    roots = rows.groupBy("claim_id", "root").agg(F.min("us").alias("us")).groupBy("claim_id", "us").agg(F.count(F.lit(1)).alias("roots"))
+    words = rows.groupBy("claim_id", "source_id", "us").agg(F.max_by(F.col("direction").isin(*SUPPORT).cast("long"), "id").alias("side"))
+    turns = changes(words, ["claim_id", "source_id"], "side").groupBy("claim_id", "us").agg(F.sum("delta").alias("siding"), F.count_if("first").alias("sources"))
+    events = moments.unionByName(roots, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True)
+    asks = predictions.select("claim_id", us("as_of").alias("us"))
+    met = as_of(events, asks, ["claim_id"], ["n", "tiers", "conf", "pro", "contra", "yes", "no", "roots", "siding", "sources"], ["newest"]).withColumnsRenamed({"claim_id": "_claim", "us": "_us"})
+    return predictions.join(met, F.col("claim_id").eqNullSafe(F.col("_claim")) & (us("as_of") == F.col("_us"))).drop("_claim", "_us")
 
 
 def evidence_features(predictions: DataFrame, evidence: DataFrame, sources: DataFrame, claims: DataFrame, players: DataFrame) -> DataFrame:
-    """The 17 features of every (claim_id, as_of) (A17). Source counters are never read, nor evidence after as_of."""
-    tiers = sources.select(F.col("id").alias("_s"), "tier")
-    met = evidence_as_of(predictions, evidence).join(tiers, F.col("source_id") == F.col("_s"), "left")
-    has = F.col("id").isNotNull()
-    per_source = met.groupBy("claim_id", "as_of", "source_id").agg(
-        F.max_by("direction", F.struct("published_at", "id")).alias("last"), F.sum(F.when(has, rules.tier_score(F.col("tier")))).alias("tiers"), F.count("id").alias("n"),
-        F.count_if(F.col("direction").isin(*SUPPORT)).alias("pro"), F.count_if(F.col("direction").isin(*CONTRADICT)).alias("contra"), F.max("published_at").alias("newest"), F.sum("confidence").alias("conf"),
-        F.max(F.when((F.col("source_type") == "CLUB_OFFICIAL") & (F.col("direction") == "CONFIRMS"), 1).otherwise(0)).alias("yes"), F.max(F.when((F.col("source_type") == "CLUB_OFFICIAL") & (F.col("direction") == "DENIES"), 1).otherwise(0)).alias("no"),
-    )
-    total = per_source.groupBy("claim_id", "as_of").agg(
-        F.sum("tiers").alias("tiers"), F.sum("n").alias("n"), F.sum("pro").alias("pro"), F.sum("contra").alias("contra"), F.max("newest").alias("newest"), F.sum("conf").alias("conf"), F.max("yes").alias("yes"), F.max("no").alias("no"),
-        F.count("source_id").alias("sources"), F.count_if(F.col("last").isin(*SUPPORT)).alias("siding"),
-    )
-    roots = met.groupBy(F.col("claim_id").alias("_rc"), F.col("as_of").alias("_ra")).agg(F.count_distinct(F.coalesce("root_id", "id")).alias("roots"))
+    """The 17 features of every (claim_id, as_of) (A17). Source counters are never read, nor evidence after as_of; a claim that was first seen
+    after as_of has no row."""
+    total = evidence_as_of(predictions.select("claim_id", "as_of").distinct(), evidence, sources)
     c = claims.select(F.col("id").alias("_cid"), "player_id", "stated_fee", "stated_months", "transfer_type", F.col("window"), "first_seen_at")
     p = players.select(F.col("id").alias("_pid"), "contract_end")
-    rows = total.join(roots, (F.col("claim_id") == F.col("_rc")) & (F.col("as_of") == F.col("_ra"))).join(c, F.col("claim_id") == F.col("_cid")).join(p, F.col("player_id") == F.col("_pid"), "left")
+    rows = total.join(c, F.col("claim_id") == F.col("_cid")).where(F.col("first_seen_at") <= F.col("as_of")).join(p, F.col("player_id") == F.col("_pid"), "left")
     months = rules.months_to(F.col("contract_end"), F.col("as_of"))
     left = (rules.millis(rules.window_cutoff(F.col("window"), F.col("first_seen_at"))) - rules.millis(F.col("as_of"))) / 86_400_000
     yes = lambda c: c.cast("int").cast("double")
@@ -59,10 +66,10 @@ def evidence_features(predictions: DataFrame, evidence: DataFrame, sources: Data
         "independentRootCount": F.col("roots").cast("double"),
         "evidenceCount": n.cast("double"),
         "evidenceDirectionScore": ratio(F.col("pro"), directional, 0.5),
-        "mostRecentEvidenceAgeHours": F.coalesce(F.least((rules.millis(F.col("as_of")) - rules.millis(F.col("newest"))) / 3_600_000, F.lit(OLDEST_H)), F.lit(OLDEST_H)),
+        "mostRecentEvidenceAgeHours": F.coalesce(F.least((F.unix_micros(F.col("as_of").cast("timestamp")) - F.col("newest")) / 3_600_000_000, F.lit(OLDEST_H)), F.lit(OLDEST_H)),
         "hasEvidence": yes(n > 0),
-        "hasOfficialConfirmation": F.col("yes").cast("double"),
-        "hasOfficialDenial": F.col("no").cast("double"),
+        "hasOfficialConfirmation": yes(F.col("yes") > 0),
+        "hasOfficialDenial": yes(F.col("no") > 0),
         "detailSpecificityScore": (yes(F.col("stated_fee").isNotNull()) + yes(F.col("stated_months").isNotNull()) + yes(F.col("transfer_type") != "UNKNOWN")) / 3,
         "sourceAgreementScore": ratio(F.greatest("siding", F.col("sources") - F.col("siding")), F.col("sources"), 0.5),
         "monthsToContractExpiry": F.coalesce(months, F.lit(-1.0)),
@@ -77,36 +84,34 @@ def evidence_features(predictions: DataFrame, evidence: DataFrame, sources: Data
 
 def resolve_labels(predictions: DataFrame, evidence: DataFrame, claims: DataFrame, now: Column, horizon_days: int = 30, use_cutoff: bool = True) -> DataFrame:
     """1 with an official confirmation in (as_of, deadline], 0 once the deadline is past, else null."""
-    official = evidence.where("source_type = 'CLUB_OFFICIAL' and direction = 'CONFIRMS'").select(F.col("claim_id").alias("_c"), "published_at")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    official = evidence.where("source_type = 'CLUB_OFFICIAL' and direction = 'CONFIRMS'").select("claim_id", us("published_at").alias("us")).distinct().withColumn("next", -F.col("us"))
     c = claims.select(F.col("id").alias("_id"), "window", "first_seen_at")
     end = F.col("as_of") + F.make_dt_interval(F.lit(horizon_days))
     deadline = F.least(end, rules.window_cutoff(F.col("window"), F.col("first_seen_at"))) if use_cutoff else end
-    rows = predictions.join(c, F.col("claim_id") == F.col("_id")).select("claim_id", "as_of", deadline.alias("deadline"))
-    met = rows.join(official, (F.col("claim_id") == F.col("_c")) & (F.col("published_at") > F.col("as_of")) & (F.col("published_at") <= F.col("deadline")), "left")
-    out = met.groupBy("claim_id", "as_of", "deadline").agg(F.min("published_at").alias("confirmed_at"))
+    rows = predictions.join(c, F.col("claim_id") == F.col("_id")).select("claim_id", "as_of", deadline.alias("deadline")).distinct()
+    first = as_of(official, rows.select("claim_id", us("as_of").alias("us")), ["claim_id"], maxes=["next"], after=True, strict=True).withColumnsRenamed({"claim_id": "_c", "us": "_us"})
+    met = rows.join(first, (F.col("claim_id") == F.col("_c")) & (us("as_of") == F.col("_us")), "left")
+    at = F.timestamp_micros(-F.col("next")).cast(evidence.schema["published_at"].dataType)
+    out = met.select("claim_id", "as_of", "deadline", F.when(at <= F.col("deadline"), at).alias("confirmed_at"))
     return out.withColumn("label", F.when(F.col("confirmed_at").isNotNull(), 1).when(F.col("deadline") <= now, 0))
 
 
-def time_split(df: DataFrame, at: str = "as_of", key: str = "claim_id", train: float = 0.6, validate: float = 0.2, slices: int = 64) -> DataFrame:
-    """Oldest to newest: floor(.6 n) train, next floor(.2 n) validate, rest test (W7). Rows are range-partitioned by approximate
-    quantiles into slices; ranks are counted within a slice and offset by the counts of those before."""
-    stamp = F.unix_micros(F.col(at).cast("timestamp"))
-    cuts = df.select(F.percentile_approx(stamp, [i / slices for i in range(1, slices)], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < stamp)) if cuts else F.lit(0)
-    rows = df.withColumn("_slice", place)
-    counts = {r["_slice"]: r["count"] for r in rows.groupBy("_slice").count().collect()}  # at most `slices` rows
+def time_split(df: DataFrame, at: str = "as_of", key: str = "claim_id", train: float = 0.6, validate: float = 0.2) -> DataFrame:
+    """Oldest to newest: floor(.6 n) train, next floor(.2 n) validate, rest test (W7). Rows are dealt by ranges of (time, key), so
+    that many rows of one time are many tasks; ranks are counted within a range and offset by the counts of those before."""
+    rows = materialise(df.repartitionByRange(at, key).withColumn("_part", F.spark_partition_id()), "split-rows")
     starts, n = [], 0
-    for s in sorted(counts):
-        starts.append((s, n))
-        n += counts[s]
+    for r in rows.groupBy("_part").count().orderBy("_part").collect():  # a row a partition
+        starts.append((r["_part"], n))
+        n += r["count"]
     if not n:
         return df.withColumn("split", F.lit(None).cast("string"))
     first = df.sparkSession.createDataFrame(starts, "_s int, _start long")
-    rank = F.row_number().over(Window.partitionBy("_slice").orderBy(at, key)) + F.col("_start") - 1
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(at, key)) + F.col("_start") - 1
     a, b = int(train * n), int(train * n) + int(validate * n)
-    ranked = rows.join(F.broadcast(first), F.col("_slice") == F.col("_s")).withColumn("_rank", rank)
-    return ranked.withColumn("split", F.when(F.col("_rank") < a, "train").when(F.col("_rank") < b, "validation").otherwise("test")).drop("_slice", "_s", "_start", "_rank")
+    ranked = rows.join(F.broadcast(first), F.col("_part") == F.col("_s")).withColumn("_rank", rank)
+    return ranked.withColumn("split", F.when(F.col("_rank") < a, "train").when(F.col("_rank") < b, "validation").otherwise("test")).drop("_part", "_s", "_start", "_rank")
 
 
 def calibration_bins(df: DataFrame, p: str = "p", y: str = "y", n: int = 10) -> DataFrame:

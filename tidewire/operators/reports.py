@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.operators.evidence import categorise_evidence
+from tidewire.operators.timeline import as_of
 
 # Product event types.
 CREATED, PANEL, HISTORY, UPGRADE = "WATCHLIST_CREATED", "PROVENANCE_PANEL_VIEWED", "FORECAST_HISTORY_VIEWED", "UPGRADE_INTEREST_CLICKED"
@@ -81,11 +82,20 @@ def forecast_history(forecasts: DataFrame) -> DataFrame:
 
 
 def nearest_point(series: DataFrame, events: DataFrame) -> DataFrame:
-    """Every event's point of its claim that is nearest in time, the earlier of two as near (J19). series: claim_id, predicted_at."""
-    points = series.select(F.col("claim_id").alias("_c"), "predicted_at")
-    far = F.abs(F.unix_micros(F.col("predicted_at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))
-    met = events.join(points, F.col("claim_id") == F.col("_c"))
-    return met.groupBy("claim_id", "id", "at").agg(F.min_by("predicted_at", F.struct(far, "predicted_at")).alias("nearest"))
+    """Every event's point of its claim that is nearest in time, the earlier of two as near (J19). series: claim_id, predicted_at; events: claim_id, id, at.
+
+    The last point up to an event and the first from it on come from one timeline each; no event meets all points. Events of claims without points have no row.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    points = series.select("claim_id", us("predicted_at").alias("us")).where("us is not null").distinct()
+    asks = events.select("claim_id", us("at").alias("us"))
+    last = as_of(points.withColumn("last", F.col("us")), asks, ["claim_id"], maxes=["last"])
+    following = as_of(points.withColumn("following", -F.col("us")), asks, ["claim_id"], maxes=["following"], after=True).withColumnsRenamed({"claim_id": "_c", "us": "_u"})
+    both = last.join(following, F.col("claim_id").eqNullSafe(F.col("_c")) & (F.col("us") == F.col("_u"))).withColumn("following", -F.col("following"))
+    earlier = F.col("following").isNull() | (F.col("us") - F.col("last") <= F.col("following") - F.col("us"))
+    nearest = F.when(F.col("last").isNotNull() & earlier, F.col("last")).otherwise(F.col("following"))
+    found = both.select(F.col("claim_id").alias("_e"), F.col("us").alias("_at"), F.timestamp_micros(nearest).cast(series.schema["predicted_at"].dataType).alias("nearest")).where("nearest is not null")
+    return events.join(found, F.col("claim_id").eqNullSafe(F.col("_e")) & (us("at") == F.col("_at"))).select("claim_id", "id", "at", "nearest")
 
 
 def watchlist_listing(watchlist: DataFrame, players: DataFrame, clubs: DataFrame) -> DataFrame:

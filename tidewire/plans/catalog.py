@@ -196,10 +196,28 @@ def provenance_roots(spark, d):
     return ev.resolve_roots(ids.select("id", F.expr("CASE WHEN id % 7 <> 0 THEN id - 1 - id % 3 % (id % 7) END").alias("parent_id")))
 
 
-@query(f"{ctes('predictions', 'evidence')}, m AS (SELECT p.claim_id, p.as_of, e.* EXCLUDE (claim_id) FROM predictions p LEFT JOIN evidence e ON e.claim_id = p.claim_id AND e.published_at <= p.as_of) SELECT claim_id, as_of, CAST(count(id) AS DOUBLE) AS evidence_count, CAST(count(DISTINCT coalesce(root_id, id)) AS DOUBLE) AS roots, round(CASE WHEN count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS', 'CONTRADICTS', 'DENIES')) = 0 THEN 0.5 ELSE count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS')) / count(*) FILTER (direction IN ('SUPPORTS', 'CONFIRMS', 'CONTRADICTS', 'DENIES')) END, 6) AS direction_score, round(coalesce(avg(confidence), 0), 6) AS confidence, round(coalesce(least(8760.0, (epoch_ms(as_of) - epoch_ms(max(published_at))) / 3600000), 8760.0), 6) AS age_hours FROM m GROUP BY 1, 2")
+_CUTOFF = "CASE window_name WHEN 'SUMMER' THEN CASE WHEN make_timestamp(year(first_seen_at), 8, 31, 23, 59, 59) >= first_seen_at THEN make_timestamp(year(first_seen_at), 8, 31, 23, 59, 59) ELSE make_timestamp(year(first_seen_at) + 1, 8, 31, 23, 59, 59) END WHEN 'WINTER' THEN CASE WHEN make_timestamp(year(first_seen_at), 1, 31, 23, 59, 59) >= first_seen_at THEN make_timestamp(year(first_seen_at), 1, 31, 23, 59, 59) ELSE make_timestamp(year(first_seen_at) + 1, 1, 31, 23, 59, 59) END END"
+
+
+@query(f"""{ctes('predictions', 'evidence', 'sources', 'claims', 'players')}, m AS (SELECT p.claim_id, p.as_of, e.* EXCLUDE (claim_id), CASE WHEN e.id IS NULL THEN NULL WHEN s.tier IS NULL THEN 0.5 ELSE (6 - greatest(1.0, least(5.0, s.tier))) / 5 END AS score, direction IN ('SUPPORTS', 'CONFIRMS') AS pro, direction IN ('CONTRADICTS', 'DENIES') AS contra
+  FROM predictions p LEFT JOIN evidence e ON e.claim_id = p.claim_id AND e.published_at <= p.as_of LEFT JOIN sources s ON s.id = e.source_id),
+ l AS (SELECT claim_id, as_of, count(*) AS n, count(*) FILTER (side) AS siding FROM (SELECT claim_id, as_of, source_id, arg_max(pro, (published_at, id)) AS side FROM m WHERE id IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ g AS (SELECT claim_id, as_of, avg(score) AS tiers, count(id) AS n, count(DISTINCT coalesce(root_id, id)) AS roots, count(*) FILTER (pro) AS pro, count(*) FILTER (contra) AS contra, max(published_at) AS newest, avg(confidence) AS conf,
+  coalesce(bool_or(source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS'), false) AS yes, coalesce(bool_or(source_type = 'CLUB_OFFICIAL' AND direction = 'DENIES'), false) AS no FROM m GROUP BY 1, 2),
+ c AS (SELECT g.*, coalesce(l.n, 0) AS sources, coalesce(siding, 0) AS siding, c.*, (epoch_ms(contract_end) - epoch_ms(as_of)) / (30.44 * 86400000) AS months, (epoch_ms({_CUTOFF}) - epoch_ms(as_of)) / 86400000 AS days_left FROM g LEFT JOIN l USING (claim_id, as_of) JOIN claims c ON c.id = claim_id JOIN players p ON p.id = player_id WHERE first_seen_at <= as_of)
+ SELECT claim_id, as_of, round(coalesce(tiers, 0.5), 6) AS sourceTierScore, round(coalesce(tiers, 0.5), 6) AS sourceTrackRecordScore, roots::DOUBLE AS independentRootCount, n::DOUBLE AS evidenceCount, round(CASE WHEN pro + contra = 0 THEN 0.5 ELSE pro / (pro + contra) END, 6) AS evidenceDirectionScore,
+  round(coalesce(least(8760.0, (epoch_ms(as_of) - epoch_ms(newest)) / 3600000), 8760.0), 6) AS mostRecentEvidenceAgeHours, (n > 0)::INT::DOUBLE AS hasEvidence, yes::INT::DOUBLE AS hasOfficialConfirmation, no::INT::DOUBLE AS hasOfficialDenial,
+  round(((stated_fee IS NOT NULL)::INT + (stated_months IS NOT NULL)::INT + (transfer_type <> 'UNKNOWN')::INT) / 3, 6) AS detailSpecificityScore, round(CASE WHEN sources = 0 THEN 0.5 ELSE greatest(siding, sources - siding) / sources END, 6) AS sourceAgreementScore,
+  round(coalesce(months, -1), 6) AS monthsToContractExpiry, (months IS NOT NULL)::INT::DOUBLE AS hasContractInfo, round(coalesce(days_left, -1), 6) AS windowDaysRemaining, (days_left IS NOT NULL)::INT::DOUBLE AS hasWindowInfo, round(coalesce(conf, 0), 6) AS entityMatchConfidence,
+  round(((stated_fee IS NOT NULL)::INT + (stated_months IS NOT NULL)::INT + (months IS NOT NULL)::INT + (days_left IS NOT NULL)::INT + (n > 0)::INT) / 5, 6) AS dataCompletenessScore FROM c""")
 def asof_features(spark, d):
     f = forecast.evidence_features(view(spark, d, "predictions"), view(spark, d, "evidence"), view(spark, d, "sources"), view(spark, d, "claims"), view(spark, d, "players"))
-    return f.select("claim_id", "as_of", F.col("evidenceCount").alias("evidence_count"), F.col("independentRootCount").alias("roots"), F.round("evidenceDirectionScore", 6).alias("direction_score"), F.round("entityMatchConfidence", 6).alias("confidence"), F.round("mostRecentEvidenceAgeHours", 6).alias("age_hours"))
+    return f.select("claim_id", "as_of", *[F.round(c, 6).alias(c) for c in forecast.FEATURES])
+
+
+@query(f"{ctes('predictions', 'evidence', 'claims')}, d AS (SELECT claim_id, as_of, coalesce(least(as_of + INTERVAL '30' DAY, {_CUTOFF}), as_of + INTERVAL '30' DAY) AS deadline FROM predictions JOIN claims ON id = claim_id), m AS (SELECT d.claim_id, d.as_of, d.deadline, min(e.published_at) AS confirmed_at FROM d LEFT JOIN evidence e ON e.claim_id = d.claim_id AND e.published_at > d.as_of AND e.published_at <= d.deadline AND source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS' GROUP BY 1, 2, 3) SELECT *, CASE WHEN confirmed_at IS NOT NULL THEN 1 WHEN deadline <= {NOW} THEN 0 END AS label FROM m")
+def cutoff_labels(spark, d):
+    return forecast.resolve_labels(view(spark, d, "predictions"), view(spark, d, "evidence"), view(spark, d, "claims"), F.expr(NOW))
 
 
 @query(f"{ctes('predictions', 'evidence')}, m AS (SELECT p.claim_id, p.as_of, p.as_of + INTERVAL '30' DAY AS deadline, min(e.published_at) AS confirmed_at FROM predictions p LEFT JOIN evidence e ON e.claim_id = p.claim_id AND e.published_at > p.as_of AND e.published_at <= p.as_of + INTERVAL '30' DAY AND source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS' GROUP BY 1, 2) SELECT *, CASE WHEN confirmed_at IS NOT NULL THEN 1 WHEN deadline <= {NOW} THEN 0 END AS label FROM m")
@@ -463,9 +481,9 @@ def forecast_history(spark, d):
     return reports.forecast_history(_forecasts(spark, d).groupBy("claim_id", "predicted_at").agg(F.min("calibrated").alias("calibrated")))
 
 
-@query(f"{_FORECASTS_SQL}, e AS (SELECT o_custkey AS claim_id, l_orderkey * 10 + l_linenumber AS id, min(l_shipdate) AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 2 GROUP BY 1, 2) SELECT e.claim_id, e.id, e.at, arg_min(predicted_at, (abs(epoch_us(predicted_at) - epoch_us(e.at)), epoch_us(predicted_at))) AS nearest FROM e JOIN f ON e.claim_id = f.claim_id GROUP BY 1, 2, 3")
+@query(f"{_FORECASTS_SQL}, e AS (SELECT o_custkey AS claim_id, l_orderkey * 10 + l_linenumber AS id, min(l_shipdate) AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) SELECT e.claim_id, e.id, e.at, arg_min(predicted_at, (abs(epoch_us(predicted_at) - epoch_us(e.at)), epoch_us(predicted_at))) AS nearest FROM e JOIN f ON e.claim_id = f.claim_id GROUP BY 1, 2, 3")
 def nearest_point(spark, d):
-    events = io.read_table(spark, d, "lineitem").where("l_linenumber = 2").join(io.read_table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    events = io.read_table(spark, d, "lineitem").join(io.read_table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     events = events.groupBy(F.col("o_custkey").alias("claim_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_shipdate").alias("at"))
     return reports.nearest_point(_forecasts(spark, d), events)
 
