@@ -214,7 +214,8 @@ def test_auc_and_history_by_slices(spark):
     assert abs(forecast.rank_auc(spark.createDataFrame(rows, "p double, y int")).first().auc - want) < 1e-12
     assert forecast.rank_auc(spark.createDataFrame([], "p double, y int")).first().auc is None
     done = [(i, random.choice([1, 1, 1, 2]), T0 + timedelta(hours=random.randint(0, 99)), random.random() < 0.5) for i in range(500)]
-    got = {r.id: (r.hits, r.misses) for r in outcomes.reliability_history(spark.createDataFrame(done, "id long, source_id long, at timestamp, hit boolean")).collect()}
+    none = spark.createDataFrame([], "id long, reliability double, hit_count long, miss_count long")
+    got = {r.id: (r.hits, r.misses) for r in outcomes.reliability_history(spark.createDataFrame(done, "id long, source_id long, at timestamp, hit boolean"), none).collect()}
     for i, s, t, _ in done:
         seen = [h for j, z, u, h in done if z == s and (u, j) <= (t, i)]
         assert got[i] == (sum(seen), len(seen) - sum(seen))

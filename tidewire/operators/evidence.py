@@ -46,11 +46,18 @@ def match_cited_source(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     cited = evidence.select("id", "source_id", text.source_key(text.cited_name(F.col("text"))).alias("cited")).where("cited <> ''")
     known = sources.select(F.col("id").alias("sid"), text.source_key(F.col("name")).alias("key"))
     same = cited.join(known, F.col("cited") == F.col("key")).select("id", "source_id", "sid", F.lit(0).alias("rule"))
+    # One set holds the other, so they meet on the rarest word of the smaller one, by how many sources have the word; no join on common words.
     words = lambda c: F.array_distinct(F.split(c, " "))
-    a = cited.select("id", "source_id", words(F.col("cited")).alias("cw")).where("size(cw) > 1").withColumn("w", F.explode("cw"))
-    b = known.select("sid", words(F.col("key")).alias("kw")).where("size(kw) > 1").withColumn("w2", F.explode("kw"))
-    inside = (F.size(F.array_except("cw", "kw")) == 0) | (F.size(F.array_except("kw", "cw")) == 0)
-    part = a.join(b, F.col("w") == F.col("w2")).where(inside).select("id", "source_id", "sid", F.lit(1).alias("rule")).distinct()
+    a = cited.select("id", "source_id", words(F.col("cited")).alias("cw")).where("size(cw) > 1")
+    b = known.select("sid", words(F.col("key")).alias("kw")).where("size(kw) > 1")
+    spread = b.select("sid", "kw", F.explode("kw").alias("w"))
+    often = spread.groupBy(F.col("w").alias("_w")).agg(F.count(F.lit(1)).alias("df"))
+    rarest = spread.join(often, F.col("w") == F.col("_w")).groupBy("sid", "kw").agg(F.min(F.struct("df", "w"))["w"].alias("k"))
+    asked = a.select("id", "source_id", "cw", F.explode("cw").alias("w")).join(often, F.col("w") == F.col("_w"), "left")
+    own = asked.groupBy("id", "source_id", "cw").agg(F.min(F.when(F.col("df").isNotNull(), F.struct("df", "w")))["w"].alias("k"), F.count_if(F.col("df").isNull()).alias("strange")).where("strange = 0")
+    holds = asked.join(rarest, F.col("w") == F.col("k")).where(F.size(F.array_except("kw", "cw")) == 0).select("id", "source_id", "sid")
+    held = own.join(spread, F.col("k") == F.col("w")).where(F.size(F.array_except("cw", "kw")) == 0).select("id", "source_id", "sid")
+    part = holds.unionByName(held).distinct().withColumn("rule", F.lit(1))
     # The own source is taken out before the choice, so that another match can win.
     hits = same.unionByName(part).where(~F.col("sid").eqNullSafe(F.col("source_id")))
     return hits.groupBy("id").agg(F.min_by("sid", F.struct("rule", "sid")).alias("cited_source_id"))
@@ -65,21 +72,30 @@ def attribution_parents(evidence: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def resolve_roots(parents: DataFrame) -> DataFrame:
-    """(id, root_id) from (id, parent_id) by pointer doubling (A3). Parents come earlier, so there are no cycles; the
+    """(id, root_id) from (id, parent_id) by pointer doubling (A3). Parents come earlier; a cycle is an error. The
     rounds are the logarithm of the longest chain. Every round is a table in the shared folder."""
     at = io.materialise(parents.select("id", F.coalesce("parent_id", "id").alias("root_id")), "roots")
+    most, rounds = None, 0
     while True:
         up = at.select(F.col("id").alias("_id"), F.col("root_id").alias("_up"))
         after = io.materialise(at.join(up, F.col("root_id") == F.col("_id"), "left").select("id", F.coalesce("_up", "root_id").alias("root_id"), (F.col("_up") != F.col("root_id")).alias("moved")), "roots")
         at = after.select("id", "root_id")
         if after.where("moved").isEmpty():
-            return at
+            break
+        most, rounds = most or at.count().bit_length() + 1, rounds + 1
+        if rounds > most:
+            raise ValueError("parents form a cycle")
+    # an even cycle settles on items that are not their own roots
+    ends = at.select(F.col("id").alias("_id"), F.col("root_id").alias("_up"))
+    if not at.join(ends, (F.col("root_id") == F.col("_id")) & (F.col("_up") != F.col("_id"))).isEmpty():
+        raise ValueError("parents form a cycle")
+    return at
 
 
 SIGNATURE = 8  # words of 64 bits
 
 
-def near_duplicate_pairs(evidence: DataFrame, threshold: float = 0.55) -> DataFrame:
+def near_duplicate_pairs(evidence: DataFrame, threshold: float = 0.55, fresh: str | None = None) -> DataFrame:
     """(item_id, candidate_id, similarity): pairs of a claim, later and earlier, with token Jaccard from the threshold.
 
     Items of a claim with equal token sets are a class; its first item stands for it. Every other item is one row with that
@@ -90,23 +106,26 @@ def near_duplicate_pairs(evidence: DataFrame, threshold: float = 0.55) -> DataFr
     the first n - ceil(2 t n / (1 + t)) + 1 of the shorter. Postings of these (claim, token, place) carry a signature of SIGNATURE x 64 bits; a
     pair dies in the join if the tokens after the shared place cannot reach the overlap, or if the bits that only one side has show that
     too many of its tokens are missing in the other. Only what is left meets whole sets.
+
+    fresh: a boolean column; then only pairs whose later item has it true are looked for.
     """
-    items = evidence.select("id", "claim_id", "seq", F.coalesce(F.array_sort(text.tokens(F.col("text"))), F.array().cast("array<string>")).alias("t"))
+    mark = F.lit(True) if fresh is None else F.col(fresh)
+    items = evidence.select("id", "claim_id", "seq", mark.alias("fresh"), F.coalesce(F.array_sort(text.tokens(F.col("text"))), F.array().cast("array<string>")).alias("t"))
     items = items.withColumn("n", F.size("t")).withColumn("digest", F.sha2(F.array_join("t", " "), 256))
     items = io.materialise(items, "near-items")
     classes = items.groupBy(F.col("claim_id").alias("_claim"), F.col("digest").alias("_digest")).agg(F.min_by("id", F.struct("seq", "id")).alias("_first"), F.count(F.lit(1)).alias("_many"))
     copied = classes.where("_many > 1")
-    copies = items.join(copied, F.col("claim_id").eqNullSafe(F.col("_claim")) & (F.col("digest") == F.col("_digest"))).where("id <> _first").select(F.col("id").alias("item_id"), F.col("_first").alias("candidate_id"), F.lit(1.0).alias("similarity"))
+    copies = items.join(copied, F.col("claim_id").eqNullSafe(F.col("_claim")) & (F.col("digest") == F.col("_digest"))).where("id <> _first and fresh").select(F.col("id").alias("item_id"), F.col("_first").alias("candidate_id"), F.lit(1.0).alias("similarity"))
     firsts = items.join(classes.select(F.col("_first").alias("_f"), F.col("_claim").alias("_c")), (F.col("id") == F.col("_f")) & F.col("claim_id").eqNullSafe(F.col("_c")), "left_semi").where("n > 0")
 
-    each = firsts.select("id", "claim_id", "seq", "n", F.explode("t").alias("w")).select("id", "claim_id", "seq", "n", F.xxhash64("w").alias("h"))
+    each = firsts.select("id", "claim_id", "seq", "fresh", "n", F.explode("t").alias("w")).select("id", "claim_id", "seq", "fresh", "n", F.xxhash64("w").alias("h"))
     often = each.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("df"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))
     part = F.pmod(F.call_function("shiftright", F.col("h"), F.lit(6)), F.lit(SIGNATURE))
     signature = [F.coalesce(F.bit_or(F.when(part == k, bit)), F.lit(0).cast("long")).alias(f"s{k}") for k in range(SIGNATURE)]
-    rows = each.join(often, F.col("h") == F.col("_h")).groupBy("id", "claim_id", "seq", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"), *signature)
+    rows = each.join(often, F.col("h") == F.col("_h")).groupBy("id", "claim_id", "seq", "fresh", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"), *signature)
     longer, shorter = (F.col("n") - F.ceil(F.col("n") * c - 1e-9) + 1 for c in (threshold, 2 * threshold / (1 + threshold)))
-    names = ["id", "claim_id", "seq", "n", *[f"s{k}" for k in range(SIGNATURE)]]
+    names = ["id", "claim_id", "seq", "fresh", "n", *[f"s{k}" for k in range(SIGNATURE)]]
     posted = rows.select(*names, F.posexplode(F.slice("o", F.lit(1), F.least(longer, F.col("n")).cast("int"))).alias("at", "o"), F.least(shorter, F.col("n")).alias("short")).select(*names, "at", "short", F.col("o.h").alias("h"))
     posted = io.materialise(posted, "near-postings")
 
@@ -117,8 +136,9 @@ def near_duplicate_pairs(evidence: DataFrame, threshold: float = 0.55) -> DataFr
     only = lambda x, y: sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.s{k}")))) for k in range(1, SIGNATURE)), F.bit_count(F.col(f"{x}.s0").bitwiseAND(F.bitwise_not(F.col(f"{y}.s0")))))
     order = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") > F.col("b.id")))
     fits = order & (F.col("b.n") >= F.col("a.n") * threshold - 1e-6) & (rest >= need) & (F.col("a.n") - only("a", "b") >= need) & (F.col("b.n") - only("b", "a") >= need)
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.claim_id").eqNullSafe(F.col("b.claim_id")) & fits)
     later = F.struct("a.seq", "a.id") > F.struct("b.seq", "b.id")
+    wanted = F.when(later, F.col("a.fresh")).otherwise(F.col("b.fresh"))
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.claim_id").eqNullSafe(F.col("b.claim_id")) & wanted & fits)
     pairs = met.select(F.when(later, F.col("a.id")).otherwise(F.col("b.id")).alias("item_id"), F.when(later, F.col("b.id")).otherwise(F.col("a.id")).alias("candidate_id")).distinct()
     left, right = items.select(F.col("id").alias("_a"), F.col("t").alias("ta")), items.select(F.col("id").alias("_b"), F.col("t").alias("tb"))
     full = pairs.join(left, F.col("item_id") == F.col("_a")).join(right, F.col("candidate_id") == F.col("_b"))
@@ -164,4 +184,4 @@ def ingest_evidence(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Items not stored yet: one per (url, claim), the first content wins (ST7's batch twin)."""
     first = new.groupBy("canonical_url", "claim_id").agg(F.min_by(F.struct(*new.columns), F.struct("fetched_at", "id")).alias("r")).select("r.*")
     old = existing.select(F.col("canonical_url").alias("_u"), F.col("claim_id").alias("_c"))
-    return first.join(old, (F.col("canonical_url") == F.col("_u")) & (F.col("claim_id") == F.col("_c")), "left_anti")
+    return first.join(old, (F.col("canonical_url").eqNullSafe(F.col("_u"))) & (F.col("claim_id").eqNullSafe(F.col("_c"))), "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.operators.slices import fold_anchors, sliced
+from tidewire.sources.io import materialise
 
 SETTLED = 20  # outcomes from which the running score is the plain hit rate
 
@@ -70,9 +71,13 @@ def source_reliability(outcomes: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("id", hits.cast("long").alias("hits"), (n - hits).cast("long").alias("misses"), score.alias("score"))
 
 
-def reliability_history(outcomes: DataFrame) -> DataFrame:
-    """Running hits and misses of each source after every outcome (W10). Outcomes are counted within slices of time, so that no
-    task orders all of a source, and the totals of earlier slices, at most 64 a source, are added."""
+def reliability_history(outcomes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Hits, misses and score of each source after every outcome (W10): id, source_id, at, hits, misses, score.
+
+    Outcomes are counted within slices of time, so that no task orders all of a source, and the totals of earlier slices, at most 64
+    a source, are added. From SETTLED outcomes on, those stored with the source included, the score is the clamped hit rate; before, it is folded over the source's first outcomes, which
+    are fewer than SETTLED. Outcomes of unknown sources start from 0.5 without counts.
+    """
     rows = sliced(outcomes, F.unix_micros(F.col("at").cast("timestamp")))
     hit = F.col("hit").cast("int")
     totals = rows.groupBy(F.col("source_id").alias("_s"), F.col("_slice").alias("_k")).agg(F.sum(hit).alias("_h"), F.count(F.lit(1)).alias("_n"))
@@ -81,8 +86,18 @@ def reliability_history(outcomes: DataFrame) -> DataFrame:
     by = Window.partitionBy("source_id", "_slice").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
     counted = rows.withColumns({"_hits": F.sum(hit).over(by), "_all": F.count(F.lit(1)).over(by)})
     met = counted.join(starts, F.col("source_id").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k")))
-    hits, n = F.col("_hits") + F.col("_h"), F.col("_all") + F.col("_n")
-    return met.select("id", "source_id", "at", hits.alias("hits"), (n - hits).alias("misses"))
+    met = met.select("id", "source_id", "at", "hit", (F.col("_hits") + F.col("_h")).alias("_nh"), (F.col("_all") + F.col("_n")).alias("_nth"))
+    known = sources.select(F.col("id").alias("_i"), F.col("reliability").alias("_r"), F.col("hit_count").alias("_hc"), F.col("miss_count").alias("_mc"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    met = materialise(met.join(known, F.col("source_id") == F.col("_i"), "left").withColumns({"_r": F.coalesce("_r", F.lit(0.5)), "_hc": zero("_hc"), "_mc": zero("_mc")}).drop("_i"), "reliability")
+    few = met.where(F.col("_nth") < SETTLED)
+    lists = few.groupBy(F.col("source_id").alias("_l")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", F.col("hit").cast("double").alias("h")))), lambda x: x["h"]).alias("_first"))
+    early = few.join(lists, F.col("source_id").eqNullSafe(F.col("_l")))
+    hits, n = F.col("_nh") + F.col("_hc"), F.col("_nth") + F.col("_hc") + F.col("_mc")
+    settled = F.greatest(F.lit(0.1), F.least(F.lit(0.99), hits / n))
+    folded = reliability_fold(F.col("_r"), F.col("_hc"), F.col("_hc") + F.col("_mc"), F.slice("_first", F.lit(1), F.col("_nth").cast("int")))
+    told = lambda df, score: df.select("id", "source_id", "at", hits.cast("long").alias("hits"), (n - hits).cast("long").alias("misses"), score.alias("score"))
+    return told(early, F.when(n >= SETTLED, settled).otherwise(folded)).unionByName(told(met.where(F.col("_nth") >= SETTLED), settled))
 
 
 def link_contradictions(new: DataFrame, rumours: DataFrame, now: Column, days: int = 30) -> DataFrame:
@@ -97,15 +112,35 @@ def link_contradictions(new: DataFrame, rumours: DataFrame, now: Column, days: i
     return new.join(tops, F.col("player_id") == F.col("_p")).select("id", other.alias("contradicts")).where("contradicts is not null")
 
 
-def apply_outcomes(rumours: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Rumours after their first terminal outcome, or their last forced one (M12). outcomes: rumour_id, at, status, forced."""
+TERMINAL = ("COMPLETED", "FAILED", "DENIED")
+
+
+def _settled(rumours: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Rumours with `_status`, the status after their outcomes, and `_at`, when it came: the last forced outcome, else for one that was
+    open the first."""
     order = F.struct("at", "status")
-    one = outcomes.groupBy(F.col("rumour_id").alias("_r")).agg(F.max_by("status", F.when(F.col("forced"), order)).alias("forced"), F.min_by("status", F.when(~F.col("forced"), order)).alias("first"))
+    forced, free = F.when(F.col("forced"), order), F.when(~F.col("forced"), order)
+    one = outcomes.groupBy(F.col("rumour_id").alias("_r")).agg(F.max(forced).alias("_forced"), F.min(free).alias("_first"))
     rows = rumours.join(one, F.col("id") == F.col("_r"), "left")
-    done = F.col("status").isin("COMPLETED", "FAILED", "DENIED")
-    status = F.coalesce("forced", F.when(done, F.col("status")), "first", "status")
-    likelihood = F.when(status == "COMPLETED", 100.0).when(status.isin("FAILED", "DENIED"), 0.0).otherwise(F.col("likelihood"))
-    return rows.withColumns({"likelihood": likelihood, "status": status}).drop("_r", "forced", "first")
+    said = F.when(F.col("_forced").isNotNull(), F.col("_forced")).when(~F.col("status").isin(*TERMINAL), F.col("_first"))
+    return rows.withColumns({"_status": said["status"], "_at": said["at"]}).drop("_r", "_forced", "_first")
+
+
+def _likelihood(status: Column, before: Column) -> Column:
+    return F.when(status == "COMPLETED", 100.0).when(status.isin("FAILED", "DENIED"), 0.0).otherwise(before)
+
+
+def apply_outcomes(rumours: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Rumours after their first terminal outcome, or their last forced one (M12). outcomes: rumour_id, at, status, forced."""
+    rows = _settled(rumours, outcomes)
+    status = F.coalesce("_status", "status")
+    return rows.withColumns({"likelihood": F.when(F.col("_status").isNotNull() | F.col("status").isin(*TERMINAL), _likelihood(status, F.col("likelihood"))).otherwise(F.col("likelihood")), "status": status}).drop("_status", "_at")
+
+
+def outcome_history(rumours: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The history row of every rumour that its outcomes changed: rumour_id, likelihood, status, recorded_at (M12). An outcome that a rumour has already changes nothing."""
+    rows = _settled(rumours, outcomes).where(F.col("_status").isNotNull() & (F.col("_status") != F.col("status")))
+    return rows.select(F.col("id").alias("rumour_id"), _likelihood(F.col("_status"), F.col("likelihood")).alias("likelihood"), F.col("_status").alias("status"), F.col("_at").alias("recorded_at"))
 
 
 def ensure_sources(signals: DataFrame, sources: DataFrame, defaults: DataFrame) -> DataFrame:
@@ -113,11 +148,3 @@ def ensure_sources(signals: DataFrame, sources: DataFrame, defaults: DataFrame)
     first = signals.groupBy("source_name").agg(F.min_by("implied_reliability", F.struct("published_at", "link")).alias("implied"))
     new = first.join(sources.select(F.col("name").alias("_n")), F.col("source_name") == F.col("_n"), "left_anti")
     return new.join(defaults.select(F.col("name").alias("_d"), "default"), F.col("source_name") == F.col("_d"), "left").select(F.col("source_name").alias("name"), F.lit("AGGREGATOR").alias("type"), F.coalesce("implied", "default", F.lit(0.5)).alias("reliability"))
-
-
-def watchlist_admission(adds: DataFrame, cap: int = 5) -> DataFrame:
-    """First adds of each user up to the cap; repeats of a held player are allowed and create nothing (W9, adds only)."""
-    first = F.row_number().over(Window.partitionBy("user_id", "player_id").orderBy("created_at", "id"))
-    firsts = adds.withColumn("_again", first).withColumn("_new", F.sum(F.when(F.col("_again") == 1, 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.max(F.when((F.col("_again") == 1) & (F.col("_new") <= cap), 1).otherwise(0)).over(Window.partitionBy("user_id", "player_id")) == 1
-    return firsts.withColumn("accepted", held).select("id", "user_id", "player_id", "accepted", (F.col("accepted") & (F.col("_again") == 1)).alias("was_created"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
 from tidewire.operators import evidence as ev
-from tidewire.operators import enrichment, explain, extraction, forecast, mentions, models, outcomes, reports, serving
+from tidewire.operators import enrichment, explain, extraction, forecast, mentions, models, outcomes, reports, serving, watchlists
 from tidewire.plans.domain import NOW, ctes, view
 from tidewire.sources import io
 
@@ -276,20 +276,48 @@ def _outcomes(spark, d):
     return view(spark, d, "rumours").where("status in ('COMPLETED', 'FAILED')").select("id", "source_id", F.col("rumour_date").alias("at"), (F.col("status") == "COMPLETED").alias("hit"))
 
 
-@query(f"{ctes('rumours', 'sources')}, o AS ({_OUT}), c AS (SELECT source_id, count(*) AS n, count(*) FILTER (hit) AS h FROM o GROUP BY 1) SELECT s.id, CAST(hit_count + coalesce(h, 0) AS BIGINT) AS hits, CAST(miss_count + coalesce(n, 0) - coalesce(h, 0) AS BIGINT) AS misses FROM sources s LEFT JOIN c ON c.source_id = s.id")
+_RUNNING = f"""{ctes('rumours', 'sources')}, o AS ({_OUT}), k AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY "at", id) AS k FROM o),
+ f AS (SELECT s.id AS source_id, 0::BIGINT AS k, NULL::BIGINT AS id, hit_count::DOUBLE AS h, (hit_count + miss_count)::DOUBLE AS n, reliability::DOUBLE AS score FROM sources s
+ UNION ALL SELECT k.source_id, k.k, k.id, h + k.hit::INT, n + 1, greatest(0.1, least(0.99, score * (1 - least((n + 1) / 20, 1)) + (h + k.hit::INT) / (n + 1) * least((n + 1) / 20, 1))) FROM f JOIN k ON k.source_id = f.source_id AND k.k = f.k + 1)""".replace("WITH rumours", "WITH RECURSIVE rumours", 1)
+
+
+@query(f"{_RUNNING} SELECT source_id AS id, CAST(max(h) AS BIGINT) AS hits, CAST(max(n) - arg_max(h, k) AS BIGINT) AS misses, round(arg_max(score, k), 6) AS score FROM f GROUP BY 1")
 def source_outcomes(spark, d):
-    return outcomes.source_reliability(_outcomes(spark, d), view(spark, d, "sources")).select("id", "hits", "misses")
+    return outcomes.source_reliability(_outcomes(spark, d), view(spark, d, "sources")).withColumn("score", F.round("score", 6))
 
 
-@query(f'{ctes("rumours")}, o AS ({_OUT}) SELECT id, source_id, "at", count(*) FILTER (hit) OVER w AS hits, count(*) FILTER (NOT hit) OVER w AS misses FROM o WINDOW w AS (PARTITION BY source_id ORDER BY "at", id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')
+@query(f'{_RUNNING} SELECT f.id, f.source_id, o."at", CAST(h AS BIGINT) AS hits, CAST(n - h AS BIGINT) AS misses, round(score, 6) AS score FROM f JOIN o ON o.id = f.id WHERE k > 0')
 def reliability_history(spark, d):
-    return outcomes.reliability_history(_outcomes(spark, d))
+    return outcomes.reliability_history(_outcomes(spark, d), view(spark, d, "sources")).withColumn("score", F.round("score", 6))
+
+
+@query(f"""{ctes('rumours')}, x AS (SELECT o_orderkey % 997 * 4 + 1 AS k, o_orderdate AS t, CASE o_orderkey % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' ELSE 'DENIED' END AS s, o_orderkey % 10 = 0 AS forced FROM orders),
+ g AS (SELECT k, max(row(t, s)) FILTER (forced) AS f, min(row(t, s)) FILTER (NOT forced) AS u FROM x GROUP BY 1), j AS (SELECT r.id, r.likelihood, r.status, CASE WHEN f IS NOT NULL THEN f WHEN status NOT IN ('COMPLETED', 'FAILED', 'DENIED') THEN u END AS o FROM rumours r JOIN g ON k = r.id)
+ SELECT id AS rumour_id, CASE WHEN o[2] = 'COMPLETED' THEN 100.0 ELSE 0.0 END::DOUBLE AS likelihood, o[2] AS status, o[1] AS recorded_at FROM j WHERE o IS NOT NULL AND o[2] <> status""")
+def outcome_history(spark, d):
+    x = io.read_table(spark, d, "orders").selectExpr("o_orderkey % 997 * 4 + 1 AS rumour_id", "o_orderdate AS at", "CASE o_orderkey % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' ELSE 'DENIED' END AS status", "o_orderkey % 10 = 0 AS forced")
+    return outcomes.outcome_history(view(spark, d, "rumours"), x)
 
 
 @query("WITH f AS (SELECT event_id AS id, user_id, CAST(value AS BIGINT) % 40 AS player_id, ts, row_number() OVER (PARTITION BY user_id, CAST(value AS BIGINT) % 40 ORDER BY ts, event_id) AS again FROM events WHERE value IS NOT NULL), g AS (SELECT *, sum(CASE WHEN again = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM f), h AS (SELECT *, max(CASE WHEN again = 1 AND k <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, player_id) = 1 AS accepted FROM g) SELECT id, user_id, player_id, accepted, accepted AND again = 1 AS was_created FROM h".replace("CAST(value AS BIGINT)", "CAST(floor(value) AS BIGINT)"))
 def watchlist_admission(spark, d):
     adds = io.read_table(spark, d, "events").where("value is not null").select(F.col("event_id").alias("id"), "user_id", (F.floor("value").cast("long") % 40).alias("player_id"), F.col("ts").alias("created_at"))
-    return outcomes.watchlist_admission(adds)
+    return watchlists.watchlist_admission(adds)
+
+
+_WATCHED = "SELECT event_id AS id, user_id, CAST(floor(value) AS BIGINT) % 40 AS player_id, ts AS created_at, CASE event_type WHEN 'purchase' THEN 'REMOVE' WHEN 'signup' THEN 'TIER' ELSE 'ADD' END AS action, CASE WHEN event_type <> 'signup' THEN NULL WHEN value > 70 THEN 'PRO' ELSE 'FREE' END AS tier FROM {events} WHERE value IS NOT NULL"
+
+
+@query(f"""WITH RECURSIVE e AS ({_WATCHED.format(events='events')}), s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS k FROM e),
+ f AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS player_id, ''::VARCHAR AS action, false AS accepted, false AS was_created, []::BIGINT[] AS held, user_id % 11 <> 0 AS free FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL SELECT s.user_id, s.k, s.id, s.player_id, s.action, CASE s.action WHEN 'ADD' THEN NOT (free AND len(held) >= 5 AND NOT list_contains(held, s.player_id)) ELSE true END, s.action = 'ADD' AND NOT list_contains(held, s.player_id) AND NOT (free AND len(held) >= 5),
+  CASE WHEN s.action = 'REMOVE' THEN list_filter(held, lambda x: x <> s.player_id) WHEN s.action = 'ADD' AND NOT list_contains(held, s.player_id) AND NOT (free AND len(held) >= 5) THEN list_append(held, s.player_id) ELSE held END,
+  CASE WHEN s.action = 'TIER' THEN s.tier <> 'PRO' ELSE free END FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1)
+ SELECT id, user_id, player_id, action, accepted, was_created, CAST(len(held) AS BIGINT) AS held FROM f WHERE k > 0""")
+def watchlist_replay(spark, d):
+    events = io.read_table(spark, d, "events")
+    users = events.select(F.col("user_id").alias("id"), F.when(F.col("user_id") % 11 == 0, "RESEARCH").otherwise("FREE").alias("tier")).distinct()
+    return watchlists.watchlist_replay(spark.sql(_WATCHED, events=events), users)
 
 
 @query("SELECT event_id % 500 AS link, min(event_id) AS id FROM events WHERE event_id % 500 >= 100 GROUP BY 1")

@@ -20,6 +20,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/tables/{name}-{uuid.uuid4().hex}"
@@ -106,8 +108,26 @@ def append_history(df: DataFrame, path: str, at: str) -> None:
 
 
 def change_feed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """rumour:new and rumour:updated events with a JSON payload (SNK4)."""
+    """rumour:new, rumour:updated and rumour:removed events with a JSON payload, by a full outer comparison of two states (SNK4)."""
     b = before.select(F.col("id").alias("_id"), F.col("likelihood").alias("_l"), F.col("status").alias("_s"))
-    rows = after.join(b, F.col("id") == F.col("_id"), "left")
-    changed = F.col("_id").isNull() | ~F.col("likelihood").eqNullSafe(F.col("_l")) | ~F.col("status").eqNullSafe(F.col("_s"))
-    return rows.where(changed).select(F.when(F.col("_id").isNull(), "rumour:new").otherwise("rumour:updated").alias("event"), F.to_json(F.struct("id", "likelihood", "status")).alias("data"))
+    rows = after.select("id", "likelihood", "status").join(b, F.col("id") == F.col("_id"), "full")
+    changed = ~F.col("likelihood").eqNullSafe(F.col("_l")) | ~F.col("status").eqNullSafe(F.col("_s"))
+    event = F.when(F.col("_id").isNull(), "rumour:new").when(F.col("id").isNull(), "rumour:removed").when(changed, "rumour:updated")
+    payload = F.when(F.col("id").isNull(), F.to_json(F.struct(F.col("_id").alias("id")))).otherwise(F.to_json(F.struct("id", "likelihood", "status")))
+    return rows.select(event.alias("event"), payload.alias("data")).where("event is not null")
+
+
+_STATE = "id long, likelihood double, status string, gone boolean"
+
+
+def start_live_state(spark: SparkSession, path: str) -> None:
+    """An empty first folder of the live state, so that there is a table to read."""
+    spark.createDataFrame([], _STATE).write.mode("overwrite").parquet(f"{path}/state/batch=-1")
+
+
+def live_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The rumours as the change feed left them: the last row of each, those that are gone left out. before: only batches up to this one, exclusive."""
+    rows = spark.read.schema(f"{_STATE}, batch long").parquet(f"{path}/state")
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    last = rows.groupBy("id").agg(F.max_by(F.struct("likelihood", "status", "gone"), "batch").alias("s"))
+    return last.where("not s.gone").select("id", "s.likelihood", "s.status")
