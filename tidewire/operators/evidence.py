@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.functions import text
+from tidewire.operators.serving import page_of
+from tidewire.operators.slices import sliced
 from tidewire.sources import io
 
 
-
 def independent_source_count(evidence: DataFrame) -> DataFrame:
     """Distinct provenance roots per claim (A1)."""
     return evidence.groupBy("claim_id").agg(F.count_distinct(F.coalesce("root_id", "id")).alias("independent"), F.count(F.lit(1)).alias("evidence"))
@@ -34,6 +35,26 @@ def provenance_clusters(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("claim_id", root.alias("root_id")).agg(F.count_if(F.col("id") != root).alias("copies"), F.min("published_at").alias("since"))
 
 
+def cluster_members(evidence: DataFrame) -> DataFrame:
+    """(claim_id, root_id, id, syndicated, nth): a claim's clusters with their lists as rows, the root first and then its copies in time (A2).
+
+    The root is the item with the cluster's id, or where that is not among the claim's items, the earliest one. Rows and not arrays: a
+    cluster may hold a third of all items; only the root is looked for by cluster, copies are numbered within slices of time.
+    """
+    root = F.coalesce("root_id", "id")
+    rows = sliced(evidence.select("claim_id", root.alias("root_id"), "id", "published_at"), F.unix_micros(F.col("published_at").cast("timestamp")))
+    rows = io.materialise(rows, "clusters")
+    at = F.struct((F.col("id") != F.col("root_id")).alias("other"), "published_at", "id")
+    heads = rows.groupBy(F.col("claim_id").alias("_c"), F.col("root_id").alias("_r")).agg(F.min_by("id", at).alias("_head"))
+    rows = rows.join(heads, F.col("claim_id").eqNullSafe(F.col("_c")) & (F.col("root_id") == F.col("_r"))).withColumn("syndicated", F.col("id") != F.col("_head")).drop("_c", "_r", "_head")
+    per = rows.where("syndicated").groupBy(F.col("claim_id").alias("_c"), F.col("root_id").alias("_r"), F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_c", "_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))  # a row a slice
+    per = per.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+    nth = F.row_number().over(Window.partitionBy("claim_id", "root_id", "_slice", "syndicated").orderBy("published_at", "id"))
+    met = rows.withColumn("_nth", nth).join(per, F.col("claim_id").eqNullSafe(F.col("_c")) & (F.col("root_id") == F.col("_r")) & (F.col("_slice") == F.col("_s")), "left")
+    return met.select("claim_id", "root_id", "id", "syndicated", F.when(F.col("syndicated"), F.col("_nth") + F.col("before")).otherwise(0).cast("long").alias("nth"))
+
+
 def last_evidence_at(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per claim the later of its stored time and its newest evidence (A5)."""
     newest = evidence.groupBy(F.col("claim_id").alias("_c")).agg(F.max("published_at").alias("newest"))
@@ -85,9 +106,9 @@ def resolve_roots(parents: DataFrame) -> DataFrame:
         most, rounds = most or at.count().bit_length() + 1, rounds + 1
         if rounds > most:
             raise ValueError("parents form a cycle")
-    # an even cycle settles on items that are not their own roots
-    ends = at.select(F.col("id").alias("_id"), F.col("root_id").alias("_up"))
-    if not at.join(ends, (F.col("root_id") == F.col("_id")) & (F.col("_up") != F.col("_id"))).isEmpty():
+    # a cycle of two, four, eight .. items settles on these items themselves
+    looped = parents.where("parent_id <> id").select(F.col("id").alias("_l")).join(at.where("root_id = id"), F.col("_l") == F.col("id"))
+    if not looped.isEmpty():
         raise ValueError("parents form a cycle")
     return at
 
@@ -153,6 +174,13 @@ def resolve_duplicates(evidence: DataFrame, decisions: DataFrame) -> DataFrame:
     return evidence.join(to, F.col("id") == F.col("_c"), "left").withColumn("root_id", F.coalesce("_to", "root_id")).drop("_c", "_to")
 
 
+def review_duplicates(candidates: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """The candidate pairs with reviewed_at stamped on those decided, merged or not (A4). candidates: item_id, candidate_id, reviewed_at; decisions as in resolve_duplicates."""
+    done = decisions.select(F.col("item_id").alias("_i"), F.col("candidate_id").alias("_c")).distinct()
+    met = candidates.join(done, (F.col("item_id") == F.col("_i")) & (F.col("candidate_id") == F.col("_c")), "left")
+    return met.withColumn("reviewed_at", F.when(F.col("_i").isNotNull(), now).otherwise(F.col("reviewed_at"))).drop("_i", "_c")
+
+
 def claims_with_source_tier(claims: DataFrame, evidence: DataFrame, sources: DataFrame, tier: int) -> DataFrame:
     """Claims with evidence from a source of that tier or better (J16), two semi joins."""
     good = sources.where(F.col("tier") <= tier).select(F.col("id").alias("_s"))
@@ -160,6 +188,18 @@ def claims_with_source_tier(claims: DataFrame, evidence: DataFrame, sources: Dat
     return claims.join(seen, F.col("id") == F.col("_c"), "left_semi")
 
 
+def list_claims(claims: DataFrame, evidence: DataFrame, sources: DataFrame, player_id: int | None = None, status: str | None = None, tier: int | None = None, page: int = 1, limit: int = 20) -> DataFrame:
+    """A page of claims, those with the newest evidence first, with the total of all that pass the filters."""
+    rows = claims
+    if player_id is not None:
+        rows = rows.where(F.col("player_id") == player_id)
+    if status is not None:
+        rows = rows.where(F.col("claim_status") == status)
+    if tier is not None:
+        rows = claims_with_source_tier(rows, evidence, sources, tier)
+    return page_of(rows, [F.desc("last_evidence_at"), F.col("id")], page, limit)
+
+
 def categorise_evidence(evidence: DataFrame) -> DataFrame:
     """(id, categories): official, denial, contextual, and original, corroboration or syndication."""
     is_root = F.coalesce("root_id", "id") == F.col("id")

@@ -129,15 +129,19 @@ def merge_clubs(rows: DataFrame) -> DataFrame:
 
 
 def reconcile_catalog(existing: DataFrame, incoming: DataFrame, name_key=lambda c: c) -> DataFrame:
-    """incoming rows as (action, id, external_id, name, contract_end).
+    """incoming rows as (action, id, external_id, name, contract_end, ambiguous).
 
     update: the external id is known; adopt: it is not, and one existing row alone has the name under `name_key`, which
-    it keeps; create: neither, with a null id. A null contract end leaves the stored one. Null external ids never match.
+    it keeps; create: neither, with a null id. A null contract end leaves the stored one. Null external ids never match. ambiguous: several incoming
+    rows without a known id have the name, so that more than one would adopt a row.
     """
     old = existing.select(F.col("id").alias("_id"), F.col("external_id").alias("_x"), F.col("name").alias("_name"), F.col("contract_end").alias("_end"), name_key(F.col("name")).alias("_key"))
     known = old.select(F.struct("_id", "_name", "_end").alias("by_id"), "_x")
     same = old.groupBy("_key").agg(F.count("*").alias("_n"), F.first(F.struct("_id", "_name", "_end")).alias("by_name")).where("_n = 1")
     met = incoming.join(known, F.col("external_id") == F.col("_x"), "left").join(same, name_key(F.col("name")) == F.col("_key"), "left")
+    twins = incoming.join(known.select("_x"), F.col("external_id") == F.col("_x"), "left_anti").groupBy(name_key(F.col("name")).alias("_twin")).agg(F.count(F.lit(1)).alias("_many")).where("_many > 1")
+    met = met.join(twins, name_key(F.col("name")) == F.col("_twin"), "left")
     action = F.when(F.col("by_id").isNotNull(), "update").when(F.col("by_name").isNotNull(), "adopt").otherwise("create")
     row = F.coalesce("by_id", "by_name")
-    return met.select(action.alias("action"), row["_id"].alias("id"), "external_id", F.when(action == "adopt", row["_name"]).otherwise(F.col("name")).alias("name"), F.coalesce("contract_end", row["_end"]).alias("contract_end"))
+    ambiguous = F.col("_many").isNotNull() & F.col("by_id").isNull()
+    return met.select(action.alias("action"), row["_id"].alias("id"), "external_id", F.when(action == "adopt", row["_name"]).otherwise(F.col("name")).alias("name"), F.coalesce("contract_end", row["_end"]).alias("contract_end"), ambiguous.alias("ambiguous"))

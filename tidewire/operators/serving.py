@@ -66,10 +66,16 @@ def historical_claims(claims: DataFrame, limit: int = 500) -> DataFrame:
     return claims.where(F.col("claim_status").isin("CONFIRMED", "DENIED", "EXPIRED")).orderBy(F.desc("first_seen_at"), "id").limit(limit)
 
 
-def rumour_page(rumours: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
-    """One page by likelihood, at most 100 rows (K1)."""
+def page_of(rows: DataFrame, order: list[Column], page: int = 1, limit: int = 20) -> DataFrame:
+    """One page of at most 100 rows with `total`, the count of all rows, on each (K1)."""
     size = min(max(1, limit), 100)
-    return rumours.orderBy(F.desc("likelihood"), "id").offset((max(1, page) - 1) * size).limit(size)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy(*order).offset((max(1, page) - 1) * size).limit(size).join(F.broadcast(total))  # a single row
+
+
+def rumour_page(rumours: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
+    """One page by likelihood, at most 100 rows, with the total (K1)."""
+    return page_of(rumours, [F.desc("likelihood"), F.col("id")], page, limit)
 
 
 def top_per_key(df: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
@@ -83,9 +89,9 @@ def overview_counts(rumours: DataFrame) -> DataFrame:
 
 
 def source_stats(sources: DataFrame, rumours: DataFrame) -> DataFrame:
-    """Sources by reliability with their rumour counts, zero kept (A6). Counted before the join."""
+    """Sources with their rumour counts, zero kept, and hits and misses (A6). Counted before the join."""
     n = rumours.groupBy(F.col("source_id").alias("_s")).agg(F.count(F.lit(1)).alias("rumours"))
-    return sources.join(n, F.col("id") == F.col("_s"), "left").select("id", "name", "reliability", F.coalesce("rumours", F.lit(0)).alias("rumours"))
+    return sources.join(n, F.col("id") == F.col("_s"), "left").select("id", "name", "reliability", F.coalesce("rumours", F.lit(0)).alias("rumours"), F.coalesce("hit_count", F.lit(0)).alias("hits"), F.coalesce("miss_count", F.lit(0)).alias("misses"))
 
 
 def club_dashboard(clubs: DataFrame, players: DataFrame, rumours: DataFrame, midpoint: bool = False) -> DataFrame:
@@ -111,18 +117,37 @@ def spend_by_position(rumours: DataFrame, players: DataFrame) -> DataFrame:
     return active_rumours(rumours).join(p, F.col("player_id") == F.col("_p")).groupBy("to_club_id", "position").agg(rules.half_up(F.sum(fee * F.col("likelihood") / 100)).cast("double").alias("spend"))
 
 
-def transfer_network(rumours: DataFrame, players: DataFrame, k: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the k likeliest live or completed rumours (A10)."""
+# Colours of a network's edges by status, and of its nodes.
+STATUS_COLOURS = {"HOT": "#f97316", "PENDING": "#94a3b8", "COMPLETED": "#22c55e", "FAILED": "#ef4444", "DENIED": "#6b7280"}
+NODE_COLOURS = {"player": "#60a5fa", "club": "#8b5cf6"}
+
+
+def transfer_network(rumours: DataFrame, players: DataFrame, clubs: DataFrame | None = None, k: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the k likeliest live or completed rumours (A10). Labels of clubs need `clubs`."""
     top = rumours.where(F.col("status").isin("PENDING", "HOT", "COMPLETED")).orderBy(F.desc("likelihood"), "id").limit(k)
-    weight = [(F.col("likelihood") / 100).alias("weight"), F.greatest(F.lit(1.0), F.col("likelihood") / 25).alias("size"), F.col("status")]
+    p = players.select(F.col("id").alias("_p"), F.col("name").alias("_name"), "market_value")
+    top = top.join(p, F.col("player_id") == F.col("_p"), "left")
+    colour = F.try_element_at(F.create_map(*[F.lit(x) for pair in STATUS_COLOURS.items() for x in pair]), F.col("status"))
+    weight = [(F.col("likelihood") / 100).alias("weight"), F.greatest(F.lit(1.0), F.col("likelihood") / 25).alias("size"), "status", colour.alias("colour")]
     name = lambda kind, c: F.concat(F.lit(kind + "-"), F.col(c))
-    edge = lambda a, b, way: F.struct(a.alias("source"), b.alias("target"), F.lit(way).alias("way"))
-    both = F.array(edge(name("club", "from_club_id"), name("player", "player_id"), "out"), edge(name("player", "player_id"), name("club", "to_club_id"), "in"))
-    edges = top.select("id", F.explode(both).alias("e"), *weight).select(F.col("id").alias("rumour_id"), "e.*", "weight", "size", "status")
-    value = players.select(F.col("id").alias("_p"), "market_value")
-    people = top.join(value, F.col("player_id") == F.col("_p"), "left").select(name("player", "player_id").alias("id"), F.lit("player").alias("kind"), rules.clamp(F.coalesce("market_value", F.lit(20.0)) / 8, 6.0, 18.0).alias("size"))
-    teams = top.select(F.explode(F.array("from_club_id", "to_club_id")).alias("c")).select(F.concat(F.lit("club-"), "c").alias("id"), F.lit("club").alias("kind"), F.lit(14.0).alias("size"))
-    return people.unionByName(teams).dropDuplicates(["id"]), edges
+    told = F.concat("_name", F.lit(" ("), F.floor(F.col("likelihood") + 0.5).cast("string"), F.lit("%)"))
+    edge = lambda tail, a, b, way, label: F.struct(F.concat(F.lit("edge-"), F.col("id").cast("string"), F.lit(tail)).alias("edge"), a.alias("source"), b.alias("target"), F.lit(way).alias("way"), label.alias("label"))
+    both = F.array(edge("", name("club", "from_club_id"), name("player", "player_id"), "rumour-from", told), edge("-to", name("player", "player_id"), name("club", "to_club_id"), "rumour-to", F.lit(None).cast("string")))
+    edges = top.select("id", F.explode(both).alias("e"), *weight).select(F.col("id").alias("rumour_id"), "e.*", "weight", "size", "status", "colour")
+    people = top.select(name("player", "player_id").alias("id"), F.lit("player").alias("kind"), F.col("_name").alias("label"), rules.clamp(F.coalesce("market_value", F.lit(20.0)) / 8, 6.0, 18.0).alias("size"))
+    teams = top.select(F.explode(F.array("from_club_id", "to_club_id")).alias("c"))
+    if clubs is not None:
+        short = F.coalesce("short_name", "name") if "short_name" in clubs.columns else F.col("name")
+        teams = teams.join(clubs.select(F.col("id").alias("_k"), short.alias("label")), F.col("c") == F.col("_k"), "left")
+    else:
+        teams = teams.withColumn("label", F.lit(None).cast("string"))
+    nodes = people.unionByName(teams.select(F.concat(F.lit("club-"), "c").alias("id"), F.lit("club").alias("kind"), "label", F.lit(14.0).alias("size"))).dropDuplicates(["id"])
+    return nodes.withColumn("colour", F.when(F.col("kind") == "player", NODE_COLOURS["player"]).otherwise(NODE_COLOURS["club"])), edges
+
+
+def network_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_count and edge_count (A10), one row."""
+    return nodes.agg(F.count(F.lit(1)).alias("node_count")).join(edges.agg(F.count(F.lit(1)).alias("edge_count")))  # two single rows
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidewire.functions import rules, text
 from tidewire.operators import evidence as ev
 from tidewire.operators import enrichment, explain, extraction, forecast, mentions, models, outcomes, reports, serving, watchlists
-from tidewire.plans.domain import NOW, ctes, view
-from tidewire.sources import io
+from tidewire.plans.domain import CLUBS, NOW, ctes, view
+from tidewire.sources import catalogue, io
 
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
@@ -69,7 +69,7 @@ def overview(spark, d):
     return serving.overview_counts(view(spark, d, "rumours"))
 
 
-@query(f"{ctes('sources', 'rumours')} SELECT s.id, s.name, round(s.reliability, 6) AS reliability, count(r.id) AS rumours FROM sources s LEFT JOIN rumours r ON r.source_id = s.id GROUP BY ALL")
+@query(f"{ctes('sources', 'rumours')} SELECT s.id, s.name, round(s.reliability, 6) AS reliability, count(r.id) AS rumours, hit_count AS hits, miss_count AS misses FROM sources s LEFT JOIN rumours r ON r.source_id = s.id GROUP BY ALL")
 def source_stats(spark, d):
     return serving.source_stats(view(spark, d, "sources"), view(spark, d, "rumours")).withColumn("reliability", F.round("reliability", 6))
 
@@ -79,9 +79,9 @@ def spend_by_position(spark, d):
     return serving.spend_by_position(view(spark, d, "rumours"), view(spark, d, "players"))
 
 
-@query(f"{ctes('rumours')} SELECT id, likelihood, status FROM rumours ORDER BY likelihood DESC, id OFFSET 20 LIMIT 20")
+@query(f"{ctes('rumours')} SELECT id, likelihood, status, (SELECT count(*) FROM rumours) AS total FROM rumours ORDER BY likelihood DESC, id OFFSET 20 LIMIT 20")
 def rumour_page(spark, d):
-    return serving.rumour_page(view(spark, d, "rumours"), 2, 20).select("id", "likelihood", "status")
+    return serving.rumour_page(view(spark, d, "rumours"), 2, 20).select("id", "likelihood", "status", "total")
 
 
 @query(f"{ctes('rumours')} SELECT to_club_id, id, likelihood, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY to_club_id ORDER BY likelihood DESC, id) AS rank FROM rumours) WHERE rank <= 5")
@@ -111,17 +111,22 @@ def historical_claims(spark, d):
 
 
 _TOP = ", top AS (SELECT * FROM rumours WHERE status IN ('PENDING', 'HOT', 'COMPLETED') ORDER BY likelihood DESC, id LIMIT 200)"
-_EDGES = ", edges AS (SELECT id AS rumour_id, 'club-' || from_club_id AS source, 'player-' || player_id AS target, 'out' AS way, likelihood, status FROM top UNION ALL SELECT id, 'player-' || player_id, 'club-' || to_club_id, 'in', likelihood, status FROM top)"
+_EDGES = ", edges AS (SELECT id AS rumour_id, 'edge-' || id AS edge, 'club-' || from_club_id AS source, 'player-' || player_id AS target, 'rumour-from' AS way, likelihood, status, player_id AS labelled FROM top UNION ALL SELECT id, 'edge-' || id || '-to', 'player-' || player_id, 'club-' || to_club_id, 'rumour-to', likelihood, status, NULL FROM top)"
 
 
-@query(f"{ctes('rumours')}{_TOP}{_EDGES} SELECT rumour_id, source, target, way, round(likelihood / 100, 6) AS weight, greatest(1.0, likelihood / 25) AS size, status FROM edges")
+@query(f"{ctes('rumours', 'players')}{_TOP}{_EDGES} SELECT rumour_id, edge, source, target, way, name || ' (' || CAST(floor(likelihood + 0.5) AS BIGINT) || '%)' AS label, round(likelihood / 100, 6) AS weight, greatest(1.0, likelihood / 25) AS size, status, CASE status WHEN 'HOT' THEN '#f97316' WHEN 'PENDING' THEN '#94a3b8' ELSE '#22c55e' END AS colour FROM edges LEFT JOIN players p ON p.id = labelled")
 def network_edges(spark, d):
     return serving.transfer_network(view(spark, d, "rumours"), view(spark, d, "players"))[1].withColumn("weight", F.round("weight", 6))
 
 
-@query(f"{ctes('rumours', 'players')}{_TOP} SELECT DISTINCT 'player-' || player_id AS id, 'player' AS kind, round(greatest(6.0, least(18.0, coalesce(market_value, 20.0) / 8)), 6) AS size FROM top LEFT JOIN players p ON p.id = player_id UNION SELECT 'club-' || c, 'club', 14.0 FROM (SELECT from_club_id AS c FROM top UNION SELECT to_club_id FROM top)")
+@query(f"{ctes('rumours', 'players', 'clubs')}{_TOP} SELECT DISTINCT 'player-' || player_id AS id, 'player' AS kind, p.name AS label, round(greatest(6.0, least(18.0, coalesce(market_value, 20.0) / 8)), 6) AS size, '#60a5fa' AS colour FROM top LEFT JOIN players p ON p.id = player_id UNION SELECT 'club-' || c, 'club', k.name, 14.0, '#8b5cf6' FROM (SELECT from_club_id AS c FROM top UNION SELECT to_club_id FROM top) LEFT JOIN clubs k ON k.id = c")
 def network_nodes(spark, d):
-    return serving.transfer_network(view(spark, d, "rumours"), view(spark, d, "players"))[0].withColumn("size", F.round("size", 6))
+    return serving.transfer_network(view(spark, d, "rumours"), view(spark, d, "players"), view(spark, d, "clubs"))[0].withColumn("size", F.round("size", 6))
+
+
+@query(f"{ctes('rumours')}{_TOP} SELECT (SELECT count(DISTINCT player_id) FROM top) + (SELECT count(*) FROM (SELECT from_club_id FROM top UNION SELECT to_club_id FROM top)) AS node_count, (SELECT 2 * count(*) FROM top) AS edge_count")
+def network_counts(spark, d):
+    return serving.network_counts(*serving.transfer_network(view(spark, d, "rumours"), view(spark, d, "players")))
 
 
 @query(f"{ctes('rumours')}{_TOP}{_EDGES} SELECT node, count(DISTINCT other) AS n FROM (SELECT source AS node, target AS other FROM edges UNION ALL SELECT target, source FROM edges) GROUP BY node")
@@ -364,13 +369,14 @@ def merged_clubs(spark, d):
     return mentions.merge_clubs(c.select(F.col("c_custkey").alias("seq"), (F.col("c_custkey") % 40).cast("string").alias("external_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("league"), F.when(F.col("c_nationkey") % 2 == 0, "Unknown").otherwise(F.col("c_nationkey").cast("string")).alias("country")))
 
 
-@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'update' WHEN c_custkey % 3 = 1 AND c_custkey % 5 <> 0 THEN 'adopt' ELSE 'create' END AS action, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND c_custkey % 5 <> 0 THEN c_custkey END AS id, CAST(c_custkey AS VARCHAR) AS external_id, CASE WHEN c_custkey % 3 = 1 AND c_custkey % 5 <> 0 THEN replace(c_name, '#', '.') ELSE replace(c_name, '#', ' ') END AS name FROM customer")
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'update' WHEN c_custkey % 3 = 1 AND c_custkey % 5 <> 0 THEN 'adopt' ELSE 'create' END AS action, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND c_custkey % 5 <> 0 THEN c_custkey END AS id, CAST(c_custkey AS VARCHAR) AS external_id, CASE WHEN c_custkey % 3 = 1 AND c_custkey % 5 <> 0 THEN replace(c_name, '#', '.') ELSE replace(c_name, '#', ' ') END AS name, c_custkey % 3 = 2 AND c_custkey % 35 = 0 AS ambiguous FROM customer UNION ALL SELECT 'create', NULL, 'again-' || c_custkey, replace(c_name, '#', ' '), c_custkey % 3 = 2 FROM customer WHERE c_custkey % 35 = 0 AND c_custkey % 3 = 2")
 def reconciled_catalog(spark, d):
     c = io.read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("n"), F.lit(None).cast("timestamp").alias("contract_end"))
     key = F.col("id").cast("string")
     old = c.where("id % 3 = 0 or id % 3 = 1 and id % 5 <> 0").select("id", F.when(F.col("id") % 3 == 0, key).alias("external_id"), F.replace("n", F.lit("#"), F.lit(".")).alias("name"), "contract_end")
     new = c.select(key.alias("external_id"), F.replace("n", F.lit("#"), F.lit(" ")).alias("name"), "contract_end")
-    return mentions.reconcile_catalog(old, new, text.normalise_club_name).select("action", "id", "external_id", "name")
+    again = c.where("id % 35 = 0 and id % 3 = 2").select(F.concat(F.lit("again-"), key).alias("external_id"), F.replace("n", F.lit("#"), F.lit(" ")).alias("name"), "contract_end")
+    return mentions.reconcile_catalog(old, new.unionByName(again), text.normalise_club_name).select("action", "id", "external_id", "name", "ambiguous")
 
 
 _SUMMED_CORE = f""", e AS (SELECT claim_id, count(*) AS items, count(DISTINCT coalesce(root_id, id)) AS n, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'CONFIRMS') AS yes, arg_max(id, (published_at, id)) FILTER (source_type = 'CLUB_OFFICIAL' AND direction = 'DENIES') AS no,
@@ -600,3 +606,77 @@ def gated_forecasts(spark, d):
     p, none = F.when(k % 7 != 0, k % 101 / F.lit(100.0)), F.lit(None).cast("string")
     scored = io.read_table(spark, d, "orders").select(k.alias("claim_id"), (k % 30).alias("definition_id"), p.alias("raw"), p.alias("calibrated"), F.lit(0.0).alias("low"), (k % 11 / F.lit(20.0)).alias("high"), none.alias("model_version"))
     return models.gate(scored, models.registry(_models(spark, d))).select("claim_id", "definition_id", "model_id", "display_mode", "calibrated", "high", "reason")
+
+
+# suppliers stand for teams of two leagues each, nations for countries, regions for leagues; customers for squad members
+
+@query("""WITH t AS (SELECT s_suppkey AS id, s_name, s_nationkey AS c, k, (s_suppkey + k) % 7 AS league, (s_suppkey + k) % 7 * 10 + k AS seq FROM supplier, (VALUES (0), (1), (3)) v(k)), n AS (SELECT t.*, coalesce(r_name, 'Unknown') AS league_name, CASE WHEN (c + k) % 3 = 0 THEN n_name END AS country FROM t LEFT JOIN region ON r_regionkey = league LEFT JOIN nation ON n_nationkey = c),
+ l AS (SELECT id, league_name, min(seq) AS s FROM n GROUP BY 1, 2)
+ SELECT concat('sm-club-', id) AS external_id, arg_min(s_name, seq) AS name, (SELECT string_agg(league_name, ', ' ORDER BY s) FROM l WHERE l.id = n.id) AS league, coalesce(arg_min(country, seq) FILTER (country IS NOT NULL), 'Unknown') AS country FROM n GROUP BY id""")
+def catalogue_clubs(spark, d):
+    k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(3)))
+    teams = io.read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_nationkey", k.alias("k"))
+    league = (F.col("id") + F.col("k")) % 7
+    teams = teams.select("id", "name", league.cast("string").alias("league_key"), (league * 10 + F.col("k")).alias("seq"), F.lit(None).cast("string").alias("short_code"), F.lit(None).cast("string").alias("image_path"), F.when((F.col("s_nationkey") + F.col("k")) % 3 == 0, F.col("s_nationkey")).alias("country_id"))
+    countries = io.read_table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    leagues = io.read_table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("key"), F.col("r_name").alias("name"))
+    return catalogue.league_clubs(teams, countries, leagues).select("external_id", "name", "league", "country")
+
+
+_POSITION_NAMES = "CASE {} WHEN 24 THEN 'GK' WHEN 148 THEN 'CB' WHEN 149 THEN 'CDM' WHEN 150 THEN 'CAM' WHEN 151 THEN 'ST' WHEN 152 THEN 'LW' WHEN 153 THEN 'CM' WHEN 154 THEN 'RB' WHEN 155 THEN 'LB' WHEN 156 THEN 'RW' WHEN 157 THEN 'LM' WHEN 158 THEN 'RM' WHEN 163 THEN 'CF' END"
+
+
+@query(f"""SELECT concat('sm-player-', c_custkey) AS external_id, c_name AS name, concat('sm-club-', c_custkey % 90) AS current_club_external_id, CASE WHEN c_custkey % 5 <> 0 THEN 18 + c_custkey % 20 END::INT AS age,
+ {_POSITION_NAMES.format("CASE WHEN c_custkey % 4 = 0 THEN 24 ELSE 145 + c_custkey % 20 END")} AS position, CASE WHEN c_custkey % 6 <> 0 THEN n_name END AS nationality, CASE WHEN c_custkey % 7 <> 0 THEN TIMESTAMP '2028-06-30 00:00:00' END AS contract_end FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def catalogue_players(spark, d):
+    key = F.col("c_custkey")
+    c = io.read_table(spark, d, "customer").join(io.read_table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    born = F.when(key % 5 != 0, F.concat((1980 - key % 20).cast("string"), F.lit("-05-01")))
+    player = F.struct(key.alias("id"), F.col("c_name").alias("display_name"), born.alias("date_of_birth"), F.lit(None).cast("string").alias("image_path"), F.when(key % 6 != 0, F.struct(F.col("n_name").alias("name"))).alias("nationality"))
+    detailed = F.when(key % 4 != 0, 145 + key % 20)
+    members = c.select((key % 90).cast("string").alias("team_key"), F.lit(24).alias("position_id"), detailed.alias("detailed_position_id"), F.when(key % 7 != 0, "2028-06-30").alias("end"), player.alias("player"))
+    return catalogue.squad_players(members, F.expr(NOW)).select("external_id", "name", "current_club_external_id", "age", "position", "nationality", "contract_end")
+
+
+@query(f"{ctes('claims', 'evidence', 'sources')}, f AS (SELECT * FROM claims WHERE claim_status = 'ACTIVE' AND id IN (SELECT claim_id FROM evidence WHERE source_id IN (SELECT id FROM sources WHERE tier <= 2))) SELECT id, player_id, last_evidence_at, (SELECT count(*) FROM f) AS total FROM f ORDER BY last_evidence_at DESC, id OFFSET 50 LIMIT 50")
+def claims_page(spark, d):
+    return ev.list_claims(view(spark, d, "claims"), view(spark, d, "evidence"), view(spark, d, "sources"), status="ACTIVE", tier=2, page=2, limit=50).select("id", "player_id", "last_evidence_at", "total")
+
+
+@query(f"{ctes('evidence')}, h AS (SELECT *, coalesce(root_id, id) AS r FROM evidence), k AS (SELECT *, id <> r AS s FROM h) SELECT claim_id, r AS root_id, id, s AS syndicated, CASE WHEN s THEN row_number() OVER (PARTITION BY claim_id, r, s ORDER BY published_at, id) ELSE 0 END AS nth FROM k")
+def provenance_clusters(spark, d):
+    return ev.cluster_members(view(spark, d, "evidence"))
+
+
+_DECIDED = "SELECT id AS candidate_id, root_id AS item_id, id % 3 = 0 AS merge FROM {evidence} WHERE parent_id <> root_id AND id % 2 = 0"
+
+
+@query(f"{ctes('evidence')}, d AS ({_DECIDED.format(evidence='evidence')}) SELECT e.id, e.root_id AS before, CASE WHEN merge THEN item_id ELSE e.parent_id END AS root_id FROM evidence e LEFT JOIN d ON d.candidate_id = e.id")
+def resolved_duplicates(spark, d):
+    # a copy's root is its parent until a review merges it
+    evidence = view(spark, d, "evidence").withColumn("before", F.col("root_id"))
+    decisions = spark.sql(_DECIDED, evidence=evidence)
+    return ev.resolve_duplicates(evidence.withColumn("root_id", F.col("parent_id")), decisions).select("id", "before", "root_id")
+
+
+@query(f"{ctes('evidence')}, d AS ({_DECIDED.format(evidence='evidence')}) SELECT e.root_id AS item_id, id AS candidate_id, CASE WHEN merge IS NOT NULL THEN {NOW} END AS reviewed_at FROM evidence e LEFT JOIN d ON d.candidate_id = e.id WHERE e.root_id IS NOT NULL")
+def reviewed_duplicates(spark, d):
+    evidence = view(spark, d, "evidence")
+    candidates = evidence.where("root_id is not null").select(F.col("root_id").alias("item_id"), F.col("id").alias("candidate_id"), F.lit(None).cast("timestamp").alias("reviewed_at"))
+    return ev.review_duplicates(candidates, spark.sql(_DECIDED, evidence=evidence), F.expr(NOW))
+
+
+@query(f"""{ctes('claims')}, s AS (SELECT o_custkey AS player_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % {CLUBS} END AS from_club_id, o_orderkey * 3 % {CLUBS} AS to_club_id, o_orderdate + o_orderkey % 50 * INTERVAL '1' DAY AS seen_at FROM orders),
+ n AS (SELECT player_id, from_club_id, to_club_id, min(seen_at) AS first_seen_at, max(seen_at) AS last_evidence_at FROM s GROUP BY 1, 2, 3) SELECT n.*, (SELECT min(c.id) FROM claims c WHERE claim_status = 'ACTIVE' AND c.player_id = n.player_id AND c.to_club_id = n.to_club_id AND c.from_club_id IS NOT DISTINCT FROM n.from_club_id) AS claim_id FROM n""")
+def found_claims(spark, d):
+    seen = spark.sql(f"SELECT o_custkey AS player_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % {CLUBS} END AS from_club_id, o_orderkey * 3 % {CLUBS} AS to_club_id, o_orderdate + o_orderkey % 50 * INTERVAL '1' DAY AS seen_at FROM {{orders}}", orders=io.read_table(spark, d, "orders"))
+    return ev.find_or_create_claims(seen, view(spark, d, "claims"))
+
+
+@query("""WITH s AS (SELECT 'feed ' || o_custkey % 60 AS name, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 10) / CAST(10 AS DOUBLE) END AS implied, o_orderdate AS t, CAST(o_orderkey AS VARCHAR) AS link FROM orders), f AS (SELECT name, first(implied ORDER BY t, link) AS implied FROM s GROUP BY 1)
+ SELECT name, 'AGGREGATOR' AS type, coalesce(implied, CASE WHEN CAST(substr(name, 6) AS INT) % 2 = 0 THEN 0.75 END, 0.5)::DOUBLE AS reliability FROM f WHERE CAST(substr(name, 6) AS INT) >= 20""")
+def ensured_sources(spark, d):
+    k = F.col("o_orderkey")
+    signals = io.read_table(spark, d, "orders").select(F.concat(F.lit("feed "), (F.col("o_custkey") % 60).cast("string")).alias("source_name"), F.when(k % 3 == 0, k % 10 / F.lit(10.0)).alias("implied_reliability"), F.col("o_orderdate").alias("published_at"), k.cast("string").alias("link"))
+    names = signals.select(F.col("source_name").alias("name"), F.substring("source_name", 6, 9).cast("int").alias("n")).distinct()
+    return outcomes.ensure_sources(signals, names.where("n < 20"), names.where("n % 2 = 0").select("name", F.lit(0.75).alias("default")))

@@ -40,10 +40,10 @@ def published(pub_date: Column, now: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(pub_date), now)
 
 
-def signals_of(items: DataFrame, now: Column) -> DataFrame:
-    """Feed items as signals: transfer-related ones with window and implied reliability (SRC1)."""
+def signals_of(items: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Feed items as signals: transfer-related ones with window and implied reliability (SRC1). keep: columns of the items to carry along."""
     summary = F.coalesce("description", "encoded", F.lit(""))
-    rows = items.select(F.coalesce("title", F.lit("")).alias("headline"), summary.alias("summary"), F.coalesce("link", F.lit("")).alias("link"), published(F.col("pubDate"), now).alias("published_at"))
+    rows = items.select(F.coalesce("title", F.lit("")).alias("headline"), summary.alias("summary"), F.coalesce("link", F.lit("")).alias("link"), published(F.col("pubDate"), now).alias("published_at"), *keep)
     rows = rows.where(text.is_transfer_related(F.col("headline"), F.col("summary"))).withColumn("raw_text", F.concat_ws(" ", "headline", "summary"))
     return rows.withColumns({"window": text.guess_window_from_text(F.col("raw_text"), now), "implied_reliability": text.implied_reliability(F.col("headline")), "outcome": text.detect_outcome(F.col("raw_text"))})
 
