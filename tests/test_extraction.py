@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text
 from tidewire.operators import extraction as ex
+from tidewire.operators import mentions
 
 # Catalogue of the cases.
 CLUBS = [(1, "RC Strasbourg", "Strasbourg"), (2, "Ipswich Town", "Ipswich"), (3, "Arsenal", None), (4, "Newcastle United", "Newcastle"), (5, "FC Barcelona", "Barcelona"), (6, "Manchester City", "Man City"), (7, "Tottenham", "Spurs"), (8, "Monaco", None), (9, "Liverpool", None), (10, "Astana", "AST"), (11, "Real Madrid", None), (12, "Aston Villa", None)]
@@ -100,4 +101,4 @@ def test_similar_names_equal_all_pairs(spark):
     for least in (0.65, 0.7):
         squeezed = lambda c: F.regexp_replace(c, " +", " ")
         want = a.distinct().crossJoin(b.distinct()).where(F.trim("label") != "").where(text.name_similarity(squeezed("name"), squeezed("label")) >= least)
-        assert {(r.name, r.known) for r in ex.similar_names(a, b, least).collect()} == {(r.name, r.label) for r in want.collect()}
+        assert {(r.name, r.known) for r in mentions.similar_names(a, b, least).collect()} == {(r.name, r.label) for r in want.collect()}

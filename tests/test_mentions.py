@@ -27,6 +27,35 @@ def test_clubs_by_name_short_name_and_nickname(spark):
     assert {(r.id, r.club_id) for r in mentions.best_club(signals, clubs).collect()} == {(1, 1), (2, 3)}
 
 
+def test_misspelt_clubs_equal_the_naive_comparison(spark):
+    clubs = [(1, "Manchester City", "Man C"), (2, "Borussia Dortmund", None), (3, "Real Betis", "Betis"), (4, "Tottenham", None), (5, "Ajax", None)]
+    texts = ["Mancester City", "Borusia Dortmund", "Real Betys", "spurs", "Totenham", "Ajx", "City", "Borussia", "Mancester City wants a striker", "Real Betis or Mancester City", "", None, "Dortmund Borussia", "man utd", "Betiss"]
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    c = spark.createDataFrame(clubs, "id long, name string, short_name string")
+    labels = [(i, x) for i, n, s in clubs for x in (n, s) if x]
+    pairs = [(k, i, x, y) for k, x in enumerate(texts) if x for i, y in labels]
+    scored = spark.createDataFrame(pairs, "k long, i long, x string, y string").select("k", "i", text.name_similarity(text.resolve_alias(F.col("x")), F.col("y")).alias("s"))
+    want = {}
+    for r in scored.collect():
+        if r.s >= 0.8:
+            want[r.k, r.i] = max(r.s, want.get((r.k, r.i), 0))
+    got = {(r.id, r.club_id): r.score for r in mentions.match_clubs(t, c).collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+    assert (0, 1) in got and (3, 4) in got and (8, 1) not in got
+    best = {r.id: r.club_id for r in mentions.best_club(t, c).collect()}
+    assert best[9] == 3 and best[0] == 1
+
+
+def test_moves_to_a_misspelt_club(spark):
+    from tidewire.operators import extraction
+
+    signals = spark.createDataFrame([(1, "Jose Alvarez leaves Arsenal transfer Chelsea talk joins Mancester City", ""), (2, "Jose Alvarez joins Chelsea deal from Arsenal", "")], "id long, headline string, summary string")
+    players = spark.createDataFrame([(7, "Jose Alvarez")], "id long, name string")
+    clubs = spark.createDataFrame([(1, "Manchester City"), (2, "Arsenal"), (3, "Chelsea")], "id long, name string")
+    got = {(r.id, r.from_club, r.to_club) for r in extraction.extract_known(signals.select("id", F.col("headline").alias("text")), players, clubs).select("id", F.col("from_club.name").alias("from_club"), F.col("to_club.name").alias("to_club")).collect()}
+    assert got == {(1, "Arsenal", "Manchester City"), (2, "Arsenal", "Chelsea")}
+
+
 def test_contained_parts_equal_naive_join(spark):
     random.seed(6)
     word = lambda n: "".join(random.choices("abc", k=n))
@@ -50,5 +79,5 @@ def test_catalogue(spark):
     assert {tuple(r) for r in mentions.merge_clubs(clubs).collect()} == {("a", "A", "L1, Cup", "Spain"), ("b", "B", "L2", "Unknown")}
     old = spark.createDataFrame([(1, "x1", "One", T0), (2, None, "St. Two", T0), (3, None, "Three", None), (4, None, "Three", None)], "id long, external_id string, name string, contract_end timestamp")
     new = spark.createDataFrame([("x1", "Uno", None), ("x2", "st two", None), ("x3", "Three", None), (None, "New", T0)], "external_id string, name string, contract_end timestamp")
-    got = {tuple(r) for r in mentions.reconcile_catalog(old, new, text.normalise_club_name).collect()}
+    got = {tuple(r) for r in mentions.reconcile_catalog(old, new, text.normalise_club_name).drop("ambiguous").collect()}
     assert got == {("update", 1, "x1", "Uno", T0), ("adopt", 2, "x2", "St. Two", T0), ("create", None, "x3", "Three", None), ("create", None, None, "New", T0)}

@@ -32,14 +32,16 @@ CLUB_SUFFIX = r"(?i)\b(FC|CF|SC|AFC|RFC|BC|United|City|Athletic|Rovers|Wanderers
 
 # Capitalised words that are no part of a player's name.
 NOT_NAMES = (
-    "Transfer Window Premier League Season Summer Winter January August United City Real Club Football Champions Europa Conference World Cup International "
-    "Breaking Exclusive Report Update Confirmed Official Deal Move Sign Signs Signed Agreement Contract Medical Done Close Complete Here Goes According "
-    "Source Sources Multiple Reports Latest News Market Value Million Euro Pound Fee Wage "
-    "Goalkeeper Defender Midfielder Forward Striker Winger Fullback Sweeper Keeper Attacker "
-    "Cottage Park Stadium Arena Ground Lane Road Bridge Emirates Anfield Stamford Etihad Trafford "
-    "Fabrizio Romano Ornstein David Florentino Athletic Sporting Dynamo Atletico Vallecano "
-    "English Spanish German French Italian Dutch Sunday Monday Tuesday Wednesday Thursday Friday Saturday"
-).split()
+    "Transfer", "Window", "Premier", "League", "Season", "Summer", "Winter", "January", "August", "United", "City", "Real", "Club",
+    "Football", "Champions", "Europa", "Conference", "World", "Cup", "International", "Breaking", "Exclusive", "Report", "Update",
+    "Confirmed", "Official", "Deal", "Move", "Sign", "Signs", "Signed", "Agreement", "Contract", "Medical", "Done", "Close", "Complete",
+    "Here", "Goes", "According", "Source", "Sources", "Multiple", "Reports", "Latest", "News", "Market", "Value", "Million", "Euro",
+    "Pound", "Fee", "Wage", "Goalkeeper", "Defender", "Midfielder", "Forward", "Striker", "Winger", "Fullback", "Sweeper", "Keeper",
+    "Attacker", "Cottage", "Park", "Stadium", "Arena", "Ground", "Lane", "Road", "Bridge", "Emirates", "Anfield", "Stamford", "Etihad",
+    "Trafford", "Fabrizio", "Romano", "Ornstein", "David", "Florentino", "Athletic", "Sporting", "Dynamo", "Atletico", "Vallecano",
+    "English", "Spanish", "German", "French", "Italian", "Dutch", "Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday",
+    "Saturday",
+)
 
 # The five shapes of club names.
 CLUB_SHAPES = (
@@ -138,18 +140,27 @@ def direction_cues(body: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def resolve_directions(texts: DataFrame, clubs: DataFrame) -> DataFrame:
+def resolve_directions(texts: DataFrame, clubs: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """(id, from_club, to_club, from_score, to_score, from_inferred) of every text with both sides known and different.
 
     texts: id, text. clubs: id, club, label, score: the labels of the clubs that each text names. The first cue whose slice names
-    one of these clubs decides a side, within a slice the club that comes first. With two clubs in play, the side without a cue is
-    the other club.
+    one of these clubs decides a side, within a slice the club that comes first. A slice that names none may be an inexact spelling (mentions.SPELT) of any
+    club of the catalogue. With two clubs in play, the side without a cue is the other club.
     """
     cues = texts.select("id", F.explode(direction_cues(F.col("text"))).alias("c")).select("id", "c.*")
     cues = cues.withColumn("slice", F.concat(F.lit(" "), F.array_join(mentions._words(text.resolve_alias(F.col("slice"))), " "), F.lit(" ")))
     own = clubs.select(F.col("id").alias("_id"), "club", F.array_join(mentions._words(F.col("label")), " ").alias("label"), "score")
     at = F.position(F.concat(F.lit(" "), F.col("label"), F.lit(" ")), F.col("slice"))
     hits = cues.join(own, F.col("id") == F.col("_id")).withColumn("at", at).where("at > 0")
+    if catalogue is not None:
+        hits = materialise(hits.select("id", "side", "rank", "at", "label", "club", "score"), "slice-clubs")
+        silent = cues.join(hits.select(F.col("id").alias("_h"), F.col("side").alias("_s"), F.col("rank").alias("_r")).distinct(), (F.col("id") == F.col("_h")) & (F.col("side") == F.col("_s")) & (F.col("rank") == F.col("_r")), "left_anti")
+        silent = silent.withColumn("slice", F.trim("slice"))
+        spelt = mentions.spelt_clubs(silent.select("slice"), "slice", catalogue).withColumnRenamed("slice", "_slice")
+        far = silent.join(spelt, F.col("slice") == F.col("_slice")).select("id", "side", "rank", F.lit(1 << 20).alias("at"), "label", "club", "score")
+        hits = hits.unionByName(far)
+        told_by = hits.select(F.col("id"), "club", "label", "score").distinct()
+        clubs = clubs.select("id", "club", "label", "score").unionByName(told_by)
     order = F.struct("rank", "at", (-F.length("label")).alias("l"), "club")
     side = lambda s: F.min_by("club", F.when(F.col("side") == s, order))
     told = hits.groupBy("id").agg(side("from").alias("f"), side("to").alias("t"))
@@ -163,43 +174,6 @@ def resolve_directions(texts: DataFrame, clubs: DataFrame) -> DataFrame:
     return rows.select("id", "from_club", "to_club", score("from_club").alias("from_score"), score("to_club").alias("to_score"), "from_inferred")
 
 
-def similar_names(names: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """(name, known, score): pairs of a name and a known label with a similarity (T3) from `least`, which is 0.65 or more.
-
-    Labels that hold one another meet on word n-grams. Spellings within the edits that `least` allows share at least
-    (2 least - 1) n - 1 pairs of letters, hence one of the rarest of either; so they meet on these and are verified. Up to three letters they may share no pair, but
-    share a letter.
-    """
-    a = names.select("name", F.array_join(mentions._words(F.col("name")), " ").alias("x")).where("x <> ''").distinct()
-    b = known.select(F.col("label").alias("known"), F.array_join(mentions._words(F.col("label")), " ").alias("y")).where("y <> ''").distinct()
-
-    def letters(rows: DataFrame, c: str) -> DataFrame:
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substr(F.col("s"), i, F.lit(2)))
-        each = rows.select(F.col(c).alias("s")).distinct().select("s", F.posexplode(pairs).alias("i", "g"))
-        return each.select("s", F.concat_ws("#", "g", F.row_number().over(Window.partitionBy("s", "g").orderBy("i"))).alias("g"))
-
-    of_a, of_b = letters(a, "x"), letters(b, "y")
-    often = of_b.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("df"))
-
-    def rare(grams: DataFrame) -> DataFrame:
-        n = F.length("s")
-        needed = F.greatest(F.lit(1), F.ceil((2 * least - 1) * n - 1 - 1e-9))
-        ranked = grams.join(often, F.col("g") == F.col("_g"), "left").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.coalesce("df", F.lit(0)), "g")))
-        return ranked.where(F.col("r") <= n - 1 - needed + 1).select("s", "g")
-
-    def short(rows: DataFrame, c: str) -> DataFrame:
-        return rows.select(F.col(c).alias("s")).where(F.length("s") <= 3).distinct().select("s", F.explode(F.array_distinct(F.split("s", ""))).alias("g")).where("g <> ''")
-
-    brief = short(a, "x").withColumnRenamed("s", "x").join(short(b, "y").withColumnRenamed("s", "y"), "g").select("x", "y")
-    left, right = rare(of_a).select(F.col("s").alias("x"), "g"), rare(of_b).select(F.col("s").alias("y"), "g")
-    fits = (F.length("x") >= F.ceil(F.length("y") * least)) & (F.length("y") >= F.ceil(F.length("x") * least))
-    spelt = left.join(right, "g").where(fits).select("x", "y").unionByName(brief).distinct()
-    held = mentions._mentioned(a.select(F.col("x").alias("id"), F.col("x").alias("text")), b.select(F.col("y").alias("label_id"), F.col("y").alias("label"))).select(F.col("id").alias("x"), F.col("label_id").alias("y"))
-    holds = mentions._mentioned(b.select(F.col("y").alias("id"), F.col("y").alias("text")), a.select(F.col("x").alias("label_id"), F.col("x").alias("label"))).select(F.col("label_id").alias("x"), F.col("id").alias("y"))
-    scored = spelt.unionByName(held).unionByName(holds).distinct().withColumn("score", text.name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= least)
-    return scored.join(a, "x").join(b, "y").select("name", "known", "score")
-
-
 def extract_known(signals: DataFrame, players: DataFrame, clubs: DataFrame) -> DataFrame:
     """Moves of players in the catalogue (J1 to J4, T7 to T9). signals: id, text."""
     found = mentions.drop_shadowed_mononyms(mentions.match_players(signals, players)).where("in_context")
@@ -211,7 +185,7 @@ def extract_known(signals: DataFrame, players: DataFrame, clubs: DataFrame) -> D
     named = materialise(mentions.club_labels_in(clauses.select("id", "text"), clubs), "clause-clubs")
     several = named.groupBy(F.col("id").alias("_m")).agg(F.count_distinct("club").alias("n")).where("n > 1")
     named = named.join(several, F.col("id") == F.col("_m"), "left_semi")
-    moves = resolve_directions(clauses.select("id", "text"), named)
+    moves = resolve_directions(clauses.select("id", "text"), named, clubs)
     scores = clauses.select(F.col("id").alias("_c"), "player_score")
     moves = moves.join(scores, F.col("id") == F.col("_c"))
     names = players.dropDuplicates(["id"]).select(F.col("id").alias("_p"), F.col("name").alias("player_name"))
@@ -231,7 +205,7 @@ def new_names(signals: DataFrame, matched: DataFrame, players: DataFrame, clubs:
     names = told.select("name").distinct()
     labels = mentions.club_labels(clubs).select("label").distinct()
     # Matched players are in the catalogue, so the bound of 0.70 covers theirs of 0.80 too.
-    known = similar_names(names, players.select(F.col("name").alias("label")), KNOWN_PLAYER).select("name").unionByName(similar_names(names, labels, KNOWN_CLUB).select("name"))
+    known = mentions.similar_names(names, players.select(F.col("name").alias("label")), KNOWN_PLAYER).select("name").unionByName(mentions.similar_names(names, labels, KNOWN_CLUB).select("name"))
     gone = matched.select(F.col("id").alias("_i"), text.normalise(F.col("player_name")).alias("_n"))
     fresh = told.join(known.distinct(), "name", "left_anti")
     return fresh.join(gone, (F.col("id") == F.col("_i")) & (text.normalise(F.col("name")) == F.col("_n")), "left_anti").select("id", "name", "confidence")
@@ -248,7 +222,7 @@ def extract_new(signals: DataFrame, matched: DataFrame, players: DataFrame, club
     enough = named.groupBy(F.col("id").alias("_e")).agg(F.count_distinct("club").alias("n")).where("n > 1")
     shaped = heads.join(enough, F.col("id") == F.col("_e"), "left_anti").select("id", F.explode(club_candidates(F.col("text"))).alias("name"))
     shaped = materialise(shaped, "shaped-clubs")
-    close = similar_names(shaped.select("name").distinct(), mentions.club_labels(clubs).select("label").distinct(), NEW_CLUB)
+    close = mentions.similar_names(shaped.select("name").distinct(), mentions.club_labels(clubs).select("label").distinct(), NEW_CLUB)
     new = shaped.join(close.select("name").distinct(), "name", "left_anti")
     found = named.unionByName(new.select("id", F.struct(F.lit(None).cast(clubs.schema["id"].dataType).alias("id"), F.col("name")).alias("club"), F.col("name").alias("label"), F.lit(0.90).alias("score")))
     several = found.groupBy(F.col("id").alias("_m")).agg(F.count_distinct("club").alias("n")).where("n > 1")

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewire.functions import text
 from tidewire.operators.serving import active_rumours
+from tidewire.sources.io import materialise
 
 GRAM = 4
 
@@ -19,19 +21,17 @@ def _words(c: Column) -> Column:
     return F.array_remove(F.split(text.normalise(F.regexp_replace(c, r"\s", " ")), " "), "")
 
 
-def word_grams(signals: DataFrame, longest: int) -> DataFrame:
-    """(id, gram, at, whole): every run of 1 to `longest` words of each text; `at` counts words, `whole` marks the full text."""
-    rows = signals.select("id", _words(F.col("text")).alias("w")).select("*", F.posexplode("w").alias("at", "_"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("at")))
-    rows = rows.select("id", "w", "at", F.explode(sizes).alias("n"))
-    return rows.select("id", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("gram"), "at", (F.col("n") == F.size("w")).alias("whole"))
-
-
 def _mentioned(signals: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, label_id, label, at, score): labels (label_id, label) that stand in a text as whole words."""
+    """(id, label_id, label, at, score): labels (label_id, label) that stand in a text as whole words.
+
+    Only word runs that begin with the first word of a label and have the length of one that does are held against the labels."""
     names = labels.select("label_id", F.array_join(_words(F.col("label")), " ").alias("label")).where("label <> ''").distinct()
-    longest = names.agg(F.max(F.size(F.split("label", " ")))).first()[0] or 1  # one number
-    hits = word_grams(signals, longest).join(names, F.col("gram") == F.col("label"))
+    parts = F.split("label", " ")
+    heads = names.groupBy(F.get(parts, F.lit(0)).alias("_head")).agg(F.collect_set(F.size(parts)).alias("_sizes"))  # a few lengths a word
+    rows = signals.select("id", _words(F.col("text")).alias("w")).select("id", "w", F.posexplode("w").alias("at", "_first"))
+    rows = rows.join(heads, F.col("_first") == F.col("_head")).select("id", "w", "at", F.explode("_sizes").alias("n")).where(F.col("at") + F.col("n") <= F.size("w"))
+    runs = rows.select("id", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("gram"), "at", (F.col("n") == F.size("w")).alias("whole"))
+    hits = runs.join(names, F.col("gram") == F.col("label"))
     return hits.groupBy("id", "label_id", "label").agg(F.min("at").alias("at"), F.when(F.bool_or("whole"), 1.0).otherwise(0.92).alias("score"))
 
 
@@ -65,6 +65,58 @@ def club_labels(clubs: DataFrame) -> DataFrame:
     return labels.unionByName(aliases.select("id", F.col("nick").alias("label")))
 
 
+def similar_names(names: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(name, known, score): pairs of a name and a known label with a similarity (T3) from `least`, which is 0.65 or more.
+
+    Labels that hold one another meet on word n-grams. Spellings within the edits that `least` allows share at least
+    (2 least - 1) n - 1 pairs of letters, hence one of the rarest of either; so they meet on these and are verified. Up to three letters they may share no pair, but
+    share a letter.
+    """
+    a = names.select("name", F.array_join(_words(F.col("name")), " ").alias("x")).where("x <> ''").distinct()
+    b = known.select(F.col("label").alias("known"), F.array_join(_words(F.col("label")), " ").alias("y")).where("y <> ''").distinct()
+
+    def letters(rows: DataFrame, c: str) -> DataFrame:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substr(F.col("s"), i, F.lit(2)))
+        each = rows.select(F.col(c).alias("s")).distinct().select("s", F.posexplode(pairs).alias("i", "g"))
+        return each.select("s", F.concat_ws("#", "g", F.row_number().over(Window.partitionBy("s", "g").orderBy("i"))).alias("g"))
+
+    of_a, of_b = letters(a, "x"), letters(b, "y")
+    often = of_b.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("df"))
+
+    def rare(grams: DataFrame) -> DataFrame:
+        n = F.length("s")
+        needed = F.greatest(F.lit(1), F.ceil((2 * least - 1) * n - 1 - 1e-9))
+        ranked = grams.join(often, F.col("g") == F.col("_g"), "left").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.coalesce("df", F.lit(0)), "g")))
+        return ranked.where(F.col("r") <= n - 1 - needed + 1).select("s", "g")
+
+    def short(rows: DataFrame, c: str) -> DataFrame:
+        return rows.select(F.col(c).alias("s")).where(F.length("s") <= 3).distinct().select("s", F.explode(F.array_distinct(F.split("s", ""))).alias("g")).where("g <> ''")
+
+    brief = short(a, "x").withColumnRenamed("s", "x").join(short(b, "y").withColumnRenamed("s", "y"), "g").select("x", "y")
+    left, right = rare(of_a).select(F.col("s").alias("x"), "g"), rare(of_b).select(F.col("s").alias("y"), "g")
+    fits = (F.length("x") >= F.ceil(F.length("y") * least)) & (F.length("y") >= F.ceil(F.length("x") * least))
+    spelt = left.join(right, "g").where(fits).select("x", "y").unionByName(brief).distinct()
+    held = _mentioned(a.select(F.col("x").alias("id"), F.col("x").alias("text")), b.select(F.col("y").alias("label_id"), F.col("y").alias("label"))).select(F.col("id").alias("x"), F.col("label_id").alias("y"))
+    holds = _mentioned(b.select(F.col("y").alias("id"), F.col("y").alias("text")), a.select(F.col("x").alias("label_id"), F.col("x").alias("label"))).select(F.col("label_id").alias("x"), F.col("id").alias("y"))
+    scored = spelt.unionByName(held).unionByName(holds).distinct().withColumn("score", text.name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= least)
+    return scored.join(a, "x").join(b, "y").select("name", "known", "score")
+
+
+SPELT = 0.80  # the similarity from which a whole text is a club's name
+
+
+def spelt_clubs(texts: DataFrame, column: str, clubs: DataFrame) -> DataFrame:
+    """(column, club struct<id, name>, label, score): the clubs whose name, short name or nickname a whole text is nearly (T3 from SPELT on), or is a part of as whole words.
+
+    Only texts that are short enough for that are looked at. They meet labels on rare pairs of letters, see similar_names.
+    """
+    labels = materialise(club_labels(clubs).join(clubs.dropDuplicates(["id"]).select(F.col("id").alias("_k"), F.col("name").alias("_name")), F.col("id") == F.col("_k")).select(F.struct("id", F.col("_name").alias("name")).alias("club"), "label").where("label is not null").distinct(), "club-labels")
+    longest = labels.agg(F.max(F.length(text.normalise(F.col("label"))))).first()[0] or 0  # one number
+    short = texts.select(F.col(column).alias("name")).where(F.length(text.normalise(F.col("name"))) <= longest / SPELT).distinct()
+    met = similar_names(short, labels.select("label"), SPELT)
+    return met.join(labels, F.col("known") == F.col("label")).select(F.col("name").alias(column), "club", "label", "score")
+
+
 def club_labels_in(signals: DataFrame, clubs: DataFrame) -> DataFrame:
     """(id, club struct<id, name>, label, score): the labels by which each text names clubs."""
     found = _mentioned(signals, club_labels(clubs).select(F.col("id").alias("label_id"), "label"))
@@ -73,17 +125,21 @@ def club_labels_in(signals: DataFrame, clubs: DataFrame) -> DataFrame:
 
 
 def match_clubs(signals: DataFrame, clubs: DataFrame) -> DataFrame:
-    """(id, club_id, at, score) for each club that a text names by name, short name or nickname as whole words.
+    """(id, club_id, at, score) for each club that a text names by name, short name or nickname as whole words, or that a whole text nearly is.
 
-    clubs: id, name, and short_name if there is one. A club found by several labels keeps its best score.
+    clubs: id, name, and short_name if there is one. A club found by several labels keeps its best score. `at` counts words; for inexact
+    spellings, which have no place, it is null.
     """
-    found = _mentioned(signals, club_labels(clubs).select(F.col("id").alias("label_id"), "label"))
-    return found.groupBy("id", F.col("label_id").alias("club_id")).agg(F.min("at").alias("at"), F.max("score").alias("score"))
+    found = _mentioned(signals, club_labels(clubs).select(F.col("id").alias("label_id"), "label")).select("id", "label_id", "at", "score")
+    texts = signals.select("id", text.resolve_alias(F.col("text")).alias("text")).distinct()
+    spelt = spelt_clubs(texts.select("text"), "text", clubs).select(F.col("text").alias("_t"), F.col("club.id").alias("label_id"), "score")
+    near = texts.join(spelt, F.col("text") == F.col("_t")).select("id", "label_id", F.lit(None).cast("int").alias("at"), "score")
+    return found.unionByName(near).groupBy("id", F.col("label_id").alias("club_id")).agg(F.min("at").alias("at"), F.max("score").alias("score"))
 
 
 def best_club(signals: DataFrame, clubs: DataFrame) -> DataFrame:
-    """(id, club_id): the club named first in each text, of several the one with the higher score, then smaller id."""
-    return match_clubs(signals, clubs).groupBy("id").agg(F.min_by("club_id", F.struct("at", -F.col("score"), "club_id")).alias("club_id"))
+    """(id, club_id): the club named first in each text, of several the one with the higher score, then smaller id; clubs without a place come last."""
+    return match_clubs(signals, clubs).groupBy("id").agg(F.min_by("club_id", F.struct(F.coalesce("at", F.lit(1 << 20)).alias("at"), -F.col("score"), "club_id")).alias("club_id"))
 
 
 def _grams(c: Column) -> Column:
