@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import materialise, spread
 
-#: Rows from which the pivots are drawn, by a hash of the id.
+#: Rows from which the pivots are drawn, by a hash of the row's number.
 SAMPLE = 4096
 #: Pivots: PER_ROOT x the root of the number of vectors, within these bounds; length of the orders.
 PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS, PREFIX = 1.0, 64, 2048, 64
@@ -36,12 +36,20 @@ CALIBRATION, RECALL = 64, 0.99
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and vector, without vectors that are null, zero, or hold null or non-finite components."""
+    """vec_id and vector v, without vectors that are null, zero, or hold null or non-finite components."""
     v = F.col("v")
     kind = "array<float>" if "float" in vectors.schema[vector_col].dataType.simpleString() else "array<double>"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast(kind).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(~bad, F.lit(False))).where(F.exists("v", lambda x: x != 0))
+    return rows.where(v.isNotNull() & (F.size(v) > 0) & F.coalesce(~bad, F.lit(False))).where(F.exists("v", lambda x: x != 0))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """Written rows with a number `id` of their own that rises with vec_id (null last), so that the smaller of two numbers is the smaller
+    vec_id. Ranges are of vec_id and the vector's hash: an id that a third of the rows repeat is many tasks."""
+    order = [F.asc_nulls_last("vec_id"), F.xxhash64("v")]
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialise(sorted_rows.select(F.monotonically_increasing_id().alias("id"), "vec_id", "v"), "ann-vectors")
 
 
 def pivots_of(rows: DataFrame, pivots: int, sample: int = SAMPLE) -> np.ndarray:
@@ -193,19 +201,22 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
     Null or zero vectors and those with null or non-finite components take no part. Vectors of different lengths have no distance: each length is
-    indexed and searched for itself. Rows that repeat an id count once, with the smallest vector; with few vectors all candidates are returned;
-    equal distances go to the smaller id. An empty table gives an empty result. Other columns, whatever their names, are not read.
+    indexed and searched for itself. Rows that repeat an id, or have none, are rows of their own: each is a candidate of all others, and a
+    query for itself if its id is divisible. With few vectors all candidates are returned; equal distances go to the smaller id, null last.
+    An empty table gives an empty result. Other columns, whatever their names, are not read.
     """
-    rows = spread(usable(vectors, id_col, vector_col), "id").groupBy("id").agg(F.min("v").alias("v"))
-    rows = materialise(rows, "ann-vectors")
+    rows = by_row(usable(vectors, id_col, vector_col))
     found = []
     for width in rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect():
         same, total = rows.where(F.size("v") == width["n"]), width["count"]
-        pivots = pivots_of(same, min(MOST_PIVOTS, max(LEAST_PIVOTS, int(PER_ROOT * math.sqrt(total)))))
-        index = materialise(permutations(same, pivots), "ann-index")
-        queries = materialise(permutations(same.where(F.pmod("id", F.lit(every)) == 0), pivots, len(pivots)), "ann-queries")
+        pivots = pivots_of(same.select("id", "v"), min(MOST_PIVOTS, max(LEAST_PIVOTS, int(PER_ROOT * math.sqrt(total)))))
+        index = materialise(permutations(same.select("id", "v"), pivots), "ann-index")
+        queries = materialise(permutations(same.where(F.pmod("vec_id", F.lit(every)) == 0).select("id", "v"), pivots, len(pivots)), "ann-queries")
         found.append(nearest(index, queries, len(pivots), *effort(index, queries, len(pivots), k), k))
     if not found:
-        return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return functools.reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), F.col("vec_id"), F.lit(0.0).alias("score")).limit(0)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "c"))
+    best = functools.reduce(DataFrame.unionByName, found).withColumnsRenamed({"query_id": "q", "vec_id": "c"}).withColumn("rank", rank).where(F.col("rank") <= k)
+    ids = rows.select(F.col("id").alias("_i"), "vec_id")
+    named = best.join(ids.withColumnRenamed("vec_id", "query_id"), F.col("q") == F.col("_i")).drop("_i").join(ids, F.col("c") == F.col("_i"))
+    return named.select("query_id", "rank", "vec_id", "score")
