@@ -1,16 +1,20 @@
 """HTML extraction by tag-path ratios.
 
-A page is cut into blocks, each with its root-to-leaf path of block elements (element names with their first class). Per path, plain
-text, linked text, punctuation and blocks are added up. The text ratio (plain characters) and the punctuation ratio
+A page is cut into blocks, each with its root-to-leaf path of block elements (element names with their first class). Plain
+text, linked text, punctuation and blocks of a path are added up within each element that holds its blocks, and the fullest of these elements stands for the path: a
+path that comes back in many sibling subtrees, as the comments of a thread do, weighs as one of them, however many there are. The text ratio (plain characters) and the punctuation ratio
 of a path are smoothed with the mean over the paths in its container and fused to their geometric mean, times the share of the text that is not linked. Two
 hints of the markup weigh on the fused value, and never decide alone: `article` and `main` raise it, a class or id that
-names chrome lowers it, unless the element holds half of the page's text (of that in `article` or `main`, if there is any). Both are relative to the page's own best.
+names chrome or comments lowers it, unless the element, alike subtrees taken once, holds half of the page's text (of that in `article` or `main`, if there is any). Both are relative to the page's own best.
 The threshold is the split of the page's own values (logarithms, Otsu's), but at most SHARE of the best.
 
 Paths from the threshold on are strong and choose content subtrees: the article around a strong block, or else its container and
 the elements around that of whose text strong blocks make up half. A weak block in a subtree is content if strong blocks stand beside it in its
-container, or if it is a heading, list item, table cell, caption or the like; outside articles, links in lists of links or in the body are not.
+container, or if it is a heading, list item, table cell, caption or the like; outside articles, links in lists of links or in the body are not, nor is what a lowered element holds.
 Only elements that HTML itself sets apart (scripts, styles, forms, nav, footer, aside, page header, ARIA landmarks, hidden elements) are cut by name.
+
+Elements are nodes with a pointer to their parent; paths are pairs of a path and a label. So a page takes time in proportion to its length
+however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template",
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 SHORT = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "caption", "figcaption", "summary", "blockquote", "pre", "address"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+PLAIN = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "tr", "td", "th", "dt", "dd"))
+NONE, PARAGRAPH = frozenset(), frozenset(("p",))
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"))
-HINTS = frozenset(("ad", "ads", "advert", "banner", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "menu", "nav", "newsletter", "notice", "pagination", "popup", "promo", "related", "share", "sidebar", "social", "sponsored", "subscribe", "tags"))
+HINTS = frozenset(("ad", "ads", "advert", "banner", "breadcrumbs", "comment", "commentlist", "comments", "consent", "cookie", "cookies", "discussion", "disqus", "menu", "nav", "newsletter", "notice", "pagination", "popup", "promo", "related", "replies", "reply", "respond", "responses", "share", "sidebar", "social", "sponsored", "subscribe", "tags", "thread", "usercomments"))
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"'=]++|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -48,9 +54,9 @@ def attributes_of(text: str) -> dict[str, str]:
     return found
 
 
-def set_apart(tag: str, attributes: dict[str, str], inside: list[str]) -> bool:
+def set_apart(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
     """Whether HTML itself says that an element is not part of the main text."""
-    if tag in SKIPPED or (tag == "header" and not {"article", "main"} & set(inside)):
+    if tag in SKIPPED or (tag == "header" and not in_main):
         return True
     return attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(attributes.get("style", "")))
 
@@ -60,22 +66,90 @@ def hinted(tag: str, attributes: dict[str, str]) -> bool:
     return tag not in ("html", "body", "article", "main") and not HINTS.isdisjoint(re.split(r"[\s_-]+", words))
 
 
-def blocks(page: str):
-    """(path, container, text, linked characters, elements, named) of the page's text blocks outside what is set apart, in order.
-
-    Elements are those around the text, outermost first, each with its number on the page: (tag, number). named: numbers of those that bear a chrome name.
-    """
-    # Open elements: tag, set apart, number, label in paths, numbers of the named ones so far.
-    stack: list[tuple[str, bool, int, str, tuple[int, ...]]] = []
-    out, parts, linked, at, anchors, number = [], [], 0, 0, 0, 0
+class Page:
+    """The elements and text blocks of a page. Element 0 is what stands around all; a block is (path, element, text, linked characters)."""
+
+    def __init__(self):
+        self.parent, self.tag, self.path, self.named, self.raised, self.article = [-1], [""], [0], [False], [False], [-1]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.above, self.label = [-1], [""]  # of paths
+        self.found: list[tuple[int, int, str, int]] = []
+
+    def element(self, parent: int, tag: str, label: str, named: bool) -> int:
+        key = (self.path[parent], label)
+        if key not in self.paths:
+            self.paths[key] = len(self.above)
+            self.above.append(key[0])
+            self.label.append(label)
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.path.append(self.paths[key])
+        self.named.append(named)
+        self.raised.append(self.raised[parent] or tag in ("article", "main"))
+        self.article.append(self.article[parent] if self.article[parent] >= 0 else len(self.tag) - 1 if tag == "article" else -1)
+        return len(self.tag) - 1
+
+    def name(self, path: int) -> str:
+        """A path as text."""
+        labels = []
+        while path > 0:
+            labels.append(self.label[path])
+            path = self.above[path]
+        return "/".join(reversed(labels))
+
+    def totals(self, values: list[float]) -> list[float]:
+        """Values of elements summed up over their subtrees."""
+        out = list(values)
+        for k in range(len(out) - 1, 0, -1):  # parents come before their children
+            out[self.parent[k]] += out[k]
+        return out
+
+    def lowered(self) -> list[bool]:
+        """Elements in one that bears a chrome name and does not hold half of the text; of its alike children the fullest counts."""
+        n = len(self.tag)
+        own, whole = [0] * n, 0
+        main = any(self.raised[k] for _, k, _, _ in self.found)
+        for _, k, text, _ in self.found:
+            if self.raised[k] or not main:
+                own[k] += len(text)
+                whole += len(text)
+        best: list[dict[int, int]] = [{} for _ in range(n)]
+        held = own
+        for k in range(n - 1, 0, -1):
+            held[k] += sum(best[k].values())
+            up, path = self.parent[k], self.path[k]
+            if self.tag[k] in PLAIN:  # paragraphs are no repeated subtrees
+                best[up][path] = best[up].get(path, 0) + held[k]
+            else:
+                best[up][path] = max(best[up].get(path, 0), held[k])
+        out = [False] * n
+        for k in range(1, n):
+            out[k] = out[self.parent[k]] or (self.named[k] and 2 * held[k] < whole)
+        return out
+
+
+def blocks(page: str) -> Page:
+    """The page's text blocks outside what is set apart, in order, and the elements around them."""
+    out = Page()
+    # Open elements: tag, set apart, element (of one that is set apart: the one around it).
+    stack: list[tuple[str, bool, int]] = []
+    opened: dict[str, int] = {}  # of the stack, by tag
+    tops: list[int] = []  # places of block elements in the stack
+    parts, linked, at, anchors = [], 0, 0, 0
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        if tops and tops[-1] == len(stack):
+            tops.pop()
+        return tag
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text and not (stack and stack[-1][1]):
-            around = tuple((e[0], e[2]) for e in stack if e[0] in BLOCKS)
-            labels = [e[3] for e in stack if e[0] in BLOCKS]
-            out.append(("/".join(labels), "/".join(labels[:-1]), text, min(linked, len(text)), around, stack[-1][4] if stack else ()))
+            k = stack[-1][2] if stack else 0
+            out.found.append((out.path[k], k, text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -101,15 +175,15 @@ def blocks(page: str):
         if tag == "a":
             anchors = 0 if closing else 1
         if closing:
-            if any(e[0] == tag for e in stack):
+            if opened.get(tag):
                 if tag in BLOCKS:
                     flush()
                 while stack and (t := stack[-1][0]) != tag:
                     if t in BLOCKS and tag not in BLOCKS:
                         break
-                    stack.pop()
+                    pop()
                 if stack and stack[-1][0] == tag:
-                    stack.pop()
+                    pop()
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -117,54 +191,58 @@ def blocks(page: str):
             continue
         if tag in BLOCKS or tag in SKIPPED:
             flush()
-            ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS and stack[k][0] not in ends:
-                    break
+            ends = CLOSES.get(tag, NONE) | (PARAGRAPH if tag in BLOCKS else NONE)
+            if tops and stack[tops[-1]][0] in ends:
+                keep = tops[-1]
+                while len(stack) > keep:
+                    pop()
+            elif stack and stack[-1][0] in ends:
+                pop()
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             attributes = attributes_of(m[4]) if m[4] else {}
-            out_of = bool(stack and stack[-1][1]) or set_apart(tag, attributes, [e[0] for e in stack])
-            if tag in BLOCKS or out_of:
-                number += 1
+            around = stack[-1][2] if stack else 0
+            apart = bool(stack and stack[-1][1]) or set_apart(tag, attributes, out.raised[around])
+            if apart or tag in BLOCKS:
                 first = attributes.get("class", "").split()[:1]
-                named = (stack[-1][4] if stack else ()) + ((number,) if hinted(tag, attributes) else ())
-                stack.append((tag, out_of, number, ".".join([tag, *first]), named))
+                k = around if apart else out.element(around, tag, ".".join([tag, *first]), hinted(tag, attributes))
+                if tag in BLOCKS:
+                    tops.append(len(stack))
+                stack.append((tag, apart, k))
+                opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
 
-def ratios(found, hints: bool = True) -> dict[str, float]:
-    """The fused value of every path."""
-    paths: dict[str, list[float]] = {}
-    inside: dict[str, list[str]] = {}
-    weight: dict[str, float] = {}
-    held: dict[int, int] = {}
-    body = [block for block in found if any(tag in ("article", "main") for tag, _ in block[4])] or found
-    for _, _, text, _, _, named in body:
-        for k in named:
-            held[k] = held.get(k, 0) + len(text)
-    half = sum(len(block[2]) for block in body) / 2
-    for path, container, text, linked, around, named in found:
-        if path not in paths:
-            inside.setdefault(container, []).append(path)
-        own = paths.setdefault(path, [0.0, 0.0, 0.0])
+def ratios(page: Page, hints: bool = True, lowered: list[bool] | None = None) -> dict[str, float]:
+    """The fused value of every path, by its name."""
+    return {page.name(p): v for p, v in fused(page, (page.lowered() if lowered is None else lowered) if hints else None).items()}
+
+
+def fused(page: Page, lowered: list[bool] | None) -> dict[int, float]:
+    """The fused value of every path. Sums are those of the element that holds most plain text in blocks of the path."""
+    per: dict[tuple[int, int], list[float]] = {}
+    weight: dict[int, float] = {}
+    for path, k, text, linked in page.found:
+        own = per.setdefault((path, page.parent[k]), [0.0, 0.0, 0.0])
         own[0] += len(text) - linked
         own[1] += len(PUNCTUATION.findall(text)) + 1
         own[2] += linked
-        raised = any(tag in ("article", "main") for tag, _ in around)
-        lowered = hints and any(held.get(k, 0) < half for k in named)
-        weight[path] = (RAISED if raised else 1.0) * (LOWERED if lowered else 1.0)
-    fused = {}
+        weight[path] = max(weight.get(path, 0.0), (RAISED if page.raised[k] else 1.0) * (LOWERED if lowered and lowered[k] else 1.0))
+    paths: dict[int, list[float]] = {}
+    for (path, _), own in per.items():
+        if path not in paths or (own[0], own[1]) > (paths[path][0], paths[path][1]):
+            paths[path] = own
+    inside: dict[int, list[int]] = {}
+    for path in paths:
+        inside.setdefault(page.above[path], []).append(path)
+    out = {}
     for members in inside.values():
         text = sum(paths[p][0] for p in members) / len(members)
         marks = sum(paths[p][1] for p in members) / len(members)
         for p in members:
             plain = paths[p][0] / max(1.0, paths[p][0] + paths[p][2])
-            fused[p] = weight[p] * plain * math.sqrt((paths[p][0] + text) / 2 * (paths[p][1] + marks) / 2)
-    return fused
+            out[p] = weight[p] * plain * math.sqrt((paths[p][0] + text) / 2 * (paths[p][1] + marks) / 2)
+    return out
 
 
 def threshold(values: list[float]) -> float:
@@ -181,63 +259,66 @@ def threshold(values: list[float]) -> float:
     return min(math.expm1(cut), SHARE * max(values))
 
 
-def sizes(found, strong: set[str]) -> dict[int, list[int]]:
-    """Characters in each element: all, on strong paths, linked."""
-    size: dict[int, list[int]] = {}
-    for path, _, text, linked, around, _ in found:
-        for _, k in around:
-            own = size.setdefault(k, [0, 0, 0])
-            own[0] += len(text)
-            own[1] += len(text) if path in strong else 0
-            own[2] += linked
-    return size
-
-
-def subtrees(found, strong: set[str], size: dict[int, list[int]]) -> set[int]:
-    """Numbers of the elements that are content as a whole, chosen by the blocks on strong paths."""
-    chosen = set()
-    for path, _, _, _, around, _ in found:
+def subtrees(page: Page, strong: set[int]) -> set[int]:
+    """Elements that are content as a whole, chosen by the blocks on strong paths."""
+    n = len(page.tag)
+    text, good = [0.0] * n, [0.0] * n
+    for path, k, said, _ in page.found:
+        text[k] += len(said)
+        good[k] += len(said) if path in strong else 0
+    text, good = page.totals(text), page.totals(good)
+    chosen: set[int] = set()
+    passed = [3] * n  # the fewest steps, up to 2, after which an element has been passed: from there nothing new is found
+    for path, k, _, _ in page.found:
         if path not in strong:
             continue
-        article = next((k for tag, k in around if tag == "article"), None)
-        if article is not None:
-            chosen.add(article)
+        if page.article[k] >= 0:
+            chosen.add(page.article[k])
             continue
-        for up, (_, k) in enumerate(reversed(around)):
-            if up > 1 and 2 * size[k][1] < size[k][0]:
-                break
+        up = 0
+        while k > 0 and passed[k] > up and not (up > 1 and 2 * good[k] < text[k]):
+            passed[k] = up
             chosen.add(k)
+            k, up = page.parent[k], min(up + 1, 2)
     return chosen
 
 
-def main_blocks(page: str, hints: bool = True) -> list[tuple[str, bool]]:
+def main_blocks(source: str, hints: bool = True) -> list[tuple[str, bool]]:
     """Text of every block outside what is set apart, in page order, and whether it is content."""
-    found = blocks(page)
-    if not found:
+    page = blocks(source)
+    if not page.found:
         return []
-    fused = ratios(found, hints)
-    least = threshold(list(fused.values()))
-    strong = {p for p, v in fused.items() if v >= least}
-    beside = {container for path, container, _, _, _, _ in found if path in strong}
-    size = sizes(found, strong)
-    chosen = subtrees(found, strong, size)
-
-    def kept(path: str, container: str, text: str, linked: int, around) -> bool:
-        if path in strong and 2 * linked < len(text):
+    lowered = page.lowered() if hints else [False] * len(page.tag)
+    values = fused(page, lowered)
+    least = threshold(list(values.values()))
+    strong = {p for p, v in values.items() if v >= least}
+    beside = {page.above[p] for p in strong}
+    chosen = subtrees(page, strong)
+    n = len(page.tag)
+    linked, text, held, article = [0.0] * n, [0.0] * n, [False] * n, [False] * n
+    for _, k, said, links in page.found:
+        text[k] += len(said)
+        linked[k] += links
+    text, linked = page.totals(text), page.totals(linked)
+    for k in range(1, n):
+        held[k] = held[page.parent[k]] or k in chosen
+        article[k] = article[page.parent[k]] or (k in chosen and page.tag[k] == "article")
+
+    def kept(path: int, k: int, said: str, links: int) -> bool:
+        if path in strong and 2 * links < len(said):
             return True
-        held = [tag for tag, k in around if k in chosen]
-        if not held or not (path in strong or container in beside or around[-1][0] in SHORT or 2 * linked >= len(text)):
+        if not held[k] or (lowered[k] and path not in strong) or not (path in strong or page.above[path] in beside or page.tag[k] in SHORT or 2 * links >= len(said)):
             return False
-        if "article" in held or 2 * linked < len(text):
+        if article[k] or 2 * links < len(said):
             return True
-        parent, k = around[-2] if len(around) > 1 else around[-1]
-        return parent != "body" and 2 * size[k][2] < size[k][0]
+        up = page.parent[k] if page.parent[k] > 0 else k
+        return page.tag[up] != "body" and 2 * linked[up] < text[up]
 
-    return [(text, kept(path, container, text, linked, around)) for path, container, text, linked, around, _ in found]
+    return [(said, kept(path, k, said, links)) for path, k, said, links in page.found]
 
 
-def main_text(page: str, hints: bool = True) -> str:
-    return "\n".join(text for text, kept in main_blocks(page, hints) if kept)
+def main_text(source: str, hints: bool = True) -> str:
+    return "\n".join(text for text, kept in main_blocks(source, hints) if kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
