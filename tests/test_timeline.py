@@ -57,3 +57,18 @@ def test_nearest_point_of_two(spark):
     events = spark.createDataFrame([(1, 1, 3), (1, 2, 14), (1, 3, 15), (1, 4, 16), (1, 5, 99), (2, 6, 5), (3, 7, 5), (None, 8, 9)], "claim_id long, id long, s long").select("claim_id", "id", F.timestamp_seconds("s").alias("at"))
     got = {r.id: int(r.n) for r in reports.nearest_point(series, events).select("id", F.unix_seconds("nearest").alias("n")).collect()}
     assert got == {1: 10, 2: 10, 3: 10, 4: 20, 5: 20, 6: 5, 8: 7}
+
+
+def test_numbers_of_a_hot_key_over_many_ranges(spark):
+    from tidewire.operators.slices import numbered
+
+    rng = random.Random(9)
+    rows = [(None if i % 50 == 0 else 1 if i % 3 else i % 7, rng.randrange(5), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, t long, id long").repartition(6)
+    got = {r.id: r.n for r in numbered(df, ["k"], [F.desc("t"), F.col("id")], "n").collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2])), 1):
+            want[r[2]] = n
+    assert got == want
+    assert numbered(df.limit(0), ["k"], [F.col("t")], "n").count() == 0

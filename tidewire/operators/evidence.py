@@ -205,10 +205,12 @@ def categorise_evidence(evidence: DataFrame) -> DataFrame:
     is_root = F.coalesce("root_id", "id") == F.col("id")
     official, direction = F.col("source_type") == "CLUB_OFFICIAL", F.col("direction")
     breaking = is_root & ~official & ~direction.isin("DENIES", "CONTEXTUAL")
-    first = F.row_number().over(Window.partitionBy("claim_id", "breaking").orderBy("published_at", "id")) == 1
+    # the earliest breaking root of each claim, by an aggregate that combines before the shuffle
+    firsts = evidence.where(breaking).groupBy(F.col("claim_id").alias("_c")).agg(F.min(F.struct("published_at", "id")).alias("_first"))
+    first = F.struct("published_at", "id") == F.col("_first")
     role = F.when(~is_root, "syndication").when(F.col("breaking"), F.when(first, "original").otherwise("corroboration"))
     marks = F.array(F.when(official, "official"), F.when(direction == "DENIES", "denial"), F.when(direction == "CONTEXTUAL", "contextual"), role)
-    return evidence.withColumn("breaking", breaking).select("id", "claim_id", F.array_join(F.array_compact(marks), ",").alias("categories"))
+    return evidence.withColumn("breaking", breaking).join(firsts, F.col("claim_id").eqNullSafe(F.col("_c")), "left").select("id", "claim_id", F.array_join(F.array_compact(marks), ",").alias("categories"))
 
 
 def find_or_create_claims(seen: DataFrame, claims: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewire.operators.slices import fold_anchors, sliced
+from tidewire.operators.slices import fold_anchors, numbered, sliced
 from tidewire.sources.io import materialise
 
 SETTLED = 20  # outcomes from which the running score is the plain hit rate
@@ -34,8 +34,8 @@ def rate_limit_audit(usage: DataFrame, limit: int, seconds: int) -> DataFrame:
     folded = fold_anchors(usage, ["api_key_id"], "created_at", seconds * 1_000_000 - 1)
     at = folded.select(F.col("api_key_id").alias("_k"), F.col("created_at").alias("_t"), F.col("anchor").alias("window_start"))
     rows = usage.join(at, (F.col("api_key_id") == F.col("_k")) & (F.col("created_at") == F.col("_t")))
-    n = F.row_number().over(Window.partitionBy("api_key_id", "window_start").orderBy("created_at", "id"))
-    return rows.withColumn("n", n).select("id", "api_key_id", "created_at", "window_start", "n", (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(0), limit - F.col("n")).alias("remaining"))
+    counted = numbered(rows.select("id", "api_key_id", "created_at", "window_start"), ["api_key_id", "window_start"], [F.col("created_at"), F.col("id")], "n")
+    return counted.withColumn("n", F.col("n").cast("int")).select("id", "api_key_id", "created_at", "window_start", "n", (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(0), limit - F.col("n")).alias("remaining"))
 
 
 def _step(score: Column, hits: Column, n: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewire.operators.evidence import categorise_evidence
+from tidewire.operators.slices import numbered
 from tidewire.operators.timeline import as_of
 
 # Product event types.
@@ -39,8 +39,7 @@ def evidence_timeline(evidence: DataFrame, category: str | None = None) -> DataF
     if category is not None:
         marked = categorise_evidence(evidence).where(F.array_contains(F.split("categories", ","), category)).select(F.col("claim_id").alias("_mc"), F.col("id").alias("_m")).distinct()
         rows = evidence.join(marked, F.col("claim_id").eqNullSafe(F.col("_mc")) & (F.col("id") == F.col("_m")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("claim_id").orderBy("published_at", "id"))
-    listed = rows.select("claim_id", "id", "published_at", "root_id", place.alias("nth"))
+    listed = numbered(rows.select("claim_id", "id", "published_at", "root_id"), ["claim_id"], [F.col("published_at"), F.col("id")], "nth")
     return listed.join(roots, F.col("claim_id").eqNullSafe(F.col("_c")) & (F.col("root_id") == F.col("_r")), "left").drop("_c", "_r")
 
 
@@ -77,8 +76,8 @@ def resolve_external_ids(rows: DataFrame, players: DataFrame, clubs: DataFrame)
 
 def forecast_history(forecasts: DataFrame) -> DataFrame:
     """Every claim's forecasts oldest first; `plotted` is the rounded percentage of those with a probability."""
-    nth = F.row_number().over(Window.partitionBy("claim_id").orderBy("predicted_at"))
-    return forecasts.select("claim_id", "predicted_at", "calibrated", nth.alias("nth"), F.floor(F.col("calibrated") * 100 + 0.5).cast("long").alias("plotted"))
+    rows = numbered(forecasts.select("claim_id", "predicted_at", "calibrated"), ["claim_id"], [F.col("predicted_at"), F.col("calibrated")], "nth")
+    return rows.select("claim_id", "predicted_at", "calibrated", "nth", F.floor(F.col("calibrated") * 100 + 0.5).cast("long").alias("plotted"))
 
 
 def nearest_point(series: DataFrame, events: DataFrame) -> DataFrame:
@@ -102,8 +101,8 @@ def watchlist_listing(watchlist: DataFrame, players: DataFrame, clubs: DataFrame
     """Every watched player with name and club, newest first within a user."""
     p = players.select(F.col("id").alias("_p"), F.col("name").alias("player"), "current_club_id")
     c = clubs.select(F.col("id").alias("_k"), F.col("name").alias("club"))
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), "player_id"))
-    return watchlist.join(p, F.col("player_id") == F.col("_p")).join(c, F.col("current_club_id") == F.col("_k"), "left").select("user_id", "player_id", "player", "club", "created_at", nth.alias("nth"))
+    rows = watchlist.join(p, F.col("player_id") == F.col("_p")).join(c, F.col("current_club_id") == F.col("_k"), "left").select("user_id", "player_id", "player", "club", "created_at")
+    return numbered(rows, ["user_id"], [F.desc("created_at"), F.col("player_id")], "nth")
 
 
 def product_metrics(users: DataFrame, events: DataFrame, caps: DataFrame) -> DataFrame:

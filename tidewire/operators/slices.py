@@ -7,6 +7,9 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidewire.sources.io import materialise
 
 SLICES = 64
 
@@ -18,6 +21,20 @@ def sliced(df: DataFrame, value: Column, slices: int = SLICES) -> DataFrame:
     return df.withColumn("_slice", reduce(add, above, F.lit(0)))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """rows with their number (from 1) within the keys, in order. Rows are dealt by ranges of keys and order, counted within a range, and the few keys
+    that a range boundary cuts get the counts of the ranges before; so a key with a third of all rows is many tasks, also where times are equal."""
+    dealt = materialise(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    of = [f"_k{i}" for i in range(len(keys))]
+    before = F.sum("_n").over(Window.partitionBy(*of).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, of, strict=True)], F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    cut = counts.withColumn("_before", before).where("_before is not null").drop("_n")  # a row for each range boundary at most
+    place = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, of, strict=True)], F.col("_part") == F.col("_p"))
+    met = dealt.withColumn("_nth", place).join(F.broadcast(cut), same, "left")
+    return met.withColumn(name, F.col("_nth") + F.coalesce("_before", F.lit(0))).drop("_part", "_nth", "_before", "_p", *of)
+
+
 def fold_anchors(rows: DataFrame, keys: list[str], at: str, micros: int) -> DataFrame:
     """The distinct (keys, at) of rows with `anchor`: a time opens a new anchor if it is more than `micros` after the last (W1, ST6).
 
