@@ -174,8 +174,8 @@ def resolve_directions(texts: DataFrame, clubs: DataFrame, catalogue: DataFrame
     return rows.select("id", "from_club", "to_club", score("from_club").alias("from_score"), score("to_club").alias("to_score"), "from_inferred")
 
 
-def extract_known(signals: DataFrame, players: DataFrame, clubs: DataFrame) -> DataFrame:
-    """Moves of players in the catalogue (J1 to J4, T7 to T9). signals: id, text."""
+def extract_known(signals: DataFrame, players: DataFrame, clubs: DataFrame, inexact: bool = False) -> DataFrame:
+    """Moves of players in the catalogue (J1 to J4, T7 to T9). signals: id, text. inexact: slices that name no club are held against inexact spellings of all clubs."""
     found = mentions.drop_shadowed_mononyms(mentions.match_players(signals, players)).where("in_context")
     bodies = signals.dropDuplicates(["id"]).select(F.col("id").alias("_s"), F.col("text").alias("_t"))
     last = F.length(F.element_at(F.split("label", " "), -1))
@@ -185,7 +185,7 @@ def extract_known(signals: DataFrame, players: DataFrame, clubs: DataFrame) -> D
     named = materialise(mentions.club_labels_in(clauses.select("id", "text"), clubs), "clause-clubs")
     several = named.groupBy(F.col("id").alias("_m")).agg(F.count_distinct("club").alias("n")).where("n > 1")
     named = named.join(several, F.col("id") == F.col("_m"), "left_semi")
-    moves = resolve_directions(clauses.select("id", "text"), named, clubs)
+    moves = resolve_directions(clauses.select("id", "text"), named, clubs if inexact else None)
     scores = clauses.select(F.col("id").alias("_c"), "player_score")
     moves = moves.join(scores, F.col("id") == F.col("_c"))
     names = players.dropDuplicates(["id"]).select(F.col("id").alias("_p"), F.col("name").alias("player_name"))
@@ -231,13 +231,14 @@ def extract_new(signals: DataFrame, matched: DataFrame, players: DataFrame, club
     return out.select("id", F.lit(None).cast(players.schema["id"].dataType).alias("player_id"), F.col("name").alias("player_name"), "from_club", "to_club", "from_inferred", "confidence", F.lit(True).alias("auto_created"))
 
 
-def extract_rumours(signals: DataFrame, players: DataFrame, clubs: DataFrame) -> DataFrame:
+def extract_rumours(signals: DataFrame, players: DataFrame, clubs: DataFrame, inexact: bool = False) -> DataFrame:
     """One row per (id, player, from, to) that a signal tells (J6): known players first, then new names of the headline.
 
     signals: id, headline, summary; players: id, name; clubs: id, name, short_name. New players and clubs have a null id. Null headlines and
-    summaries are empty. Clubs are found by whole words; of inexact spellings only those of new names and clubs are weighed.
+    summaries are empty. Clubs are found by whole words. Of inexact spellings those of new names and clubs are weighed, and with `inexact` those behind a
+    direction cue; these cost much where many slices and labels share rare pairs of letters, as numbered names do.
     """
     rows = signals.select("id", F.coalesce("headline", F.lit("")).alias("headline"), F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.coalesce("summary", F.lit(""))).alias("text"))
-    known = materialise(extract_known(rows.select("id", "text"), players, clubs), "known-moves")
+    known = materialise(extract_known(rows.select("id", "text"), players, clubs, inexact), "known-moves")
     both = known.unionByName(extract_new(rows.select("id", "headline"), known, players, clubs))
     return both.select("id", "player_id", "player_name", F.col("from_club.id").alias("from_club_id"), F.col("from_club.name").alias("from_club"), F.col("to_club.id").alias("to_club_id"), F.col("to_club.name").alias("to_club"), "from_inferred", "confidence", "auto_created")

@@ -35,16 +35,16 @@ def evidence_as_of(predictions: DataFrame, evidence: DataFrame, sources: DataFra
     tiers = sources.select(F.col("id").alias("_s"), "tier")
     rows = evidence.select("claim_id", "id", "source_id", F.coalesce("root_id", "id").alias("root"), us("published_at").alias("us"), "direction", "source_type", "confidence").join(tiers, F.col("source_id") == F.col("_s"), "left")
     official = F.col("source_type") == "CLUB_OFFICIAL"
-    moments = rows.groupBy("claim_id", "us").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(rules.tier_score(F.col("tier"))).alias("tiers"), F.sum("confidence").alias("conf"), F.count_if(F.col("direction").isin(*SUPPORT)).alias("pro"), F.count_if(F.col("direction").isin(*CONTRADICT)).alias("contra"),
-        F.count_if(official & (F.col("direction") == "CONFIRMS")).alias("yes"), F.count_if(official & (F.col("direction") == "DENIES")).alias("no"),
-    ).withColumn("newest", F.col("us"))
-    roots = rows.groupBy("claim_id", "root").agg(F.min("us").alias("us")).groupBy("claim_id", "us").agg(F.count(F.lit(1)).alias("roots"))
-    words = rows.groupBy("claim_id", "source_id", "us").agg(F.max_by(F.col("direction").isin(*SUPPORT).cast("long"), "id").alias("side"))
-    turns = changes(words, ["claim_id", "source_id"], "side").groupBy("claim_id", "us").agg(F.sum("delta").alias("siding"), F.count_if("first").alias("sources"))
-    events = moments.unionByName(roots, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True)
+    yes = lambda c: c.cast("long")
+    moments = rows.select("claim_id", "us", F.lit(1).cast("long").alias("n"), rules.tier_score(F.col("tier")).alias("tiers"), F.col("confidence").cast("double").alias("conf"), yes(F.col("direction").isin(*SUPPORT)).alias("pro"), yes(F.col("direction").isin(*CONTRADICT)).alias("contra"), yes(official & (F.col("direction") == "CONFIRMS")).alias("yes"), yes(official & (F.col("direction") == "DENIES")).alias("no"), F.col("us").alias("newest"))
+    roots = rows.groupBy("claim_id", "root").agg(F.min("us").alias("us")).select("claim_id", "us", F.lit(1).cast("long").alias("roots"))
+    words = rows.groupBy("claim_id", "source_id", "us").agg(F.max_by(yes(F.col("direction").isin(*SUPPORT)), "id").alias("side"))
+    turns = changes(words, ["claim_id", "source_id"], "side").select("claim_id", "us", F.col("delta").alias("siding"), yes(F.col("first")).alias("sources"))
+    sums = ["n", "tiers", "conf", "pro", "contra", "yes", "no", "roots", "siding", "sources"]
+    # one row for each claim and moment
+    events = moments.unionByName(roots, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True).groupBy("claim_id", "us").agg(*[F.sum(c).alias(c) for c in sums], F.max("newest").alias("newest"))
     asks = predictions.select("claim_id", us("as_of").alias("us"))
-    met = as_of(events, asks, ["claim_id"], ["n", "tiers", "conf", "pro", "contra", "yes", "no", "roots", "siding", "sources"], ["newest"]).withColumnsRenamed({"claim_id": "_claim", "us": "_us"})
+    met = as_of(events, asks, ["claim_id"], sums, ["newest"]).withColumnsRenamed({"claim_id": "_claim", "us": "_us"})
     return predictions.join(met, F.col("claim_id").eqNullSafe(F.col("_claim")) & (us("as_of") == F.col("_us"))).drop("_claim", "_us")
 
 

@@ -16,9 +16,17 @@ SLICES = 64
 
 def sliced(df: DataFrame, value: Column, slices: int = SLICES) -> DataFrame:
     """df with `_slice`, an int that rises with `value`: equal values share a slice, null is in the first. One pass over `value`."""
-    cuts = df.select(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000).alias("q")).first()["q"] or []
-    above = [F.coalesce((value > F.lit(c)).cast("int"), F.lit(0)) for c in sorted(set(cuts))]
-    return df.withColumn("_slice", reduce(add, above, F.lit(0)))
+    cuts = df.select(F.percentile_approx(value, [i / slices for i in range(1, slices)], 1_000).alias("q")).first()["q"] or []
+    cuts = sorted(set(cuts))
+
+    def place(low: int, high: int) -> Column:
+        """The number of cuts below the value, which is within low and high: a tree of comparisons."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > F.lit(cuts[middle]), place(middle + 1, high)).otherwise(place(low, middle))
+
+    return df.withColumn("_slice", place(0, len(cuts)))
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

@@ -36,11 +36,9 @@ def as_of(events: DataFrame, asks: DataFrame, keys: Sequence[str], sums: Sequenc
     inside = Window.partitionBy(*keys, "_slice").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     values = {**{c: F.sum for c in sums}, **{c: F.max for c in maxes}}
     of = [f"_k{i}" for i in range(len(keys))]
-    totals = rows.where("not _ask").groupBy(*[F.col(k).alias(o) for k, o in zip(keys, of, strict=True)], F.col("_slice").alias("_s")).agg(*[f(c).alias(f"_total_{c}") for c, f in values.items()])
-    marks = rows.select(*[F.col(k).alias(o) for k, o in zip(keys, of, strict=True)], F.col("_slice").alias("_s")).distinct()
+    totals = rows.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, of, strict=True)], F.col("_slice").alias("_s")).agg(*[f(c).alias(f"_total_{c}") for c, f in values.items()])  # asks add nothing
     earlier = Window.partitionBy(*of).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
-    before = marks.join(totals.withColumnsRenamed({o: f"_{o}" for o in of} | {"_s": "__s"}), same([*of, "_s"], [*(f"_{o}" for o in of), "__s"]), "left")
-    before = before.select(*of, "_s", *[f(f"_total_{c}").over(earlier).alias(f"_before_{c}") for c, f in values.items()])
+    before = totals.select(*of, "_s", *[f(f"_total_{c}").over(earlier).alias(f"_before_{c}") for c, f in values.items()])
     run = rows.withColumns({f"_in_{c}": f(c).over(inside) for c, f in values.items()}).where("_ask")
     met = run.join(before, same([*keys, "_slice"], [*of, "_s"]))
     zero = lambda c: F.coalesce(F.col(f"_in_{c}"), F.lit(0)) + F.coalesce(F.col(f"_before_{c}"), F.lit(0))
