@@ -236,7 +236,7 @@ def extract_rumours(signals: DataFrame, players: DataFrame, clubs: DataFrame, in
 
     signals: id, headline, summary; players: id, name; clubs: id, name, short_name. New players and clubs have a null id. Null headlines and
     summaries are empty. Clubs are found by whole words. Of inexact spellings those of new names and clubs are weighed, and with `inexact` those behind a
-    direction cue; these cost much where many slices and labels share rare pairs of letters, as numbered names do.
+    direction cue, which costs much more (see README).
     """
     rows = signals.select("id", F.coalesce("headline", F.lit("")).alias("headline"), F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.coalesce("summary", F.lit(""))).alias("text"))
     known = materialise(extract_known(rows.select("id", "text"), players, clubs, inexact), "known-moves")
