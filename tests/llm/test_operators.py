@@ -163,7 +163,7 @@ def test_line_dedup_with_null_and_repeated_ids(spark):
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
-    from tidewire.llm.packing import pack_documents, plan
+    from tidewire.llm.packing import pack_documents
     from tidewire.llm.queries import tokenizer_path
 
     rows = texts + [(400, "a <|endoftext|> b"), (401, "two  spaces\n\n  and   three "), (402, "tab\there  nbsp \n x"), (403, "it's 12 o'clock’s ’ll…")]
@@ -187,18 +187,100 @@ def test_packing(spark, texts):
             assert offset == end
             end += length
         assert end <= 64
-    # the plan is best fit decreasing, one document at a time
-    random.seed(5)
-    sizes = Counter(random.choice([*range(1, 65), 1, 2, 3, 64]) for _ in range(3000))
+    assert len(bins) <= best_fit([n for parts in bins.values() for _, n in parts], 64) * 1.01 + 1
+    assert pack_documents(documents(spark, rows).limit(0), tokenizer_path()).count() == 0
+
+
+def best_fit(sizes, capacity):
+    """Sequences of best fit decreasing, one document at a time."""
     gaps: list[int] = []
-    for s in sorted(sizes.elements(), reverse=True):
+    for s in sorted(sizes, reverse=True):
         fit = [g for g in gaps if g >= s]
         if fit:
             gaps.remove(min(fit))
-            gaps.append(min(fit) - s)
-        else:
-            gaps.append(64 - s)
-    assert 1 + max(b + -(-n // k) - 1 for _, _, n, b, k, _ in plan(dict(sizes), 64)) == len(gaps)
+        gaps.append((min(fit) if fit else capacity) - s)
+    return len(gaps)
+
+
+def test_packing_sweeps_match_across_ranges():
+    """However the order is cut into ranges, every gap takes what one sweep over the whole order gives it."""
+    from tidewire.llm.packing import match_range, meetings
+
+    random.seed(8)
+    for _ in range(200):
+        kinds = random.choices([0, 1], k=random.randint(0, 60))
+        taken, filled, _, _ = match_range(kinds)
+        want = dict(zip(filled, taken, strict=True))
+        # by definition: a gap takes the largest document below it that no earlier gap took
+        free, naive = [], {}
+        for row, kind in enumerate(kinds):
+            if kind == 0:
+                free.append(row)
+            elif free:
+                naive[row] = free.pop()
+        assert want == naive
+        cuts = sorted(random.choices(range(len(kinds) + 1), k=random.randint(0, 6)))
+        edges = [0, *cuts, len(kinds)]
+        got, gaps, left = {}, {}, {}
+        for part, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            t, f, g, d = match_range(kinds[lo:hi])
+            got |= {lo + y: lo + x for x, y in zip(t, f, strict=True)}
+            gaps[part], left[part] = [lo + x for x in g], [lo + x for x in d]
+        for part, first, other, start, n in meetings({p: (len(left[p]), len(gaps[p])) for p in gaps}):
+            got |= {gaps[part][first + k]: left[other][start + k] for k in range(n)}
+        assert got == want
+
+
+@pytest.mark.parametrize("case", ["mixed", "hot", "tiny", "thirds", "one"])
+def test_packing_places_against_best_fit(spark, case):
+    """Whole and gapless sequences, close to best fit decreasing, with several ranges a round; a hot size and sequences of many documents."""
+    from tidewire.llm.packing import place
+
+    random.seed(5)
+    capacity = 1 if case == "one" else 256
+    sizes = {
+        "mixed": [random.choice([*range(1, 257), 1, 2, 3, 256]) for _ in range(1500)],
+        "hot": [20] * 500 + [min(256, int(random.expovariate(1 / 60)) + 1) for _ in range(1000)],
+        "tiny": [1] * 3000,
+        "thirds": [80] * 300 + [90] * 100,
+        "one": [1] * 7,
+    }[case]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.createDataFrame(list(enumerate(sizes)), "p long, length long")
+        got = place(rows, capacity).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.p for r in got) == list(range(len(sizes)))
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, sizes[r.p]))
+    for parts in bins.values():
+        end = 0
+        for offset, n in sorted(parts):
+            assert offset == end
+            end += n
+        assert end <= capacity
+    assert len(bins) <= best_fit(sizes, capacity) * 1.01 + 1
+
+
+def test_packing_bundles_and_bands():
+    import pyarrow as pa
+
+    from tidewire.llm.packing import bands, glue
+
+    random.seed(2)
+    sizes = [random.choice([1, 1, 5, 30, 64, 200]) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(sizes, pa.int64())], ["p", "l"])
+    for limit in (1, 2, 64, 128):
+        rows = [r for b in glue(limit)([batch]) for r in b.to_pylist()]
+        assert sorted(i["p"] for r in rows for i in r["items"]) == list(range(300))
+        for r in rows:
+            assert r["size"] == sum(i["l"] for i in r["items"]) and (len(r["items"]) == 1 or r["size"] <= limit)
+            assert all(i["l"] == sizes[i["p"]] and i["o"] == sum(j["l"] for j in r["items"][:k]) for k, i in enumerate(r["items"]))
+    assert not list(glue(64)([batch.slice(0, 0)]))
+    cut = bands([1, 2, 3, 50, 100, 999, 1024], 2048)
+    assert all(sum(lo < s <= hi for lo, hi in cut) == 1 for s in (1, 2, 3, 50, 100, 999, 1024)) and cut == sorted(cut, reverse=True) and bands([], 8) == []
 
 
 def test_packing_ids_over_unicode_spaces(spark):

@@ -1,73 +1,38 @@
-"""Best-fit packing of token sequences, bulk-synchronous over size classes.
-
-Sizes and gaps are whole numbers up to the capacity, so the range-sorted documents and gaps are fully described by
-how many there are of each size: two histograms of at most `capacity` entries, combined before the shuffle. One
-round takes the largest documents left, sweeps the sorted gaps for the successor of their size, fills
-the smallest fitting gaps, updates those gaps and repeats; what a round does to a whole class at once is one row of
-the plan: documents with ranks r..r+n of size s go to bins b.. at an offset, k in each bin. Equal sizes compete for
-a gap by rank. The plan is a loop in the driver over these histograms; its length depends on the capacity alone, not on the corpus. Ranks are counted within
-(size, slice) and joined to the plan, so no task sees all documents.
+"""Best-fit packing of token sequences by bulk-synchronous sweeps over range-sorted documents and gaps.
+
+A round sorts the documents left and the open gaps by size, over ranges of (size, kind, key), so a hot size is cut like any other.
+Every gap takes the largest document not above it: going up the order, a document waits on a stack and a gap takes
+the last one that waits, so documents that compete for a gap are settled by their rank and no gap takes two. Each range is swept on its own; what
+is left of it are gaps, then documents, numbered from the cut. The numbers left in every range (two a range, the only thing
+that reaches the driver) say which ranks of one range meet which ranks of another, and one join on (range, rank) brings these pairs together. Then gaps
+are updated and the next round begins.
+
+Documents come in bands of falling size, as in best fit decreasing, so the small ones are left to fill what the large ones leave; a band ends
+when all of it is placed. Within a band small documents travel in bundles: a round has a limit, and documents up to half of it are glued
+into runs of at most the limit. Once few gaps take a bundle, the limit is halved; at limit 1 every document stands for itself. So the rounds
+grow with the logarithm of the capacity, also where thousands of tiny documents fill one sequence. Documents above half
+the capacity open a sequence each, further ones are opened by volume: at the start up to the tokens of the corpus, later, when no document of a
+band fits any gap, for the tokens the band has left.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise
 
 CAPACITY = 2048
-RANK_SLICES = 16
+#: A limit is halved when less than one in so many of the rarer side, bundles or gaps, found a partner.
+TAIL = 20
 #: Words kept in a worker's cache of encoded words.
 CACHE = 150_000
 #: White space after a space, and the spaces before which a text is cut. Python's \s holds all of Unicode's White_Space.
 RUN, CUT = re.compile(r" \s"), re.compile(r" (?=\S)")
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit, largest first: (size, first rank, ranks, first bin, copies a bin, offset)."""
-    rows: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> (first bin, bins)
-    order: list[int] = []
-    bins = 0
-
-    def put(gap: int, at: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((at, n))
-
-    for size in sorted(counts, reverse=True):
-        left, rank = counts[size], 0
-        while left:
-            k = bisect.bisect_left(order, size)
-            if k < len(order):
-                gap = order[k]
-                at, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], order[k]
-            else:
-                gap, at, n = capacity, bins, -(-left // (capacity // size))
-                bins += n
-            fits = gap // size
-            full = min(n, left // fits)
-            if full:
-                rows.append((size, rank, full * fits, at, fits, capacity - gap))
-                put(gap - fits * size, at, full)
-                rank, left = rank + full * fits, left - full * fits
-            if full < n and left:
-                rows.append((size, rank, left, at + full, left, capacity - gap))
-                put(gap - left * size, at + full, 1)
-                rank, left, full = rank + left, 0, full + 1
-            put(gap, at + full, n - full)
-    return rows
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """Pieces of at most `capacity` tokens: doc_id, row, piece, start, length, ids_crc32. The first may be shorter.
 
@@ -131,32 +96,222 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, slices: int = RANK_SLICES) -> DataFrame:
-    """The pieces with sequence_id and offset. `pieces` must be a written table: it is read twice."""
-    spark = pieces.sparkSession
-    sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
-    counts = sliced.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.collect()  # at most capacity x slices rows
-    totals: dict[int, int] = {}
-    starts = []
-    for r in sorted(found, key=lambda r: (r["length"], r["_slice"])):
-        starts.append((r["length"], r["_slice"], totals.get(r["length"], 0)))
-        totals[r["length"]] = totals.get(r["length"], 0) + r["n"]
-    rules = plan(totals, capacity)
-    start = spark.createDataFrame(starts, "_length long, _slice2 int, _start long")
-    rule = spark.createDataFrame(rules, "_size long, _rank long, _n long, _bin long, _copies long, _at long")
-    ranked = sliced.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", "start", "ids_crc32")))
-    ranked = ranked.join(F.broadcast(start), (F.col("length") == F.col("_length")) & (F.col("_slice") == F.col("_slice2"))).withColumn("_r", F.col("_start") + F.col("_row") - 1)
-    placed = ranked.join(F.broadcast(rule), (F.col("length") == F.col("_size")) & (F.col("_r") >= F.col("_rank")) & (F.col("_r") < F.col("_rank") + F.col("_n")))
-    nth = F.col("_r") - F.col("_rank")
-    sequence = F.col("_bin") + F.floor(nth / F.col("_copies"))
-    return placed.select(*pieces.columns, sequence.cast("long").alias("sequence_id"), (F.col("_at") + nth % F.col("_copies") * F.col("length")).cast("long").alias("offset"))
+ITEMS = "array<struct<p:long,l:long,o:long>>"
+SIDE = f"kind int, size long, key long, items {ITEMS}"
+DOCUMENT, GAP, PLACED = 0, 1, 2
+
+
+def glue(limit: int):
+    """Arrow batches of (p, l) to bundles: documents up to limit / 2 in runs of at most `limit` tokens, larger ones alone."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        half = limit // 2
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((p, -size))
+            p, size = p[order], size[order]
+            small = size <= half
+            before = np.cumsum(np.where(small, size, 0)) - size
+            group = np.where(small, before // max(half, 1), -1)
+            starts = np.flatnonzero(np.concatenate([[True], ~small[1:] | (group[1:] != group[:-1])]))
+            at = np.cumsum(size) - size
+            offset = at - np.repeat(at[starts], np.diff(np.append(starts, len(p))))
+            items = pa.ListArray.from_arrays(pa.array(np.append(starts, len(p)), pa.int32()), pa.StructArray.from_arrays([pa.array(p), pa.array(size), pa.array(offset)], ["p", "l", "o"]))
+            n = len(starts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, DOCUMENT, np.int32)), pa.array(np.add.reduceat(size, starts)), pa.array(p[starts]), items], ["kind", "size", "key", "items"])
+
+    return run
+
+
+def match_range(kinds: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """One range in ascending order: documents and gaps that meet, free gaps from the smallest, documents left from the largest."""
+    waiting: list[int] = []
+    taken: list[int] = []
+    filled: list[int] = []
+    free: list[int] = []
+    for row, kind in enumerate(kinds):
+        if kind == DOCUMENT:
+            waiting.append(row)
+        elif waiting:
+            taken.append(waiting.pop())
+            filled.append(row)
+        else:
+            free.append(row)
+    return taken, filled, free, waiting[::-1]
+
+
+def _sweep(batches):
+    """A sorted range to its pairs (kind PLACED, key and size of the gap, items of the bundle) and its numbered rest."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    part = TaskContext.get().partitionId()
+    rows = pa.Table.from_batches(batches)
+    taken, filled, free, left = match_range(rows["kind"].to_pylist())
+    for kind, sides, bundles in ((PLACED, filled, taken), (GAP, free, free), (DOCUMENT, left, left)):
+        if sides:
+            side, n = rows.take(pa.array(sides, pa.int64())), len(sides)
+            items = rows["items"].take(pa.array(bundles, pa.int64()))
+            out = pa.Table.from_arrays([pa.array(np.full(n, kind, np.int32)), side["size"], side["key"], items, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n))], ["kind", "size", "key", "items", "part", "rank"])
+            yield from out.to_batches(max_chunksize=10_000)
+
+
+def meetings(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Ranges with their (documents, gaps) left, in order: (range of the gaps, first gap, range of the documents, first document, how many)."""
+    out = []
+    waiting: list[list[int]] = []
+    for part in sorted(left):
+        documents, gaps = left[part]
+        at = 0
+        while at < gaps and waiting:
+            other, first, n = waiting[-1]
+            m = min(n, gaps - at)
+            out.append((part, at, other, first, m))
+            at += m
+            waiting[-1][1:] = [first + m, n - m]
+            if m == n:
+                waiting.pop()
+        if documents:
+            waiting.append([part, 0, documents])
+    return out
+
+
+def _meet(rest: DataFrame, found: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The rest of a sweep after ranges have met: pairs as PLACED rows, the others as they were."""
+    import numpy as np
+
+    taken: dict[int, int] = {}
+    segments: dict[int, list[tuple[int, int, int, int]]] = {}
+    for part, at, other, first, n in found:
+        taken[part] = at + n
+        segments.setdefault(other, []).append((first, n, part, at))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kind, part, rank = (batch.column(k).to_numpy() for k in (0, 4, 5))
+            to, nth = np.full(len(kind), -1, np.int32), np.zeros(len(kind), np.int64)
+            for p in np.unique(part):
+                here = (part == p) & (kind == GAP) & (rank < taken.get(int(p), 0))
+                to[here], nth[here] = p, rank[here]
+                if int(p) in segments:
+                    first, n, target, at = np.array(segments[int(p)]).T
+                    mine = np.flatnonzero((part == p) & (kind == DOCUMENT) & (rank < first[-1] + n[-1]))
+                    k = np.searchsorted(first, rank[mine], side="right") - 1
+                    to[mine], nth[mine] = target[k], at[k] + rank[mine] - first[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(to), pa.array(nth)], ["kind", "size", "key", "items", "meet", "nth"])
+
+    ends = rest.mapInArrow(run, f"{SIDE}, meet int, nth long")
+    bundles = ends.where((F.col("meet") >= 0) & (F.col("kind") == DOCUMENT)).select("meet", "nth", "items")
+    gaps = ends.where((F.col("meet") >= 0) & (F.col("kind") == GAP)).select("meet", "nth", "size", "key")
+    pairs = gaps.join(bundles, ["meet", "nth"]).select(F.lit(PLACED).alias("kind"), "size", "key", "items")
+    return pairs.unionByName(ends.where("meet < 0").select("kind", "size", "key", "items"))
+
+
+def _fresh(spark, first: int, n: int, capacity: int) -> DataFrame:
+    """n empty sequences, numbered down from -1 - first."""
+    return spark.range(first, first + n).select((-1 - F.col("id")).alias("key"), F.lit(capacity).cast("long").alias("size"))
+
+
+def bands(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
+    """Descending (above, up to) bounds that hold every length: narrow ones first, wide ones for the smallest lengths."""
+    out = []
+    left = sorted(set(lengths), reverse=True)
+    while left:
+        high = left[0]
+        cut = high * 4 // 5 if high > capacity // 16 else high // 4
+        out.append((cut, high))
+        left = [s for s in left if s <= cut]
+    return out
+
+
+def place(sizes: DataFrame, capacity: int) -> DataFrame:
+    """p, sequence_id and offset for written rows of (p, length), p unique and lengths from 1 to `capacity`."""
+    spark = sizes.sparkSession
+    counts = {r["length"]: r["count"] for r in sizes.groupBy("length").count().collect()}  # at most `capacity` numbers
+    total, opened = sum(s * n for s, n in counts.items()), sum(n for s, n in counts.items() if 2 * s > capacity)
+    large = 2 * F.col("length") > capacity
+    gaps = sizes.where(large).select(F.col("p").alias("key"), (capacity - F.col("length")).alias("size"))
+    done = [sizes.where(large).select("p", F.col("p").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    fresh = max(0, -(-total // capacity) - opened)
+    if fresh:
+        gaps = gaps.unionByName(_fresh(spark, 0, fresh, capacity))
+    small = {s: n for s, n in counts.items() if 2 * s <= capacity}
+    top = max(1, capacity // 2)
+    widest = capacity  # no gap is larger
+    for cut, high in bands(list(small), capacity):
+        documents = sizes.where((F.col("length") > cut) & (F.col("length") <= high)).select("p", F.col("length").alias("l"))
+        band = {s: n for s, n in small.items() if cut < s <= high}
+        tokens, low = sum(s * n for s, n in band.items()), min(band)
+        limit, stuck, left = top, False, True
+        while left:
+            if stuck or widest < low:
+                n = -(-tokens // capacity)
+                gaps, fresh, widest, limit, stuck = gaps.unionByName(_fresh(spark, fresh, n, capacity)), fresh + n, capacity, top, False
+            limit = min(limit, widest)
+            if limit < 2 * low:
+                limit = 1
+            bundles = documents.mapInArrow(glue(limit), SIDE)
+            open_gaps = gaps.where(F.col("size") >= min(small)).select(F.lit(GAP).alias("kind"), "size", "key", F.array().cast(ITEMS).alias("items"))
+            order = ("size", "kind", "key")
+            swept = materialise(bundles.unionByName(open_gaps).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, f"{SIDE}, part int, rank long"), "swept")
+            rest: dict[int, list[int]] = {}
+            seen, wide = [0, 0, 0], 0
+            for r in swept.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") >= low).alias("wide")).collect():  # three rows a range
+                seen[r["kind"]] += r["n"]
+                if r["kind"] != PLACED:
+                    rest.setdefault(r["part"], [0, 0])[r["kind"]] = r["n"]
+                if r["kind"] != DOCUMENT:
+                    wide += r["wide"]
+            found = meetings({k: (v[0], v[1]) for k, v in rest.items()})
+            met = sum(m[-1] for m in found)
+            matched = seen[PLACED] + met
+            few = matched * TAIL < min(seen[DOCUMENT] + seen[PLACED], wide)
+            after = swept.where(F.col("kind") != PLACED)
+            after = materialise(_meet(after, found), "met") if found else after.select("kind", "size", "key", "items")
+            placed = swept.where(F.col("kind") == PLACED).select("kind", "size", "key", "items").unionByName(after.where(F.col("kind") == PLACED))
+            done.append(placed.select("key", "size", F.explode("items").alias("i")).select(F.col("i.p").alias("p"), F.col("key").alias("sequence_id"), (capacity - F.col("size") + F.col("i.o")).alias("offset")))
+            last = F.element_at("items", -1)
+            gaps = after.where(F.col("kind") == GAP).select("key", "size").unionByName(placed.select("key", (F.col("size") - last["o"] - last["l"]).alias("size")))
+            left = seen[DOCUMENT] > met
+            if not left:
+                continue
+            documents = after.where(F.col("kind") == DOCUMENT).select(F.explode("items").alias("i")).select("i.p", "i.l")
+            if limit > 1:
+                limit = max(1, limit // 2) if few else limit
+            elif not matched:
+                stuck = True
+            elif few:
+                limit = top
+            tokens, low = documents.agg(F.sum("l"), F.min("l")).first()
+            widest = gaps.agg(F.max("size")).first()[0] or 0
+    out = done[0]
+    for table in done[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The pieces with sequence_id and offset. `pieces` must be a written table with a number of its own in each row's `p`; it is read several times."""
+    return pieces.join(place(pieces.select("p", "length"), capacity), "p").drop("p")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one piece that holds the end token; rows that repeat an id are packed each on its own;
-    an empty table gives an empty result. Sequence numbers run from 0; pieces of a sequence leave no gap.
+    Null and empty texts are one piece that holds the end token; rows that repeat an id or have none are packed each on its own; very
+    long texts are cut into pieces of `capacity`; other columns are not read, whatever their names; an empty table gives an empty
+    result. Sequences have any numbers; their pieces leave no gap.
     """
-    return pack_pieces(materialise(token_pieces(docs, tokenizer, id_col, text_col, capacity), "token-pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer, id_col, text_col, capacity).withColumn("p", F.monotonically_increasing_id())
+    return pack_pieces(materialise(pieces, "token-pieces"), capacity)
