@@ -165,6 +165,27 @@ def _sweep(batches):
             yield from out.to_batches(max_chunksize=10_000)
 
 
+def tally(low: int):
+    """Counts of (part, kind, size) rows by part and kind, and of those with sizes from `low`: one row for each in a task, without a shuffle."""
+
+    def run(batches):
+        from collections import Counter
+
+        import numpy as np
+        import pyarrow as pa
+
+        rows, wide = Counter(), Counter()
+        for batch in batches:
+            part, kind, size = (c.to_numpy() for c in batch.columns)
+            code = part.astype(np.int64) * 3 + kind
+            for found, chosen in ((rows, code), (wide, code[size >= low])):
+                found.update(dict(zip(*(x.tolist() for x in np.unique(chosen, return_counts=True)), strict=True)))
+        codes = sorted(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([c // 3 for c in codes], pa.int32()), pa.array([c % 3 for c in codes], pa.int32()), pa.array([rows[c] for c in codes], pa.int64()), pa.array([wide[c] for c in codes], pa.int64())], ["part", "kind", "n", "wide"])
+
+    return run
+
+
 def meetings(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Ranges with their (documents, gaps) left, in order: (range of the gaps, first gap, range of the documents, first document, how many)."""
     out = []
@@ -267,10 +288,10 @@ def place(sizes: DataFrame, capacity: int) -> DataFrame:
             swept = materialise(bundles.unionByName(open_gaps).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, f"{SIDE}, part int, rank long"), "swept")
             rest: dict[int, list[int]] = {}
             seen, wide = [0, 0, 0], 0
-            for r in swept.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") >= low).alias("wide")).collect():  # three rows a range
+            for r in swept.select("part", "kind", "size").mapInArrow(tally(low), "part int, kind int, n long, wide long").collect():  # three rows a range and file
                 seen[r["kind"]] += r["n"]
                 if r["kind"] != PLACED:
-                    rest.setdefault(r["part"], [0, 0])[r["kind"]] = r["n"]
+                    rest.setdefault(r["part"], [0, 0])[r["kind"]] += r["n"]
                 if r["kind"] != DOCUMENT:
                     wide += r["wide"]
             found = meetings({k: (v[0], v[1]) for k, v in rest.items()})
