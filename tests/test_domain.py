@@ -121,6 +121,23 @@ def test_near_duplicates_lose_nothing_at_any_threshold(spark):
         assert got == want | {(i, first[i]) for i in first if first[i] != i} and len(want) > 20
 
 
+def test_near_duplicates_across_small_blocks(spark, monkeypatch):
+    import random
+
+    random.seed(8)
+    monkeypatch.setattr(evidence, "BLOCK", 5)
+    monkeypatch.setattr(evidence, "BLOCK_BITS", 2_000)
+    monkeypatch.setattr(evidence, "TILE", 2)
+    base = [[f"w{random.randrange(500)}" for _ in range(random.randint(1, 90))] for _ in range(9)]
+    rows = [(i, i % 2 if i % 7 else None, 200 - i, " ".join(w for w in random.choice(base) if random.random() > 0.2)) for i in range(130)]
+    sets = {i: frozenset(t.split()) for i, _, _, t in rows}
+    got = {(r.item_id, r.candidate_id) for r in evidence.near_duplicate_pairs(spark.createDataFrame(rows, "id long, claim_id long, seq long, text string")).collect()}
+    first = {i: max(j for j, d, _, _ in rows if c == d and sets[j] == sets[i]) for i, c, _, _ in rows}  # later ids come earlier
+    like = lambda a, b: len(a & b) / max(1, len(a | b))
+    want = {(i, j) for i, c, _, _ in rows for j, d, _, _ in rows if c == d and i < j and like(sets[i], sets[j]) >= 0.55 and first[i] == i and first[j] == j}
+    assert got == want | {(i, first[i]) for i in first if first[i] != i} and len(want) > 20
+
+
 def test_features_do_not_see_the_future(spark):
     ev = spark.createDataFrame([(1, 1, 1, datetime(2025, 1, 5), "SUPPORTS", "NEWS_OUTLET", 0.9, None), (2, 1, 1, datetime(2025, 2, 1), "CONFIRMS", "CLUB_OFFICIAL", 0.9, None)], "id long, claim_id long, source_id long, published_at timestamp, direction string, source_type string, confidence double, root_id long")
     claims = spark.createDataFrame([(1, 7, None, None, "LOAN", None, T0)], "id long, player_id long, stated_fee double, stated_months int, transfer_type string, window string, first_seen_at timestamp")
