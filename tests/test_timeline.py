@@ -72,3 +72,51 @@ def test_numbers_of_a_hot_key_over_many_ranges(spark):
             want[r[2]] = n
     assert got == want
     assert numbered(df.limit(0), ["k"], [F.col("t")], "n").count() == 0
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_long_keys_are_cut_into_slices(spark, monkeypatch, after):
+    from tidewire.operators import slices
+
+    events, asks = case(7)
+    e, a = spark.createDataFrame(events, "k long, us long, v long, at long"), spark.createDataFrame(asks, "k long, us long")
+    turns = e.select("k", "us", "v")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole = rows(as_of(e, a, ["k"], ["v"], ["at"], after)), rows(changes(turns, ["k"], "v"))
+    monkeypatch.setattr(slices, "HOT", 30)
+    assert slices.long_keys(turns, ["k"]).count() > 0
+    assert (rows(as_of(e, a, ["k"], ["v"], ["at"], after)), rows(changes(turns, ["k"], "v"))) == whole
+
+
+def test_evidence_of_long_claims_adds_up_as_that_of_short_ones(spark, monkeypatch):
+    from tidewire.operators import forecast, slices
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), i, rng.randrange(4), rng.choice([None, i // 3]), rng.randrange(60), rng.choice(["SUPPORTS", "DENIES", "CONFIRMS", "CONTEXTUAL"]), rng.choice(["CLUB_OFFICIAL", "NEWS_OUTLET"]), float(rng.randrange(5))) for i in range(200)]
+    ev = spark.createDataFrame(rows, "claim_id long, id long, source_id long, root_id long, s long, direction string, source_type string, confidence double").withColumn("published_at", F.timestamp_seconds("s"))
+    asks = spark.createDataFrame([(c, t) for c in (1, 2, 3, 4, None) for t in range(-1, 70, 7)], "claim_id long, s long").select("claim_id", F.timestamp_seconds("s").alias("as_of"))
+    sources = spark.createDataFrame([(0, 1), (1, 2), (2, None)], "id long, tier int")
+    got = lambda: {(r.claim_id, str(r.as_of)): (r.n, r.roots, r.sources, r.siding, r.conf, r.pro, r.newest) for r in forecast.evidence_as_of(asks, ev, sources).collect()}
+    whole = got()
+    for (claim, _), (n, roots, seen, siding, *_) in zip(sorted(whole, key=str), [whole[k] for k in sorted(whole, key=str)], strict=True):
+        assert siding <= seen <= 4 and roots <= n
+    last = {c: [r for r in rows if r[0] == c] for c in (1, 2, 3, None)}
+    end = max(k[1] for k in whole)
+    for c, of in last.items():
+        sides = {s: max((r[4], r[1], r[5] in ("SUPPORTS", "CONFIRMS")) for r in of if r[2] == s)[2] for s in {r[2] for r in of}}
+        assert whole[c, end][:4] == (len(of), len({r[1] if r[3] is None else r[3] for r in of}), len(sides), sum(sides.values()))
+    monkeypatch.setattr(slices, "HOT", 40)
+    assert got() == whole
+
+
+def test_nearest_points_of_long_claims(spark, monkeypatch):
+    from tidewire.operators import reports, slices
+
+    rng = random.Random(4)
+    points, at = [(rng.choice([1, 1, 2, None]), rng.randrange(100)) for _ in range(60)], [(rng.choice([1, 1, 2, 3, None]), i, rng.randrange(-5, 110)) for i in range(90)]
+    series = spark.createDataFrame(points, "claim_id long, s long").select("claim_id", F.timestamp_seconds("s").alias("predicted_at"))
+    events = spark.createDataFrame(at, "claim_id long, id long, s long").select("claim_id", "id", F.timestamp_seconds("s").alias("at"))
+    want = {i: min((abs(p - t), p) for k, p in points if k == c)[1] for c, i, t in at if any(k == c for k, _ in points)}
+    for most in (slices.HOT, 12):
+        monkeypatch.setattr(slices, "HOT", most)
+        assert {r.id: r.n for r in reports.nearest_point(series, events).select("id", F.unix_seconds("nearest").alias("n")).collect()} == want

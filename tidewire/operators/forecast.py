@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.functions import rules
-from tidewire.operators.slices import sliced
+from tidewire.operators.slices import long_keys, sliced
 from tidewire.operators.timeline import as_of, changes
 from tidewire.sources.io import materialise
 
@@ -34,17 +34,39 @@ def evidence_as_of(predictions: DataFrame, evidence: DataFrame, sources: DataFra
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     tiers = sources.select(F.col("id").alias("_s"), "tier")
     rows = evidence.select("claim_id", "id", "source_id", F.coalesce("root_id", "id").alias("root"), us("published_at").alias("us"), "direction", "source_type", "confidence").join(tiers, F.col("source_id") == F.col("_s"), "left")
-    official = F.col("source_type") == "CLUB_OFFICIAL"
     yes = lambda c: c.cast("long")
-    moments = rows.select("claim_id", "us", F.lit(1).cast("long").alias("n"), rules.tier_score(F.col("tier")).alias("tiers"), F.col("confidence").cast("double").alias("conf"), yes(F.col("direction").isin(*SUPPORT)).alias("pro"), yes(F.col("direction").isin(*CONTRADICT)).alias("contra"), yes(official & (F.col("direction") == "CONFIRMS")).alias("yes"), yes(official & (F.col("direction") == "DENIES")).alias("no"), F.col("us").alias("newest"))
-    roots = rows.groupBy("claim_id", "root").agg(F.min("us").alias("us")).select("claim_id", "us", F.lit(1).cast("long").alias("roots"))
-    words = rows.groupBy("claim_id", "source_id", "us").agg(F.max_by(yes(F.col("direction").isin(*SUPPORT)), "id").alias("side"))
-    turns = changes(words, ["claim_id", "source_id"], "side").select("claim_id", "us", F.col("delta").alias("siding"), yes(F.col("first")).alias("sources"))
+    official, side = F.col("source_type") == "CLUB_OFFICIAL", yes(F.col("direction").isin(*SUPPORT))
+    values = {"n": F.lit(1).cast("long"), "tiers": rules.tier_score(F.col("tier")), "conf": F.col("confidence").cast("double"), "pro": side, "contra": yes(F.col("direction").isin(*CONTRADICT)), "yes": yes(official & (F.col("direction") == "CONFIRMS")), "no": yes(official & (F.col("direction") == "DENIES")), "newest": F.col("us")}
+
+    def in_place(rows: DataFrame) -> DataFrame:
+        """What each item adds: windows within claims, which stay where the claim's items are."""
+        before = F.lag(side).over(Window.partitionBy("claim_id", "source_id").orderBy("us", "id"))
+        first = F.row_number().over(Window.partitionBy("claim_id", "root").orderBy("us", "id")) == 1
+        turn = F.col("before").isNull()
+        told = rows.withColumn("roots", yes(first)).withColumn("before", before)
+        return told.select("claim_id", "us", *[v.alias(c) for c, v in values.items()], "roots", (side - F.coalesce("before", F.lit(0))).alias("siding"), yes(turn).alias("sources"))
+
+    def in_parts(rows: DataFrame) -> DataFrame:
+        """The same for claims that are too long for one task."""
+        rows = materialise(rows, "evidence-rows")  # read three times
+        roots = rows.groupBy("claim_id", "root").agg(F.min("us").alias("us")).select("claim_id", "us", F.lit(1).cast("long").alias("roots"))
+        words = rows.groupBy("claim_id", "source_id", "us").agg(F.max_by(side, "id").alias("side"))
+        turns = changes(words, ["claim_id", "source_id"], "side").select("claim_id", "us", F.col("delta").alias("siding"), yes(F.col("first")).alias("sources"))
+        return rows.select("claim_id", "us", *[v.alias(c) for c, v in values.items()]).unionByName(roots, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True)
+
+    rows = rows.drop("_s").where("us is not null")
+    many = long_keys(evidence.select("claim_id").unionByName(predictions.select("claim_id")), ["claim_id"])
+    hot = many.withColumnRenamed("claim_id", "_h")
+    if many.isEmpty():
+        moments = in_place(rows)
+    else:
+        same = F.col("claim_id").eqNullSafe(F.col("_h"))
+        moments = in_place(rows.join(F.broadcast(hot), same, "left_anti")).unionByName(in_parts(rows.join(F.broadcast(hot), same, "left_semi")))
     sums = ["n", "tiers", "conf", "pro", "contra", "yes", "no", "roots", "siding", "sources"]
     # one row for each claim and moment
-    events = moments.unionByName(roots, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True).groupBy("claim_id", "us").agg(*[F.sum(c).alias(c) for c in sums], F.max("newest").alias("newest"))
+    events = moments.groupBy("claim_id", "us").agg(*[F.sum(c).alias(c) for c in sums], F.max("newest").alias("newest"))
     asks = predictions.select("claim_id", us("as_of").alias("us"))
-    met = as_of(events, asks, ["claim_id"], sums, ["newest"]).withColumnsRenamed({"claim_id": "_claim", "us": "_us"})
+    met = as_of(events, asks, ["claim_id"], sums, ["newest"], short=many.isEmpty()).withColumnsRenamed({"claim_id": "_claim", "us": "_us"})
     return predictions.join(met, F.col("claim_id").eqNullSafe(F.col("_claim")) & (us("as_of") == F.col("_us"))).drop("_claim", "_us")
 
 
