@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewire.operators.evidence import categorise_evidence
-from tidewire.operators.slices import numbered
-from tidewire.operators.timeline import as_of
+from tidewire.operators.slices import hot_sliced, numbered
+from tidewire.sources.io import materialise
 
 # Product event types.
 CREATED, PANEL, HISTORY, UPGRADE = "WATCHLIST_CREATED", "PROVENANCE_PANEL_VIEWED", "FORECAST_HISTORY_VIEWED", "UPGRADE_INTEREST_CLICKED"
@@ -83,18 +84,24 @@ def forecast_history(forecasts: DataFrame) -> DataFrame:
 def nearest_point(series: DataFrame, events: DataFrame) -> DataFrame:
     """Every event's point of its claim that is nearest in time, the earlier of two as near (J19). series: claim_id, predicted_at; events: claim_id, id, at.
 
-    The last point up to an event and the first from it on come from one timeline each; no event meets all points. Events of claims without points have no row.
+    Points and events of a claim lie on one timeline, which is passed over in both directions; no event meets all points and none is joined back. Claims
+    with more than HOT rows are cut into slices of time. Events of claims without points have no row.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    points = series.select("claim_id", us("predicted_at").alias("us")).where("us is not null").distinct()
-    asks = events.select("claim_id", us("at").alias("us"))
-    last = as_of(points.withColumn("last", F.col("us")), asks, ["claim_id"], maxes=["last"])
-    following = as_of(points.withColumn("following", -F.col("us")), asks, ["claim_id"], maxes=["following"], after=True).withColumnsRenamed({"claim_id": "_c", "us": "_u"})
-    both = last.join(following, F.col("claim_id").eqNullSafe(F.col("_c")) & (F.col("us") == F.col("_u"))).withColumn("following", -F.col("following"))
+    points = series.select("claim_id", us("predicted_at").alias("us")).where("us is not null").distinct().withColumns({"point": F.col("us"), "_kind": F.lit(0)})
+    asks = events.select("claim_id", us("at").alias("us"), F.lit(1).alias("_kind"), "id", "at").where("us is not null")
+    rows, hot = hot_sliced(materialise(points.unionByName(asks, allowMissingColumns=True), "points"), ["claim_id"], F.col("us"))
+    line = Window.partitionBy("claim_id", *(["_slice"] if hot else []))
+    run = lambda order: line.orderBy(order, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumns({"last": F.max("point").over(run(F.asc("us"))), "following": F.min("point").over(run(F.desc("us")))}).where("_kind = 1")
+    if hot is not None:
+        per = hot.groupBy(F.col("claim_id").alias("_c"), F.col("_slice").alias("_s")).agg(F.max("point").alias("most"), F.min("point").alias("least"))
+        by = Window.partitionBy("_c")
+        ends = per.select("_c", "_s", F.max("most").over(by.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)).alias("_last"), F.min("least").over(by.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)).alias("_following"))
+        met = met.join(F.broadcast(ends), F.col("claim_id").eqNullSafe(F.col("_c")) & (F.col("_slice") == F.col("_s")), "left").withColumns({"last": F.coalesce("last", "_last"), "following": F.coalesce("following", "_following")})
     earlier = F.col("following").isNull() | (F.col("us") - F.col("last") <= F.col("following") - F.col("us"))
     nearest = F.when(F.col("last").isNotNull() & earlier, F.col("last")).otherwise(F.col("following"))
-    found = both.select(F.col("claim_id").alias("_e"), F.col("us").alias("_at"), F.timestamp_micros(nearest).cast(series.schema["predicted_at"].dataType).alias("nearest")).where("nearest is not null")
-    return events.join(found, F.col("claim_id").eqNullSafe(F.col("_e")) & (us("at") == F.col("_at"))).select("claim_id", "id", "at", "nearest")
+    return met.select("claim_id", "id", "at", F.timestamp_micros(nearest).cast(series.schema["predicted_at"].dataType).alias("nearest")).where("nearest is not null")
 
 
 def watchlist_listing(watchlist: DataFrame, players: DataFrame, clubs: DataFrame) -> DataFrame:
