@@ -81,3 +81,20 @@ def test_catalogue(spark):
     new = spark.createDataFrame([("x1", "Uno", None), ("x2", "st two", None), ("x3", "Three", None), (None, "New", T0)], "external_id string, name string, contract_end timestamp")
     got = {tuple(r) for r in mentions.reconcile_catalog(old, new, text.normalise_club_name).drop("ambiguous").collect()}
     assert got == {("update", 1, "x1", "Uno", T0), ("adopt", 2, "x2", "St. Two", T0), ("create", None, "x3", "Three", None), ("create", None, None, "New", T0)}
+
+
+def test_parts_that_resemble_one_another_meet_only_as_a_whole(spark):
+    rng = random.Random(6)
+    parts = [(i, f"customer#{i % 90:06d}") for i in range(120)] + [(200, "cust"), (201, "custo"), (202, "#00000"), (203, "abc"), (204, "ñandú"), (205, None)]
+    texts = [(i, f"{'Ab' * rng.randrange(3)}Customer#{rng.randrange(100):06d}{rng.choice(['', '7', ' to', 'CUSTO'])}") for i in range(60)] + [(90, "los ÑANDÚs"), (91, "cus"), (92, None), (93, "")]
+    got = {(r.id, r.owner) for r in mentions.contained_parts(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(parts, "owner long, part string")).collect()}
+    assert got == {(i, o) for i, t in texts for o, p in parts if t and p and len(p) >= 4 and p in t.lower()} and len(got) > 100
+
+
+def test_words_keep_their_meaning_with_and_without_accents(spark):
+    texts = ["Müller\tto FC Köln\n", "plain text,\r\nwith  marks!", "Łódź – Nómada", "", None, "A B"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    source, target = text._accents()
+    slow = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.translate(F.regexp_replace("text", r"\s", " "), source, target), "[̀-ͯ]", "")), "[^a-z0-9 ]", ""))
+    for r in rows.select(mentions._words(F.col("text")).alias("w"), F.array_remove(F.split(slow, " "), "").alias("x")).collect():
+        assert r.w == r.x
