@@ -87,3 +87,15 @@ def test_likelihood_forest(spark):
     assert forecast.score_likelihood(x).where("score is null or score < 0 or score > 100").count() == 0
     with pytest.raises(ValueError):
         forecast.train_likelihood(x.where("rumour_id < 50"))
+
+
+def test_factors_read_the_evidence_once(spark, tmp_path):
+    items = [(1, 10, 1, None, "CONFIRMS", "CLUB_OFFICIAL", 5), (1, 11, 2, 10, "CONFIRMS", "CLUB_OFFICIAL", 6), (1, 12, 3, None, "CONTRADICTS", "NEWS_OUTLET", 7), (1, 13, 1, None, "CONTRADICTS", "NEWS_OUTLET", 7), (2, 20, 2, None, "DENIES", "CLUB_OFFICIAL", 1), (2, 21, 9, 20, "SUPPORTS", "NEWS_OUTLET", 2)]
+    spark.createDataFrame(items, "claim_id long, id long, source_id long, root_id long, direction string, source_type string, marker_s long").write.parquet(f"{tmp_path}/evidence")
+    ev = spark.read.parquet(f"{tmp_path}/evidence").withColumn("published_at", F.timestamp_seconds("marker_s"))
+    claims = spark.createDataFrame([(1, None, 0), (2, None, 0), (3, None, 0)], "id long, stated_fee double, s long").select("id", "stated_fee", F.timestamp_seconds("s").alias("last_evidence_at"))
+    sources = spark.createDataFrame([(1, "A"), (2, "B"), (3, None)], "id long, name string")
+    found = explain.forecast_factors(claims, ev, F.timestamp_seconds(F.lit(60)), sources)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("marker_s#") <= 4  # one relation and its uses
+    got = {(r.claim_id, r.factor, r.evidence_id, r.explanation.split(" ")[0]) for r in found.collect()}
+    assert got == {(1, "Official club confirmation", 11, "B"), (1, "3 independent sources", 10, "3"), (1, "Conflicting report", 12, "A"), (2, "Official club denial", 20, "B"), (2, "Single original source", 20, "All"), (3, "No corroborating evidence", None, "No")}

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules
-from tidewire.operators.evidence import claim_provenance
 
 QUIET_DAYS = 14
 
@@ -68,13 +67,26 @@ def provenance_edges(claims: DataFrame, evidence: DataFrame, players: DataFrame,
     return towards("player_id", "player-", players).unionByName(towards("from_club_id", "club-", clubs)).unionByName(towards("to_club_id", "club-", clubs)).unionByName(of_items)
 
 
-def _summed_up(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Claims with the counts, official words, strongest cluster and earliest contradiction of their evidence."""
-    per_root = evidence.groupBy("claim_id", F.coalesce("root_id", "id").alias("root")).agg(F.count_if(F.col("id") != F.coalesce("root_id", "id")).alias("copies"))
-    strongest = per_root.groupBy(F.col("claim_id").alias("_r")).agg(F.max_by("root", F.struct("copies", -F.col("root"))).alias("strongest"))
-    against = evidence.where("direction = 'CONTRADICTS'").groupBy(F.col("claim_id").alias("_a")).agg(F.min_by("id", F.struct("published_at", "id")).alias("contradicting"))
-    counts = claim_provenance(evidence).withColumnRenamed("claim_id", "_c")
-    rows = claims.join(counts, F.col("id") == F.col("_c"), "left").join(strongest, F.col("id") == F.col("_r"), "left").join(against, F.col("id") == F.col("_a"), "left")
+def _summed_up(claims: DataFrame, evidence: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Claims with the counts, official words, strongest cluster and earliest contradiction of their evidence, and with the names (`_confirmation_id` and
+    so on) of those items' sources if these are given. One pass: sums by root, then by claim."""
+    root, official = F.coalesce("root_id", "id"), F.col("source_type") == "CLUB_OFFICIAL"
+    rows = evidence.withColumn("_name", F.lit(None).cast("string"))
+    if sources is not None:
+        names = sources.groupBy(F.col("id").alias("_s")).agg(F.min("name").alias("_name"))
+        rows = evidence.join(names, F.col("source_id") == F.col("_s"), "left")
+    item = lambda when: F.when(when, F.struct("published_at", "id", "_name"))
+    per_root = rows.groupBy("claim_id", root.alias("root")).agg(
+        F.count_if(F.col("id") != root).alias("copies"),
+        F.count(F.lit(1)).alias("evidence"),
+        F.max(item(official & (F.col("direction") == "CONFIRMS"))).alias("c"),
+        F.max(item(official & (F.col("direction") == "DENIES"))).alias("d"),
+        F.min(item(F.col("direction") == "CONTRADICTS")).alias("a"),
+    )
+    per = per_root.groupBy(F.col("claim_id").alias("_c")).agg(F.max_by("root", F.struct("copies", -F.col("root"))).alias("strongest"), F.sum("evidence").alias("evidence"), F.count("root").alias("independent"), F.max("c").alias("c"), F.max("d").alias("d"), F.min("a").alias("a"))
+    told = [x for key, at in (("confirmation_id", "c"), ("denial_id", "d"), ("contradicting", "a")) for x in (F.col(f"{at}.id").alias(key), F.col(f"{at}._name").alias(f"_{key}"))]
+    per = per.select("_c", "strongest", "evidence", "independent", *told)
+    rows = claims.join(per, F.col("id") == F.col("_c"), "left")
     return rows.withColumns({"evidence": F.coalesce("evidence", F.lit(0)), "independent": F.coalesce("independent", F.lit(0))})
 
 
@@ -113,15 +125,9 @@ def forecast_factors(claims: DataFrame, evidence: DataFrame, now: Column, source
 
     With `sources` (id, name) the explanations name the club or outlet; without, or where the name is unknown, they say "The club" or "A source".
     """
-    rows = _summed_up(claims, evidence)
+    rows = _summed_up(claims, evidence, sources)
     named = {"confirmation_id": "The club", "denial_id": "The club", "contradicting": "A source"}
-    if sources is not None:
-        names = sources.select(F.col("id").alias("_s"), F.col("name").alias("_name"))
-        of = evidence.where("source_type = 'CLUB_OFFICIAL' OR direction = 'CONTRADICTS'").join(names, F.col("source_id") == F.col("_s")).groupBy(F.col("claim_id").alias("_nc"), F.col("id").alias("_ni")).agg(F.min("_name").alias("_name"))
-        for key in named:
-            one = of.select(F.col("_nc").alias("_oc"), F.col("_ni").alias("_oi"), F.col("_name").alias(f"_{key}"))
-            rows = rows.join(one, (F.col("id") == F.col("_oc")) & (F.col(key) == F.col("_oi")), "left").drop("_oc", "_oi")
-    who = lambda key: F.coalesce(F.col(f"_{key}") if sources is not None else F.lit(None).cast("string"), F.lit(named[key]))
+    who = lambda key: F.coalesce(F.col(f"_{key}"), F.lit(named[key]))
     n, quiet = F.col("independent"), (F.unix_millis(now) - F.unix_millis(F.col("last_evidence_at").cast("timestamp"))) / 86_400_000
     unsaid = F.col("confirmation_id").isNull() & F.col("denial_id").isNull()
 
