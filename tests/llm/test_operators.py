@@ -283,6 +283,33 @@ def test_packing_bundles_and_bands():
     assert all(sum(lo < s <= hi for lo, hi in cut) == 1 for s in (1, 2, 3, 50, 100, 999, 1024)) and cut == sorted(cut, reverse=True) and bands([], 8) == []
 
 
+def test_packing_ranges_follow_the_rows(spark, monkeypatch):
+    """Few rows are swept in few ranges whatever the number of shuffle partitions; many rows, also of one size, in many."""
+    from tidewire.llm import packing
+
+    assert packing.ranges({(1, 0): 3, (1, 1): 4, (5, 0): 25, (6, 1): 2, (9, 0): 9}, 10) == {(1, 0): (0, 1), (1, 1): (0, 1), (5, 0): (1, 3), (6, 1): (4, 1), (9, 0): (5, 1)}
+    random.seed(7)
+    sizes = [20] * 200 + [random.randint(1, 64) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "p long, length long")
+    tables, write = [], packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, name: tables.append((name, write(df, name))) or tables[-1][1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        for most in (packing.RANGE, 40):
+            tables.clear()
+            bins = defaultdict(list)
+            for r in packing.place(rows, 64, most).collect():
+                bins[r.sequence_id].append((r.offset, sizes[r.p]))
+            assert sum(map(len, bins.values())) == len(sizes) and len(bins) <= best_fit(sizes, 64) * 1.01 + 1
+            assert all(sum(n for _, n in b) == max(o + n for o, n in b) <= 64 for b in bins.values())
+            parts = [len(df.select("part").distinct().collect()) for name, df in tables if name == "swept"]
+            assert max(parts) == 1 if most > 40 else max(parts) > 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_packing_ids_over_unicode_spaces(spark):
     from tokenizers import Tokenizer
 

@@ -1,6 +1,7 @@
 """Best-fit packing of token sequences by bulk-synchronous sweeps over range-sorted documents and gaps.
 
-A round sorts the documents left and the open gaps by size, over ranges of (size, kind, key), so a hot size is cut like any other.
+A round sorts the documents left and the open gaps by size, over ranges of (size, kind, key) that grow in number with the rows: they are cut
+from the counts of the sizes, and a size that alone exceeds a range is dealt over several by its keys.
 Every gap takes the largest document not above it: going up the order, a document waits on a stack and a gap takes
 the last one that waits, so documents that compete for a gap are settled by their rank and no gap takes two. Each range is swept on its own; what
 is left of it are gaps, then documents, numbered from the cut. The numbers left in every range (two a range, the only thing
@@ -27,6 +28,8 @@ from .common import materialise
 CAPACITY = 2048
 #: A limit is halved when less than one in so many of the rarer side, bundles or gaps, found a partner.
 TAIL = 20
+#: Documents and gaps that one range holds, about; a task sorts a range at once.
+RANGE = 50_000
 #: Words kept in a worker's cache of encoded words.
 CACHE = 150_000
 #: White space after a space, and the spaces before which a text is cut. Python's \s holds all of Unicode's White_Space.
@@ -145,24 +148,47 @@ def match_range(kinds: list[int]) -> tuple[list[int], list[int], list[int], list
     return taken, filled, free, waiting[::-1]
 
 
-def _sweep(batches):
-    """A sorted range to its pairs (kind PLACED, key and size of the gap, items of the bundle) and its numbered rest."""
+def ranges(weights: dict[tuple[int, int], int], most: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """(first range, how many) of every (size, kind), ascending: small ones share a range of up to `most`, larger ones have several."""
+    found, last, held = {}, -1, most
+    for key in sorted(weights):
+        n = weights[key]
+        parts = -(-n // most)
+        if parts > 1 or held + n > most:
+            found[key] = (last + 1, parts)
+            last, held = last + parts, most if parts > 1 else n
+        else:
+            found[key] = (last, 1)
+            held += n
+    return found
+
+
+def in_ranges(rows: DataFrame, capacity: int, most: int) -> DataFrame:
+    """rows with `part`, their range. The counts by size and kind, at most two a size, are what the driver sees."""
+    weight = F.greatest(F.size("items"), F.lit(1))  # a bundle weighs as its documents
+    weights = {(r["size"], r["kind"]): r["n"] for r in rows.groupBy("size", "kind").agg(F.sum(weight).alias("n")).collect()}
+    found = ranges(weights, most)
+    codes = [found.get((size, kind), (0, 1)) for size in range(capacity + 1) for kind in (DOCUMENT, GAP)]
+    first, many = (F.split(F.lit(",".join(str(c[k]) for c in codes)), ",").cast("array<int>") for k in (0, 1))
+    code = (2 * F.col("size") + F.col("kind")).cast("int")
+    share = F.pmod(F.xxhash64("key"), F.get(many, code))
+    return rows.withColumn("part", (F.get(first, code) + share).cast("int"))
+
+
+def _sweep(rows):
+    """A range to its pairs (kind PLACED, key and size of the gap, items of the bundle) and its numbered rest."""
     import numpy as np
     import pyarrow as pa
-    from pyspark import TaskContext
 
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    part = TaskContext.get().partitionId()
-    rows = pa.Table.from_batches(batches)
+    size, kind, key = (rows[c].to_numpy() for c in ("size", "kind", "key"))
+    rows = rows.take(pa.array(np.lexsort((key, kind, size))))
     taken, filled, free, left = match_range(rows["kind"].to_pylist())
+    out = []
     for kind, sides, bundles in ((PLACED, filled, taken), (GAP, free, free), (DOCUMENT, left, left)):
-        if sides:
-            side, n = rows.take(pa.array(sides, pa.int64())), len(sides)
-            items = rows["items"].take(pa.array(bundles, pa.int64()))
-            out = pa.Table.from_arrays([pa.array(np.full(n, kind, np.int32)), side["size"], side["key"], items, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n))], ["kind", "size", "key", "items", "part", "rank"])
-            yield from out.to_batches(max_chunksize=10_000)
+        side, n = rows.take(pa.array(sides, pa.int64())), len(sides)
+        items = rows["items"].take(pa.array(bundles, pa.int64()))
+        out.append(pa.Table.from_arrays([pa.array(np.full(n, kind, np.int32)), side["size"], side["key"], items, side["part"], pa.array(np.arange(n))], ["kind", "size", "key", "items", "part", "rank"]))
+    return pa.concat_tables(out)
 
 
 def tally(low: int):
@@ -256,8 +282,8 @@ def bands(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def place(sizes: DataFrame, capacity: int) -> DataFrame:
-    """p, sequence_id and offset for written rows of (p, length), p unique and lengths from 1 to `capacity`."""
+def place(sizes: DataFrame, capacity: int, most: int = RANGE) -> DataFrame:
+    """p, sequence_id and offset for written rows of (p, length), p unique and lengths from 1 to `capacity`; ranges of about `most` rows."""
     spark = sizes.sparkSession
     counts = {r["length"]: r["count"] for r in sizes.groupBy("length").count().collect()}  # at most `capacity` numbers
     total, opened = sum(s * n for s, n in counts.items()), sum(n for s, n in counts.items() if 2 * s > capacity)
@@ -284,8 +310,8 @@ def place(sizes: DataFrame, capacity: int) -> DataFrame:
                 limit = 1
             bundles = documents.mapInArrow(glue(limit), SIDE)
             open_gaps = gaps.where(F.col("size") >= min(small)).select(F.lit(GAP).alias("kind"), "size", "key", F.array().cast(ITEMS).alias("items"))
-            order = ("size", "kind", "key")
-            swept = materialise(bundles.unionByName(open_gaps).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, f"{SIDE}, part int, rank long"), "swept")
+            ranged = in_ranges(bundles.unionByName(open_gaps), capacity, most)
+            swept = materialise(ranged.groupBy("part").applyInArrow(_sweep, f"{SIDE}, part int, rank long"), "swept")
             rest: dict[int, list[int]] = {}
             seen, wide = [0, 0, 0], 0
             for r in swept.select("part", "kind", "size").mapInArrow(tally(low), "part int, kind int, n long, wide long").collect():  # three rows a range and file
