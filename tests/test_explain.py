@@ -99,3 +99,14 @@ def test_factors_read_the_evidence_once(spark, tmp_path):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("marker_s#") <= 4  # one relation and its uses
     got = {(r.claim_id, r.factor, r.evidence_id, r.explanation.split(" ")[0]) for r in found.collect()}
     assert got == {(1, "Official club confirmation", 11, "B"), (1, "3 independent sources", 10, "3"), (1, "Conflicting report", 12, "A"), (2, "Official club denial", 20, "B"), (2, "Single original source", 20, "All"), (3, "No corroborating evidence", None, "No")}
+
+
+def test_evidence_is_numbered_by_tasks_of_bounded_size(spark, monkeypatch):
+    from tidewire.plans import domain
+
+    views = lambda: [domain.view(spark, "/root/testdata/sf0.001", n) for n in ("claims", "evidence", "sources", "players", "clubs")]
+    want = sorted(map(tuple, explain.provenance_nodes(*views()).collect()), key=str)
+    monkeypatch.setattr(domain, "TASK_ROWS", 500)
+    evidence = views()[1].select("claim_id", "id")
+    assert evidence.rdd.getNumPartitions() >= 10  # some 6,000 items, where the session's shuffles have 4 tasks
+    assert sorted(map(tuple, explain.provenance_nodes(*views()).collect()), key=str) == want

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules
+from tidewire.sources.io import few_broadcast, materialise
 
 QUIET_DAYS = 14
 
@@ -26,7 +27,8 @@ def provenance_nodes(claims: DataFrame, evidence: DataFrame, sources: DataFrame,
     club = F.coalesce("short_name", "name") if "short_name" in clubs.columns else F.col("name")
     title = F.col("title") if "title" in evidence.columns else F.lit(None).cast("string")
     of_claims = evidence.join(claims.select(F.col("id").alias("_c")), F.col("claim_id") == F.col("_c"), "left_semi")
-    from_sources = of_claims.select("claim_id", "source_id").distinct().join(sources.select(F.col("id").alias("_s"), "name"), F.col("source_id") == F.col("_s"), "left")
+    names = few_broadcast(materialise(sources.select(F.col("id").alias("_s"), "name"), "source-names"))  # a source may have most of the items
+    from_sources = of_claims.select("claim_id", "source_id").distinct().join(names, F.col("source_id") == F.col("_s"), "left")
     parts = [
         claims.select(F.col("id").alias("claim_id"), _name("claim-", "id").alias("id"), F.lit("claim").alias("kind"), _name("Claim #", "id").alias("label")),
         named("player_id", "player-", "player", players, F.col("name")),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.sources.io import read_table
+from tidewire.sources.io import dealt, read_table
 
 NOW = "TIMESTAMP '1998-08-02 00:00:00'"
 CLUBS = 100
+#: Items of evidence that a task numbers within their claims, about.
+TASK_ROWS = 250_000
 
 _HEADLINE = """concat('Player ', CAST(o_custkey AS STRING), CASE o_orderkey % 8
  WHEN 0 THEN ' passes medical, here we go!' WHEN 1 THEN ' linked with summer move' WHEN 2 THEN ' deal collapsed, says agent' WHEN 3 THEN ' wins award'
@@ -42,6 +44,8 @@ RENAMES = {"rumours": {"window_name": "window"}, "claims": {"window_name": "wind
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     bases = {b: read_table(spark, sf_dir, b) for b in BASE if "{" + b + "}" in text}
+    if name == "evidence":
+        bases["lineitem"] = dealt(bases["lineitem"], "l_orderkey", TASK_ROWS)
     return spark.sql(text, **bases).withColumnsRenamed(RENAMES.get(name, {}))
 
 
