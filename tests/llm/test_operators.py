@@ -310,6 +310,20 @@ def test_packing_ranges_follow_the_rows(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_packing_plans_stay_small(spark, monkeypatch):
+    """The driver keeps the descriptions of plans: cuts of ranges do not stand in them, however many sizes there are."""
+    from tidewire.llm import packing
+
+    assert packing.cut_points({(1, 0): (0, 1), (1, 1): (0, 1), (5, 0): (1, 2), (6, 1): (3, 1)}) == [-math.inf, 10, 10.5, 13, math.inf]
+    described, write = [], packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, name: described.append((name, len(df._jdf.queryExecution().toString()))) or write(df, name))
+    random.seed(5)
+    rows = spark.createDataFrame([(i, random.randint(1, 2048)) for i in range(300)], "p long, length long")
+    rows = write(rows, "test-sizes")
+    assert packing.place(rows, 2048).count() == 300
+    assert max(n for name, n in described if name == "swept") < 30_000
+
+
 def test_packing_ids_over_unicode_spaces(spark):
     from tokenizers import Tokenizer
 

@@ -18,8 +18,10 @@ band fits any gap, for the tokens the band has left.
 
 from __future__ import annotations
 
+import math
 import re
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,16 +165,28 @@ def ranges(weights: dict[tuple[int, int], int], most: int) -> dict[tuple[int, in
     return found
 
 
-def in_ranges(rows: DataFrame, capacity: int, most: int) -> DataFrame:
-    """rows with `part`, their range. The counts by size and kind, at most two a size, are what the driver sees."""
+def cut_points(found: dict[tuple[int, int], tuple[int, int]]) -> list[float]:
+    """Where ranges begin, on a scale with a unit for every (size, kind) that its keys share evenly: a range lies between two of them."""
+    cuts, last = [], -1
+    for (size, kind), (first, parts) in sorted(found.items()):
+        code = 2 * size + kind
+        cuts += [code + k / parts for k in range(parts) if first + k > last]
+        last = first + parts - 1
+    return [-math.inf, *cuts[1:], math.inf]
+
+
+def in_ranges(rows: DataFrame, most: int) -> DataFrame:
+    """rows with `part`, their range. The counts by size and kind, at most two a size, are what the driver sees.
+
+    The cuts are Bucketizer's: as literals they would stand in every description of a plan, which the driver keeps."""
     weight = F.greatest(F.size("items"), F.lit(1))  # a bundle weighs as its documents
     weights = {(r["size"], r["kind"]): r["n"] for r in rows.groupBy("size", "kind").agg(F.sum(weight).alias("n")).collect()}
-    found = ranges(weights, most)
-    codes = [found.get((size, kind), (0, 1)) for size in range(capacity + 1) for kind in (DOCUMENT, GAP)]
-    first, many = (F.split(F.lit(",".join(str(c[k]) for c in codes)), ",").cast("array<int>") for k in (0, 1))
-    code = (2 * F.col("size") + F.col("kind")).cast("int")
-    share = F.pmod(F.xxhash64("key"), F.get(many, code))
-    return rows.withColumn("part", (F.get(first, code) + share).cast("int"))
+    cuts = cut_points(ranges(weights, most))
+    if len(cuts) < 3:  # all in one range
+        return rows.withColumn("part", F.lit(0))
+    spread = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    placed = Bucketizer(splits=cuts, inputCol="_at", outputCol="_part").transform(rows.withColumn("_at", 2 * F.col("size") + F.col("kind") + spread))
+    return placed.select(*rows.columns, F.col("_part").cast("int").alias("part"))
 
 
 def _sweep(rows):
@@ -310,7 +324,7 @@ def place(sizes: DataFrame, capacity: int, most: int = RANGE) -> DataFrame:
                 limit = 1
             bundles = documents.mapInArrow(glue(limit), SIDE)
             open_gaps = gaps.where(F.col("size") >= min(small)).select(F.lit(GAP).alias("kind"), "size", "key", F.array().cast(ITEMS).alias("items"))
-            ranged = in_ranges(bundles.unionByName(open_gaps), capacity, most)
+            ranged = in_ranges(bundles.unionByName(open_gaps), most)
             swept = materialise(ranged.groupBy("part").applyInArrow(_sweep, f"{SIDE}, part int, rank long"), "swept")
             rest: dict[int, list[int]] = {}
             seen, wide = [0, 0, 0], 0
@@ -340,8 +354,8 @@ def place(sizes: DataFrame, capacity: int, most: int = RANGE) -> DataFrame:
                 stuck = True
             elif few:
                 limit = top
-            tokens, low = documents.agg(F.sum("l"), F.min("l")).first()
-            widest = gaps.agg(F.max("size")).first()[0] or 0
+            sizes_left = documents.select("l", F.lit(0).cast("long").alias("gap")).unionByName(gaps.select(F.lit(None).cast("long").alias("l"), F.col("size").alias("gap")))
+            tokens, low, widest = sizes_left.agg(F.sum("l"), F.min("l"), F.max("gap")).first()
     out = done[0]
     for table in done[1:]:
         out = out.unionByName(table)
