@@ -260,3 +260,34 @@ def test_queries_equal_their_sql_on_the_smallest_tables(spark):
         cur = con.execute(queries.oracle_sql()[name])
         names = [c[0] for c in cur.description]
         assert rows(queries.queries()[name](spark, SMALL)) == sorted((dict(zip(names, r, strict=True)) for r in cur.fetchall()), key=str)
+
+
+def test_words_of_a_text_are_encoded_in_one_call_and_kept_between_tasks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tidewire.llm import packing
+    from tidewire.llm.queries import tokenizer_path
+
+    words = packing.words_of(tokenizer_path())
+    assert packing.words_of(tokenizer_path()) is words  # the next task of a worker has it already
+    calls, encode = [], words.bpe.encode_ordinary
+
+    class Counting:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return encode(text)
+
+    monkeypatch.setattr(words, "bpe", Counting())
+    words.kept, words.older = {}, {}
+    words.encode("one " + " ".join(f"word{k}" for k in range(500)))
+    assert len(calls) == 2  # the first word and all others
+    words.encode("one word7 word499")
+    assert calls[2:] == ["one"]
+    monkeypatch.undo()
+    reference = Tokenizer.from_file(tokenizer_path())
+    parts = ["a", "Straße", "it's", "x-1.2", "  ", " ", "\n", "\t ", " \u00a0", "\u00a0b", "\u3000", "\x1c", "né", "e\u0301", "😀", "12345", "<|endoftext|>", "<", "...", "z" * 70]
+    draw = random.Random(5)
+    monkeypatch.setattr(packing, "CACHE", 40)
+    for k in range(1500):
+        text = "".join(draw.choice(parts[: len(parts) - 4 * (k % 2)]) + draw.choice(["", " ", " "]) for _ in range(draw.randrange(40)))
+        assert words.encode(text) == np.array(reference.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)

@@ -18,6 +18,7 @@ band fits any gap, for the tokens the band has left.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -32,60 +33,96 @@ CAPACITY = 2048
 TAIL = 20
 #: Documents and gaps that one range holds, about; a task sorts a range at once.
 RANGE = 50_000
-#: Words kept in a worker's cache of encoded words.
+#: Words in a worker's cache of encoded words, and as many older ones.
 CACHE = 150_000
 #: White space after a space, and the spaces before which a text is cut. Python's \s holds all of Unicode's White_Space.
 RUN, CUT = re.compile(r" \s"), re.compile(r" (?=\S)")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
-    """Pieces of at most `capacity` tokens: doc_id, row, piece, start, length, ids_crc32. The first may be shorter.
+class Words:
+    """Ids of texts by a byte-level BPE, as little-endian unsigned 32-bit numbers; the ids of words are kept.
 
-    `tokenizer` is a byte-level BPE file (.json) with its ranks beside it (.tiktoken). A text is cut before spaces that no
-    white space follows, in the Unicode sense: there the pattern always begins a token, while a run of white space, such as
-    space and no-break space, may be one. The words' ids are kept in a bounded cache. Texts with special tokens in
-    them are encoded whole.
+    A text is cut before spaces that no white space follows, in the Unicode sense: there the pattern always begins a token, while a
+    run of white space, such as space and no-break space, may be one. The words of a text that are not kept are encoded in one call, each
+    behind its space, and told apart by the tokens that begin with one. Texts with special tokens in them are encoded whole.
     """
 
-    def run(batches):
+    def __init__(self, tokenizer: str):
         import base64
-        import zlib
 
         import numpy as np
-        import pyarrow as pa
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(tokenizer.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        cache: dict[str, bytes] = {}
-        whole = []
-
-        def pack(ids) -> bytes:
-            return np.array(ids, "<u4").tobytes()
-
-        def encode(text: str) -> bytes:
-            if "<|" in text:
-                if not whole:
-                    from tokenizers import Tokenizer
-
-                    whole.append(Tokenizer.from_file(tokenizer))
-                return pack(whole[0].encode(text, add_special_tokens=False).ids)
-            if len(cache) > CACHE:
-                cache.clear()
-            first, *rest = CUT.split(text) if RUN.search(text) else text.split(" ")
-            out = [pack(bpe.encode_ordinary(first))]
-            for word in rest:
-                ids = cache.get(word)
-                if ids is None:
-                    ids = pack(bpe.encode_ordinary(" " + word))
-                    if len(word) < 64:
-                        cache[word] = ids
-                out.append(ids)
-            return b"".join(out)
-
-        last = pack([end])
+        self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.begins = np.zeros(max(ranks.values()) + 1, bool)
+        self.begins[[n for token, n in ranks.items() if token[:1] == b" "]] = True
+        self.tokenizer, self.whole = tokenizer, None
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def packed(self, text: str):
+        import numpy as np
+
+        return np.array(self.bpe.encode_ordinary(text), "<u4")
+
+    def fresh(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not in `kept`."""
+        import numpy as np
+
+        found = {w: self.older.get(w) for w in words}
+        plain = []
+        for w, ids in found.items():
+            if ids is None:
+                if w and " " not in w:
+                    plain.append(w)
+                else:
+                    found[w] = self.packed(" " + w).tobytes()
+        if plain:
+            ids = self.packed(" " + " ".join(plain))
+            raw, at = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+            found.update(zip(plain, map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)])), strict=True))
+        if len(self.kept) > CACHE:
+            self.kept, self.older = {}, self.kept
+        self.kept.update((w, ids) for w, ids in found.items() if len(w) < 64)
+        return found
+
+    def encode(self, text: str) -> bytes:
+        if "<|" in text:
+            import numpy as np
+            from tokenizers import Tokenizer
+
+            self.whole = self.whole or Tokenizer.from_file(self.tokenizer)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *rest = CUT.split(text) if RUN.search(text) else text.split(" ")
+        ids = list(map(self.kept.get, rest))
+        if None in ids:
+            found = self.fresh([w for w, known in zip(rest, ids, strict=True) if known is None])
+            ids = [found[w] if known is None else known for w, known in zip(rest, ids, strict=True)]
+        return self.packed(first).tobytes() + b"".join(ids)
+
+
+@functools.lru_cache(maxsize=1)
+def words_of(tokenizer: str) -> Words:
+    """One for all tasks of a Python worker."""
+    return Words(tokenizer)
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+    """Pieces of at most `capacity` tokens: doc_id, row, piece, start, length, ids_crc32. The first may be shorter.
+
+    `tokenizer` is a byte-level BPE file (.json) with its ranks beside it (.tiktoken); see Words.
+    """
+
+    def run(batches):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        encode, last = words_of(tokenizer).encode, np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
