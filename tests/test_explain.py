@@ -89,6 +89,16 @@ def test_likelihood_forest(spark):
         forecast.train_likelihood(x.where("rumour_id < 50"))
 
 
+def test_likelihood_forest_runs_on_all_cores(spark, monkeypatch):
+    rows = spark.range(900).coalesce(1).withColumnRenamed("id", "rumour_id")
+    dealt = forecast.over_all_cores(rows, 900)
+    sizes = lambda df: df.groupBy(F.spark_partition_id()).count().collect()
+    cores = spark.sparkContext.defaultParallelism
+    assert rows.rdd.getNumPartitions() == 1 and len(sizes(dealt)) == cores and dealt.count() == 900
+    monkeypatch.setattr(forecast, "TASK_ROWS", 100)
+    assert len(sizes(forecast.over_all_cores(rows, 900))) == max(cores, 9)
+
+
 def test_factors_read_the_evidence_once(spark, tmp_path):
     items = [(1, 10, 1, None, "CONFIRMS", "CLUB_OFFICIAL", 5), (1, 11, 2, 10, "CONFIRMS", "CLUB_OFFICIAL", 6), (1, 12, 3, None, "CONTRADICTS", "NEWS_OUTLET", 7), (1, 13, 1, None, "CONTRADICTS", "NEWS_OUTLET", 7), (2, 20, 2, None, "DENIES", "CLUB_OFFICIAL", 1), (2, 21, 9, 20, "SUPPORTS", "NEWS_OUTLET", 2)]
     spark.createDataFrame(items, "claim_id long, id long, source_id long, root_id long, direction string, source_type string, marker_s long").write.parquet(f"{tmp_path}/evidence")

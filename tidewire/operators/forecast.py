@@ -21,6 +21,8 @@ SUPPORT, CONTRADICT = ("SUPPORTS", "CONFIRMS"), ("CONTRADICTS", "DENIES")
 # The features in the order of the model.
 FEATURES = ("sourceTierScore", "sourceTrackRecordScore", "independentRootCount", "evidenceCount", "evidenceDirectionScore", "mostRecentEvidenceAgeHours", "hasEvidence", "hasOfficialConfirmation", "hasOfficialDenial", "detailSpecificityScore", "sourceAgreementScore", "monthsToContractExpiry", "hasContractInfo", "windowDaysRemaining", "hasWindowInfo", "entityMatchConfidence", "dataCompletenessScore")
 OLDEST_H = 8760.0
+#: Rows that a task of the likelihood forest holds, about, once there are more than all cores have at that.
+TASK_ROWS = 250_000
 # The features of the likelihood forest.
 LIKELIHOOD_FEATURES = ("sourceReliability", "monthsToContractExpiry", "monthsToContractExpiry_missing", "feeMid", "feeMid_missing", "marketValue", "marketValue_missing", "clubNeedScore", "distinctSourceCount", "baseProbability", "baseProbability_missing")
 
@@ -194,6 +196,12 @@ def likelihood_features(rumours: DataFrame, sources: DataFrame, players: DataFra
     return rows.select(F.col("id").alias("rumour_id"), "status", months.alias("months"), *[F.col(c) for c in ("fee_min", "fee_max", "market_value", "base_probability")], *[values[f].alias(f) for f in LIKELIHOOD_FEATURES])
 
 
+def over_all_cores(rows: DataFrame, n: int) -> DataFrame:
+    """n rows dealt by their id over a task for each core at least; the order in a task is fixed, as the forest's samples are drawn in it."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS)
+    return rows.repartition(parts, "rumour_id").sortWithinPartitions("rumour_id")
+
+
 def train_likelihood(features: DataFrame, least: int = 200, trees: int = 200, depth: int = 8, seed: int = 42):
     """(model, metrics, importances) of a random forest on resolved rumours, 100 if completed, else 0 (ML1).
 
@@ -204,6 +212,7 @@ def train_likelihood(features: DataFrame, least: int = 200, trees: int = 200, de
     n = settled.count()
     if n < least:
         raise ValueError(f"at least {least} resolved rumours are needed, found {n}")
+    settled = over_all_cores(settled, n)
     held_out = F.pmod(F.xxhash64(F.lit(seed), "rumour_id"), F.lit(5)) == 0
     forest = RandomForestRegressor(featuresCol="_x", labelCol="target", predictionCol="forest", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
     model = Pipeline(stages=[VectorAssembler(inputCols=list(LIKELIHOOD_FEATURES), outputCol="_x"), forest]).fit(settled.where(~held_out))
@@ -215,8 +224,8 @@ def train_likelihood(features: DataFrame, least: int = 200, trees: int = 200, de
 
 def score_likelihood(features: DataFrame, model=None) -> DataFrame:
     """rumour_id, score and the six parts: the forest's prediction within 0 and 100, rounded half to even; without a model the
-    heuristic score (ML4). The parts are always the heuristic's."""
+    heuristic score (ML4). The parts are always the heuristic's. Rows are dealt by their id before the trees, which cost far more than the joins."""
     inputs = (F.col("sourceReliability"), F.col("months"), F.col("fee_min"), F.col("fee_max"), F.col("market_value"), F.col("distinctSourceCount"), F.col("base_probability"))
-    rows = features if model is None else model.transform(features)
+    rows = features if model is None else model.transform(features.repartition("rumour_id"))
     score = rules.likelihood_score(*inputs) if model is None else F.bround(rules.clamp(F.col("forest"), 0.0, 100.0), 0)
     return rows.select("rumour_id", score.alias("score"), *[part.alias(name) for name, part in rules.likelihood_parts(*inputs).items()])
