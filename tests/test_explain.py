@@ -89,6 +89,25 @@ def test_likelihood_forest(spark):
         forecast.train_likelihood(x.where("rumour_id < 50"))
 
 
+def test_forest_likelihood_fails_where_training_fails(spark, monkeypatch):
+    from tidewire.plans import catalog
+
+    rumours = spark.range(300).selectExpr("id", "1L source_id", "1L player_id", "1d fee_min", "2d fee_max", "if(id % 2 = 0, 'COMPLETED', 'FAILED') status", "timestamp'2026-01-01' rumour_date", "0.5d base_probability", "1 source_count")
+    tables = {"sources": spark.sql("SELECT 1L id, 0.5d reliability"), "players": spark.sql("SELECT 1L id, 3d market_value, timestamp'2027-01-01' contract_end")}
+    monkeypatch.setattr(catalog, "view", lambda spark, d, name: (tables | {"rumours": rumours}).get(name))
+    query = catalog.forest_likelihood
+
+    def broken(df, name):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(forecast, "materialise", broken)
+        with pytest.raises(ValueError, match="checkpoint"):
+            query(spark, "")
+    rumours = rumours.where("id < 50")
+    assert [r.scored_by for r in query(spark, "").select("scored_by").distinct().collect()] == ["heuristic"]
+
+
 def test_likelihood_forest_runs_on_all_cores(spark, monkeypatch):
     rows = spark.range(900).coalesce(1).withColumnRenamed("id", "rumour_id")
     dealt = forecast.over_all_cores(rows, 900)

@@ -196,6 +196,10 @@ def likelihood_features(rumours: DataFrame, sources: DataFrame, players: DataFra
     return rows.select(F.col("id").alias("rumour_id"), "status", months.alias("months"), *[F.col(c) for c in ("fee_min", "fee_max", "market_value", "base_probability")], *[values[f].alias(f) for f in LIKELIHOOD_FEATURES])
 
 
+class TooFewRumours(ValueError):
+    """There are not enough resolved rumours to train on; no other failure of training has this type."""
+
+
 def over_all_cores(rows: DataFrame, n: int) -> DataFrame:
     """n rows dealt by their id over a task for each core at least; the order in a task is fixed, as the forest's samples are drawn in it."""
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS)
@@ -205,13 +209,13 @@ def over_all_cores(rows: DataFrame, n: int) -> DataFrame:
 def train_likelihood(features: DataFrame, least: int = 200, trees: int = 200, depth: int = 8, seed: int = 42):
     """(model, metrics, importances) of a random forest on resolved rumours, 100 if completed, else 0 (ML1).
 
-    One row in five, by a hash of the id, is held out; metrics are R2 on both parts.
+    One row in five, by a hash of the id, is held out; metrics are R2 on both parts. Fewer than `least` resolved rumours raise TooFewRumours.
     """
     settled = features.where(F.col("status").isin("COMPLETED", "FAILED", "DENIED"))
     settled = materialise(settled.withColumn("target", F.when(F.col("status") == "COMPLETED", 100.0).otherwise(0.0)), "likelihood-rows")
     n = settled.count()
     if n < least:
-        raise ValueError(f"at least {least} resolved rumours are needed, found {n}")
+        raise TooFewRumours(f"at least {least} resolved rumours are needed, found {n}")
     settled = over_all_cores(settled, n)
     held_out = F.pmod(F.xxhash64(F.lit(seed), "rumour_id"), F.lit(5)) == 0
     forest = RandomForestRegressor(featuresCol="_x", labelCol="target", predictionCol="forest", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
@@ -223,9 +227,9 @@ def train_likelihood(features: DataFrame, least: int = 200, trees: int = 200, de
 
 
 def score_likelihood(features: DataFrame, model=None) -> DataFrame:
-    """rumour_id, score and the six parts: the forest's prediction within 0 and 100, rounded half to even; without a model the
-    heuristic score (ML4). The parts are always the heuristic's. Rows are dealt by their id before the trees, which cost far more than the joins."""
+    """rumour_id, score, scored_by and the six parts: the forest's prediction within 0 and 100, rounded half to even; without a model the
+    heuristic score (ML4). scored_by tells which: forest or heuristic. The parts are always the heuristic's. Rows are dealt by their id before the trees, which cost far more than the joins."""
     inputs = (F.col("sourceReliability"), F.col("months"), F.col("fee_min"), F.col("fee_max"), F.col("market_value"), F.col("distinctSourceCount"), F.col("base_probability"))
     rows = features if model is None else model.transform(features.repartition("rumour_id"))
     score = rules.likelihood_score(*inputs) if model is None else F.bround(rules.clamp(F.col("forest"), 0.0, 100.0), 0)
-    return rows.select("rumour_id", score.alias("score"), *[part.alias(name) for name, part in rules.likelihood_parts(*inputs).items()])
+    return rows.select("rumour_id", score.alias("score"), F.lit("heuristic" if model is None else "forest").alias("scored_by"), *[part.alias(name) for name, part in rules.likelihood_parts(*inputs).items()])
