@@ -373,6 +373,53 @@ def test_lm_scores_every_row(spark):
     assert score_documents(docs.limit(0), docs).count() == 0 and score_documents(docs.limit(0), docs.limit(0)).count() == 0
 
 
+def test_lm_contexts_are_whole_words(spark):
+    from tidewire.llm.lm_score import score_documents
+
+    rows = [(i, "redcat north") for i in range(20)] + [(20 + i, "bluecat south") for i in range(20)]  # one last byte, one before it
+    asked = [(0, "redcat north"), (1, "redcat south"), (2, "bluecat south"), (3, "bluecat north")]
+    schema = "doc_id long, text string"
+    for frequent in (0, 3, 1000):
+        p = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(asked, schema), spark.createDataFrame(rows, schema), frequent=frequent).collect()}
+        assert p[0] > p[1] + 0.5 and p[2] > p[3] + 0.5
+
+
+def test_lm_against_brute_force(spark):
+    from tidewire.llm.lm_score import score_documents
+
+    # every pair occurs once and every word after one context: one table each, whatever is drawn
+    words = "the cat of a tall house saw nine old men there".split()
+    train = [(0, " ".join(words))]
+    texts = ["the cat", "cat the", "", "tall house saw nine", "nine tall men there", "unheard of a", "there unheard unheard", "old", *words, *(f"{u} {w}" for u in words for w in words)]
+    schema, d, v = "doc_id long, text string", 0.95, len(words) + 1
+    pairs = list(zip([None, *words], [*words, "."], strict=True))
+
+    def p(u, w):
+        known, context = (u, w) in pairs, u is None or u in words
+        root = ((1 - d) * (w == "." or w in words) + (1 + d * v) / (v + 1)) / (1 + v)
+        return ((1 - d) * known + (1 + d) * root) / 2 if context else root
+
+    want = {i: sum(math.log10(p(u, w)) for u, w in zip([None, *t.split()], [*t.split(), "."], strict=True)) for i, t in enumerate(texts)}
+    for frequent in (0, 4, 1000):
+        got = {r.doc_id: r for r in score_documents(spark.createDataFrame(list(enumerate(texts)), schema), spark.createDataFrame(train, schema), frequent=frequent).collect()}
+        assert {i: r.score for i, r in got.items()} == pytest.approx(want, abs=1e-5)
+        assert all(r.n_known == 1 + sum(w in words for w in texts[i].split()) for i, r in got.items())
+
+
+def test_lm_numbers_of_words_change_no_result(spark):
+    from tidewire.llm.lm_score import score_documents
+
+    random.seed(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[min(59, int(random.expovariate(0.12)))] for _ in range(40))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = [{r.doc_id: r for r in score_documents(docs, docs.where("doc_id % 4 > 0"), samples=6, frequent=k).collect()} for k in (5, 1000)]
+    for some in found[:1]:
+        assert all((r.n_tokens, r.n_known) == (found[1][i].n_tokens, found[1][i].n_known) and r.base_score == pytest.approx(found[1][i].base_score) for i, r in some.items())
+        assert all(r.score == pytest.approx(found[1][i].score, rel=0.02) for i, r in some.items())  # seats are drawn
+        assert sum(r.score for r in some.values()) == pytest.approx(sum(r.score for r in found[1].values()), rel=0.002)
+
+
 def test_lm_beats_unigram_held_out(spark):
     from tidewire.llm.lm_score import score_documents
 
